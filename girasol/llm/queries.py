@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_documents
-from .common import table
+from .common import is_held_out, table
+from .quality import score_documents, train
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +16,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op8_byte_bpe,)}
+def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    scored = score_documents(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op8_byte_bpe, op10_quality_qda)}
 ORACLE_SQL: dict[str, str] = {}
