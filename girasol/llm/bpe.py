@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import sha256_hex, text_slices
 
@@ -311,12 +312,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, *, text: str = "text", ke
     """
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids", "token_ends"] * with_ids
     keep = [c for c in docs.columns if c not in (*added, "_text")] if keep is None else keep
-    fields = [docs.schema[c] for c in keep]
     out_schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     out_schema = out_schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        out_schema = out_schema.add("token_ids", "array<int>").add("token_ends", "array<long>")
-    assert len(fields) == len(keep)
+        out_schema = out_schema.add("token_ids", T.ArrayType(T.IntegerType())).add("token_ends", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load_codec(ranks_path)

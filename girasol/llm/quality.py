@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import is_held_out, text_slices
 
@@ -126,7 +127,7 @@ def _calibrate(margin: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[floa
 
 def _with_statistics(docs: DataFrame, keep: list[str], model: Model | None, slice_bytes: int) -> DataFrame:
     """Score (or, without a model, the statistics) of each row's _text, beside its columns in keep."""
-    name, kind = ("_score", "double") if model else ("_statistics", "array<double>")
+    name, kind = ("_score", T.DoubleType()) if model else ("_statistics", T.ArrayType(T.DoubleType()))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

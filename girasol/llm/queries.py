@@ -6,9 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import imatch, langid, quality, toxicity
 from .bpe import encode_documents
 from .common import is_held_out, table
-from .quality import score_documents, train
+
+
+def op1_byte_conv_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, langid.train(docs), keep=["doc_id"])
+    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return imatch.fingerprint_documents(docs, imatch.build_lexicon(docs))
+
+
+def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model, keep=["doc_id"])
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +35,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs, table(spark, sf_dir, "labels"))
-    scored = score_documents(docs, model, keep=["doc_id"])
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, model, keep=["doc_id"])
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op8_byte_bpe, op10_quality_qda)}
+QUERIES = {f.__name__: f for f in (
+    op1_byte_conv_langid, op6_imatch_fingerprints, op7_ordinal_toxicity, op8_byte_bpe, op10_quality_qda,
+)}
 ORACLE_SQL: dict[str, str] = {}
