@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, imatch, langid, quality, toxicity
+from . import decontaminate, imatch, langid, quality, secrets, toxicity
 from .bpe import encode_documents
 from .common import is_held_out, table
 
@@ -17,6 +17,10 @@ def op1_byte_conv_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -46,6 +50,6 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_byte_conv_langid, op3_spaced_seed_decontamination, op6_imatch_fingerprints, op7_ordinal_toxicity, op8_byte_bpe, op10_quality_qda,
+    op1_byte_conv_langid, op2_secret_battery, op3_spaced_seed_decontamination, op6_imatch_fingerprints, op7_ordinal_toxicity, op8_byte_bpe, op10_quality_qda,
 )}
 ORACLE_SQL: dict[str, str] = {}
