@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, imatch, langid, quality, secrets, toxicity
+from . import decontaminate, imatch, langid, linededup, quality, secrets, toxicity
 from .bpe import encode_documents
 from .common import is_held_out, table
 
@@ -42,6 +42,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=["doc_id"])
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -50,6 +55,6 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_byte_conv_langid, op2_secret_battery, op3_spaced_seed_decontamination, op6_imatch_fingerprints, op7_ordinal_toxicity, op8_byte_bpe, op10_quality_qda,
+    op1_byte_conv_langid, op2_secret_battery, op3_spaced_seed_decontamination, op6_imatch_fingerprints, op7_ordinal_toxicity, op8_byte_bpe, op9_line_dedup, op10_quality_qda,
 )}
 ORACLE_SQL: dict[str, str] = {}
