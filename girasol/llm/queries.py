@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, imatch, langid, linededup, ngramjoin, quality, secrets, toxicity
+from . import decontaminate, imatch, langid, linededup, ngramjoin, quality, secrets, suffixdedup, toxicity
 from .bpe import encode_documents
 from .common import is_held_out, table
 
@@ -30,6 +30,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return imatch.fingerprint_documents(docs, imatch.build_lexicon(docs))
@@ -59,6 +64,6 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_byte_conv_langid, op2_secret_battery, op3_spaced_seed_decontamination, op4_ngram_jaccard, op6_imatch_fingerprints, op7_ordinal_toxicity, op8_byte_bpe, op9_line_dedup, op10_quality_qda,
+    op1_byte_conv_langid, op2_secret_battery, op3_spaced_seed_decontamination, op4_ngram_jaccard, op5_suffix_dedup, op6_imatch_fingerprints, op7_ordinal_toxicity, op8_byte_bpe, op9_line_dedup, op10_quality_qda,
 )}
 ORACLE_SQL: dict[str, str] = {}
