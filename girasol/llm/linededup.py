@@ -18,7 +18,7 @@ CELLS = 1 << 17
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), " "), "")
 
 
 def _eligible(line: Column, min_words: int) -> Column:
@@ -29,32 +29,34 @@ def _eligible(line: Column, min_words: int) -> Column:
     return F.octet_length(F.substring_index(inner, " ", min_words - 1)) < F.octet_length(inner)
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """A character for each cell of the sketch: the binary logarithm of how many words of
-    the whole corpus fall into it. CELLS small numbers reach the driver."""
+def rarity(docs: DataFrame) -> list[int]:
+    """For each cell of the sketch, the binary logarithm of how many words of the whole corpus
+    fall into it. CELLS small numbers reach the driver."""
     line = docs.select(F.explode(F.split(F.lower(F.col("_text")), "\n")).alias("_line"))
     word = line.select(F.explode(F.split("_line", " ")).alias("_word"))
     cell = F.pmod(F.xxhash64("_word"), F.lit(CELLS)).cast("int").alias("cell")
     counts = word.select(cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    out = np.zeros(CELLS, np.uint8)
-    out[counts.column("cell").to_numpy()] = np.minimum(np.log2(counts.column("n").to_numpy() + 1), 62).astype(np.uint8)
-    return (out + 48).tobytes()
+    out = np.zeros(CELLS, np.int64)
+    out[counts.column("cell").to_numpy()] = np.minimum(np.log2(counts.column("n").to_numpy() + 1), 62).astype(np.int64)
+    return out.tolist()
 
 
-def _keys(line: Column, ranks: bytes) -> Column:
+def _keys(line: Column, ranks: list[int]) -> Column:
     """The line's distinct words as longs that sort by rarity: the frequency's logarithm, then
     longer words first, then 51 bits of the word's hash."""
+    # One literal, folded from text: ranks in the place that they have in a key.
+    shifted = F.split(F.lit(",".join(str(r << 57) for r in ranks)), ",").cast("array<bigint>")
+    lengths = F.split(F.lit(",".join(str((63 - n) << 51) for n in range(64))), ",").cast("array<bigint>")
 
     def key(w: Column) -> Column:
         h = F.xxhash64(w)
-        rank = F.ascii(F.substring(F.lit(ranks), F.pmod(h, F.lit(CELLS)).cast("int") + 1, 1).cast("string")) - 48
-        short = 63 - F.least(F.length(w), F.lit(63))
-        return F.shiftleft(rank.cast("long"), 57).bitwiseOR(F.shiftleft(short.cast("long"), 51)).bitwiseOR(h.bitwiseAND(F.lit((1 << 51) - 1)))
+        low = F.get(lengths, F.least(F.octet_length(w), F.lit(63))).bitwiseOR(h.bitwiseAND(F.lit((1 << 51) - 1)))
+        return F.get(shifted, F.pmod(h, F.lit(CELLS)).cast("int")).bitwiseOR(low)
 
     return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
 
 
-def _classes(docs: DataFrame, ranks: bytes, min_words: int, similarity: float) -> DataFrame:
+def _classes(docs: DataFrame, ranks: list[int], min_words: int, similarity: float) -> DataFrame:
     """One row for each set of words: its first place (doc_id, line), size, prefix, bitmap."""
     lines = docs.select("doc_id", F.posexplode(F.split("_text", "\n")).alias("_at", "_line"))
     lines = lines.where(_eligible(F.col("_line"), min_words))
@@ -65,9 +67,11 @@ def _classes(docs: DataFrame, ranks: bytes, min_words: int, similarity: float) -
         F.slice("_keys", F.lit(1), F.col("_n") - least + 1).alias("_prefix"),
         F.aggregate("_keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("_bits"),
     )
-    return keyed.groupBy("_set", "_set2").agg(
+    classes = keyed.groupBy("_set", "_set2").agg(
         F.min("_place").alias("_place"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.first("_bits").alias("_bits")
     )
+    # All columns are used, so that each use of the classes reads the same exchange.
+    return classes.where((F.size("_prefix") > 0) & (F.col("_n") > 0) & F.col("_bits").isNotNull() & F.col("_place").isNotNull())
 
 
 def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
@@ -116,13 +120,15 @@ def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int = 3)
     """
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     whole = docs.select(*[F.col(f"`{c}`") for c in kept_columns])
-    source = whole.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("_text"))
-    ranks = rarity(source)
-    classes = _classes(source, ranks, min_words, similarity)
+    named = whole.where(F.col("doc_id").isNotNull())
+    source = named.select("doc_id", F.col("text").cast("string").alias("_text"))
+    ranks = rarity(source.where(F.col("_text").isNotNull()))
+    classes = _classes(source.where(F.col("_text").isNotNull()), ranks, min_words, similarity)
     firsts = classes.select(F.col("_place.doc_id").alias("doc_id"), F.col("_place._at").alias("_at"))
-    kept = firsts.join(matched_later(source, classes, similarity=similarity), ["doc_id", "_at"], "left_anti")
+    kept = firsts.join(matched_later(named.select(*kept_columns, F.col("text").cast("string").alias("_text")), classes, similarity=similarity), ["doc_id", "_at"], "left_anti")
     kept = kept.groupBy("doc_id").agg(F.collect_set("_at").alias("_kept"))
-    lines = whole.join(kept, "doc_id", "left").withColumn("_lines", F.split(F.col("text").cast("string"), "\n"))
+    nameless = whole.where(F.col("doc_id").isNull()).withColumn("_kept", F.lit(None).cast("array<int>"))
+    lines = named.join(kept, "doc_id", "left").unionByName(nameless).withColumn("_lines", F.split(F.col("text").cast("string"), "\n"))
     small = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: ~_eligible(F.get("_lines", i), min_words))
     stay = F.sort_array(F.concat(F.coalesce("_kept", F.expr("cast(array() as array<int>)")), small))
     out = lines.withColumn("_stay", F.when(F.col("text").isNull(), F.lit(None)).when(F.col("doc_id").isNull(), F.sequence(F.lit(0), F.size("_lines") - 1)).otherwise(stay))
