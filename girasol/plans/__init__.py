@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import selection, vectors  # noqa: F401
+from .common import ORACLE_SQL, QUERIES  # noqa: F401
