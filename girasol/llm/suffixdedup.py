@@ -227,14 +227,16 @@ def _sides(length: int) -> tuple[int, int]:
 
 
 def _cores(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(k1, k2, text's number, place in it) of the cores that may hold repeats, one for each
-    different context, and the stretches (number, start, stop) repeated among these texts."""
+    """(key, text's number, place in it) of the cores that may hold repeats, one for each
+    different context, and the stretches (number, start, stop) repeated among these texts.
+
+    A key is one hash: texts that it confuses would also have to agree on the sides."""
     side, core = _sides(length)
     sizes = np.array([len(x) for x in texts], np.int64)
     stops = np.cumsum(sizes)
     starts = stops - sizes
     data = np.frombuffer(b"".join(texts), np.uint8)
-    first, second = Hashes(data, 0), Hashes(data, 1)
+    first = Hashes(data, 0)
     places = minimisers(data, starts, stops, first, length)
     owner = np.searchsorted(stops, places, "right")
     both, of = np.concatenate([places, places - side]), np.concatenate([owner, owner])
@@ -247,8 +249,7 @@ def _cores(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     context = first.of(begin, end) ^ mix(left.astype(_U) * _U(1 << 20) + right.astype(_U), 5)
     _, one, back, count = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
     again = count[back] > 1
-    k1, k2 = (h.of(at[one], at[one] + core) for h in (first, second))
-    return k1, k2, of[one], at[one] - starts[of[one]], of[again], begin[again] - starts[of[again]], end[again] - starts[of[again]]
+    return first.of(at[one], at[one] + core), of[one], at[one] - starts[of[one]], of[again], begin[again] - starts[of[again]], end[again] - starts[of[again]]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -262,7 +263,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scan(docs: DataFrame, length: int, slice_bytes: int) -> DataFrame:
-    """Rows (repeated false: a core's key k1, k2 and place; true: a stretch found within a task)."""
+    """Rows with stop 0: a core's key and place; others: a stretch found within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -277,7 +278,7 @@ def _scan(docs: DataFrame, length: int, slice_bytes: int) -> DataFrame:
                     ids.append((a, b))
             if not own:
                 continue
-            k1, k2, of, at, rof, begin, end = _cores(own, length)
+            key, of, at, rof, begin, end = _cores(own, length)
             spans: dict[int, list[tuple[int, int]]] = {}
             for i, a, b in zip(rof.tolist(), begin.tolist(), end.tolist()):
                 spans.setdefault(i, []).append((a, b))
@@ -286,13 +287,13 @@ def _scan(docs: DataFrame, length: int, slice_bytes: int) -> DataFrame:
             fof = np.array([x[0] for x in found], np.int64)
             t = np.concatenate([ids_np[of], ids_np[fof]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([k1.view(np.int64), ids_np[fof, 0]])), pa.array(np.concatenate([k2.view(np.int64), ids_np[fof, 1]])),
-                 pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(np.concatenate([at, np.array([x[1] for x in found], np.int64)])),
-                 pa.array(np.concatenate([np.zeros(len(at), np.int64), np.array([x[2] for x in found], np.int64)]))],
-                names=["k1", "k2", "t1", "t2", "at", "stop"],
+                [pa.array(np.concatenate([key.view(np.int64), ids_np[fof, 0]])), pa.array(t[:, 0]), pa.array(t[:, 1]),
+                 pa.array(np.concatenate([at, np.array([x[1] for x in found], np.int64)]).astype(np.int32)),
+                 pa.array(np.concatenate([np.zeros(len(at), np.int64), np.array([x[2] for x in found], np.int64)]).astype(np.int32))],
+                names=["k1", "t1", "t2", "at", "stop"],
             )
 
-    return docs.mapInArrow(run, "k1 long, k2 long, t1 long, t2 long, at long, stop long")
+    return docs.mapInArrow(run, "k1 long, t1 long, t2 long, at int, stop int")
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,15 +302,14 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: pa.RecordBatch | None = None
     held_same = False
 
-    def flagged(batch: pa.RecordBatch, after: tuple | None, same_before: bool) -> tuple[pa.RecordBatch, bool]:
-        k1, k2, stop = (batch.column(i).to_numpy() for i in (0, 1, 5))
-        equal = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
+    def flagged(batch: pa.RecordBatch, after: int | None, same_before: bool) -> tuple[pa.RecordBatch, bool]:
+        key, stop = (batch.column(i).to_numpy() for i in (0, 4))
+        equal = key[1:] == key[:-1]
         keep = stop > 0
-        keep = keep.copy()
         keep[1:] |= equal
         keep[:-1] |= equal
         keep[0] |= same_before
-        joins = after is not None and (k1[-1], k2[-1]) == after
+        joins = after is not None and key[-1] == after
         keep[-1] |= joins
         return batch.filter(pa.array(keep)), joins
 
@@ -317,7 +317,7 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         if held is not None:
-            out, held_same = flagged(held, (batch.column(0)[0].as_py(), batch.column(1)[0].as_py()), held_same)
+            out, held_same = flagged(held, batch.column(0)[0].as_py(), held_same)
             if out.num_rows:
                 yield out
         held = batch
@@ -337,14 +337,13 @@ def _contexts(rows: DataFrame, length: int, hot: bool) -> DataFrame:
             for a, b, cores, text in zip(part.column("t1").to_pylist(), part.column("t2").to_pylist(), part.column("cores").to_pylist(), texts):
                 raw = text.encode("utf-8", "replace")
                 hashes = [Hashes(np.frombuffer(raw, np.uint8), i) for i in (0, 1)] if hot else []
-                for x in {(c["k1"], c["k2"], c["at"]) for c in cores}:
-                    at = x[2]
+                for key, at in {(c["k1"], c["at"]) for c in cores}:
                     if hot:
                         begin = np.arange(max(at - side, 0), min(at, len(raw) - length) + 1)
                         one, two = (h.of(begin, begin + length).view(np.int64) for h in hashes)
                         out += [(p, q, a, b, s, None, None) for p, q, s in zip(one.tolist(), two.tolist(), begin.tolist())]
                     else:
-                        out.append((x[0], x[1], a, b, at, raw[max(at - side, 0) : at][::-1], raw[at + core : at + core + side]))
+                        out.append((key, None, a, b, at, raw[max(at - side, 0) : at][::-1], raw[at + core : at + core + side]))
                 if len(out) > 20_000:
                     yield batch(out)
                     out = []
@@ -389,11 +388,11 @@ def _ordered(length: int):  # noqa: ANN202
 
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(7)]
-            for k1, k2, t1, t2, at, left, right in zip(*cols):
-                if (k1, k2) != key:
+            for k1, _, t1, t2, at, left, right in zip(*cols):
+                if k1 != key:
                     if len(members) > 1:
                         out += _bucket_spans(members, side, length)
-                    key, members = (k1, k2), []
+                    key, members = k1, []
                 members.append((t1, t2, at, left, right))
             if len(out) > 20_000:
                 yield batch(out)
@@ -405,7 +404,7 @@ def _ordered(length: int):  # noqa: ANN202
     return run
 
 
-def repeated_spans(docs: DataFrame, *, length: int = 400, hot: int = 20_000, slice_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, *, length: int = 400, hot: int = 100_000, slice_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(rows: the columns of docs and t1, t2, a text's hashes; spans: t1, t2, at, stop).
 
     Spans are the stretches of bytes, not merged, of a different text that are covered by
@@ -416,19 +415,19 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, hot: int = 20_000, sli
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("_text", text).withColumn("t1", F.xxhash64("_text")).withColumn("t2", F.xxhash64(F.lit(7), "_text"))
     scanned = _scan(rows.select("t1", "t2", "_text"), length, slice_bytes)
-    by_key = scanned.repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+    by_key = scanned.repartition("k1").sortWithinPartitions("k1")
     kept = saved(by_key.mapInArrow(_shared_keys, scanned.schema))
-    cores = kept.where("stop = 0").select("k1", "k2", "t1", "t2", "at").distinct()
-    large = cores.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("k1", "k2", F.lit(True).alias("_hot"))
-    cores = cores.join(large, ["k1", "k2"], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    cores = kept.where("stop = 0").select("k1", "t1", "t2", "at").distinct()
+    large = cores.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("k1", F.lit(True).alias("_hot"))
+    cores = cores.join(large, "k1", "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     by_text = cores.groupBy("t1", "t2").agg(*[
-        F.collect_list(F.when(F.col("_hot") == x, F.struct("k1", "k2", "at"))).alias(name) for name, x in (("cold", False), ("many", True))
+        F.collect_list(F.when(F.col("_hot") == x, F.struct("k1", "at"))).alias(name) for name, x in (("cold", False), ("many", True))
     ])
     texts = rows.where(F.octet_length("_text") >= length).groupBy("t1", "t2").agg(F.first("_text").alias("_text"))
     joined = by_text.join(texts, ["t1", "t2"])
     cold = _contexts(joined.withColumnRenamed("cold", "cores"), length, False)
-    spans = cold.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_ordered(length), "t1 long, t2 long, at long, stop long")
-    spans = spans.union(kept.where("stop > 0").select("t1", "t2", "at", "stop"))
+    spans = cold.repartition("k1").sortWithinPartitions("k1").mapInArrow(_ordered(length), "t1 long, t2 long, at long, stop long")
+    spans = spans.union(kept.where("stop > 0").select("t1", "t2", F.col("at").cast("long"), F.col("stop").cast("long")))
     if not large.isEmpty():
         strings = _contexts(joined.where(F.size("many") > 0).withColumnRenamed("many", "cores"), length, True).select("k1", "k2", "t1", "t2", "at").distinct()
         often = strings.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2")
