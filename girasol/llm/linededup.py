@@ -29,38 +29,40 @@ def _eligible(line: Column, min_words: int) -> Column:
     return F.octet_length(F.substring_index(inner, " ", min_words - 1)) < F.octet_length(inner)
 
 
-def rarity(docs: DataFrame) -> list[int]:
-    """For each cell of the sketch, the binary logarithm of how many words of the whole corpus
-    fall into it. CELLS small numbers reach the driver."""
+def rarity(docs: DataFrame) -> DataFrame:
+    """One row with an array: for each cell of the sketch, the binary logarithm of how many words
+    of the whole corpus fall into it, in the place that it has in a key. CELLS small numbers
+    reach the driver."""
     line = docs.select(F.explode(F.split(F.lower(F.col("_text")), "\n")).alias("_line"))
     word = line.select(F.explode(F.split("_line", " ")).alias("_word"))
     cell = F.pmod(F.xxhash64("_word"), F.lit(CELLS)).cast("int").alias("cell")
     counts = word.select(cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toArrow()
     out = np.zeros(CELLS, np.int64)
     out[counts.column("cell").to_numpy()] = np.minimum(np.log2(counts.column("n").to_numpy() + 1), 62).astype(np.int64)
-    return out.tolist()
+    return docs.sparkSession.createDataFrame([((out << 57).tolist(),)], "ranks array<bigint>")
 
 
-def _keys(line: Column, ranks: list[int]) -> Column:
+def _keys(line: Column, ranks: Column) -> Column:
     """The line's distinct words as longs that sort by rarity: the frequency's logarithm, then
     longer words first, then 51 bits of the word's hash."""
-    # One literal, folded from text: ranks in the place that they have in a key.
-    shifted = F.split(F.lit(",".join(str(r << 57) for r in ranks)), ",").cast("array<bigint>")
     lengths = F.split(F.lit(",".join(str((63 - n) << 51) for n in range(64))), ",").cast("array<bigint>")
 
     def key(w: Column) -> Column:
         h = F.xxhash64(w)
         low = F.get(lengths, F.least(F.octet_length(w), F.lit(63))).bitwiseOR(h.bitwiseAND(F.lit((1 << 51) - 1)))
-        return F.get(shifted, F.pmod(h, F.lit(CELLS)).cast("int")).bitwiseOR(low)
+        return F.get(ranks, F.pmod(h, F.lit(CELLS)).cast("int")).bitwiseOR(low)
 
     return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
 
 
-def _classes(docs: DataFrame, ranks: list[int], min_words: int, similarity: float) -> DataFrame:
+def _classes(docs: DataFrame, ranks: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """One row for each set of words: its first place (doc_id, line), size, prefix, bitmap."""
     lines = docs.select("doc_id", F.posexplode(F.split("_text", "\n")).alias("_at", "_line"))
     lines = lines.where(_eligible(F.col("_line"), min_words))
-    keyed = lines.select("doc_id", "_at", _keys(F.col("_line"), ranks).alias("_keys")).withColumn("_n", F.size("_keys"))
+    # The ranks are a scalar subquery (a literal of their size would fill plans and event logs),
+    # named in a projection of its own, which the optimizer merges into the next.
+    named = lines.select("doc_id", "_at", "_line", ranks.scalar().alias("_ranks"))
+    keyed = named.select("doc_id", "_at", _keys(F.col("_line"), F.col("_ranks")).alias("_keys")).withColumn("_n", F.size("_keys"))
     least = F.ceil(F.col("_n") * F.lit(similarity) - 1e-9).cast("int")
     keyed = keyed.select(
         F.xxhash64("_keys", "_n").alias("_set"), F.hash("_keys").alias("_set2"), F.struct("doc_id", "_at").alias("_place"), "_n",
