@@ -63,4 +63,4 @@ def type_token_ratio(parts: Column, least: int = 4) -> Column:
 def first_integer(t: Column, low: int = 0, high: int = 100) -> Column:
     """The first integer of a reply, clamped; NULL without one."""
     found = F.try_to_number(F.nullif(F.regexp_extract(t, r"\d{1,9}", 0), F.lit("")), F.lit("999999999")).cast("int")
-    return F.greatest(F.least(found, F.lit(high)), F.lit(low))
+    return F.when(found.isNotNull(), F.greatest(F.least(found, F.lit(high)), F.lit(low)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from girasol.functions.keys import hkey
 
@@ -86,7 +87,7 @@ def pack_next_fit(df: DataFrame, group: str, order: str, length: str, budget: in
 
     Sequential within a group, so a grouped pandas function; groups part the work.
     """
-    schema = df.schema.add("bin", "integer")
+    schema = T.StructType(list(df.schema.fields)).add("bin", "integer")
 
     def run(pdf):  # noqa: ANN001, ANN202
         pdf = pdf[pdf[length] <= budget].sort_values(order)
@@ -104,7 +105,7 @@ def pack_next_fit(df: DataFrame, group: str, order: str, length: str, budget: in
 def batch_by_budget(df: DataFrame, group: str, key: str, length: str, budget: int, most: int) -> DataFrame:
     """Adds batch: rows of a group by falling length, (rows + 1) x longest <= budget and at most
     ``most`` rows a batch."""
-    schema = df.schema.add("batch", "integer")
+    schema = T.StructType(list(df.schema.fields)).add("batch", "integer")
 
     def run(pdf):  # noqa: ANN001, ANN202
         pdf = pdf.sort_values([length, key], ascending=[False, True])

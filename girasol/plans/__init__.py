@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import selection, vectors  # noqa: F401
+from . import banks, corpus, metrics, mining, runs, selection, streams, vectors  # noqa: F401
 from .common import ORACLE_SQL, QUERIES  # noqa: F401

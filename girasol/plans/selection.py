@@ -96,7 +96,7 @@ def s18_log_regex_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT user_id, value, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) OVER (PARTITION BY user_id) med FROM events)
+WITH t AS (SELECT user_id, value, quantile_cont(value, 0.5) OVER (PARTITION BY user_id) med FROM events)
 SELECT user_id, count(*) AS kept FROM t WHERE value <= 2 * med GROUP BY user_id""")
 def f1f_norm_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -118,7 +118,7 @@ def f6_candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber) a FROM lineitem GROUP BY l_orderkey)
+WITH p AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity) a FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, list_position(a, list_max(a)) = len(a) AS last, list_position(a, list_max(a)) >= len(a) - 1 AS last2 FROM p""")
 def f9_end_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda s: s["l_quantity"]).alias("a")
