@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import saved
+
 #: Cells of the word-frequency sketch; a fixed size, whatever the vocabulary.
 CELLS = 1 << 17
 
@@ -66,22 +68,20 @@ def _classes(docs: DataFrame, ranks: DataFrame, min_words: int, similarity: floa
     least = F.ceil(F.col("_n") * F.lit(similarity) - 1e-9).cast("int")
     keyed = keyed.select(
         F.xxhash64("_keys", "_n").alias("_set"), F.hash("_keys").alias("_set2"), F.struct("doc_id", "_at").alias("_place"), "_n",
-        F.slice("_keys", F.lit(1), F.col("_n") - least + 1).alias("_prefix"),
+        F.transform(F.slice("_keys", F.lit(1), F.col("_n") - least + 1), lambda k: F.hash(k)).alias("_prefix"),
         F.aggregate("_keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("_bits"),
     )
-    classes = keyed.groupBy("_set", "_set2").agg(
+    return keyed.groupBy("_set", "_set2").agg(
         F.min("_place").alias("_place"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.first("_bits").alias("_bits")
     )
-    # All columns are used, so that each use of the classes reads the same exchange.
-    return classes.where((F.size("_prefix") > 0) & (F.col("_n") > 0) & F.col("_bits").isNotNull() & F.col("_place").isNotNull())
 
 
 def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs of places (a before b) that pass the prefix, length, positional and bitmap filters."""
     posted = classes.select(
         F.col("_place.doc_id").alias("d"), F.col("_place._at").alias("l"), F.col("_n").alias("n"), F.col("_bits").alias("bits"),
-        F.posexplode("_prefix").alias("p", "_key"),
-    ).select(F.hash("_key").alias("tok"), "d", "l", "n", "bits", "p")
+        F.posexplode("_prefix").alias("p", "tok"),
+    )
     a, b = (posted.select(*[F.col(c).alias(f"{s}{c}") for c in posted.columns]) for s in ("a", "b"))
     an, bn, total = F.col("an"), F.col("bn"), F.col("an") + F.col("bn")
     overlap = F.ceil(total * F.lit(similarity / (1 + similarity)) - 1e-9)
@@ -96,12 +96,17 @@ def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("ad", "al", "bd", "bl").distinct()
 
 
-def matched_later(docs: DataFrame, classes: DataFrame, *, similarity: float) -> DataFrame:
+def _sent_out(rows: DataFrame, count: int, limit: int) -> DataFrame:
+    """Broadcast while there are few enough lines in it; a shuffled join beyond that."""
+    return F.broadcast(rows) if count <= limit else rows
+
+
+def matched_later(docs: DataFrame, classes: DataFrame, *, similarity: float, limit: int) -> DataFrame:
     """(doc_id, _at): first places of sets that match a set with an earlier first place."""
-    pairs = _candidates(classes, similarity)
+    pairs = saved(_candidates(classes, similarity))
     places = pairs.select(F.col("ad").alias("doc_id"), F.col("al").alias("_at")).union(pairs.select("bd", "bl"))
     wanted = places.groupBy("doc_id").agg(F.collect_set("_at").alias("_wanted"))
-    lines = docs.join(wanted, "doc_id").select("doc_id", F.split("_text", "\n").alias("_lines"), F.explode("_wanted").alias("_at"))
+    lines = docs.join(_sent_out(wanted, 2 * pairs.count(), limit), "doc_id").select("doc_id", F.split("_text", "\n").alias("_lines"), F.explode("_wanted").alias("_at"))
     sets = lines.select("doc_id", "_at", F.array_distinct(F.transform(_words(F.get("_lines", F.col("_at"))), lambda w: F.xxhash64(w))).alias("s"))
     left, right = (sets.select(F.col("doc_id").alias(f"{x}d"), F.col("_at").alias(f"{x}l"), F.col("s").alias(f"{x}s")) for x in ("a", "b"))
     both = pairs.join(left, ["ad", "al"]).join(right, ["bd", "bl"])
@@ -110,7 +115,7 @@ def matched_later(docs: DataFrame, classes: DataFrame, *, similarity: float) ->
     return both.where(alike).select(F.col("bd").alias("doc_id"), F.col("bl").alias("_at")).distinct()
 
 
-def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int = 3, broadcast_lines: int = 4_000_000) -> DataFrame:
     """Replaces text by its kept lines; adds n_lines and n_removed.
 
     A line (parted by newlines) is removed if its words' set has a Jaccard similarity of at
@@ -118,17 +123,19 @@ def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int = 3)
     text), whether or not that one is kept. Words are lower-case and parted by spaces.
     Lines of fewer than ``min_words`` parts stay. A null text stays null and has no lines;
     an empty one has one. Rows without an id pass unchanged; rows with equal ids are taken
-    for one document. Other columns pass through.
+    for one document. Other columns pass through. Places of lines are broadcast to the texts
+    while they number at most ``broadcast_lines``, and joined by a shuffle beyond that.
     """
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     whole = docs.select(*[F.col(f"`{c}`") for c in kept_columns])
     named = whole.where(F.col("doc_id").isNotNull())
     source = named.select("doc_id", F.col("text").cast("string").alias("_text"))
     ranks = rarity(source.where(F.col("_text").isNotNull()))
-    classes = _classes(source.where(F.col("_text").isNotNull()), ranks, min_words, similarity)
+    classes = saved(_classes(source.where(F.col("_text").isNotNull()), ranks, min_words, similarity))
     firsts = classes.select(F.col("_place.doc_id").alias("doc_id"), F.col("_place._at").alias("_at"))
-    kept = firsts.join(matched_later(named.select(*kept_columns, F.col("text").cast("string").alias("_text")), classes, similarity=similarity), ["doc_id", "_at"], "left_anti")
-    kept = kept.groupBy("doc_id").agg(F.collect_set("_at").alias("_kept"))
+    later = matched_later(source, classes, similarity=similarity, limit=broadcast_lines)
+    kept = firsts.join(later, ["doc_id", "_at"], "left_anti")
+    kept = _sent_out(kept.groupBy("doc_id").agg(F.collect_set("_at").alias("_kept")), classes.count(), broadcast_lines)
     nameless = whole.where(F.col("doc_id").isNull()).withColumn("_kept", F.lit(None).cast("array<int>"))
     lines = named.join(kept, "doc_id", "left").unionByName(nameless).withColumn("_lines", F.split(F.col("text").cast("string"), "\n"))
     small = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: ~_eligible(F.get("_lines", i), min_words))
