@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import query, table
@@ -14,26 +14,27 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run"), F.col("user_id").alias("step")).agg(F.avg("value").alias("y"), F.count(F.lit(1)).alias("n"))
 
 
-RUN = Window.partitionBy("run").orderBy("step")
+def _run() -> WindowSpec:
+    return Window.partitionBy("run").orderBy("step")
 
 
 @query(f"WITH {LOG} SELECT run, step, round(avg(CASE WHEN step % 7 <> 0 THEN y END) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM log")
 def w7_rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centred; missing values leave the denominator."""
     y = F.when(F.col("step") % 7 != 0, F.col("y"))
-    return _log(spark, sf_dir).select("run", "step", F.round(F.avg(y).over(RUN.rowsBetween(-2, 2)), 6).alias("smooth"))
+    return _log(spark, sf_dir).select("run", "step", F.round(F.avg(y).over(_run().rowsBetween(-2, 2)), 6).alias("smooth"))
 
 
 @query(f"WITH {LOG}, r AS (SELECT run, step, avg(y) OVER w m, count(*) OVER w c FROM log WINDOW w AS (PARTITION BY run ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT run, step, round(m, 6) AS smooth FROM r WHERE c = 5")
 def w8_rolling_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = RUN.rowsBetween(-4, 0)
+    w = _run().rowsBetween(-4, 0)
     r = _log(spark, sf_dir).select("run", "step", F.avg("y").over(w).alias("m"), F.count(F.lit(1)).over(w).alias("c"))
     return r.where("c = 5").select("run", "step", F.round("m", 6).alias("smooth"))
 
 
 @query(f"WITH {LOG} SELECT run, step, round(avg(y) OVER (PARTITION BY run ORDER BY step RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS smooth FROM log WHERE step % 3 <> 1")
 def w9_range_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _log(spark, sf_dir).where("step % 3 <> 1").select("run", "step", F.round(F.avg("y").over(RUN.rangeBetween(-5, 5)), 6).alias("smooth"))
+    return _log(spark, sf_dir).where("step % 3 <> 1").select("run", "step", F.round(F.avg("y").over(_run().rangeBetween(-5, 5)), 6).alias("smooth"))
 
 
 _GAPS = "WITH g AS (SELECT user_id, ts, event_id, coalesce(epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 43200, true) new FROM events), s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) seg FROM g)"
@@ -55,7 +56,7 @@ def w10_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LOG}, f AS (SELECT run, step, min((y > 48)::INT) OVER w ok, count(*) OVER w c FROM log WINDOW w AS (PARTITION BY run ORDER BY step ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) SELECT run, min(step) AS onset FROM f WHERE ok = 1 AND c = 3 AND step >= 5 GROUP BY run")
 def w11_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of three steps in a row above the threshold."""
-    w = RUN.rowsBetween(0, 2)
+    w = _run().rowsBetween(0, 2)
     f = _log(spark, sf_dir).select("run", "step", F.min((F.col("y") > 48).cast("int")).over(w).alias("ok"), F.count(F.lit(1)).over(w).alias("c"))
     return f.where("ok = 1 AND c = 3 AND step >= 5").groupBy("run").agg(F.min("step").alias("onset"))
 
@@ -72,7 +73,7 @@ def w12_onset_for_good(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w13_resume_stitching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old rows before the cut, then the resumed ones under new step numbers."""
     o = _log(spark, sf_dir).where("run <> 'click' AND step < 90").select("run", "step", "y")
-    n = o.where("step >= 30").withColumn("step", (F.lit(59) + F.row_number().over(RUN)).cast("long"))
+    n = o.where("step >= 30").withColumn("step", (F.lit(59) + F.row_number().over(_run())).cast("long"))
     out = o.where("step < 60").withColumn("resumed", F.lit(0)).unionByName(n.withColumn("resumed", F.lit(1)))
     return out.withColumn("y", F.round("y", 6))
 
@@ -170,7 +171,7 @@ WITH {LOG}, f AS (SELECT run, step, min((y > 48)::INT) OVER w ok, count(*) OVER
 r AS (SELECT run, onset, (SELECT onset FROM o WHERE run = 'view') ref FROM o)
 SELECT run, CASE WHEN onset IS NULL THEN 'pending' WHEN abs(onset - ref) <= 0.25 * ref THEN 'match' WHEN onset > ref THEN 'later' ELSE 'earlier' END AS verdict FROM r""")
 def a57_budget_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = RUN.rowsBetween(0, 2)
+    w = _run().rowsBetween(0, 2)
     f = _log(spark, sf_dir).select("run", "step", F.min((F.col("y") > 48).cast("int")).over(w).alias("ok"), F.count(F.lit(1)).over(w).alias("c"))
     o = f.groupBy("run").agg(F.min(F.when((F.col("ok") == 1) & (F.col("c") == 3), F.col("step"))).alias("onset"))
     r = o.crossJoin(F.broadcast(o.where("run = 'view'").select(F.col("onset").alias("ref"))))

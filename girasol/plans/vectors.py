@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girasol.functions import vec
@@ -11,7 +11,8 @@ from girasol.operators import leak, select
 
 from .common import query, table
 
-E = F.col("embedding")
+def _v() -> Column:
+    return F.col("embedding")
 
 
 def _mean(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -41,7 +42,7 @@ n AS (SELECT vec_id, sqrt(sum(v * v)) n FROM c GROUP BY vec_id)
 SELECT vec_id, round(n, 6) AS centred_norm, round(sum(v / n) FILTER (i <= 3), 6) AS head_sum FROM c JOIN n USING (vec_id) GROUP BY vec_id, n""")
 def p1_centre_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    c = e.crossJoin(F.broadcast(_mean(e))).select("vec_id", vec.centred(E, F.col("mean")).alias("c"))
+    c = e.crossJoin(F.broadcast(_mean(e))).select("vec_id", vec.centred(_v(), F.col("mean")).alias("c"))
     u = c.select("vec_id", vec.norm(F.col("c")).alias("n"), vec.unit(F.col("c")).alias("u"))
     head = F.aggregate(F.slice("u", 1, 3), F.lit(0.0), lambda s, x: s + x)
     return u.select("vec_id", F.round("n", 6).alias("centred_norm"), F.round(head, 6).alias("head_sum"))
@@ -49,7 +50,7 @@ def p1_centre_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
 def p2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vec.norm(E), 6).alias("norm"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vec.norm(_v()), 6).alias("norm"))
 
 
 @query("""
@@ -58,8 +59,8 @@ SELECT vec_id, feature, round(a, 6) AS act FROM (SELECT vec_id, feature, greates
 def p4_sparse_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table is eight rows; its size is fixed, so it is broadcast."""
     e = table(spark, sf_dir, "embeddings")
-    w = e.where("vec_id < 8").select(F.col("vec_id").alias("feature"), E.alias("w"))
-    a = e.join(F.broadcast(w)).select("vec_id", "feature", vec.relu_encode(E, F.col("w"), F.lit(-0.05), threshold=0.1).alias("a"))
+    w = e.where("vec_id < 8").select(F.col("vec_id").alias("feature"), _v().alias("w"))
+    a = e.join(F.broadcast(w)).select("vec_id", "feature", vec.relu_encode(_v(), F.col("w"), F.lit(-0.05), threshold=0.1).alias("a"))
     return a.where("a > 0.1").select("vec_id", "feature", F.round("a", 6).alias("act"))
 
 
@@ -69,15 +70,15 @@ SELECT a.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e,
 FROM t a JOIN t b ON b.vec_id = a.vec_id + 1""")
 def p5_encoder_decoder_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), E.alias("dec"))
-    return e.join(nxt, "vec_id").select("vec_id", F.round(vec.cosine(E, F.col("dec")), 6).alias("enc_dec_cos"))
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), _v().alias("dec"))
+    return e.join(nxt, "vec_id").select("vec_id", F.round(vec.cosine(_v(), F.col("dec")), 6).alias("enc_dec_cos"))
 
 
 @query("""
 WITH t AS (SELECT vec_id, unnest(range(8)) g, embedding::DOUBLE[] e FROM embeddings)
 SELECT vec_id, g AS block, round(sqrt(list_dot_product(e[g*8+1:g*8+8], e[g*8+1:g*8+8])), 6) AS gnorm FROM t""")
 def p6_block_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vec.block_norms(E, 8)).alias("block", "g"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vec.block_norms(_v(), 8)).alias("block", "g"))
     return e.select("vec_id", F.col("block").cast("long").alias("block"), F.round("g", 6).alias("gnorm"))
 
 
@@ -109,8 +110,8 @@ WITH t AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings)
 SELECT a.vec_id, round(list_dot_product(a.e, b.e), 6) AS cos FROM t a JOIN t b ON b.vec_id = 0""")
 def p13_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    one = e.where("vec_id = 0").select(E.alias("ref"))
-    return e.join(F.broadcast(one)).select("vec_id", F.round(vec.dot(E, F.col("ref")), 6).alias("cos"))
+    one = e.where("vec_id = 0").select(_v().alias("ref"))
+    return e.join(F.broadcast(one)).select("vec_id", F.round(vec.dot(_v(), F.col("ref")), 6).alias("cos"))
 
 
 @query("""
@@ -118,7 +119,7 @@ WITH t AS (SELECT vec_id, embedding::DOUBLE[] e, unnest(range(8)) g FROM embeddi
 b AS (SELECT vec_id, g, list_dot_product(e[g*8+1:g*8+8], e[g*8+1:g*8+8]) s FROM t)
 SELECT vec_id, arg_max(g, (s, -g)) AS block, round(max(s) / sum(s), 6) AS energy FROM b GROUP BY vec_id""")
 def p19_best_block_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.transform(vec.block_norms(E, 8), lambda n: n * n)
+    s = F.transform(vec.block_norms(_v(), 8), lambda n: n * n)
     e = table(spark, sf_dir, "embeddings").select("vec_id", s.alias("s"))
     total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
     return e.select("vec_id", (F.array_position("s", F.array_max("s")) - 1).alias("block"), F.round(F.array_max("s") / total, 6).alias("energy"))
@@ -210,11 +211,11 @@ SELECT centroid, vec_id, rank, round(cos, 6) AS cos FROM (SELECT *, row_number()
 def j14_centroid_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One centroid a label; their number is checked against the labels' before the broadcast."""
     e = table(spark, sf_dir, "embeddings")
-    m = e.select("label", F.posexplode(E.cast("array<double>")).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    m = e.select("label", F.posexplode(_v().cast("array<double>")).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     c = m.groupBy(F.col("label").alias("centroid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
     if c.count() <= 10_000:
         c = F.broadcast(c)
-    r = e.join(c, F.col("label") != F.col("centroid")).select("centroid", "vec_id", (vec.dot(E, F.col("v")) / vec.norm(F.col("v"))).alias("cos"))
+    r = e.join(c, F.col("label") != F.col("centroid")).select("centroid", "vec_id", (vec.dot(_v(), F.col("v")) / vec.norm(F.col("v"))).alias("cos"))
     return select.first_n(r, ["centroid"], [F.desc("cos"), F.col("vec_id")], 3, "rank").withColumn("cos", F.round("cos", 6))
 
 
@@ -231,7 +232,7 @@ WITH t AS (SELECT embedding::DOUBLE[] e FROM embeddings), p AS (SELECT unnest(ra
 SELECT i, j, round(avg(e[i] * e[j]), 8) AS moment FROM t, p, q GROUP BY ALL""")
 def a3_second_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of products by pair of places; partial sums are 64 a task."""
-    e = table(spark, sf_dir, "embeddings").select(F.slice(E.cast("array<double>"), 1, 8).alias("e"))
+    e = table(spark, sf_dir, "embeddings").select(F.slice(_v().cast("array<double>"), 1, 8).alias("e"))
     p = e.select(F.posexplode("e").alias("i", "x"), "e").select("i", "x", F.posexplode("e").alias("j", "y"))
     return p.groupBy((F.col("i") + 1).cast("long").alias("i"), (F.col("j") + 1).cast("long").alias("j")).agg(F.round(F.avg(F.col("x") * F.col("y")), 8).alias("moment"))
 
@@ -252,7 +253,7 @@ WITH t AS (SELECT label, embedding::DOUBLE[] e FROM embeddings), p AS (SELECT un
 c AS (SELECT label, i, j, avg(e[i] * e[j]) - avg(e[i]) * avg(e[j]) c FROM t, p, q GROUP BY ALL)
 SELECT label, round(power(sum(c) FILTER (i = j), 2) / sum(c * c), 5) AS effective_rank FROM c GROUP BY label""")
 def a37_effective_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("label", F.slice(E.cast("array<double>"), 1, 8).alias("e"))
+    e = table(spark, sf_dir, "embeddings").select("label", F.slice(_v().cast("array<double>"), 1, 8).alias("e"))
     p = e.select("label", F.posexplode("e").alias("i", "x"), "e").select("label", "i", "x", F.posexplode("e").alias("j", "y"))
     c = p.groupBy("label", "i", "j").agg((F.avg(F.col("x") * F.col("y")) - F.avg("x") * F.avg("y")).alias("c"))
     trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("c")))
@@ -268,7 +269,7 @@ def a45_nearest_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     rows, refs = e.where("vec_id >= 50"), e.where("vec_id < 50")
     up = leak.max_cosine(rows, refs, "embedding", "vec_id", "vec_id")
-    flipped = refs.withColumn("embedding", F.transform(E, lambda x: -x))
+    flipped = refs.withColumn("embedding", F.transform(_v(), lambda x: -x))
     down = leak.max_cosine(rows, flipped, "embedding", "vec_id", "vec_id").select("vec_id", F.col("ref_id").alias("ref2"), F.col("cos").alias("cos2"))
     both = up.join(down, "vec_id")
     first = (F.col("cos") > F.col("cos2")) | ((F.col("cos") == F.col("cos2")) & (F.col("ref_id") <= F.col("ref2")))
@@ -281,7 +282,7 @@ def p3_zca_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", E.cast("array<double>").alias("e"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", _v().cast("array<double>").alias("e"))
     mean = np.array(_mean(e, "e").first()["mean"])
     pairs = e.select(F.posexplode("e").alias("i", "x"), "e").select("i", "x", F.posexplode("e").alias("j", "y"))
     moments = pairs.groupBy("i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("m")).toPandas()
@@ -318,7 +319,7 @@ def p8_block_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def a38_geometric_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weiszfeld steps: one aggregate of 64 weighted sums each, until the move is below 1e-5."""
-    e = table(spark, sf_dir, "embeddings").select(F.slice(E.cast("array<double>"), 1, 8).alias("e")).repartition("e")
+    e = table(spark, sf_dir, "embeddings").select(F.slice(_v().cast("array<double>"), 1, 8).alias("e")).repartition("e")
     now = _mean(e, "e").first()["mean"]
     for _ in range(50):
         here = F.array(*[F.lit(float(x)) for x in now])
