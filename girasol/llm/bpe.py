@@ -311,7 +311,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, *, text: str = "text", ke
     Other columns in ``keep`` (all by default, except those that clash) pass through.
     """
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids", "token_ends"] * with_ids
-    keep = [c for c in docs.columns if c not in (*added, "_text")] if keep is None else keep
+    keep = [c for c in docs.columns if c not in added] if keep is None else keep
     out_schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     out_schema = out_schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
@@ -319,7 +319,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, *, text: str = "text", ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load_codec(ranks_path)
-        for part, texts in text_slices(batches, slice_bytes, "_text"):
+        for part, texts in text_slices(batches, slice_bytes, "__girasol_text"):
             ids, at = codec.encode(texts)
             shas, decoded, token_ids, token_ends = [], [], [], []
             for i in range(len(texts)):
@@ -336,5 +336,5 @@ def encode_documents(docs: DataFrame, ranks_path: str, *, text: str = "text", ke
                 columns += [pa.array(token_ids, pa.list_(pa.int32())), pa.array(token_ends, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *added])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__girasol_text"))
     return source.mapInArrow(run, out_schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,16 @@ def ensure_checkpoint_dir(df: DataFrame) -> None:
 def saved(df: DataFrame) -> DataFrame:
     """Computed once and kept in the shared checkpoint folder, so that lost executors cost nothing."""
     ensure_checkpoint_dir(df)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df)
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of steps that are done, which it does only when the
+    driver has collected its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def connected_components(edges: DataFrame, *, most_rounds: int = 50) -> DataFrame:

@@ -101,7 +101,7 @@ def document_frequencies(docs: DataFrame, *, flush: int = 300_000, slice_bytes:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
-        for _, texts in text_slices(batches, slice_bytes, "_text"):
+        for _, texts in text_slices(batches, slice_bytes, "__girasol_text"):
             for text in texts:
                 counts.update(terms(text))
             if len(counts) > flush:
@@ -110,7 +110,7 @@ def document_frequencies(docs: DataFrame, *, flush: int = 300_000, slice_bytes:
         if counts:
             yield out()
 
-    source = docs.select(F.col("text").cast("string").alias("_text"))
+    source = docs.select(F.col("text").cast("string").alias("__girasol_text"))
     return source.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
@@ -137,7 +137,7 @@ def with_next(docs: DataFrame, *, rows_a_block: int = 2048, blocks: int = 4096)
     highest), so a block can be streamed row by row without the others. There are at most
     ``blocks`` blocks, so that many ids reach the driver.
     """
-    source = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    source = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__girasol_text"))
     n, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     count = max(1, min(blocks, n // rows_a_block + 1))
     width = 1 if low is None else (high - low) // count + 1
@@ -147,9 +147,9 @@ def with_next(docs: DataFrame, *, rows_a_block: int = 2048, blocks: int = 4096)
     to = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
     spark = docs.sparkSession
     heads = F.broadcast(spark.createDataFrame(to, "_top long, _to int"))
-    copies = blocked.join(heads, F.col("doc_id").eqNullSafe(F.col("_top"))).select("doc_id", "_text", F.col("_to").alias("_block"), F.lit(True).alias("_copy"))
-    both = blocked.select("doc_id", "_text", "_block", F.lit(False).alias("_copy")).unionByName(copies)
-    return both.repartition("_block").sortWithinPartitions("_block", "_copy", F.desc_nulls_last("doc_id"), "_text")
+    copies = blocked.join(heads, F.col("doc_id").eqNullSafe(F.col("_top"))).select("doc_id", "__girasol_text", F.col("_to").alias("_block"), F.lit(True).alias("_copy"))
+    both = blocked.select("doc_id", "__girasol_text", "_block", F.lit(False).alias("_copy")).unionByName(copies)
+    return both.repartition("_block").sortWithinPartitions("_block", "_copy", F.desc_nulls_last("doc_id"), "__girasol_text")
 
 
 def edited(text: str, after: str) -> str:
@@ -173,7 +173,7 @@ def fingerprint_documents(docs: DataFrame, lexicon: Lexicon, *, slice_bytes: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, last = shared.value, None
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        for part, texts in text_slices(batches, slice_bytes, "_text"):
+        for part, texts in text_slices(batches, slice_bytes, "__girasol_text"):
             rows = []
             blocks, ids, copies = (part.column(c).to_pylist() for c in ("_block", "doc_id", "_copy"))
             for block, doc_id, copy, text in zip(blocks, ids, copies, texts):

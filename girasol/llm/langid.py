@@ -157,12 +157,12 @@ def train(docs: DataFrame, *, per_language: int = 500, windows_a_text: int = 6,
     for keys in (["lang", "_part"], ["lang"]):
         order = Window.partitionBy(*keys).orderBy("_h", "doc_id")
         picked = picked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("__girasol_text")).join(
         F.broadcast(picked.select("doc_id", F.col("lang").alias("_lang"))), "doc_id"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, 4 << 20, "_text"):
+        for part, texts in text_slices(batches, 4 << 20, "__girasol_text"):
             rows, owner = cut_windows(texts, window)
             first = np.searchsorted(owner, np.arange(len(texts)))
             count = np.bincount(owner, minlength=len(texts))
@@ -189,15 +189,15 @@ def identify(docs: DataFrame, network: Network, *, keep: list[str] | None = None
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
     source = docs.select(
-        *[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"),
-        F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters"),
+        *[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__girasol_text"),
+        F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__girasol_letters"),
     )
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double")
     n_lang = len(network.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, slice_bytes, "_text"):
-            letters = part.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+        for part, texts in text_slices(batches, slice_bytes, "__girasol_text"):
+            letters = part.column("__girasol_letters").to_numpy(zero_copy_only=False).astype(bool)
             rows, owner = cut_windows([t if ok else "" for t, ok in zip(texts, letters)], network.window)
             prob = network.probabilities(rows).astype(np.float64)
             total = np.stack([np.bincount(owner, prob[:, i], len(texts)) for i in range(n_lang)], 1)

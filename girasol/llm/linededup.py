@@ -35,7 +35,7 @@ def rarity(docs: DataFrame) -> DataFrame:
     """One row with an array: for each cell of the sketch, the binary logarithm of how many words
     of the whole corpus fall into it, in the place that it has in a key. CELLS small numbers
     reach the driver."""
-    line = docs.select(F.explode(F.split(F.lower(F.col("_text")), "\n")).alias("_line"))
+    line = docs.select(F.explode(F.split(F.lower(F.col("__girasol_text")), "\n")).alias("_line"))
     word = line.select(F.explode(F.split("_line", " ")).alias("_word"))
     cell = F.pmod(F.xxhash64("_word"), F.lit(CELLS)).cast("int").alias("cell")
     counts = word.select(cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toArrow()
@@ -59,7 +59,7 @@ def _keys(line: Column, ranks: Column) -> Column:
 
 def _classes(docs: DataFrame, ranks: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """One row for each set of words: its first place (doc_id, line), size, prefix, bitmap."""
-    lines = docs.select("doc_id", F.posexplode(F.split("_text", "\n")).alias("_at", "_line"))
+    lines = docs.select("doc_id", F.posexplode(F.split("__girasol_text", "\n")).alias("_at", "_line"))
     lines = lines.where(_eligible(F.col("_line"), min_words))
     # The ranks are a scalar subquery (a literal of their size would fill plans and event logs),
     # named in a projection of its own, which the optimizer merges into the next.
@@ -76,13 +76,16 @@ def _classes(docs: DataFrame, ranks: DataFrame, min_words: int, similarity: floa
     )
 
 
-def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of places (a before b) that pass the prefix, length, positional and bitmap filters."""
+def _candidates(classes: DataFrame, similarity: float, of: DataFrame | None = None) -> DataFrame:
+    """Pairs of places (a before b) that pass the prefix, length, positional and bitmap filters;
+    with ``of`` (bd, bl), only those of some b."""
     posted = classes.select(
         F.col("_place.doc_id").alias("d"), F.col("_place._at").alias("l"), F.col("_n").alias("n"), F.col("_bits").alias("bits"),
         F.posexplode("_prefix").alias("p", "tok"),
     )
     a, b = (posted.select(*[F.col(c).alias(f"{s}{c}") for c in posted.columns]) for s in ("a", "b"))
+    if of is not None:
+        b = b.join(of, ["bd", "bl"], "left_semi")
     an, bn, total = F.col("an"), F.col("bn"), F.col("an") + F.col("bn")
     overlap = F.ceil(total * F.lit(similarity / (1 + similarity)) - 1e-9)
     pairs = a.join(
@@ -93,7 +96,7 @@ def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
         & (F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= total - 2 * overlap)
         & (F.least(an - F.col("ap"), bn - F.col("bp")) >= overlap),
     )
-    return pairs.select("ad", "al", "bd", "bl").distinct()
+    return pairs.select("ad", "al", "bd", "bl")
 
 
 def _sent_out(rows: DataFrame, count: int, limit: int) -> DataFrame:
@@ -101,18 +104,33 @@ def _sent_out(rows: DataFrame, count: int, limit: int) -> DataFrame:
     return F.broadcast(rows) if count <= limit else rows
 
 
-def matched_later(docs: DataFrame, classes: DataFrame, *, similarity: float, limit: int) -> DataFrame:
-    """(doc_id, _at): first places of sets that match a set with an earlier first place."""
-    pairs = saved(_candidates(classes, similarity))
+def _verified(docs: DataFrame, pairs: DataFrame, *, similarity: float, limit: int) -> DataFrame:
+    """Of saved candidate pairs, those whose whole sets are alike: (bd, bl)."""
     places = pairs.select(F.col("ad").alias("doc_id"), F.col("al").alias("_at")).union(pairs.select("bd", "bl"))
     wanted = places.groupBy("doc_id").agg(F.collect_set("_at").alias("_wanted"))
-    lines = docs.join(_sent_out(wanted, 2 * pairs.count(), limit), "doc_id").select("doc_id", F.split("_text", "\n").alias("_lines"), F.explode("_wanted").alias("_at"))
-    sets = lines.select("doc_id", "_at", F.array_distinct(F.transform(_words(F.get("_lines", F.col("_at"))), lambda w: F.xxhash64(w))).alias("s"))
+    lines = docs.join(_sent_out(wanted, 2 * pairs.count(), limit), "doc_id").select("doc_id", F.split("__girasol_text", "\n").alias("__girasol_lines"), F.explode("_wanted").alias("_at"))
+    sets = lines.select("doc_id", "_at", F.array_distinct(F.transform(_words(F.get("__girasol_lines", F.col("_at"))), lambda w: F.xxhash64(w))).alias("s"))
     left, right = (sets.select(F.col("doc_id").alias(f"{x}d"), F.col("_at").alias(f"{x}l"), F.col("s").alias(f"{x}s")) for x in ("a", "b"))
     both = pairs.join(left, ["ad", "al"]).join(right, ["bd", "bl"])
     shared = F.size(F.array_intersect("as", "bs"))
     alike = shared >= (F.size("as") + F.size("bs") - shared) * F.lit(similarity) - 1e-9
-    return both.where(alike).select(F.col("bd").alias("doc_id"), F.col("bl").alias("_at")).distinct()
+    return both.where(alike).select("bd", "bl").distinct()
+
+
+def matched_later(docs: DataFrame, classes: DataFrame, *, similarity: float, limit: int) -> DataFrame:
+    """(doc_id, _at): first places of sets that match a set with an earlier first place.
+
+    One match is enough. So each set is verified against its earliest candidate, and only
+    what that leaves open against all of its candidates: a family of k alike lines needs
+    about k comparisons, not k x k.
+    """
+    earliest = _candidates(classes, similarity).groupBy("bd", "bl").agg(F.min(F.struct("ad", "al")).alias("a"))
+    earliest = saved(earliest.select(F.col("a.ad").alias("ad"), F.col("a.al").alias("al"), "bd", "bl"))
+    found = saved(_verified(docs, earliest, similarity=similarity, limit=limit))
+    still = earliest.select("bd", "bl").join(found, ["bd", "bl"], "left_anti")
+    rest = _candidates(classes, similarity, saved(still)).distinct().join(earliest, ["ad", "al", "bd", "bl"], "left_anti")
+    more = _verified(docs, saved(rest), similarity=similarity, limit=limit)
+    return found.union(more).select(F.col("bd").alias("doc_id"), F.col("bl").alias("_at"))
 
 
 def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int = 3, broadcast_lines: int = 4_000_000) -> DataFrame:
@@ -129,21 +147,21 @@ def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int = 3,
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     whole = docs.select(*[F.col(f"`{c}`") for c in kept_columns])
     named = whole.where(F.col("doc_id").isNotNull())
-    source = named.select("doc_id", F.col("text").cast("string").alias("_text"))
-    ranks = rarity(source.where(F.col("_text").isNotNull()))
-    classes = saved(_classes(source.where(F.col("_text").isNotNull()), ranks, min_words, similarity))
+    source = named.select("doc_id", F.col("text").cast("string").alias("__girasol_text"))
+    ranks = rarity(source.where(F.col("__girasol_text").isNotNull()))
+    classes = saved(_classes(source.where(F.col("__girasol_text").isNotNull()), ranks, min_words, similarity))
     firsts = classes.select(F.col("_place.doc_id").alias("doc_id"), F.col("_place._at").alias("_at"))
     later = matched_later(source, classes, similarity=similarity, limit=broadcast_lines)
     kept = firsts.join(later, ["doc_id", "_at"], "left_anti")
-    kept = _sent_out(kept.groupBy("doc_id").agg(F.collect_set("_at").alias("_kept")), classes.count(), broadcast_lines)
-    nameless = whole.where(F.col("doc_id").isNull()).withColumn("_kept", F.lit(None).cast("array<int>"))
-    lines = named.join(kept, "doc_id", "left").unionByName(nameless).withColumn("_lines", F.split(F.col("text").cast("string"), "\n"))
-    small = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: ~_eligible(F.get("_lines", i), min_words))
-    stay = F.sort_array(F.concat(F.coalesce("_kept", F.expr("cast(array() as array<int>)")), small))
-    out = lines.withColumn("_stay", F.when(F.col("text").isNull(), F.lit(None)).when(F.col("doc_id").isNull(), F.sequence(F.lit(0), F.size("_lines") - 1)).otherwise(stay))
-    text = F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n")
+    kept = _sent_out(kept.groupBy("doc_id").agg(F.collect_set("_at").alias("__girasol_kept")), classes.count(), broadcast_lines)
+    nameless = whole.where(F.col("doc_id").isNull()).withColumn("__girasol_kept", F.lit(None).cast("array<int>"))
+    lines = named.join(kept, "doc_id", "left").unionByName(nameless).withColumn("__girasol_lines", F.split(F.col("text").cast("string"), "\n"))
+    small = F.filter(F.sequence(F.lit(0), F.size("__girasol_lines") - 1), lambda i: ~_eligible(F.get("__girasol_lines", i), min_words))
+    stay = F.sort_array(F.concat(F.coalesce("__girasol_kept", F.expr("cast(array() as array<int>)")), small))
+    out = lines.withColumn("__girasol_stay", F.when(F.col("text").isNull(), F.lit(None)).when(F.col("doc_id").isNull(), F.sequence(F.lit(0), F.size("__girasol_lines") - 1)).otherwise(stay))
+    text = F.array_join(F.transform("__girasol_stay", lambda i: F.get("__girasol_lines", i)), "\n")
     return out.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept_columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines") - F.size("_stay")).cast("long").alias("n_removed"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("__girasol_lines")).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("__girasol_lines") - F.size("__girasol_stay")).cast("long").alias("n_removed"),
     )

@@ -127,11 +127,11 @@ def _calibrate(margin: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[floa
 
 def _with_statistics(docs: DataFrame, keep: list[str], model: Model | None, slice_bytes: int) -> DataFrame:
     """Score (or, without a model, the statistics) of each row's _text, beside its columns in keep."""
-    name, kind = ("_score", T.DoubleType()) if model else ("_statistics", T.ArrayType(T.DoubleType()))
+    name, kind = ("__girasol_score", T.DoubleType()) if model else ("__girasol_statistics", T.ArrayType(T.DoubleType()))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, slice_bytes, "_text"):
+        for part, texts in text_slices(batches, slice_bytes, "__girasol_text"):
             x = np.array([statistics(t) for t in texts], np.float64)
             out = pa.array(model.score(x)) if model else pa.array(list(x), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), out], names=[*keep, name])
@@ -152,9 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, slice_bytes
     for y in (0, 1):
         part = own.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("_text")).join(F.broadcast(picked), "doc_id")
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("__girasol_text")).join(F.broadcast(picked), "doc_id")
     rows = _with_statistics(chosen, ["_y"], None, slice_bytes).toArrow()
-    x = np.array(rows.column("_statistics").to_pylist(), np.float64).reshape(-1, len(STATISTICS))
+    x = np.array(rows.column("__girasol_statistics").to_pylist(), np.float64).reshape(-1, len(STATISTICS))
     return fit(x, np.array(rows.column("_y").to_pylist(), np.int64))
 
 
@@ -166,6 +166,6 @@ def score_documents(docs: DataFrame, model: Model, *, keep: list[str] | None = N
     score or predicted are replaced; other columns pass through.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")] if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__girasol_text"))
     out = _with_statistics(source, keep, model, slice_bytes)
-    return out.withColumnRenamed("_score", "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return out.withColumnRenamed("__girasol_score", "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

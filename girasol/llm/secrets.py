@@ -97,15 +97,15 @@ def with_candidates(docs: DataFrame) -> DataFrame:
 
     Each step adds a field to the structs, so that no candidate leaves its row.
     """
-    text = F.col("_text")
-    own = docs.withColumn("_tested", F.transform(
+    text = F.col("__girasol_text")
+    own = docs.withColumn("__girasol_tested", F.transform(
         _spans(text, CANDIDATE, 3), lambda s: F.struct(s.alias("span"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("token"))
     ))
-    own = own.withColumn("_tested", F.filter("_tested", lambda c: c["token"].rlike("[0-9]") & c["token"].rlike("[A-Za-z]")))
+    own = own.withColumn("__girasol_tested", F.filter("__girasol_tested", lambda c: c["token"].rlike("[0-9]") & c["token"].rlike("[A-Za-z]")))
 
     def add(**fields: Callable[[Column], Column]) -> None:
         nonlocal own
-        own = own.withColumn("_tested", F.transform("_tested", lambda c: F.struct(
+        own = own.withColumn("__girasol_tested", F.transform("__girasol_tested", lambda c: F.struct(
             *[c[x].alias(x) for x in held], *[f(c).alias(name) for name, f in fields.items()]
         )))
         held.extend(fields)
@@ -134,7 +134,7 @@ def with_candidates(docs: DataFrame) -> DataFrame:
         ).otherwise(-F.sqrt(c["n"])),
         serial_z=lambda c: F.when(c["var"] > 0, (c["cov"] / F.greatest(c["var"], F.lit(1e-9)) + 1 / c["n"]) * F.sqrt(c["n"])).otherwise(F.sqrt(c["n"])),
     )
-    own = own.withColumn("_tested", F.filter("_tested", lambda c: c["n"] >= 2))
+    own = own.withColumn("__girasol_tested", F.filter("__girasol_tested", lambda c: c["n"] >= 2))
     add(half=lambda c: -sum(
         (F.log(F.least(F.greatest(p, F.lit(1e-15)), F.lit(1.0))) for p in (_tail(c["chi_z"]), 2 * _tail(F.abs(c["runs_z"])), 2 * _tail(F.abs(c["serial_z"])))),
         F.lit(0.0),
@@ -153,7 +153,7 @@ def cutoffs(tested: DataFrame, rate: float) -> dict[int, int]:
     Candidates are counted by band and bin first, so at most 5 x 1501 rows reach the last
     step and five the driver, however many candidates there are.
     """
-    one = tested.select(F.explode("_tested").alias("c")).select(F.col("c.band").alias("band"), F.col("c.bin").alias("bin"))
+    one = tested.select(F.explode("__girasol_tested").alias("c")).select(F.col("c.band").alias("band"), F.col("c.bin").alias("bin"))
     counts = one.groupBy("band", "bin").agg(F.count(F.lit(1)).alias("c"))
     down = Window.partitionBy("band").orderBy(F.desc("bin"))
     ranked = counts.withColumn("rank", F.sum("c").over(down)).withColumn("m", F.sum("c").over(Window.partitionBy("band")))
@@ -174,17 +174,17 @@ def find_secrets(docs: DataFrame, *, rate: float = 0.05) -> DataFrame:
     over the candidates of all rows of ``docs``. Columns named _base, _added, _text and
     _tested are replaced or dropped; others pass through.
     """
-    source = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    source = docs.withColumn("__girasol_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     tested = with_candidates(source)
-    limits = cutoffs(with_candidates(source.select("_text")), rate)
+    limits = cutoffs(with_candidates(source.select("__girasol_text")), rate)
     limit = F.create_map(*[F.lit(x) for b in range(len(BANDS)) for x in (b, limits.get(b, BINS + 1))])
-    found = tested.withColumn("_base", base_spans(F.col("_text")))
+    found = tested.withColumn("_base", base_spans(F.col("__girasol_text")))
 
     def inside(s: Column) -> Column:
         return F.exists(F.col("_base"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
 
-    fresh = F.filter("_tested", lambda c: (c["bin"] < F.element_at(limit, c["band"])) & ~inside(c["span"]))
-    return found.withColumn("_added", F.transform(fresh, lambda c: c["span"])).drop("_text", "_tested")
+    fresh = F.filter("__girasol_tested", lambda c: (c["bin"] < F.element_at(limit, c["band"])) & ~inside(c["span"]))
+    return found.withColumn("_added", F.transform(fresh, lambda c: c["span"])).drop("__girasol_text", "__girasol_tested")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -267,7 +267,7 @@ def _scan(docs: DataFrame, length: int, slice_bytes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for part, texts in text_slices(batches, slice_bytes, "_text"):
+        for part, texts in text_slices(batches, slice_bytes, "__girasol_text"):
             t1, t2 = part.column("t1").to_pylist(), part.column("t2").to_pylist()
             own, ids = [], []
             for text, a, b in zip(texts, t1, t2):
@@ -332,7 +332,7 @@ def _contexts(rows: DataFrame, length: int, hot: bool) -> DataFrame:
     side, core = _sides(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, 1 << 20, "_text"):
+        for part, texts in text_slices(batches, 1 << 20, "__girasol_text"):
             out = []
             for a, b, cores, text in zip(part.column("t1").to_pylist(), part.column("t2").to_pylist(), part.column("cores").to_pylist(), texts):
                 raw = text.encode("utf-8", "replace")
@@ -354,7 +354,7 @@ def _contexts(rows: DataFrame, length: int, hot: bool) -> DataFrame:
         types = [pa.int64()] * 5 + [pa.binary()] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["k1", "k2", "t1", "t2", "at", "before", "after"])
 
-    return rows.select("t1", "t2", "cores", "_text").mapInArrow(run, "k1 long, k2 long, t1 long, t2 long, at long, before binary, after binary")
+    return rows.select("t1", "t2", "cores", "__girasol_text").mapInArrow(run, "k1 long, k2 long, t1 long, t2 long, at long, before binary, after binary")
 
 
 def _bucket_spans(members: list[tuple], side: int, length: int) -> list[tuple[int, int, int, int]]:
@@ -405,7 +405,7 @@ def _ordered(length: int):  # noqa: ANN202
 
 
 def repeated_spans(docs: DataFrame, *, length: int = 400, hot: int = 100_000, slice_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """(rows: the columns of docs and t1, t2, a text's hashes; spans: t1, t2, at, stop).
+    """(rows: the columns of docs and two hashes of the text; spans: t1, t2, at, stop).
 
     Spans are the stretches of bytes, not merged, of a different text that are covered by
     strings of ``length`` bytes that start anywhere else, in another text or the same one.
@@ -413,8 +413,9 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, hot: int = 100_000, sl
     hashes are counted instead, which gives the same spans.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_text", text).withColumn("t1", F.xxhash64("_text")).withColumn("t2", F.xxhash64(F.lit(7), "_text"))
-    scanned = _scan(rows.select("t1", "t2", "_text"), length, slice_bytes)
+    rows = docs.withColumn("__girasol_text", text).withColumn("__girasol_t1", F.xxhash64("__girasol_text")).withColumn("__girasol_t2", F.xxhash64(F.lit(7), "__girasol_text"))
+    named = rows.select(F.col("__girasol_t1").alias("t1"), F.col("__girasol_t2").alias("t2"), "__girasol_text")
+    scanned = _scan(named, length, slice_bytes)
     by_key = scanned.repartition("k1").sortWithinPartitions("k1")
     kept = saved(by_key.mapInArrow(_shared_keys, scanned.schema))
     cores = kept.where("stop = 0").select("k1", "t1", "t2", "at").distinct()
@@ -423,7 +424,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, hot: int = 100_000, sl
     by_text = cores.groupBy("t1", "t2").agg(*[
         F.collect_list(F.when(F.col("_hot") == x, F.struct("k1", "at"))).alias(name) for name, x in (("cold", False), ("many", True))
     ])
-    texts = rows.where(F.octet_length("_text") >= length).groupBy("t1", "t2").agg(F.first("_text").alias("_text"))
+    texts = named.where(F.octet_length("__girasol_text") >= length).groupBy("t1", "t2").agg(F.first("__girasol_text").alias("__girasol_text"))
     joined = by_text.join(texts, ["t1", "t2"])
     cold = _contexts(joined.withColumnRenamed("cold", "cores"), length, False)
     spans = cold.repartition("k1").sortWithinPartitions("k1").mapInArrow(_ordered(length), "t1 long, t2 long, at long, stop long")
@@ -443,20 +444,21 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, **options) -> DataFram
     that other rows have too goes wholly. Clashing columns are replaced.
     """
     added = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    keep = [c for c in docs.columns if c not in (*added, "t1", "t2", "_text")]
+    keep = [c for c in docs.columns if c not in added]
     rows, spans = repeated_spans(docs, length=length, **options)
-    spans = saved(spans).groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "stop")).alias("_spans"))
-    copies = rows.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("_copies"))
-    about = copies.where("_copies > 1").join(spans, ["t1", "t2"], "full")
-    out = rows.select(*[F.col(f"`{c}`") for c in keep], "_text", "t1", "t2").join(about, ["t1", "t2"], "left")
+    spans = saved(spans).groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "stop")).alias("__girasol_spans"))
+    keys = ["__girasol_t1", "__girasol_t2"]
+    copies = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__girasol_copies")).where("__girasol_copies > 1")
+    about = copies.join(spans.withColumnsRenamed(dict(zip(("t1", "t2"), keys))), keys, "full")
+    out = rows.select(*[F.col(f"`{c}`") for c in keep], "__girasol_text", *keys).join(about, keys, "left")
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "binary")):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, 4 << 20, "_text"):
+        for part, texts in text_slices(batches, 4 << 20, "__girasol_text"):
             made = []
-            for text, found, copies in zip(texts, part.column("_spans").to_pylist(), part.column("_copies").to_pylist()):
+            for text, found, copies in zip(texts, part.column("__girasol_spans").to_pylist(), part.column("__girasol_copies").to_pylist()):
                 raw = text.encode("utf-8", "replace")
                 whole = bool(copies) and len(raw) >= length
                 cut = [(0, len(raw))] if whole else _merged([(s["at"], s["stop"]) for s in found or ()])
@@ -466,4 +468,4 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, **options) -> DataFram
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *[pa.array(c, t) for c, t in zip(zip(*made), types)]], names=[*keep, *added])
 
-    return out.select(*[F.col(f"`{c}`") for c in keep], "_text", "_spans", "_copies").mapInArrow(run, schema)
+    return out.select(*[F.col(f"`{c}`") for c in keep], "__girasol_text", "__girasol_spans", "__girasol_copies").mapInArrow(run, schema)

@@ -129,9 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, **options)
     for y in (0, 1):
         part = own.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    chosen = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).join(F.broadcast(picked), "doc_id")
+    chosen = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__girasol_text")).join(F.broadcast(picked), "doc_id")
     got = chosen.toArrow().sort_by([("doc_id", "ascending")]).to_pydict()
-    return fit(got["_text"], np.array(got["_y"], np.int64), **options)
+    return fit(got["__girasol_text"], np.array(got["_y"], np.int64), **options)
 
 
 def score_documents(docs: DataFrame, model: Model, *, keep: list[str] | None = None, threshold: float = 0.5,
@@ -144,12 +144,12 @@ def score_documents(docs: DataFrame, model: Model, *, keep: list[str] | None = N
     """
     added = ("severity", "grade", "toxic_score", "is_toxic")
     keep = [c for c in docs.columns if c not in added] if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
-    schema = source.drop("_text").schema.add("severity", "double").add("grade", "integer").add("toxic_score", "double").add("is_toxic", "boolean")
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__girasol_text"))
+    schema = source.drop("__girasol_text").schema.add("severity", "double").add("grade", "integer").add("toxic_score", "double").add("is_toxic", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for part, texts in text_slices(batches, slice_bytes, "_text"):
+        for part, texts in text_slices(batches, slice_bytes, "__girasol_text"):
             if len(cache) > 500_000:
                 cache = {}
             prob = model.probabilities(np.array([model.latent(t, cache) for t in texts], np.float64))
