@@ -151,12 +151,12 @@ def train(docs: DataFrame, *, per_language: int = 500, windows_a_text: int = 6,
     known = docs.where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))
     )
-    # By parts of a language first, so that a common one is not sorted in one task.
-    parted = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).withColumn("_part", F.pmod("_h", F.lit(256)))
-    picked = parted
-    for keys in (["lang", "_part"], ["lang"]):
-        order = Window.partitionBy(*keys).orderBy("_h", "doc_id")
-        picked = picked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
+    # Of a common language only about four times the sample is sorted: those with low hashes.
+    hashed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_size"))
+    low = F.pmod("_h", F.lit(1 << 20)) * F.col("_size") < F.lit(4 * per_language * (1 << 20))
+    order = Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 20)), "_h", "doc_id")
+    picked = hashed.join(sizes, "lang").where(low).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("__girasol_text")).join(
         F.broadcast(picked.select("doc_id", F.col("lang").alias("_lang"))), "doc_id"
     )

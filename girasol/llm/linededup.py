@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import saved
+from .components import release, saved
 
 #: Cells of the word-frequency sketch; a fixed size, whatever the vocabulary.
 CELLS = 1 << 17
@@ -105,13 +105,25 @@ def _sent_out(rows: DataFrame, count: int, limit: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, *, similarity: float, limit: int) -> DataFrame:
-    """Of saved candidate pairs, those whose whole sets are alike: (bd, bl)."""
-    places = pairs.select(F.col("ad").alias("doc_id"), F.col("al").alias("_at")).union(pairs.select("bd", "bl"))
-    wanted = places.groupBy("doc_id").agg(F.collect_set("_at").alias("_wanted"))
-    lines = docs.join(_sent_out(wanted, 2 * pairs.count(), limit), "doc_id").select("doc_id", F.split("__girasol_text", "\n").alias("__girasol_lines"), F.explode("_wanted").alias("_at"))
-    sets = lines.select("doc_id", "_at", F.array_distinct(F.transform(_words(F.get("__girasol_lines", F.col("_at"))), lambda w: F.xxhash64(w))).alias("s"))
-    left, right = (sets.select(F.col("doc_id").alias(f"{x}d"), F.col("_at").alias(f"{x}l"), F.col("s").alias(f"{x}s")) for x in ("a", "b"))
-    both = pairs.join(left, ["ad", "al"]).join(right, ["bd", "bl"])
+    """Of saved candidate pairs, those whose whole sets are alike: (bd, bl).
+
+    The later line of a pair travels as text to the earlier one's set, which is made once
+    however many lines ask for it.
+    """
+    count = pairs.count()
+
+    def at(place: str, rows: DataFrame) -> DataFrame:
+        """Adds _line, the line at ``place`` of the text of rows' doc_id."""
+        asked = _sent_out(rows.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "doc_id"])).alias("_asked")), count, limit)
+        found = docs.join(asked, "doc_id").select("doc_id", F.split("__girasol_text", "\n").alias("__girasol_lines"), F.explode("_asked").alias("_one"))
+        return found.select("doc_id", "_one.*", F.get("__girasol_lines", F.col(f"_one.{place}")).alias("_line"))
+
+    def set_of(line: Column) -> Column:
+        return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+
+    early = at("al", pairs.select(F.col("ad").alias("doc_id"), "al").distinct()).select(F.col("doc_id").alias("ad"), "al", set_of(F.col("_line")).alias("as"))
+    late = at("bl", pairs.withColumnRenamed("bd", "doc_id")).withColumnRenamed("doc_id", "bd")
+    both = late.join(early, ["ad", "al"]).select("bd", "bl", "as", set_of(F.col("_line")).alias("bs"))
     shared = F.size(F.array_intersect("as", "bs"))
     alike = shared >= (F.size("as") + F.size("bs") - shared) * F.lit(similarity) - 1e-9
     return both.where(alike).select("bd", "bl").distinct()
@@ -153,7 +165,11 @@ def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int = 3,
     firsts = classes.select(F.col("_place.doc_id").alias("doc_id"), F.col("_place._at").alias("_at"))
     later = matched_later(source, classes, similarity=similarity, limit=broadcast_lines)
     kept = firsts.join(later, ["doc_id", "_at"], "left_anti")
-    kept = _sent_out(kept.groupBy("doc_id").agg(F.collect_set("_at").alias("__girasol_kept")), classes.count(), broadcast_lines)
+    count = classes.count()
+    kept = saved(kept.groupBy("doc_id").agg(F.collect_set("_at").alias("__girasol_kept")))
+    del classes, firsts, later
+    release(docs)
+    kept = _sent_out(kept, count, broadcast_lines)
     nameless = whole.where(F.col("doc_id").isNull()).withColumn("__girasol_kept", F.lit(None).cast("array<int>"))
     lines = named.join(kept, "doc_id", "left").unionByName(nameless).withColumn("__girasol_lines", F.split(F.col("text").cast("string"), "\n"))
     small = F.filter(F.sequence(F.lit(0), F.size("__girasol_lines") - 1), lambda i: ~_eligible(F.get("__girasol_lines", i), min_words))
