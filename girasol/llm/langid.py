@@ -78,7 +78,7 @@ def cut_windows(texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(windows: np.ndarray, y: np.ndarray, languages: tuple[str, ...], *, widths: tuple[int, ...] = (2, 3, 4),
-        filters: int = 8, embed: int = 8, epochs: int = 12, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
+        filters: int = 8, embed: int = 8, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
     """Train with Adam on windows [n, window] and language numbers y."""
     rng = np.random.default_rng(seed)
     window, n_lang = windows.shape[1] if windows.ndim == 2 else 128, len(languages)
