@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from .common import sha256_hex, text_slices
 
 #: Shares of the lexicon that the random subsets hold; PER_RATE subsets have each share.
-RATES = (1 / 8, 1 / 32, 1 / 128, 1 / 512, 1 / 2048)
+RATES = (1 / 3, 1 / 8, 1 / 20, 1 / 50, 1 / 128, 1 / 400, 1 / 1500)
 PER_RATE = 12
 SUBSETS = len(RATES) * PER_RATE
 #: Hexadecimal digits of one subset's hash; an empty subset has as many dashes.
-DIGITS = 6
+DIGITS = 4
 #: With fewer kept terms than this, a text is fingerprinted by all its terms.
 FEW = 4
 
@@ -37,8 +37,7 @@ def terms(text: str) -> set[str]:
 def _draw(term: str) -> tuple[int, np.ndarray]:
     """A term's digest, and the subsets that it belongs to; both depend on the term alone."""
     raw = term.encode("utf-8", "replace")
-    high, low = (np.frombuffer(hashlib.blake2b(raw, digest_size=SUBSETS, person=x).digest(), np.uint8) for x in (b"high", b"low"))
-    lots = (high.astype(np.uint32) << 8) | low
+    lots = np.frombuffer(hashlib.shake_256(raw).digest(2 * SUBSETS), "<u2").astype(np.uint32)
     limits = np.repeat(np.array([int(65536 * r) for r in RATES], np.uint32), PER_RATE)
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little"), lots < limits
 
