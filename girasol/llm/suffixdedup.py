@@ -418,9 +418,12 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, hot: int = 100_000, sl
     scanned = _scan(named, length, slice_bytes)
     by_key = scanned.repartition("k1").sortWithinPartitions("k1")
     kept = saved(by_key.mapInArrow(_shared_keys, scanned.schema))
-    cores = kept.where("stop = 0").select("k1", "t1", "t2", "at").distinct()
+    cores = kept.where("stop = 0").select("k1", "t1", "t2", "at")
     large = cores.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("k1", F.lit(True).alias("_hot"))
-    cores = cores.join(large, "k1", "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    any_hot = not large.isEmpty()
+    # Without a hot bucket, as a rule, the cores need no join.
+    cores = cores.join(large, "k1", "left") if any_hot else cores.withColumn("_hot", F.lit(False))
+    cores = cores.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     by_text = cores.groupBy("t1", "t2").agg(*[
         F.collect_list(F.when(F.col("_hot") == x, F.struct("k1", "at"))).alias(name) for name, x in (("cold", False), ("many", True))
     ])
@@ -429,7 +432,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, hot: int = 100_000, sl
     cold = _contexts(joined.withColumnRenamed("cold", "cores"), length, False)
     spans = cold.repartition("k1").sortWithinPartitions("k1").mapInArrow(_ordered(length), "t1 long, t2 long, at long, stop long")
     spans = spans.union(kept.where("stop > 0").select("t1", "t2", F.col("at").cast("long"), F.col("stop").cast("long")))
-    if not large.isEmpty():
+    if any_hot:
         strings = _contexts(joined.where(F.size("many") > 0).withColumnRenamed("many", "cores"), length, True).select("k1", "k2", "t1", "t2", "at").distinct()
         often = strings.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2")
         spans = spans.union(strings.join(often, ["k1", "k2"]).select("t1", "t2", "at", (F.col("at") + length).alias("stop")))
