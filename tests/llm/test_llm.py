@@ -244,7 +244,7 @@ def test_ngram_join_equals_brute_force(spark, docs, size, percent):
         rows.append((6000 + j, " ".join(w)))
     both = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     want = brute_components(texts_of(both), size, percent)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.link_documents(both, size=size, percent=percent, staged=percent == 80).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.link_documents(both, size=size, percent=percent, staged=percent == 80, bitmap_words=16 if percent == 80 else 4).collect()}
     assert got == want
 
 
