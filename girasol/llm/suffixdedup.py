@@ -449,7 +449,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, **options) -> DataFram
     added = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     keep = [c for c in docs.columns if c not in added]
     rows, spans = repeated_spans(docs, length=length, **options)
-    spans = saved(spans).groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "stop")).alias("__girasol_spans"))
+    # A span is one long, its start above its stop: a text's spans are a compact array.
+    span = F.shiftleft(F.col("at"), 32).bitwiseOR(F.col("stop"))
+    spans = saved(spans.select("t1", "t2", span.alias("span")).groupBy("t1", "t2").agg(F.collect_set("span").alias("__girasol_spans")))
     keys = ["__girasol_t1", "__girasol_t2"]
     copies = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__girasol_copies")).where("__girasol_copies > 1")
     about = copies.join(spans.withColumnsRenamed(dict(zip(("t1", "t2"), keys))), keys, "full")
@@ -464,7 +466,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, **options) -> DataFram
             for text, found, copies in zip(texts, part.column("__girasol_spans").to_pylist(), part.column("__girasol_copies").to_pylist()):
                 raw = text.encode("utf-8", "replace")
                 whole = bool(copies) and len(raw) >= length
-                cut = [(0, len(raw))] if whole else _merged([(s["at"], s["stop"]) for s in found or ()])
+                cut = [(0, len(raw))] if whole else _merged([(s >> 32, s & 0xFFFFFFFF) for s in found or ()])
                 edges = [0, *[x for span in cut for x in span], len(raw)]
                 left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 made.append((len(raw), len(raw) - len(left), len(cut), sha256_hex(left), left))
