@@ -1,6 +1,7 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its lower-case words. Words are ordered by rarity; two lines of
+A line is the set of its lower-case words, parted by white space; scripts that are written
+without spaces count by three neighbouring characters. Words are ordered by rarity; two lines of
 similarity t share a word among the first few of each (prefix filter), at places that
 leave enough words for the overlap (positional filter), and are of like length (length
 filter). What passes, and a parity bitmap that bounds the difference, is verified by the
@@ -17,6 +18,17 @@ from .components import release, saved
 
 #: Cells of the word-frequency sketch; a fixed size, whatever the vocabulary.
 CELLS = 1 << 17
+#: White space other than U+0020 and the newline that parts lines.
+WHITE = "[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Thai, Lao, Burmese, Khmer, kana and Han.
+UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af]"
+
+
+def _spaced(text: Column) -> Column:
+    """The text with words parted by U+0020 alone, lines as they are. Three characters in a row
+    of an unspaced script are a word each time; most texts only need the first look."""
+    apart = F.regexp_replace(F.regexp_replace(text, WHITE, " "), f"(?=({UNSPACED}{{3}})){UNSPACED}", " $1 ")
+    return F.when(text.rlike("[\t\x0b\x0c\r\x85\xa0\u0e00-\U0010ffff]"), apart).otherwise(text)
 
 
 def _words(line: Column) -> Column:
@@ -150,8 +162,8 @@ def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int = 3,
 
     A line (parted by newlines) is removed if its words' set has a Jaccard similarity of at
     least ``similarity`` with that of a line that comes before it by (doc_id, place in the
-    text), whether or not that one is kept. Words are lower-case and parted by spaces.
-    Lines of fewer than ``min_words`` parts stay. A null text stays null and has no lines;
+    text), whether or not that one is kept. Words are lower-case and parted by white space (see
+    ``_spaced``). Lines of fewer than ``min_words`` parts stay; with 1, only blank lines. A null text stays null and has no lines;
     an empty one has one. Rows without an id pass unchanged; rows with equal ids are taken
     for one document. Other columns pass through. Places of lines are broadcast to the texts
     while they number at most ``broadcast_lines``, and joined by a shuffle beyond that.
@@ -160,6 +172,7 @@ def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int = 3,
     whole = docs.select(*[F.col(f"`{c}`") for c in kept_columns])
     named = whole.where(F.col("doc_id").isNotNull())
     source = named.select("doc_id", F.col("text").cast("string").alias("__girasol_text"))
+    source = source.withColumn("__girasol_text", _spaced(F.col("__girasol_text")))
     ranks = rarity(source.where(F.col("__girasol_text").isNotNull()))
     classes = saved(_classes(source.where(F.col("__girasol_text").isNotNull()), ranks, min_words, similarity))
     firsts = classes.select(F.col("_place.doc_id").alias("doc_id"), F.col("_place._at").alias("_at"))
@@ -172,7 +185,7 @@ def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int = 3,
     kept = _sent_out(kept, count, broadcast_lines)
     nameless = whole.where(F.col("doc_id").isNull()).withColumn("__girasol_kept", F.lit(None).cast("array<int>"))
     lines = named.join(kept, "doc_id", "left").unionByName(nameless).withColumn("__girasol_lines", F.split(F.col("text").cast("string"), "\n"))
-    small = F.filter(F.sequence(F.lit(0), F.size("__girasol_lines") - 1), lambda i: ~_eligible(F.get("__girasol_lines", i), min_words))
+    small = F.filter(F.sequence(F.lit(0), F.size("__girasol_lines") - 1), lambda i: ~_eligible(_spaced(F.get("__girasol_lines", i)), min_words))
     stay = F.sort_array(F.concat(F.coalesce("__girasol_kept", F.expr("cast(array() as array<int>)")), small))
     out = lines.withColumn("__girasol_stay", F.when(F.col("text").isNull(), F.lit(None)).when(F.col("doc_id").isNull(), F.sequence(F.lit(0), F.size("__girasol_lines") - 1)).otherwise(stay))
     text = F.array_join(F.transform("__girasol_stay", lambda i: F.get("__girasol_lines", i)), "\n")

@@ -52,7 +52,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

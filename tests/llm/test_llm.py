@@ -453,6 +453,23 @@ def test_line_dedup_edges(edge):
     assert linededup.dedup_lines(edge.where("false")).count() == 0
 
 
+def test_line_dedup_takes_short_and_unspaced_lines(spark):
+    han = "".join(chr(0x4E00 + i) for i in range(60))
+    first = ["Les.", "two words", han, "a\tb\tc\td\te", "{minified:1}", "\u00a0", "", "lesson"]
+    later = ["les.", "two  words", han[:59] + "z", "a b\tc d e", "{minified:1}", "\u00a0", "", "lessons"]
+    df = spark.createDataFrame([(1, "\n".join(first)), (2, "\n".join(later))], "doc_id long, text string")
+    for limit in (4_000_000, 0):
+        got = texts_of(linededup.dedup_lines(df, min_words=1, broadcast_lines=limit))
+        assert got == {1: "\n".join(first), 2: "\u00a0\n\nlessons"}
+
+
+def test_op9_equals_brute_force_without_exempt_lines(spark, sf_dir, docs):
+    want = brute_lines([(r.doc_id, r.text) for r in docs.collect()], min_words=1)
+    # brute_lines with min_words=1 has no exempt lines but blank ones, which match nothing.
+    want = {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
+    assert {r.doc_id: r.kept_sha256 for r in queries.op9_line_dedup(spark, sf_dir).collect()} == want
+
+
 # --- the pipeline and the registered queries
 
 
