@@ -7,12 +7,24 @@ joined; each hit fixes a diagonal, along which the words around it are compared.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 1: the word counts; 0: it is ignored.
-MASKS = ("1101100101", "1011001101", "1110010011")
-SPAN = len(MASKS[0])
+#: 1: the word counts; 0: it is ignored. Wherever up to a fifth of 10 to 20 words are replaced,
+#: one of the masks still has a place where it selects none of them.
+MASKS = ("11111", "111011", "11010011")
+
+
+def masks_for(length: int, similarity: float) -> tuple[str, ...]:
+    """Masks of which one hits any passage of ``length`` words that has enough equal ones. Where
+    MASKS don't serve: so many equal words must be neighbours, as the others part them."""
+    need = max(math.ceil(length * similarity - 1e-9), 1)
+    apart = length - need
+    if 10 <= length <= 20 and apart <= length // 5:
+        return MASKS
+    return ("1" * -(-need // (apart + 1)),)
 
 
 def word_hashes(text: Column) -> Column:
@@ -21,16 +33,22 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(words: str, at: str) -> Column:
-    """One hash for each mask of the window of ``words`` that starts at ``at``."""
-    picked = [[F.col(words)[F.col(at) + F.lit(k)] for k, x in enumerate(mask) if x == "1"] for mask in MASKS]
-    return F.array(*[F.xxhash64(F.lit(i), *cols) for i, cols in enumerate(picked)])
+def _seeds(words: str, at: str, masks: dict[str, list[int]], length: Column | None) -> Column:
+    """One hash for each mask of the words from ``at`` on; null where they end before it, and
+    with ``length`` for masks that passages of that length do without."""
+    out = []
+    for mask, lengths in masks.items():
+        picked = [F.get(F.col(words), F.col(at) + F.lit(k)) for k, x in enumerate(mask) if x == "1"]
+        fits = F.col(at) + F.lit(len(mask)) <= F.size(words)
+        out.append(F.when(fits if length is None else fits & length.isin(lengths), F.xxhash64(F.lit(mask), *picked)))
+    return F.array(*out)
 
 
-def _windows(rows: DataFrame, words: str, at: str) -> DataFrame:
-    """A row for each start of a full window, and each mask: _seed."""
-    started = rows.where(F.size(words) >= SPAN).withColumn(at, F.explode(F.sequence(F.lit(0), F.size(words) - SPAN)))
-    return started.withColumn("_seed", F.explode(_seeds(words, at)))
+def _windows(rows: DataFrame, words: str, at: str, masks: dict[str, list[int]], length: Column | None = None) -> DataFrame:
+    """A row for each place of a mask in the words: _seed."""
+    least = min(map(len, masks))
+    started = rows.where(F.size(words) >= least).withColumn(at, F.explode(F.sequence(F.lit(0), F.size(words) - least)))
+    return started.withColumn("_seed", F.explode(_seeds(words, at, masks, length))).where("_seed IS NOT NULL")
 
 
 def _best_window(doc: Column, item: Column, shift: Column, length: Column) -> Column:
@@ -66,8 +84,8 @@ def find_contamination(
     the share ``similarity`` or more are equal and in the same places in the text. Where
     several qualify, the row has the best (then the first) diagonal: doc_word is the place
     in the document of the item's first word, and may be negative if the item's start is
-    missing. Items of fewer than ten words have no seed and are never found; null and empty
-    texts have no words. Rows with equal ids count as one document.
+    missing. No such passage is missed (see ``masks_for``), so an item of one word is in each
+    text that has it; null and empty texts have no words. Rows with equal ids count as one document.
 
     The benchmark's seeds are broadcast while they number at most ``broadcast_rows`` and no
     item is longer than ``max_item_words``; beyond that, seeds are shuffled and the words
@@ -75,13 +93,17 @@ def find_contamination(
     """
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("_item"))
     words = docs.select("doc_id", word_hashes(F.col("text")).alias("_doc"))
-    seeds = _windows(items, "_item", "_j").select("_seed", "item_id", "_j").distinct()
-    count, longest = items.agg(
-        F.coalesce(F.sum(F.greatest(F.size("_item") - SPAN + 1, F.lit(0)) * len(MASKS)), F.lit(0)),
-        F.coalesce(F.max(F.size("_item")), F.lit(0)),
+    length = F.least(F.size("_item"), F.lit(window))
+    total, longest, lengths = items.agg(
+        F.coalesce(F.sum(F.size("_item")), F.lit(0)), F.coalesce(F.max(F.size("_item")), F.lit(0)), F.collect_set(length)
     ).first()
-    small = count <= broadcast_rows and longest <= max_item_words
-    own = _windows(words, "_doc", "_i")
+    masks: dict[str, list[int]] = {}
+    for n in sorted(lengths) if longest else [window]:
+        for mask in masks_for(n, similarity) if n else ():
+            masks.setdefault(mask, []).append(n)
+    seeds = _windows(items, "_item", "_j", masks, length).select("_seed", "item_id", "_j").distinct()
+    small = total * len(masks) <= broadcast_rows and longest <= max_item_words
+    own = _windows(words, "_doc", "_i", masks)
     if small:
         hits = own.join(F.broadcast(seeds), "_seed").join(F.broadcast(items), "item_id")
     else:
@@ -89,7 +111,6 @@ def find_contamination(
         diagonals = diagonals.select("doc_id", "item_id", (F.col("_i") - F.col("_j")).alias("_i"), F.lit(0).alias("_j")).distinct()
         hits = diagonals.join(items, "item_id").join(words, "doc_id")
     shift = F.col("_i") - F.col("_j")
-    length = F.least(F.size("_item"), F.lit(window))
     found = hits.select(
         "doc_id", "item_id", shift.alias("doc_word"), length.alias("compared"),
         _best_window(F.col("_doc"), F.col("_item"), shift, length).alias("matched"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -202,6 +203,31 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.find_contamination(docs, bench.where("false")).count() == 0
 
 
+def test_masks_hit_wherever_words_are_replaced():
+    for length in range(1, 21):
+        masks = decontaminate.masks_for(length, 0.8)
+        for gone in itertools.combinations(range(length), length // 5):
+            left = [i not in gone for i in range(length)]
+            places = ((m, i) for m in masks for i in range(length - len(m) + 1))
+            assert any(all(left[i + k] for k, x in enumerate(m) if x == "1") for m, i in places), (length, gone)
+
+
+def test_decontamination_finds_short_items_and_every_fifth_word_replaced(spark):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (1, 2, 4, 5, 9, 10, 15, 20, 30, 100)}
+    items[0] = []
+    rows = []
+    for n, w in items.items():
+        rows.append((1000 + n, " ".join(["a", *w, "b"])))
+        rows.append((2000 + n, " ".join(["a", *[x if k % 5 != 2 else "zz" for k, x in enumerate(w)], "b"])))
+        rows.append((3000 + n, " ".join(["a", *[x if k % 4 != 2 else "zz" for k, x in enumerate(w)], "b"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    want = {(1000 + n, n) for n in items if n} | {(2000 + n, n) for n in items if n not in (0, 4, 9)} | {(3000 + n, n) for n in (1, 2, 5, 10)}
+    for limit in (2_000_000, 0):
+        got = decontaminate.find_contamination(docs, bench, broadcast_rows=limit).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 # --- 4: n-gram Jaccard join
 
 
