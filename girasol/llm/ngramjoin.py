@@ -28,6 +28,8 @@ _LOWER[65:91] += 32
 _VALUES = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: About how many sets and grams a block has when a component's links are counted.
+BLOCK_SETS, BLOCK_GRAMS = 256, 200_000
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -276,14 +278,74 @@ def _cross(members: DataFrame, classes: DataFrame, components: DataFrame, percen
     return _as_ids(x.join(y, (F.col("x_key") == F.col("y_key")) & apart & _fits(percent, words)))
 
 
-def link_documents(docs: DataFrame, *, size: int = 3, percent: int = 90, passes: int = 2, staged: bool = False, bitmap_words: int = 4, slice_bytes: int = 1 << 20) -> DataFrame:
+def shared_grams(grams: np.ndarray, at: np.ndarray, width: int = 8192) -> np.ndarray:
+    """[sets, sets]: how many grams two sets have in common."""
+    n = len(at) - 1
+    values, column, times = np.unique(grams, return_inverse=True, return_counts=True)
+    item = np.repeat(np.arange(n), np.diff(at))
+    # A gram of one set alone only counts on the diagonal.
+    common = times > 1
+    live = common[column]
+    column, owner = (np.cumsum(common) - 1)[column[live]], item[live]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((n, n))
+    for start in range(0, int(common.sum()), width):
+        a, b = np.searchsorted(column, [start, start + width])
+        has = np.zeros((n, width), np.float32)
+        has[owner[a:b], column[a:b] - start] = 1
+        out += has @ has.T
+    np.fill_diagonal(out, np.diff(at))
+    return out
+
+
+def _count_links(classes: DataFrame, reached: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
+    """(c1, c2, n_links): with how many other sets each set of a component links.
+
+    All links are inside components, so a component's sets are dealt into blocks, and every two
+    blocks (and each by itself) are a group in which all sets are compared. Two sets alone are
+    linked as they are.
+    """
+    own = classes.select("c1", "c2", "rep", "n").join(reached.select(F.col("node").alias("rep"), "component"), "rep")
+    sums = own.groupBy("component").agg(F.count(F.lit(1)).alias("_sets"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_GRAMS)).alias("_blocks"))
+    own = saved(own.join(sums, "component"))
+    dealt = own.where("_sets > 2").withColumn("_block", F.pmod(F.xxhash64("rep"), F.col("_blocks")))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    dealt = dealt.select("rep", "c1", "c2", "component", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), (F.col("_block") <= F.col("_other")).alias("_low"))
+    texts = source.withColumnRenamed("doc_id", "rep").join(own.where("_sets > 2").select("rep").distinct(), "rep").distinct()
+
+    def count(group: pa.Table) -> pa.Table:
+        c1, c2, low = (group.column(c).to_numpy() for c in ("c1", "c2", "_low"))
+        alone = group.column("_lo")[0] == group.column("_hi")[0]
+        grams, at = gram_sets([x or "" for x in group.column("__girasol_text").to_pylist()], size)
+        s1, s2 = signatures_of_sets(grams, at)
+        # A repeated id may bring texts of other sets, and a set's text more than once.
+        right = np.flatnonzero((s1.view(np.int64) == c1) & (s2.view(np.int64) == c2))
+        keep = right[np.unique(np.stack([c1[right], c2[right]]), axis=1, return_index=True)[1]]
+        sizes = np.diff(at)
+        picked = np.isin(np.repeat(np.arange(len(sizes)), sizes), keep)
+        keep = np.sort(keep)
+        shared = shared_grams(grams[picked], np.concatenate([[0], np.cumsum(sizes[keep])]))
+        n, low = sizes[keep], low[keep].astype(bool)
+        linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
+        np.fill_diagonal(linked, False)
+        if not alone:
+            linked &= low[:, None] != low[None, :]
+        return pa.table({"c1": c1[keep], "c2": c2[keep], "n_links": linked.sum(1).astype(np.int64)})
+
+    counted = dealt.join(texts, "rep").groupBy("component", "_lo", "_hi").applyInArrow(count, "c1 long, c2 long, n_links long")
+    counted = counted.groupBy("c1", "c2").agg(F.sum("n_links").alias("n_links"))
+    return saved(counted.union(own.where("_sets = 2").select("c1", "c2", F.lit(1).cast("long"))))
+
+
+def link_documents(docs: DataFrame, *, size: int = 3, percent: int = 90, passes: int = 2, staged: bool = False, bitmap_words: int = 4, slice_bytes: int = 1 << 20, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
 
     A text's set has its different grams of ``size`` words (lower-cased A-Z, parted by ASCII
     white space); with fewer words it has the whole sequence as one gram, without any (or
     null) none. Sets link when 100 x intersection >= ``percent`` x union. component_id is
-    the least id reachable by links; n_links counts the verified links of the row's set to
-    other sets that the search needed (copies are not links here).
+    the least id reachable by links; n_links counts all links of the row's set to other sets
+    (copies are not links here). Without ``count_links`` there is no such column.
 
     First every set that shares a signature is tried with its neighbour and with the first
     of the signature; then, among sets that share a signature but ended in different
@@ -291,7 +353,8 @@ def link_documents(docs: DataFrame, *, size: int = 3, percent: int = 90, passes:
     before the other pairs of the first step, which moves fewer texts and takes more rounds;
     components are the same. ``bitmap_words`` longs a set tell unlike sets apart before their
     texts are moved; lower thresholds and larger sets need more of them. So no link between components is missed,
-    and groups of many alike texts need no comparison of all pairs. Ids may repeat; rows
+    and components of many alike texts need no comparison of all pairs; n_links needs it, and
+    has it by blocks. Ids may repeat; rows
     without an id take part by their text.
     """
     source = docs.select("doc_id", F.col("text").cast("string").alias("__girasol_text"))
@@ -324,18 +387,18 @@ def link_documents(docs: DataFrame, *, size: int = 3, percent: int = 90, passes:
     reached = connected_components(links)
     members = shared.select("key", "cid", "probe").union(shared.select("key", "first", "first_probe")).groupBy("key", "cid").agg(F.max("probe").alias("probe"))
     more = saved(_verified(_cross(members, classes, reached, percent, bitmap_words), source, size, percent))
-    links = links.union(more).distinct()
-    reached = connected_components(links)
-    ends = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.select("c1", "c2", "rep").join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left").join(ends, "rep", "left")
+    reached = connected_components(links.union(more))
+    named = classes.select("c1", "c2", "rep").join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    counts = []
+    if count_links:
+        named = named.join(_count_links(classes, reached, source, size, percent), ["c1", "c2"], "left")
+        counts = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     out = base.join(named, ["c1", "c2"], "left")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), *counts)
 
 
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of linked documents: that of the least id (rows that repeat an
     id with the same text are one document). Rows without an id, or without words, stay."""
-    linked = link_documents(docs, **options).where("doc_id != component_id").select("doc_id").distinct()
+    linked = link_documents(docs, count_links=False, **options).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(linked, "doc_id", "left_anti").select(docs.columns)

@@ -274,6 +274,27 @@ def test_ngram_join_equals_brute_force(spark, docs, size, percent):
     assert got == want
 
 
+@pytest.mark.parametrize("staged,block", [(False, 256), (True, 6)])
+def test_ngram_join_counts_all_links(spark, monkeypatch, staged, block):
+    monkeypatch.setattr(ngramjoin, "BLOCK_SETS", block)
+    rng = random.Random(16)
+    base = [f"q{i}" for i in range(150)]
+    rows = [(1, "a b c d"), (2, "x " + " ".join(base[:40])), (3, "y " + " ".join(base[:40])), (4, None), (None, " ".join(base))]
+    for j in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(150)] = f"z{j}"
+        rows.append((10 + j, " ".join(w)))
+    rows += [(200, rows[20][1]), (200, rows[20][1]), (201, "Q0 " + " ".join(base[1:])), (30, "another text under the same id")]
+    sets = [frozenset(zip(*[(t or "").lower().split()[k:] for k in range(3)])) for _, t in rows]
+    want = []
+    for (i, _), x in zip(rows, sets):
+        want.append((i, sum(bool(x) and y != x and 10 * len(x & y) >= 9 * len(x | y) for y in set(sets))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_links) for r in ngramjoin.link_documents(df, staged=staged).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and max(n for _, n in want) > 20
+
+
 def test_ngram_join_edges(edge, spark):
     out = ngramjoin.link_documents(edge).collect()
     assert len(out) == len(EDGE)
