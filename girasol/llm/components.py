@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 50) -> DataFram
     """(node, component): every node of ``edges`` (a, b) with the least node reachable from it.
 
     Large-star and small-star steps in turn; the number of rounds grows with the logarithm
-    of a component's size. Self-loops and repeated edges do no harm; no edges give no rows.
+    of a component's size; more than ``most_rounds`` are an error. Self-loops and repeated edges do no harm; no edges give no rows.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     nodes = now.select(F.col("u").alias("node")).union(now.select("v")).distinct()
@@ -51,4 +51,6 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 50) -> DataFram
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))

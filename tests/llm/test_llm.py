@@ -339,6 +339,12 @@ def test_connected_components(spark):
     assert got == {x: find(x) for x in linked}
 
 
+def test_connected_components_never_stop_halfway(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        components.connected_components(path, most_rounds=2)
+
+
 # --- 5: suffix dedup
 
 
