@@ -544,6 +544,23 @@ def test_pipeline_stages_in_plain_python(spark, sf_dir, docs, labels):
         assert r.decoded_sha256 == hashlib.sha256(now[d].encode()).hexdigest()
 
 
+def test_pipeline_writes_each_stage_and_reads_it_again(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(docs.inputFiles())
+        return docs.where("doc_id % 2 = 0")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 2 = 0")
+    assert corpus_pipeline.run(spark, sf_dir).count() == whole.count()
+    folder = spark.sparkContext.getCheckpointDir().rsplit("/", 1)[1] + "/pipeline-"
+    for name, files in zip(("/one/", "/two/"), read[1:]):
+        assert files and all(folder in f and name in f for f in files)
+
+
 def test_stages_keep_columns_and_clean_documents(spark, sf_dir, edge):
     import corpus_pipeline
 
