@@ -2,10 +2,11 @@
 
 A line is the set of its lower-case words, parted by white space; scripts that are written
 without spaces count by three neighbouring characters. Words are ordered by rarity; two lines of
-similarity t share a word among the first few of each (prefix filter), at places that
-leave enough words for the overlap (positional filter), and are of like length (length
-filter). What passes, and a parity bitmap that bounds the difference, is verified by the
-Jaccard similarity of the whole sets. A line that matches an earlier one is removed.
+similarity t share a word among the first few of each (prefix filter; the shorter line's prefix
+may be about half as long), at places that leave enough words for the overlap (positional
+filter), and are of like length (length filter). What passes, and a parity bitmap that bounds
+the difference, is verified by the Jaccard similarity of the whole sets. A line that matches an
+earlier one is removed.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .components import release, saved
 
 #: Cells of the word-frequency sketch; a fixed size, whatever the vocabulary.
 CELLS = 1 << 17
+#: Sets that share a key of their prefix are first tried with the earliest of them if there are more than this.
+CROWD = 32
 #: White space other than U+0020 and the newline that parts lines.
 WHITE = "[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Thai, Lao, Burmese, Khmer, kana and Han.
@@ -31,163 +34,172 @@ def _spaced(text: Column) -> Column:
     return F.when(text.rlike("[\t\x0b\x0c\r\x85\xa0\u0e00-\U0010ffff]"), apart).otherwise(text)
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), " "), "")
-
-
-def _eligible(line: Column, min_words: int) -> Column:
-    """Whether a line has at least min_words parts between spaces."""
-    inner = F.trim(line)
-    if min_words <= 1:
-        return inner != ""
-    return F.octet_length(F.substring_index(inner, " ", min_words - 1)) < F.octet_length(inner)
+def _hashes(line: Column) -> Column:
+    """Hashes of the distinct words of a lower-case line with spaces."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row with an array: for each cell of the sketch, the binary logarithm of how many words
-    of the whole corpus fall into it, in the place that it has in a key. CELLS small numbers
-    reach the driver."""
-    line = docs.select(F.explode(F.split(F.lower(F.col("__girasol_text")), "\n")).alias("_line"))
+    """One row with an array: for each cell of the sketch, four times the binary logarithm of how
+    many words of the whole corpus fall into it, in the place that it has in a key. CELLS small
+    numbers reach the driver."""
+    line = docs.select(F.explode(F.split("__girasol_text", "\n")).alias("_line"))
     word = line.select(F.explode(F.split("_line", " ")).alias("_word"))
-    cell = F.pmod(F.xxhash64("_word"), F.lit(CELLS)).cast("int").alias("cell")
+    cell = F.xxhash64("_word").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell")
     counts = word.select(cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toArrow()
     out = np.zeros(CELLS, np.int64)
-    out[counts.column("cell").to_numpy()] = np.minimum(np.log2(counts.column("n").to_numpy() + 1), 62).astype(np.int64)
-    return docs.sparkSession.createDataFrame([((out << 57).tolist(),)], "ranks array<bigint>")
-
-
-def _keys(line: Column, ranks: Column) -> Column:
-    """The line's distinct words as longs that sort by rarity: the frequency's logarithm, then
-    longer words first, then 51 bits of the word's hash."""
-    lengths = F.split(F.lit(",".join(str((63 - n) << 51) for n in range(64))), ",").cast("array<bigint>")
-
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        low = F.get(lengths, F.least(F.octet_length(w), F.lit(63))).bitwiseOR(h.bitwiseAND(F.lit((1 << 51) - 1)))
-        return F.get(ranks, F.pmod(h, F.lit(CELLS)).cast("int")).bitwiseOR(low)
-
-    return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
+    out[counts.column("cell").to_numpy()] = np.minimum(4 * np.log2(counts.column("n").to_numpy() + 1), 127).astype(np.int64)
+    return docs.sparkSession.createDataFrame([((out << 56).tolist(),)], "ranks array<bigint>")
 
 
-def _classes(docs: DataFrame, ranks: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """One row for each set of words: its first place (doc_id, line), size, prefix, bitmap."""
-    lines = docs.select("doc_id", F.posexplode(F.split("__girasol_text", "\n")).alias("_at", "_line"))
-    lines = lines.where(_eligible(F.col("_line"), min_words))
+def _classes(docs: DataFrame, ranks: DataFrame, similarity: float) -> DataFrame:
+    """One row for each set of words: its first place (d, l), size n, prefix and bitmap. A key is
+    the word's frequency and 56 bits of its hash, so that keys sort by rarity."""
+    lines = docs.select("doc_id", F.posexplode(F.split("__girasol_text", "\n")).alias("_at", "_line")).where(F.trim("_line") != "")
     # The ranks are a scalar subquery (a literal of their size would fill plans and event logs),
     # named in a projection of its own, which the optimizer merges into the next.
     named = lines.select("doc_id", "_at", "_line", ranks.scalar().alias("_ranks"))
-    keyed = named.select("doc_id", "_at", _keys(F.col("_line"), F.col("_ranks")).alias("_keys")).withColumn("_n", F.size("_keys"))
-    least = F.ceil(F.col("_n") * F.lit(similarity) - 1e-9).cast("int")
+
+    def key(h: Column) -> Column:
+        return F.get(F.col("_ranks"), h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    def flipped(bits: Column, k: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
+
+    keyed = named.select("doc_id", "_at", F.sort_array(F.transform(_hashes(F.col("_line")), key)).alias("_keys")).withColumn("n", F.size("_keys"))
+    least = F.ceil(F.col("n") * F.lit(similarity) - 1e-9).cast("int")
     keyed = keyed.select(
-        F.xxhash64("_keys", "_n").alias("_set"), F.hash("_keys").alias("_set2"), F.struct("doc_id", "_at").alias("_place"), "_n",
-        F.transform(F.slice("_keys", F.lit(1), F.col("_n") - least + 1), lambda k: F.hash(k)).alias("_prefix"),
-        F.aggregate("_keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("_bits"),
-    )
-    return keyed.groupBy("_set", "_set2").agg(
-        F.min("_place").alias("_place"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"), F.first("_bits").alias("_bits")
+        F.xxhash64("_keys", "n").alias("_set"), F.hash("_keys").alias("_set2"), F.struct("doc_id", "_at").alias("_place"), "n",
+        F.transform(F.slice("_keys", F.lit(1), F.col("n") - least + 1), lambda k: F.hash(k)).alias("prefix"),
+        F.aggregate("_keys", F.lit(0).cast("long"), flipped).alias("bits"),
     )
+    firsts = keyed.groupBy("_set", "_set2").agg(F.min("_place").alias("_place"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits")])
+    return firsts.select(F.col("_place.doc_id").alias("d"), F.col("_place._at").alias("l"), "n", "prefix", "bits")
 
 
-def _candidates(classes: DataFrame, similarity: float, of: DataFrame | None = None) -> DataFrame:
-    """Pairs of places (a before b) that pass the prefix, length, positional and bitmap filters;
-    with ``of`` (bd, bl), only those of some b."""
-    posted = classes.select(
-        F.col("_place.doc_id").alias("d"), F.col("_place._at").alias("l"), F.col("_n").alias("n"), F.col("_bits").alias("bits"),
-        F.posexplode("_prefix").alias("p", "tok"),
-    )
-    a, b = (posted.select(*[F.col(c).alias(f"{s}{c}") for c in posted.columns]) for s in ("a", "b"))
-    if of is not None:
-        b = b.join(of, ["bd", "bl"], "left_semi")
-    an, bn, total = F.col("an"), F.col("bn"), F.col("an") + F.col("bn")
-    overlap = F.ceil(total * F.lit(similarity / (1 + similarity)) - 1e-9)
+def _sided(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(side + c) for c in rows.columns])
+
+
+def _before(one: str, two: str) -> Column:
+    return (F.col(f"{one}d") < F.col(f"{two}d")) | ((F.col(f"{one}d") == F.col(f"{two}d")) & (F.col(f"{one}l") < F.col(f"{two}l")))
+
+
+def _overlap(similarity: float) -> Column:
+    """Words that sets a and b have in common at least, if they match."""
+    return F.ceil((F.col("an") + F.col("bn")) * F.lit(similarity / (1 + similarity)) - 1e-9)
+
+
+def _fits(similarity: float) -> Column:
+    """Whether sizes and bitmaps of sets a and b allow a match."""
+    an, bn = F.col("an"), F.col("bn")
+    near = F.least(an, bn) >= F.greatest(an, bn) * F.lit(similarity) - 1e-9
+    return near & (F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= an + bn - 2 * _overlap(similarity))
+
+
+def _crowded(classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a before b) of a set and the earliest one that has the same least, or greatest, hash
+    in its prefix, where many have it."""
+    keys = F.array_distinct(F.array(F.array_min("prefix"), F.array_max("prefix")))
+    keyed = classes.select("d", "l", "n", "bits", F.explode(keys).alias("key"))
+    least = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("d", "l", "n", "bits")).alias("a")).where(F.col("_many") > CROWD)
+    least = least.select("key", *[F.col(f"a.{c}").alias(f"a{c}") for c in ("d", "l", "n", "bits")])
+    later = _sided(keyed, "b").withColumnRenamed("bkey", "key")
+    return later.join(least, "key").where(_fits(similarity) & _before("a", "b")).select("ad", "al", "bd", "bl").distinct()
+
+
+def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a before b) of places, b one of the open sets, that pass the prefix, length,
+    positional and bitmap filters. In the join, a is the set of fewer words."""
+    posted = classes.select("d", "l", "n", "bits", "open", F.posexplode("prefix").alias("p", "tok"))
+    a, b = _sided(posted, "a"), _sided(posted, "b")
+    a = a.where(F.col("ap") <= F.col("an") - F.ceil(F.col("an") * F.lit(2 * similarity / (1 + similarity)) - 1e-9))
+    an, bn = F.col("an"), F.col("bn")
+    first = _before("a", "b")
     pairs = a.join(
         b,
-        (F.col("atok") == F.col("btok"))
-        & ((F.col("ad") < F.col("bd")) | ((F.col("ad") == F.col("bd")) & (F.col("al") < F.col("bl"))))
-        & (F.least(an, bn) >= F.greatest(an, bn) * F.lit(similarity) - 1e-9)
-        & (F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= total - 2 * overlap)
-        & (F.least(an - F.col("ap"), bn - F.col("bp")) >= overlap),
+        (F.col("atok") == F.col("btok")) & ((an < bn) | ((an == bn) & first)) & F.when(first, F.col("bopen")).otherwise(F.col("aopen"))
+        & _fits(similarity) & (F.least(an - F.col("ap"), bn - F.col("bp")) >= _overlap(similarity)),
     )
-    return pairs.select("ad", "al", "bd", "bl")
+    early, late = (F.when(x, F.struct(F.col("ad").alias("d"), F.col("al").alias("l"))).otherwise(F.struct(F.col("bd").alias("d"), F.col("bl").alias("l"))) for x in (first, ~first))
+    return pairs.select(early.alias("a"), late.alias("b")).select(F.col("a.d").alias("ad"), F.col("a.l").alias("al"), F.col("b.d").alias("bd"), F.col("b.l").alias("bl")).distinct()
 
 
-def _sent_out(rows: DataFrame, count: int, limit: int) -> DataFrame:
-    """Broadcast while there are few enough lines in it; a shuffled join beyond that."""
-    return F.broadcast(rows) if count <= limit else rows
+def _sent_out(rows: DataFrame, lines: int, limit: int) -> DataFrame:
+    """Rows with places of lines by document: broadcast while they are few enough; a shuffled join beyond that."""
+    return F.broadcast(rows) if lines <= limit else rows
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, *, similarity: float, limit: int) -> DataFrame:
-    """Of saved candidate pairs, those whose whole sets are alike: (bd, bl).
+def _sets(docs: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
+    """(d, l, set): the words' hashes of all lines in pairs."""
+    wanted = saved(pairs.select(F.col("ad").alias("doc_id"), F.col("al").alias("_at")).union(pairs.select("bd", "bl")).distinct().groupBy("doc_id").agg(F.collect_list("_at").alias("_asked")))
+    lines = wanted.agg(F.sum(F.size("_asked"))).first()[0] or 0
+    found = docs.join(_sent_out(wanted, lines, limit), "doc_id").select("doc_id", F.split("__girasol_text", "\n").alias("__girasol_lines"), F.explode("_asked").alias("_at"))
+    return saved(found.select(F.col("doc_id").alias("d"), F.col("_at").alias("l"), _hashes(F.get("__girasol_lines", F.col("_at"))).alias("set")).distinct())
 
-    The later line of a pair travels as text to the earlier one's set, which is made once
-    however many lines ask for it.
-    """
-    count = pairs.count()
 
-    def at(place: str, rows: DataFrame) -> DataFrame:
-        """Adds _line, the line at ``place`` of the text of rows' doc_id."""
-        asked = _sent_out(rows.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "doc_id"])).alias("_asked")), count, limit)
-        found = docs.join(asked, "doc_id").select("doc_id", F.split("__girasol_text", "\n").alias("__girasol_lines"), F.explode("_asked").alias("_one"))
-        return found.select("doc_id", "_one.*", F.get("__girasol_lines", F.col(f"_one.{place}")).alias("_line"))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(d, l): the later line of each pair whose sets are alike."""
+    both = pairs.join(_sided(sets, "a"), ["ad", "al"]).join(_sided(sets, "b"), ["bd", "bl"])
+    shared = F.size(F.array_intersect("aset", "bset"))
+    alike = shared >= (F.size("aset") + F.size("bset") - shared) * F.lit(similarity) - 1e-9
+    return saved(both.where(alike).select(F.col("bd").alias("d"), F.col("bl").alias("l")).distinct())
 
-    def set_of(line: Column) -> Column:
-        return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
-    early = at("al", pairs.select(F.col("ad").alias("doc_id"), "al").distinct()).select(F.col("doc_id").alias("ad"), "al", set_of(F.col("_line")).alias("as"))
-    late = at("bl", pairs.withColumnRenamed("bd", "doc_id")).withColumnRenamed("doc_id", "bd")
-    both = late.join(early, ["ad", "al"]).select("bd", "bl", "as", set_of(F.col("_line")).alias("bs"))
-    shared = F.size(F.array_intersect("as", "bs"))
-    alike = shared >= (F.size("as") + F.size("bs") - shared) * F.lit(similarity) - 1e-9
-    return both.where(alike).select("bd", "bl").distinct()
+def _matched(docs: DataFrame, pairs: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """(d, l): later lines of saved pairs that match. Each is tried with its earliest partner, and
+    only what that leaves open with the others."""
+    sets = _sets(docs, pairs, limit)
+    earliest = pairs.groupBy("bd", "bl").agg(F.min(F.struct("ad", "al")).alias("a")).select(F.col("a.ad").alias("ad"), F.col("a.al").alias("al"), "bd", "bl")
+    found = _verified(earliest, sets, similarity)
+    rest = pairs.join(found.select(F.col("d").alias("bd"), F.col("l").alias("bl")), ["bd", "bl"], "left_anti").join(earliest, ["ad", "al", "bd", "bl"], "left_anti")
+    return found.union(_verified(rest, sets, similarity))
 
 
 def matched_later(docs: DataFrame, classes: DataFrame, *, similarity: float, limit: int) -> DataFrame:
-    """(doc_id, _at): first places of sets that match a set with an earlier first place.
+    """(d, l): first places of sets that match a set with an earlier first place.
 
-    One match is enough. So each set is verified against its earliest candidate, and only
-    what that leaves open against all of its candidates: a family of k alike lines needs
-    about k comparisons, not k x k.
+    One match is enough. In crowds of alike sets nearly all match the earliest, which takes as
+    many comparisons as there are sets; what that leaves open is joined with all sets.
     """
-    earliest = _candidates(classes, similarity).groupBy("bd", "bl").agg(F.min(F.struct("ad", "al")).alias("a"))
-    earliest = saved(earliest.select(F.col("a.ad").alias("ad"), F.col("a.al").alias("al"), "bd", "bl"))
-    found = saved(_verified(docs, earliest, similarity=similarity, limit=limit))
-    still = earliest.select("bd", "bl").join(found, ["bd", "bl"], "left_anti")
-    rest = _candidates(classes, similarity, saved(still)).distinct().join(earliest, ["ad", "al", "bd", "bl"], "left_anti")
-    more = _verified(docs, saved(rest), similarity=similarity, limit=limit)
-    return found.union(more).select(F.col("bd").alias("doc_id"), F.col("bl").alias("_at"))
+    crowded = saved(_crowded(classes, similarity))
+    found = _matched(docs, crowded, similarity, limit)
+    known = found.select("d", "l", F.lit(False).alias("open"))
+    marked = classes.join(known, ["d", "l"], "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    return found.union(_matched(docs, saved(_candidates(marked, similarity)), similarity, limit))
 
 
-def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, min_words: int = 3, broadcast_lines: int = 4_000_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, broadcast_lines: int = 2_000_000) -> DataFrame:
     """Replaces text by its kept lines; adds n_lines and n_removed.
 
     A line (parted by newlines) is removed if its words' set has a Jaccard similarity of at
     least ``similarity`` with that of a line that comes before it by (doc_id, place in the
     text), whether or not that one is kept. Words are lower-case and parted by white space (see
-    ``_spaced``). Lines of fewer than ``min_words`` parts stay; with 1, only blank lines. A null text stays null and has no lines;
-    an empty one has one. Rows without an id pass unchanged; rows with equal ids are taken
-    for one document. Other columns pass through. Places of lines are broadcast to the texts
-    while they number at most ``broadcast_lines``, and joined by a shuffle beyond that.
+    ``_spaced``). Blank lines stay. A null text stays null and has no lines; an empty one has
+    one. Rows without an id pass unchanged; rows with equal ids are taken for one document.
+    Other columns pass through. Places of lines are broadcast to the texts while they number at
+    most ``broadcast_lines`` (some 16 bytes each), and joined by a shuffle beyond that.
     """
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     whole = docs.select(*[F.col(f"`{c}`") for c in kept_columns])
     named = whole.where(F.col("doc_id").isNotNull())
-    source = named.select("doc_id", F.col("text").cast("string").alias("__girasol_text"))
-    source = source.withColumn("__girasol_text", _spaced(F.col("__girasol_text")))
-    ranks = rarity(source.where(F.col("__girasol_text").isNotNull()))
-    classes = saved(_classes(source.where(F.col("__girasol_text").isNotNull()), ranks, min_words, similarity))
-    firsts = classes.select(F.col("_place.doc_id").alias("doc_id"), F.col("_place._at").alias("_at"))
+    source = named.where(F.col("text").isNotNull()).select("doc_id", F.lower(_spaced(F.col("text").cast("string"))).alias("__girasol_text"))
+    classes = saved(_classes(source, rarity(source), similarity))
     later = matched_later(source, classes, similarity=similarity, limit=broadcast_lines)
-    kept = firsts.join(later, ["doc_id", "_at"], "left_anti")
-    count = classes.count()
-    kept = saved(kept.groupBy("doc_id").agg(F.collect_set("_at").alias("__girasol_kept")))
-    del classes, firsts, later
+    kept = classes.select("d", "l").join(later, ["d", "l"], "left_anti")
+    kept = saved(kept.groupBy(F.col("d").alias("doc_id")).agg(F.collect_set("l").alias("__girasol_kept")))
+    del classes, later
     release(docs)
-    kept = _sent_out(kept, count, broadcast_lines)
+    lines = kept.agg(F.sum(F.size("__girasol_kept"))).first()[0] or 0
+    kept = _sent_out(kept, lines, broadcast_lines)
     nameless = whole.where(F.col("doc_id").isNull()).withColumn("__girasol_kept", F.lit(None).cast("array<int>"))
-    lines = named.join(kept, "doc_id", "left").unionByName(nameless).withColumn("__girasol_lines", F.split(F.col("text").cast("string"), "\n"))
-    small = F.filter(F.sequence(F.lit(0), F.size("__girasol_lines") - 1), lambda i: ~_eligible(_spaced(F.get("__girasol_lines", i)), min_words))
-    stay = F.sort_array(F.concat(F.coalesce("__girasol_kept", F.expr("cast(array() as array<int>)")), small))
-    out = lines.withColumn("__girasol_stay", F.when(F.col("text").isNull(), F.lit(None)).when(F.col("doc_id").isNull(), F.sequence(F.lit(0), F.size("__girasol_lines") - 1)).otherwise(stay))
+    text = F.col("text").cast("string")
+    parted = named.join(kept, "doc_id", "left").unionByName(nameless).withColumn("__girasol_lines", F.split(text, "\n"))
+    every = F.sequence(F.lit(0), F.size("__girasol_lines") - 1)
+    blank = F.transform(F.split(_spaced(text), "\n"), lambda x, i: F.when(F.trim(x) == "", i))
+    blank = F.filter(blank, lambda i: i.isNotNull())
+    stay = F.sort_array(F.concat(F.coalesce("__girasol_kept", F.expr("cast(array() as array<int>)")), blank))
+    out = parted.withColumn("__girasol_stay", F.when(F.col("text").isNull(), F.lit(None)).when(F.col("doc_id").isNull(), every).otherwise(stay))
     text = F.array_join(F.transform("__girasol_stay", lambda i: F.get("__girasol_lines", i)), "\n")
     return out.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept_columns],

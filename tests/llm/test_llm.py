@@ -453,15 +453,12 @@ def test_imatch_blocks_and_edges(edge, spark):
 # --- 9: line dedup
 
 
-def brute_lines(rows, similarity=0.8, min_words=3):
+def brute_lines(rows, similarity=0.8):
     index: dict = {}
     sets, out = [], {}
     for d, t in sorted(rows):
         keep = []
         for line in t.split("\n"):
-            if line.strip(" ").count(" ") < min_words - 1:
-                keep.append(line)
-                continue
             w = frozenset(x for x in line.lower().split(" ") if x)
             shared: dict = {}
             for x in w:
@@ -512,13 +509,12 @@ def test_line_dedup_takes_short_and_unspaced_lines(spark):
     later = ["les.", "two  words", han[:59] + "z", "a b\tc d e", "{minified:1}", "\u00a0", "", "lessons"]
     df = spark.createDataFrame([(1, "\n".join(first)), (2, "\n".join(later))], "doc_id long, text string")
     for limit in (4_000_000, 0):
-        got = texts_of(linededup.dedup_lines(df, min_words=1, broadcast_lines=limit))
+        got = texts_of(linededup.dedup_lines(df, broadcast_lines=limit))
         assert got == {1: "\n".join(first), 2: "\u00a0\n\nlessons"}
 
 
-def test_op9_equals_brute_force_without_exempt_lines(spark, sf_dir, docs):
-    want = brute_lines([(r.doc_id, r.text) for r in docs.collect()], min_words=1)
-    # brute_lines with min_words=1 has no exempt lines but blank ones, which match nothing.
+def test_op9_equals_brute_force(spark, sf_dir, docs):
+    want = brute_lines([(r.doc_id, r.text) for r in docs.collect()])
     want = {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
     assert {r.doc_id: r.kept_sha256 for r in queries.op9_line_dedup(spark, sf_dir).collect()} == want
 
