@@ -3,32 +3,47 @@
 from __future__ import annotations
 
 import gc
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Take spark.checkpoint.dir from the session; set one of our own only where there is none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(own or "/tmp/girasol-checkpoints")
+from girasol.session import shared_folder
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Computed once and kept in the shared checkpoint folder, so that lost executors cost nothing."""
-    ensure_checkpoint_dir(df)
+    spark = df.sparkSession
+    shared_folder(spark)
     out = df.checkpoint(eager=True)
-    release(df)
+    # What df shuffled can go as well, unless the caller holds on to it.
+    del df
+    release(spark)
     return out
 
 
-def release(df: DataFrame) -> None:
+def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are done, which it does only when the
     driver has collected its garbage."""
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """Like saved, but as compressed Parquet, for tables of texts; the caller drops the path."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    schema = df.schema
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def connected_components(edges: DataFrame, *, most_rounds: int = 50) -> DataFrame:

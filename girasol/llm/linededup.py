@@ -15,12 +15,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import release, saved
+from .components import dropped, release, saved, written
 
 #: Cells of the word-frequency sketch; a fixed size, whatever the vocabulary.
 CELLS = 1 << 17
-#: Sets that share a key of their prefix are first tried with the earliest of them if there are more than this.
+#: Sets that share a key of their prefix are a crowd if there are more than this.
 CROWD = 32
+#: Pairs within crowds, in multiples of the number of sets, from which crowds are first thinned out.
+DENSE = 32
 #: White space other than U+0020 and the newline that parts lines.
 WHITE = "[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Thai, Lao, Burmese, Khmer, kana and Han.
@@ -85,44 +87,68 @@ def _before(one: str, two: str) -> Column:
     return (F.col(f"{one}d") < F.col(f"{two}d")) | ((F.col(f"{one}d") == F.col(f"{two}d")) & (F.col(f"{one}l") < F.col(f"{two}l")))
 
 
-def _overlap(similarity: float) -> Column:
-    """Words that sets a and b have in common at least, if they match."""
-    return F.ceil((F.col("an") + F.col("bn")) * F.lit(similarity / (1 + similarity)) - 1e-9)
+def _overlap(an: Column, bn: Column, similarity: float) -> Column:
+    """Words that sets of an and bn words have in common at least, if they match."""
+    return F.ceil((an + bn) * F.lit(similarity / (1 + similarity)) - 1e-9)
 
 
-def _fits(similarity: float) -> Column:
+def _fits(an: Column, bn: Column, similarity: float) -> Column:
     """Whether sizes and bitmaps of sets a and b allow a match."""
-    an, bn = F.col("an"), F.col("bn")
     near = F.least(an, bn) >= F.greatest(an, bn) * F.lit(similarity) - 1e-9
-    return near & (F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= an + bn - 2 * _overlap(similarity))
+    return near & (F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= an + bn - 2 * _overlap(an, bn, similarity))
+
+
+def _keyed(classes: DataFrame, *columns: str) -> DataFrame:
+    return classes.select(*columns, F.explode(F.array_distinct(F.array(F.array_min("prefix"), F.array_max("prefix")))).alias("key"))
+
+
+def _is_dense(classes: DataFrame) -> bool:
+    """Whether sets with common words in their prefixes are so many that the join of crowds, whose
+    pairs are counted here, outweighs the rest."""
+    crowds = _keyed(classes).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD)
+    pairs = crowds.agg(F.sum(F.col("m").cast("double") * F.col("m") / 2)).first()[0]
+    return (pairs or 0) > DENSE * classes.count()
 
 
 def _crowded(classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a before b) of a set and the earliest one that has the same least, or greatest, hash
     in its prefix, where many have it."""
-    keys = F.array_distinct(F.array(F.array_min("prefix"), F.array_max("prefix")))
-    keyed = classes.select("d", "l", "n", "bits", F.explode(keys).alias("key"))
+    keyed = _keyed(classes, "d", "l", "n", "bits")
     least = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("d", "l", "n", "bits")).alias("a")).where(F.col("_many") > CROWD)
     least = least.select("key", *[F.col(f"a.{c}").alias(f"a{c}") for c in ("d", "l", "n", "bits")])
     later = _sided(keyed, "b").withColumnRenamed("bkey", "key")
-    return later.join(least, "key").where(_fits(similarity) & _before("a", "b")).select("ad", "al", "bd", "bl").distinct()
+    return later.join(least, "key").where(_fits(F.col("an"), F.col("bn"), similarity) & _before("a", "b")).select("ad", "al", "bd", "bl").distinct()
 
 
-def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
+def _candidates(classes: DataFrame, similarity: float, passes: int) -> DataFrame:
     """Pairs (a before b) of places, b one of the open sets, that pass the prefix, length,
-    positional and bitmap filters. In the join, a is the set of fewer words."""
-    posted = classes.select("d", "l", "n", "bits", "open", F.posexplode("prefix").alias("p", "tok"))
-    a, b = _sided(posted, "a"), _sided(posted, "b")
-    a = a.where(F.col("ap") <= F.col("an") - F.ceil(F.col("an") * F.lit(2 * similarity / (1 + similarity)) - 1e-9))
-    an, bn = F.col("an"), F.col("bn")
+    positional and bitmap filters. In the join, a is the set of fewer words. Words are taken part by
+    part: each part's shuffle is gone before the next begins."""
+    size = F.shiftleft(F.col("n").cast("long"), 32)
+    posted = classes.select("d", "l", size.bitwiseOR(F.col("open").cast("long")).alias("n"), "bits", F.posexplode("prefix").alias("p", "tok"))
+    # n, p and open in one long: a posting is as short as it can be.
+    posted = posted.select("tok", "d", "l", "bits", F.col("n").bitwiseOR(F.shiftleft("p", 1).cast("long")).alias("npo"))
+    an, bn = (F.shiftright(F.col(f"{s}npo"), 32).cast("int") for s in "ab")
+    ap, bp = (F.shiftright(F.col(f"{s}npo").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int") for s in "ab")
+    aopen, bopen = (F.col(f"{s}npo").bitwiseAND(F.lit(1)) == 1 for s in "ab")
     first = _before("a", "b")
-    pairs = a.join(
-        b,
-        (F.col("atok") == F.col("btok")) & ((an < bn) | ((an == bn) & first)) & F.when(first, F.col("bopen")).otherwise(F.col("aopen"))
-        & _fits(similarity) & (F.least(an - F.col("ap"), bn - F.col("bp")) >= _overlap(similarity)),
-    )
     early, late = (F.when(x, F.struct(F.col("ad").alias("d"), F.col("al").alias("l"))).otherwise(F.struct(F.col("bd").alias("d"), F.col("bl").alias("l"))) for x in (first, ~first))
-    return pairs.select(early.alias("a"), late.alias("b")).select(F.col("a.d").alias("ad"), F.col("a.l").alias("al"), F.col("b.d").alias("bd"), F.col("b.l").alias("bl")).distinct()
+    out = None
+    for part in range(passes):
+        some = posted.where(F.pmod("tok", F.lit(passes)) == part)
+        a, b = _sided(some, "a"), _sided(some, "b")
+        a = a.where(ap <= an - F.ceil(an * F.lit(2 * similarity / (1 + similarity)) - 1e-9))
+        overlap = _overlap(an, bn, similarity)
+        pairs = a.join(
+            b,
+            (F.col("atok") == F.col("btok")) & ((an < bn) | ((an == bn) & first)) & F.when(first, bopen).otherwise(aopen)
+            & _fits(an, bn, similarity) & (F.least(an - ap, bn - bp) >= overlap),
+        )
+        pairs = pairs.select(early.alias("a"), late.alias("b")).select(F.col("a.d").alias("ad"), F.col("a.l").alias("al"), F.col("b.d").alias("bd"), F.col("b.l").alias("bl"))
+        one = saved(pairs.distinct())
+        out = one if out is None else out.union(one)
+        del a, b, pairs, one
+    return out.distinct()
 
 
 def _sent_out(rows: DataFrame, lines: int, limit: int) -> DataFrame:
@@ -130,46 +156,51 @@ def _sent_out(rows: DataFrame, lines: int, limit: int) -> DataFrame:
     return F.broadcast(rows) if lines <= limit else rows
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
-    """(d, l, set): the words' hashes of all lines in pairs."""
+def _lines(docs: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
+    """(d, l, line): the lines of all pairs."""
     wanted = saved(pairs.select(F.col("ad").alias("doc_id"), F.col("al").alias("_at")).union(pairs.select("bd", "bl")).distinct().groupBy("doc_id").agg(F.collect_list("_at").alias("_asked")))
     lines = wanted.agg(F.sum(F.size("_asked"))).first()[0] or 0
     found = docs.join(_sent_out(wanted, lines, limit), "doc_id").select("doc_id", F.split("__girasol_text", "\n").alias("__girasol_lines"), F.explode("_asked").alias("_at"))
-    return saved(found.select(F.col("doc_id").alias("d"), F.col("_at").alias("l"), _hashes(F.get("__girasol_lines", F.col("_at"))).alias("set")).distinct())
+    return found.select(F.col("doc_id").alias("d"), F.col("_at").alias("l"), F.get("__girasol_lines", F.col("_at")).alias("line"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """(d, l): the later line of each pair whose sets are alike."""
-    both = pairs.join(_sided(sets, "a"), ["ad", "al"]).join(_sided(sets, "b"), ["bd", "bl"])
+    both = pairs.join(_sided(lines, "a"), ["ad", "al"]).join(_sided(lines, "b"), ["bd", "bl"])
+    sets = both.select("bd", "bl", _hashes(F.col("aline")).alias("aset"), _hashes(F.col("bline")).alias("bset"))
     shared = F.size(F.array_intersect("aset", "bset"))
     alike = shared >= (F.size("aset") + F.size("bset") - shared) * F.lit(similarity) - 1e-9
-    return saved(both.where(alike).select(F.col("bd").alias("d"), F.col("bl").alias("l")).distinct())
+    return saved(sets.where(alike).select(F.col("bd").alias("d"), F.col("bl").alias("l")).distinct())
 
 
 def _matched(docs: DataFrame, pairs: DataFrame, similarity: float, limit: int) -> DataFrame:
     """(d, l): later lines of saved pairs that match. Each is tried with its earliest partner, and
     only what that leaves open with the others."""
-    sets = _sets(docs, pairs, limit)
+    lines, path = written(_lines(docs, pairs, limit))
     earliest = pairs.groupBy("bd", "bl").agg(F.min(F.struct("ad", "al")).alias("a")).select(F.col("a.ad").alias("ad"), F.col("a.al").alias("al"), "bd", "bl")
-    found = _verified(earliest, sets, similarity)
+    found = _verified(earliest, lines, similarity)
     rest = pairs.join(found.select(F.col("d").alias("bd"), F.col("l").alias("bl")), ["bd", "bl"], "left_anti").join(earliest, ["ad", "al", "bd", "bl"], "left_anti")
-    return found.union(_verified(rest, sets, similarity))
+    more = _verified(rest, lines, similarity)
+    dropped(docs.sparkSession, path)
+    return found.union(more)
 
 
-def matched_later(docs: DataFrame, classes: DataFrame, *, similarity: float, limit: int) -> DataFrame:
-    """(d, l): first places of sets that match a set with an earlier first place.
+def matched_later(docs: DataFrame, classes: DataFrame, *, similarity: float, limit: int, passes: int) -> DataFrame:
+    """(d, l): first places of saved sets that match a set with an earlier first place.
 
     One match is enough. In crowds of alike sets nearly all match the earliest, which takes as
-    many comparisons as there are sets; what that leaves open is joined with all sets.
+    many comparisons as there are sets; where crowds are dense, that comes first, and what it
+    leaves open is joined with all sets.
     """
-    crowded = saved(_crowded(classes, similarity))
-    found = _matched(docs, crowded, similarity, limit)
+    if not _is_dense(classes):
+        return _matched(docs, saved(_candidates(classes.withColumn("open", F.lit(True)), similarity, passes)), similarity, limit)
+    found = _matched(docs, saved(_crowded(classes, similarity)), similarity, limit)
     known = found.select("d", "l", F.lit(False).alias("open"))
-    marked = classes.join(known, ["d", "l"], "left").withColumn("open", F.coalesce("open", F.lit(True)))
-    return found.union(_matched(docs, saved(_candidates(marked, similarity)), similarity, limit))
+    marked = saved(classes.join(known, ["d", "l"], "left").withColumn("open", F.coalesce("open", F.lit(True))))
+    return found.union(_matched(docs, saved(_candidates(marked, similarity, passes)), similarity, limit))
 
 
-def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, broadcast_lines: int = 2_000_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, broadcast_lines: int = 2_000_000, passes: int = 2) -> DataFrame:
     """Replaces text by its kept lines; adds n_lines and n_removed.
 
     A line (parted by newlines) is removed if its words' set has a Jaccard similarity of at
@@ -178,26 +209,29 @@ def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, broadcast_lines: in
     ``_spaced``). Blank lines stay. A null text stays null and has no lines; an empty one has
     one. Rows without an id pass unchanged; rows with equal ids are taken for one document.
     Other columns pass through. Places of lines are broadcast to the texts while they number at
-    most ``broadcast_lines`` (some 16 bytes each), and joined by a shuffle beyond that.
+    most ``broadcast_lines`` (some 16 bytes each), and joined by a shuffle beyond that; words are
+    joined in ``passes`` parts.
     """
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     whole = docs.select(*[F.col(f"`{c}`") for c in kept_columns])
     named = whole.where(F.col("doc_id").isNotNull())
     source = named.where(F.col("text").isNotNull()).select("doc_id", F.lower(_spaced(F.col("text").cast("string"))).alias("__girasol_text"))
     classes = saved(_classes(source, rarity(source), similarity))
-    later = matched_later(source, classes, similarity=similarity, limit=broadcast_lines)
+    later = matched_later(source, classes, similarity=similarity, limit=broadcast_lines, passes=passes)
     kept = classes.select("d", "l").join(later, ["d", "l"], "left_anti")
     kept = saved(kept.groupBy(F.col("d").alias("doc_id")).agg(F.collect_set("l").alias("__girasol_kept")))
     del classes, later
-    release(docs)
+    release(docs.sparkSession)
     lines = kept.agg(F.sum(F.size("__girasol_kept"))).first()[0] or 0
     kept = _sent_out(kept, lines, broadcast_lines)
     nameless = whole.where(F.col("doc_id").isNull()).withColumn("__girasol_kept", F.lit(None).cast("array<int>"))
     text = F.col("text").cast("string")
     parted = named.join(kept, "doc_id", "left").unionByName(nameless).withColumn("__girasol_lines", F.split(text, "\n"))
     every = F.sequence(F.lit(0), F.size("__girasol_lines") - 1)
-    blank = F.transform(F.split(_spaced(text), "\n"), lambda x, i: F.when(F.trim(x) == "", i))
-    blank = F.filter(blank, lambda i: i.isNotNull())
+    white = f"[ {WHITE[1:]}"
+    # Only lines that begin with white space are looked at whole.
+    is_blank = lambda x: (x == "") | (F.substring(x, 1, 1).rlike(white) & x.rlike(f"^{white}*$"))
+    blank = F.filter(F.transform("__girasol_lines", lambda x, i: F.when(is_blank(x), i)), lambda i: i.isNotNull())
     stay = F.sort_array(F.concat(F.coalesce("__girasol_kept", F.expr("cast(array() as array<int>)")), blank))
     out = parted.withColumn("__girasol_stay", F.when(F.col("text").isNull(), F.lit(None)).when(F.col("doc_id").isNull(), every).otherwise(stay))
     text = F.array_join(F.transform("__girasol_stay", lambda i: F.get("__girasol_lines", i)), "\n")

@@ -473,8 +473,11 @@ def brute_lines(rows, similarity=0.8):
     return out
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 0])
-def test_line_dedup_equals_brute_force(spark, docs, limit):
+@pytest.mark.parametrize("limit,dense", [(4_000_000, False), (0, True)])
+def test_line_dedup_equals_brute_force(spark, docs, monkeypatch, limit, dense):
+    if dense:
+        monkeypatch.setattr(linededup, "CROWD", 1)
+        monkeypatch.setattr(linededup, "DENSE", 0)
     rng = random.Random(3)
     words = [f"v{i}" for i in range(300)]
     base = [rng.choices(words, k=20) for _ in range(12)]
