@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from girasol.llm import bpe, decontaminate, linededup, ngramjoin, quality
 from girasol.llm.common import table
-from girasol.llm.components import ensure_checkpoint_dir
+from girasol.session import shared_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. What the others return is written as Parquet in the shared checkpoint
     folder and read again, so that no stage is computed twice."""
     docs = table(spark, sf_dir, "documents")
-    ensure_checkpoint_dir(docs)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
