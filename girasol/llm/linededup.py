@@ -103,10 +103,10 @@ def _keyed(classes: DataFrame, *columns: str) -> DataFrame:
 
 
 def _is_dense(classes: DataFrame) -> bool:
-    """Whether sets with common words in their prefixes are so many that the join of crowds, whose
-    pairs are counted here, outweighs the rest."""
-    crowds = _keyed(classes).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD)
-    pairs = crowds.agg(F.sum(F.col("m").cast("double") * F.col("m") / 2)).first()[0]
+    """Whether sets with common words in their prefixes are so many that the join of crowds
+    outweighs the rest: their pairs, estimated on a quarter of the keys, against the number of sets."""
+    crowds = _keyed(classes).where(F.pmod(F.xxhash64("key"), F.lit(4)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD)
+    pairs = crowds.agg(F.sum(F.col("m").cast("double") * F.col("m") * 2)).first()[0]
     return (pairs or 0) > DENSE * classes.count()
 
 
@@ -120,35 +120,40 @@ def _crowded(classes: DataFrame, similarity: float) -> DataFrame:
     return later.join(least, "key").where(_fits(F.col("an"), F.col("bn"), similarity) & _before("a", "b")).select("ad", "al", "bd", "bl").distinct()
 
 
-def _candidates(classes: DataFrame, similarity: float, passes: int) -> DataFrame:
+def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a before b) of places, b one of the open sets, that pass the prefix, length,
-    positional and bitmap filters. In the join, a is the set of fewer words. Words are taken part by
-    part: each part's shuffle is gone before the next begins."""
+    positional and bitmap filters. In the join, a is the set of fewer words."""
     size = F.shiftleft(F.col("n").cast("long"), 32)
     posted = classes.select("d", "l", size.bitwiseOR(F.col("open").cast("long")).alias("n"), "bits", F.posexplode("prefix").alias("p", "tok"))
     # n, p and open in one long: a posting is as short as it can be.
     posted = posted.select("tok", "d", "l", "bits", F.col("n").bitwiseOR(F.shiftleft("p", 1).cast("long")).alias("npo"))
+    a, b = _sided(posted, "a"), _sided(posted, "b")
     an, bn = (F.shiftright(F.col(f"{s}npo"), 32).cast("int") for s in "ab")
     ap, bp = (F.shiftright(F.col(f"{s}npo").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int") for s in "ab")
     aopen, bopen = (F.col(f"{s}npo").bitwiseAND(F.lit(1)) == 1 for s in "ab")
+    a = a.where(ap <= an - F.ceil(an * F.lit(2 * similarity / (1 + similarity)) - 1e-9))
     first = _before("a", "b")
+    pairs = a.join(
+        b,
+        (F.col("atok") == F.col("btok")) & ((an < bn) | ((an == bn) & first)) & F.when(first, bopen).otherwise(aopen)
+        & _fits(an, bn, similarity) & (F.least(an - ap, bn - bp) >= _overlap(an, bn, similarity)),
+    )
     early, late = (F.when(x, F.struct(F.col("ad").alias("d"), F.col("al").alias("l"))).otherwise(F.struct(F.col("bd").alias("d"), F.col("bl").alias("l"))) for x in (first, ~first))
-    out = None
-    for part in range(passes):
-        some = posted.where(F.pmod("tok", F.lit(passes)) == part)
-        a, b = _sided(some, "a"), _sided(some, "b")
-        a = a.where(ap <= an - F.ceil(an * F.lit(2 * similarity / (1 + similarity)) - 1e-9))
-        overlap = _overlap(an, bn, similarity)
-        pairs = a.join(
-            b,
-            (F.col("atok") == F.col("btok")) & ((an < bn) | ((an == bn) & first)) & F.when(first, bopen).otherwise(aopen)
-            & _fits(an, bn, similarity) & (F.least(an - ap, bn - bp) >= overlap),
-        )
-        pairs = pairs.select(early.alias("a"), late.alias("b")).select(F.col("a.d").alias("ad"), F.col("a.l").alias("al"), F.col("b.d").alias("bd"), F.col("b.l").alias("bl"))
-        one = saved(pairs.distinct())
-        out = one if out is None else out.union(one)
-        del a, b, pairs, one
-    return out.distinct()
+    return pairs.select(early.alias("a"), late.alias("b")).select(F.col("a.d").alias("ad"), F.col("a.l").alias("al"), F.col("b.d").alias("bd"), F.col("b.l").alias("bl")).distinct()
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose prefixes have enough words in common.
+
+    Words are in one order, so either all of a's prefix that b's has not is missing in b, or all of
+    b's that a's has not is missing in a: the sets share no more than the larger rest and what
+    the prefixes share. (Words of one hash in a prefix are allowed for.)
+    """
+    a, b = (_sided(classes.select("d", "l", "n", "prefix"), s) for s in "ab")
+    both = pairs.join(a, ["ad", "al"]).join(b, ["bd", "bl"])
+    rest = F.greatest(F.col("an") - F.size("aprefix"), F.col("bn") - F.size("bprefix"))
+    shared = F.size(F.array_intersect("aprefix", "bprefix")) + F.size("aprefix") - F.size(F.array_distinct("aprefix"))
+    return both.where(rest + shared >= _overlap(F.col("an"), F.col("bn"), similarity)).select("ad", "al", "bd", "bl")
 
 
 def _sent_out(rows: DataFrame, lines: int, limit: int) -> DataFrame:
@@ -185,22 +190,24 @@ def _matched(docs: DataFrame, pairs: DataFrame, similarity: float, limit: int) -
     return found.union(more)
 
 
-def matched_later(docs: DataFrame, classes: DataFrame, *, similarity: float, limit: int, passes: int) -> DataFrame:
+def matched_later(docs: DataFrame, classes: DataFrame, *, similarity: float, limit: int) -> DataFrame:
     """(d, l): first places of saved sets that match a set with an earlier first place.
 
     One match is enough. In crowds of alike sets nearly all match the earliest, which takes as
     many comparisons as there are sets; where crowds are dense, that comes first, and what it
     leaves open is joined with all sets.
     """
-    if not _is_dense(classes):
-        return _matched(docs, saved(_candidates(classes.withColumn("open", F.lit(True)), similarity, passes)), similarity, limit)
-    found = _matched(docs, saved(_crowded(classes, similarity)), similarity, limit)
-    known = found.select("d", "l", F.lit(False).alias("open"))
-    marked = saved(classes.join(known, ["d", "l"], "left").withColumn("open", F.coalesce("open", F.lit(True))))
-    return found.union(_matched(docs, saved(_candidates(marked, similarity, passes)), similarity, limit))
+    found, marked = None, classes.withColumn("open", F.lit(True))
+    if _is_dense(classes):
+        found = _matched(docs, saved(_likely(_crowded(classes, similarity), classes, similarity)), similarity, limit)
+        known = found.select("d", "l", F.lit(False).alias("open"))
+        marked = saved(classes.join(known, ["d", "l"], "left").withColumn("open", F.coalesce("open", F.lit(True))))
+    candidates = saved(_candidates(marked, similarity))
+    more = _matched(docs, saved(_likely(candidates, classes, similarity)), similarity, limit)
+    return more if found is None else found.union(more)
 
 
-def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, broadcast_lines: int = 2_000_000, passes: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, broadcast_lines: int = 2_000_000) -> DataFrame:
     """Replaces text by its kept lines; adds n_lines and n_removed.
 
     A line (parted by newlines) is removed if its words' set has a Jaccard similarity of at
@@ -209,18 +216,18 @@ def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, broadcast_lines: in
     ``_spaced``). Blank lines stay. A null text stays null and has no lines; an empty one has
     one. Rows without an id pass unchanged; rows with equal ids are taken for one document.
     Other columns pass through. Places of lines are broadcast to the texts while they number at
-    most ``broadcast_lines`` (some 16 bytes each), and joined by a shuffle beyond that; words are
-    joined in ``passes`` parts.
+    most ``broadcast_lines`` (some 16 bytes each), and joined by a shuffle beyond that.
     """
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     whole = docs.select(*[F.col(f"`{c}`") for c in kept_columns])
     named = whole.where(F.col("doc_id").isNotNull())
     source = named.where(F.col("text").isNotNull()).select("doc_id", F.lower(_spaced(F.col("text").cast("string"))).alias("__girasol_text"))
-    classes = saved(_classes(source, rarity(source), similarity))
-    later = matched_later(source, classes, similarity=similarity, limit=broadcast_lines, passes=passes)
+    classes, path = written(_classes(source, rarity(source), similarity))
+    later = matched_later(source, classes, similarity=similarity, limit=broadcast_lines)
     kept = classes.select("d", "l").join(later, ["d", "l"], "left_anti")
     kept = saved(kept.groupBy(F.col("d").alias("doc_id")).agg(F.collect_set("l").alias("__girasol_kept")))
     del classes, later
+    dropped(docs.sparkSession, path)
     release(docs.sparkSession)
     lines = kept.agg(F.sum(F.size("__girasol_kept"))).first()[0] or 0
     kept = _sent_out(kept, lines, broadcast_lines)
