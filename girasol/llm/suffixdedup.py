@@ -10,7 +10,7 @@ each occurrence, how far it agrees with any other on both sides of the core toge
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -157,20 +157,18 @@ def agreements(lefts: list[bytes], rights: list[bytes], side: int) -> list[list[
         if len(sets[a]) < len(sets[b]):
             a, b = b, a
         large, small = sets[a], sets[b]
-        old = large
-        merged = sorted(large + small)
+        # Pairs within either set have met already, with more of the left in common.
         for r in small:
-            at = bisect_left(merged, r)
-            if at:
-                meet(by_rank[r], by_rank[merged[at - 1]])
-            if at + 1 < len(merged):
-                meet(by_rank[r], by_rank[merged[at + 1]])
-            # The neighbours within the larger set, as those in between may be of the smaller.
-            at = bisect_left(old, r)
-            for near in old[max(at - 1, 0) : at + 1]:
+            at = bisect_left(large, r)
+            for near in large[max(at - 1, 0) : at + 1]:
                 meet(by_rank[r], by_rank[near])
-        sets[a], owner[b] = merged, a
-        sets[b] = []
+        if 16 * len(small) < len(large):
+            for r in small:
+                insort(large, r)
+        else:
+            large += small
+            large.sort()
+        owner[b], sets[b] = a, []
     return out
 
 
