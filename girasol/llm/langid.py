@@ -145,21 +145,24 @@ def train(docs: DataFrame, *, per_language: int = 500, windows_a_text: int = 6,
     """Fit on at most ``per_language`` texts of each language, none held out, and on
     ``windows_a_text`` evenly spread windows of each: that many bytes reach the driver.
 
-    Rows with a null text, language or id teach nothing; without any, every prediction
-    is the one language ``und``.
+    Rows with a null text, language or id teach nothing, rows that repeat an id once; without any,
+    every prediction is the one language ``und``.
     """
     known = docs.where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))
     )
     # Of a common language only about four times the sample is sorted: those with low hashes.
+    # That filter is part of the scan: the languages' sizes are few rows and go to every task.
     hashed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = F.broadcast(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_size")))
     low = F.pmod("_h", F.lit(1 << 20)) * F.col("_size") < F.lit(4 * per_language * (1 << 20))
     order = Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 20)), "_h", "doc_id")
-    picked = hashed.join(sizes, "lang").where(low).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("__girasol_text")).join(
-        F.broadcast(picked.select("doc_id", F.col("lang").alias("_lang"))), "doc_id"
+    picked = hashed.join(sizes, "lang").where(low).distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
+    chosen = known.select("doc_id", F.col("lang").alias("_lang"), F.col("text").cast("string").alias("__girasol_text")).join(
+        F.broadcast(picked.select("doc_id", F.col("lang").alias("_lang"))), ["doc_id", "_lang"]
     )
+    # Of rows that repeat an id in a language one text counts.
+    chosen = chosen.groupBy("doc_id", "_lang").agg(F.min("__girasol_text").alias("__girasol_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, 4 << 20, "__girasol_text"):
