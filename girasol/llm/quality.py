@@ -153,6 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, slice_bytes
         part = own.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("__girasol_text")).join(F.broadcast(picked), "doc_id")
+    # An id that is repeated, in either table, counts once.
+    chosen = chosen.groupBy("doc_id").agg(F.min(F.struct("_y", "__girasol_text")).alias("_one")).select("_one.*")
     rows = _with_statistics(chosen, ["_y"], None, slice_bytes).toArrow()
     x = np.array(rows.column("__girasol_statistics").to_pylist(), np.float64).reshape(-1, len(STATISTICS))
     return fit(x, np.array(rows.column("_y").to_pylist(), np.int64))
