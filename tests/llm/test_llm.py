@@ -180,6 +180,39 @@ def test_secret_battery_tells_random_from_ordered(spark):
     assert secrets.find_secrets(df.where("false")).count() == 0
 
 
+def test_secrets_among_identifiers_precision_and_recall(spark):
+    """Planted tokens of three encodings and lengths among names and paths of ordinary words."""
+    rng = random.Random(15)
+    words = """account address annotation balance buffer channel commit configuration connection container context counter credential
+    customer database default description directory document element encoder endpoint environment error event execution factory
+    filter format function handler header identifier index integer interface invoice iterator language limit listener loader manager
+    message method module monitor network number object option order parameter parser payment pipeline position process property
+    provider query queue record request resource response result schema segment sequence service session shipment source statement
+    storage stream string structure summary system table template thread timeout transaction transfer update validator value version""".split()
+    lower = "abcdefghijklmnopqrstuvwxyz0123456789"
+    secret = ["".join(rng.choice(a) for _ in range(rng.randint(24, 48))) + "k7" for a in (secrets.BASE64[:62], secrets.BASE64, lower) for _ in range(70)]
+    camel = lambda n: "".join(w.capitalize() for w in rng.sample(words, n)) + str(rng.randint(1, 999))
+    plain = [camel(rng.randint(3, 6)) for _ in range(150)] + ["/".join(rng.sample(words, 4)) + f"/v{rng.randint(1, 9)}" for _ in range(100)] + ["_".join(rng.sample(words, 4)) + "_2" for _ in range(100)]
+    texts = [f"see {t} here" for t in secret + plain]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: bool(r._added) for r in secrets.find_secrets(df).collect()}
+    hits, false = sum(got[i] for i in range(len(secret))), sum(got[i] for i in range(len(secret), len(texts)))
+    assert hits / len(secret) >= 0.9 and hits / max(hits + false, 1) >= 0.95, (hits, false)
+
+
+def test_secret_places_in_long_and_odd_rows(spark):
+    text = "".join(f"token={'x' * (6 + i % 3)} é" for i in range(700))
+    rows = [(1, text, "a", 1), (1, text, "a", 1), (None, "AKIA" + "B" * 20, "b", 2), (2, None, None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _base string, spans int")
+    out = secrets.find_secrets(df)
+    assert sorted(out.columns) == ["_added", "_base", "doc_id", "spans", "text"]
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.doc_id, []).append([(s.start, s.end) for s in r._base])
+    want = [(m.start(), m.end()) for m in re.finditer("token=x+", text)]
+    assert by[1] == [want, want] and by[None] == [[(0, 24)]] and by[2] == [[]]
+
+
 # --- 3: decontamination
 
 
