@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import banks, corpus, metrics, mining, runs, selection, stores, streams, vectors  # noqa: F401
+from . import banks, building, corpus, metrics, mining, runs, selection, stores, streams, vectors  # noqa: F401
 from .common import ORACLE_SQL, QUERIES  # noqa: F401

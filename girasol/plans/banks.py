@@ -139,12 +139,6 @@ def k6_stats_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sidecar(_bank(spark, sf_dir), "label")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, min(vec_id) AS lo, max(vec_id) AS hi, count(*) FILTER (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) BETWEEN 0.98 AND 1.02) AS units, 0 AS not_finite FROM embeddings")
-def k11_verify_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts re-read after publishing."""
-    return bank.verify(_bank(spark, sf_dir), "vec_id", "embedding")
-
-
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3")
 def k8_transcript_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows of each group, as the appended transcript (or a preview) has them."""
@@ -160,6 +154,6 @@ def k10_direction_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id % 4 AS shard, count(*) AS kept, min(md5('46:' || vec_id)) AS first_key FROM embeddings WHERE label <> 5 GROUP BY shard")
 def k9_sharded_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3, K9: what each shard's pass kept, merged."""
+    """What each shard's pass kept, merged."""
     e = _bank(spark, sf_dir).where("label <> 5 OR label IS NULL")
     return e.groupBy((F.col("vec_id") % 4).alias("shard")).agg(F.count(F.lit(1)).alias("kept"), F.min(hkey(46, F.col("vec_id"))).alias("first_key"))

@@ -141,11 +141,11 @@ def f7_special_tokens_in_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT doc_id, left(text, 60) s FROM documents), r AS (SELECT doc_id, s, array_to_string(regexp_extract_all(lower(s), '[a-z0-9]+'), ' ') back FROM t)
+WITH t AS (SELECT doc_id, text s FROM documents), r AS (SELECT doc_id, s, array_to_string(regexp_extract_all(lower(s), '[a-z0-9]+'), ' ') back FROM t)
 SELECT CASE WHEN regexp_matches(s, '[#$%&*]') THEN 'special_id_in_window' WHEN trim(s) = '' THEN 'blank' WHEN back <> lower(s) THEN 'roundtrip_fail' ELSE 'ok' END AS reason, count(*) AS n FROM r GROUP BY reason""")
 def f8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reject reasons in order of priority, counted; the tokenizer is the default word one."""
-    t = table(spark, sf_dir, "documents").select(F.substring("text", 1, 60).alias("s"))
+    t = table(spark, sf_dir, "documents").select(F.col("text").alias("s"))
     back = F.array_join(tx.tokens(F.col("s")), " ")
     reason = F.when(F.col("s").rlike("[#$%&*]"), "special_id_in_window").when(F.trim("s") == "", "blank").when(back != F.lower("s"), "roundtrip_fail").otherwise("ok")
     return t.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
@@ -176,11 +176,11 @@ def j6_failure_list_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, unnest({IDS}[1:64]) tok FROM documents)
-SELECT tok, count(*) AS n, min(doc_id) AS first_doc FROM t WHERE tok IN (SELECT DISTINCT unnest({IDS}) FROM benchmark WHERE item_id < 5) GROUP BY tok""")
+WITH t AS (SELECT doc_id, unnest({IDS}) tok FROM documents)
+SELECT tok, count(*) AS n, min(doc_id) AS first_doc FROM t WHERE tok IN (SELECT DISTINCT unnest({IDS}) FROM benchmark) GROUP BY tok""")
 def j13_occurrence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = _ids(spark, sf_dir).select("doc_id", F.explode(F.slice("ids", 1, 64)).alias("tok"))
-    asked = _ids(spark, sf_dir, "benchmark", "item_id").where("item_id < 5").select(F.explode("ids").alias("tok")).distinct()
+    post = _ids(spark, sf_dir).select("doc_id", F.explode("ids").alias("tok"))
+    asked = _ids(spark, sf_dir, "benchmark", "item_id").select(F.explode("ids").alias("tok")).distinct()
     return post.join(asked, "tok", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
@@ -209,11 +209,12 @@ def w3_rank_within_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, {IDS}[1:24] v FROM documents), p AS (SELECT doc_id, unnest(range(len(v))) pos, v FROM t)
+WITH t AS (SELECT doc_id, {IDS} v FROM documents), p AS (SELECT doc_id, unnest(range(len(v))) pos, v FROM t)
 SELECT doc_id, pos, least(pos + 1, 8) AS n, list_sum(v[greatest(pos - 7, 0) + 1:pos + 1])::BIGINT AS total FROM p""")
 def w17_end_anchored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _ids(spark, sf_dir).select("doc_id", F.slice("ids", 1, 24).alias("ids")).select("doc_id", "ids", F.posexplode("ids").alias("pos", "t"))
-    w = p.select("doc_id", F.col("pos").cast("long").alias("pos"), tx.span(F.col("ids"), F.col("pos"), 8).alias("w"))
+    """A window for every position; each row carries its own window alone."""
+    each = F.transform("ids", lambda _, i: F.slice("ids", F.greatest(i - 6, F.lit(1)), F.least(i + 1, F.lit(8))))
+    w = _ids(spark, sf_dir).select("doc_id", F.posexplode(each).alias("pos", "w")).withColumn("pos", F.col("pos").cast("long"))
     return w.select("doc_id", "pos", F.size("w").cast("long").alias("n"), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
@@ -223,22 +224,22 @@ def a41_distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, {IDS}[1:64] v FROM documents), s AS (SELECT doc_id, v, list_position(v, list_max(v)) p FROM t WHERE len(v) > 0)
+WITH t AS (SELECT doc_id, {IDS} v FROM documents), s AS (SELECT doc_id, v, list_position(v, list_max(v)) p FROM t WHERE len(v) > 0)
 SELECT doc_id, CASE WHEN len(v) - p < 5 THEN len(v) ELSE p + 3 END AS kept FROM s WHERE CASE WHEN len(v) - p < 5 THEN len(v) ELSE p + 3 END >= 4""")
 def c13_truncate_at_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole if the peak is among the last five, else up to three past it; short ones go."""
-    s = _ids(spark, sf_dir).select("doc_id", F.slice("ids", 1, 64).alias("v")).where(F.size("v") > 0)
+    s = _ids(spark, sf_dir).withColumnRenamed("ids", "v").where(F.size("v") > 0)
     p = F.array_position("v", F.array_max("v"))
     kept = F.when(F.size("v") - p < 5, F.size("v")).otherwise(p + 3).cast("long")
     return s.select("doc_id", kept.alias("kept")).where("kept >= 4")
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, {IDS}[1:32] v FROM documents), s AS (SELECT doc_id, v, coalesce(nullif(list_position(list_transform(v, lambda x: x % 16 = 0), true), 0), len(v)) e FROM t)
+WITH t AS (SELECT doc_id, {IDS} v FROM documents), s AS (SELECT doc_id, v, coalesce(nullif(list_position(list_transform(v, lambda x: x % 16 = 0), true), 0), len(v)) e FROM t)
 SELECT doc_id, e AS n, list_sum(list_transform(v[1:e], lambda x, i: CASE WHEN i <= 4 THEN -100 ELSE x END))::BIGINT AS label_sum FROM s WHERE len(v) > 0""")
 def c15_stop_pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut after the stop token; the first four labels are masked."""
-    s = _ids(spark, sf_dir).select("doc_id", F.slice("ids", 1, 32).alias("v")).where(F.size("v") > 0)
+    s = _ids(spark, sf_dir).withColumnRenamed("ids", "v").where(F.size("v") > 0)
     stop = F.array_position(F.transform("v", lambda x: x % 16 == 0), True)
     e = F.when(stop > 0, stop).otherwise(F.size("v")).cast("int")
     labels = F.transform(F.slice("v", F.lit(1), e), lambda x, i: F.when(i < 4, -100).otherwise(x))
@@ -269,7 +270,7 @@ def u12_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT md5(text) AS text_md5 FROM documents WHERE lang = 'fr' EXCEPT SELECT md5(text) FROM documents WHERE lang <> 'fr' OR n_chars > 2000")
 def u11_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("lang", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
-    return d.where("lang = 'fr'").select("text_md5").exceptAll(d.where("false").select("text_md5")).distinct().subtract(d.where("lang <> 'fr' OR n_chars > 2000").select("text_md5"))
+    return d.where("lang = 'fr'").select("text_md5").subtract(d.where("lang <> 'fr' OR n_chars > 2000").select("text_md5"))
 
 
 @query(f"""

@@ -125,12 +125,12 @@ def a15_conditional_coactivation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {EV}, s AS (SELECT a.unit i, b.unit j FROM ev a JOIN ev b ON a.tok = b.tok AND a.unit < b.unit WHERE a.unit <= 40 AND b.unit <= 40 GROUP BY ALL HAVING count(*) >= 2),
+WITH {EV}, s AS (SELECT a.unit i, b.unit j FROM ev a JOIN ev b ON a.tok = b.tok AND a.unit < b.unit GROUP BY ALL HAVING count(*) >= 2),
 f AS (SELECT x.i, x.j, y.j k FROM s x JOIN s y ON x.j = y.i JOIN s z ON z.i = x.i AND z.j = y.j)
 SELECT i, j, k, count(*) AS n FROM f JOIN ev a ON a.unit = i JOIN ev b ON b.unit = j AND b.tok = a.tok JOIN ev c ON c.unit = k AND c.tok = a.tok GROUP BY ALL""")
 def j12_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strong edges first; then tokens on which all three fire."""
-    ev = _events(spark, sf_dir).where("unit <= 40")
+    ev = _events(spark, sf_dir)
     s = pairs(ev).where("C >= 2").select("i", "j")
     f = s.join(s.select(F.col("i").alias("j"), F.col("j").alias("k")), "j").join(s.select("i", F.col("j").alias("k")), ["i", "k"])
     one = lambda name: ev.select("tok", F.col("unit").alias(name))
@@ -209,12 +209,12 @@ def a30_coverage_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT l_orderkey row_id, l_linenumber f, l_extendedprice::DOUBLE v FROM lineitem WHERE l_orderkey < 4000),
+WITH a AS (SELECT l_orderkey row_id, l_linenumber f, l_extendedprice::DOUBLE v FROM lineitem),
 t AS (SELECT min(v) tau FROM (SELECT v FROM a ORDER BY v DESC LIMIT 500))
 SELECT row_id, f FROM a, t WHERE v >= tau AND v > 0""")
 def a46_batch_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k x B largest of a batch; ties at the threshold all stay."""
-    a = table(spark, sf_dir, "lineitem").where("l_orderkey < 4000").select(F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").alias("f"), F.col("l_extendedprice").cast("double").alias("v"))
+    a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").alias("f"), F.col("l_extendedprice").cast("double").alias("v"))
     tau = a.select("v").orderBy(F.desc("v")).limit(500).agg(F.min("v").alias("tau"))
     return a.join(F.broadcast(tau), F.col("v") >= F.col("tau")).where("v > 0").select("row_id", "f")
 
@@ -250,12 +250,12 @@ def j20_store_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT l_suppkey % 8 AS rank, l_orderkey % 50 AS step, count(*) n FROM lineitem WHERE (l_orderkey + l_suppkey) % 3 <> 0 AND l_orderkey < 3000 GROUP BY ALL)
+WITH r AS (SELECT l_suppkey % 8 AS rank, l_orderkey // 16 AS step, count(*) n FROM lineitem WHERE (l_orderkey + l_suppkey) % 3 <> 0 GROUP BY ALL)
 SELECT step, sum(n) AS n FROM r GROUP BY step HAVING count(DISTINCT rank) = 8""")
 def j19_full_coverage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A step is merged only if every rank has its shard."""
-    li = table(spark, sf_dir, "lineitem").where("(l_orderkey + l_suppkey) % 3 <> 0 AND l_orderkey < 3000")
-    r = li.groupBy((F.col("l_suppkey") % 8).alias("rank"), (F.col("l_orderkey") % 50).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    li = table(spark, sf_dir, "lineitem").where("(l_orderkey + l_suppkey) % 3 <> 0")
+    r = li.groupBy((F.col("l_suppkey") % 8).alias("rank"), F.floor(F.col("l_orderkey") / 16).alias("step")).agg(F.count(F.lit(1)).alias("n"))
     return r.groupBy("step").agg(F.sum("n").alias("n"), F.countDistinct("rank").alias("ranks")).where("ranks = 8").select("step", "n")
 
 

@@ -98,11 +98,11 @@ def w18_last_writer_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT user_id step, event_id, CASE WHEN event_type = 'click' THEN value END a, CASE WHEN event_type = 'view' THEN value END b FROM events WHERE event_id < 600)
+WITH e AS (SELECT user_id step, event_id, CASE WHEN event_type = 'click' THEN value END a, CASE WHEN event_type = 'view' THEN value END b FROM events)
 SELECT step, round(arg_max(a, event_id) FILTER (a IS NOT NULL), 4) AS a, round(arg_max(b, event_id) FILTER (b IS NOT NULL), 4) AS b FROM e GROUP BY step""")
 def w19_coalescing_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By column, the latest value that is there."""
-    e = table(spark, sf_dir, "events").where("event_id < 600")
+    e = table(spark, sf_dir, "events")
     last = lambda t: F.round(F.max_by(F.when(F.col("event_type") == t, F.col("value")), F.when(F.col("event_type") == t, F.col("event_id"))), 4)
     return e.groupBy(F.col("user_id").alias("step")).agg(last("click").alias("a"), last("view").alias("b"))
 
@@ -114,13 +114,19 @@ def w19_missing_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.join(e.where("event_type = 'error' AND value > 60").select(F.col("user_id").alias("missing")).distinct(), "missing", "left_anti")
 
 
-@query("WITH d AS (SELECT event_id, user_id // 10 g, coalesce(user_id // 10 <> lag(user_id // 10) OVER (ORDER BY event_id), true)::INT new FROM events WHERE event_id < 2000), r AS (SELECT *, sum(new) OVER (ORDER BY event_id) k FROM d) SELECT event_id, k AS direction FROM r WHERE k <= 50")
+@query("WITH d AS (SELECT event_id, user_id // 10 g, coalesce(user_id // 10 <> lag(user_id // 10) OVER (ORDER BY event_id), true)::INT new FROM events), r AS (SELECT *, sum(new) OVER (ORDER BY event_id) k FROM d) SELECT event_id, k AS direction FROM r WHERE k <= 50")
 def w20_front_reservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of identical neighbours count once; the head of 2000 rows is a parameter."""
-    w = Window.orderBy("event_id")
-    d = table(spark, sf_dir, "events").where("event_id < 2000").select("event_id", F.floor(F.col("user_id") / 10).alias("g"))
-    d = d.withColumn("new", F.coalesce(F.col("g") != F.lag("g").over(w), F.lit(True)).cast("int")).withColumn("direction", F.sum("new").over(w))
-    return d.where("direction <= 50").select("event_id", "direction")
+    """Runs of identical neighbours count once. The head of the table that is ordered doubles
+    until it holds the runs asked for, or everything."""
+    runs, head, w = 50, 1024, Window.orderBy("event_id")
+    e = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("user_id") / 10).alias("g"))
+    while True:
+        d = e.orderBy("event_id").limit(head)
+        d = d.withColumn("new", F.coalesce(F.col("g") != F.lag("g").over(w), F.lit(True)).cast("int")).withColumn("direction", F.sum("new").over(w))
+        rows, last = d.agg(F.count(F.lit(1)), F.max("direction")).first()
+        if rows < head or last > runs:
+            return d.where(F.col("direction") <= runs).select("event_id", "direction")
+        head *= 2
 
 
 @query(f"""

@@ -423,7 +423,7 @@ def t31_eligible_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("l_partkey", "l_suppkey", F.when(F.col("i") < 2, "describe").otherwise("test").alias("part"))
 
 
-@query("SELECT n_chars AS len, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE doc_id % 3 = 0 GROUP BY n_chars ORDER BY n_chars DESC, n LIMIT 100")
+@query("SELECT n_chars AS len, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY n_chars ORDER BY n_chars DESC, n LIMIT 100")
 def t33_length_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
+    d = table(spark, sf_dir, "documents")
     return d.groupBy(F.col("n_chars").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).orderBy(F.desc("len")).limit(100)

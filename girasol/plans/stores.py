@@ -21,7 +21,7 @@ from .corpus import IDS
 
 @query("SELECT vec_id, vec_id // 128 AS shard, vec_id % 128 AS local_row FROM embeddings")
 def s12_sharded_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A global row is a shard and a row in it; Parquet keeps the vectors beside the key."""
+    """A global row is a shard and a row in it; Parquet keeps the vectors beside the key."""
     return table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 128).alias("shard"), (F.col("vec_id") % 128).alias("local_row"))
 
 
@@ -43,10 +43,10 @@ def s15_frozen_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.crossJoin(F.broadcast(checked)).where(F.col("_ok").isNull()).select("vec_id", "label")
 
 
-@query("SELECT event_id, user_id % 500 AS vec_id, label, round(embedding[1]::DOUBLE, 6) AS head FROM events JOIN embeddings ON vec_id = user_id % 500 WHERE event_id < 2000")
+@query("SELECT event_id, user_id % 500 AS vec_id, label, round(embedding[1]::DOUBLE, 6) AS head FROM events JOIN embeddings ON vec_id = user_id % 500")
 def j2_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records meet their vectors by key; the planner picks the join."""
-    r = table(spark, sf_dir, "events").where("event_id < 2000").select("event_id", (F.col("user_id") % 500).alias("vec_id"))
+    r = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 500).alias("vec_id"))
     return r.join(table(spark, sf_dir, "embeddings"), "vec_id").select("event_id", "vec_id", "label", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("head"))
 
 
@@ -80,13 +80,13 @@ def t32_verified_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, {IDS}[1:12] v FROM documents), p AS (SELECT doc_id, list_concat(list_transform(range(16 - len(v)), lambda i: -1), v) w, len(v) n FROM t)
-SELECT doc_id, n, list_sum(w[16 - n + 1:16])::BIGINT AS span_sum, w[1] AS first FROM p WHERE n > 0""")
+WITH t AS (SELECT doc_id, {IDS} v FROM documents), p AS (SELECT doc_id, list_concat(list_transform(range((16 - len(v) % 16) % 16), lambda i: -1), v) w, len(v) n FROM t)
+SELECT doc_id, n, list_sum(w[len(w) - n + 1:len(w)])::BIGINT AS span_sum, w[1] AS first FROM p WHERE n > 0""")
 def c12_left_pads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Padded on the left to 16; the true span is the last n."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.slice(tx.token_ids(F.col("text")), 1, 12).alias("v")).where("size(v) > 0")
-    p = t.select("doc_id", F.size("v").alias("n"), F.concat(F.array_repeat(F.lit(-1), F.lit(16) - F.size("v")), "v").alias("w"))
-    span = F.slice("w", F.lit(17) - F.col("n"), F.col("n"))
+    """Padded on the left to a multiple of 16; the true span is the last n."""
+    t = table(spark, sf_dir, "documents").select("doc_id", tx.token_ids(F.col("text")).alias("v")).where("size(v) > 0")
+    p = t.select("doc_id", F.size("v").alias("n"), F.concat(F.array_repeat(F.lit(-1), F.pmod(-F.size("v"), F.lit(16))), "v").alias("w"))
+    span = F.slice("w", F.size("w") - F.col("n") + 1, F.col("n"))
     return p.select("doc_id", F.col("n").cast("long").alias("n"), F.aggregate(span, F.lit(0).cast("long"), lambda a, x: a + x).alias("span_sum"), F.get("w", F.lit(0)).alias("first"))
 
 
@@ -132,7 +132,7 @@ def p11_lens_pullback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, direction array<double>")
 
 
-@query(f"WITH t AS (SELECT doc_id, {IDS}[1:64] v FROM documents) SELECT doc_id, round(list_avg(v) / 65536, 6) AS score FROM t WHERE len(v) > 0")
+@query(f"WITH t AS (SELECT doc_id, {IDS} v FROM documents) SELECT doc_id, round(list_avg(v) / 65536, 6) AS score FROM t WHERE len(v) > 0")
 def h1_scoring_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1, H2, H4: a scorer over token numbers, in Arrow batches; here it is their scaled mean."""
 
@@ -140,7 +140,7 @@ def h1_scoring_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     def score(ids: pd.Series) -> pd.Series:
         return ids.map(lambda v: float(np.mean(v)) / 65536)
 
-    t = table(spark, sf_dir, "documents").select("doc_id", F.slice(tx.token_ids(F.col("text")), 1, 64).alias("v")).where("size(v) > 0")
+    t = table(spark, sf_dir, "documents").select("doc_id", tx.token_ids(F.col("text")).alias("v")).where("size(v) > 0")
     return t.select("doc_id", F.round(score("v"), 6).alias("score"))
 
 
@@ -166,9 +166,9 @@ def k2_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("vec_id long, label int").parquet(path)
 
 
-@query("SELECT vec_id, round(sqrt(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[])), 6) AS raw_norm FROM embeddings WHERE sqrt(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[])) <= 1.1 * (SELECT median(sqrt(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[]))) FROM (SELECT * FROM embeddings ORDER BY md5('63:' || vec_id), vec_id LIMIT 200))")
+@query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS raw_norm FROM embeddings WHERE sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) <= 1.1 * (SELECT median(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) FROM (SELECT * FROM embeddings ORDER BY md5('63:' || vec_id), vec_id LIMIT 200))")
 def f1g_raw_norm_presample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1b, F1c, F1d, F1g: raw norms against a multiple of a bounded presample's median."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", vec.norm(F.slice("embedding", 1, 32)).alias("n"))
+    """Raw norms against a multiple of a bounded presample's median."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", vec.norm(F.col("embedding")).alias("n"))
     limit = select.sample(e, 63, "vec_id", 200).agg((1.1 * F.expr("percentile(n, 0.5)")).alias("limit"))
     return e.crossJoin(F.broadcast(limit)).where("n <= limit").select("vec_id", F.round("n", 6).alias("raw_norm"))

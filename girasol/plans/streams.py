@@ -21,11 +21,11 @@ def st1_windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.run_to_end(flat, "windows", "complete")
 
 
-_BLOCKS = "WITH b AS (SELECT user_id % 40 q, event_id, user_id step, row_number() OVER (PARTITION BY user_id % 40 ORDER BY {0}) r, count(*) OVER (PARTITION BY user_id % 40) c FROM events WHERE event_id < 900)"
+_BLOCKS = "WITH b AS (SELECT user_id % 40 q, event_id, user_id step, row_number() OVER (PARTITION BY user_id % 40 ORDER BY {0}) r, count(*) OVER (PARTITION BY user_id % 40) c FROM events)"
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id < 900").select((F.col("user_id") % 40).alias("q"), "event_id", F.col("user_id").alias("step"))
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("q"), "event_id", F.col("user_id").alias("step"))
 
 
 @query(_BLOCKS.format("user_id, event_id") + " SELECT q, event_id, step, 'take' AS action FROM b WHERE c >= 4 AND r <= 4")
@@ -66,10 +66,10 @@ def st4_resampling_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("gone", gone).where("gone = 0").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("WITH d AS (SELECT doc_id, n_chars // 512 w FROM documents) SELECT count(*) AS docs_iterated, count(*) FILTER (w = 0) AS short_docs, sum(w)::BIGINT AS windows FROM d WHERE doc_id < 500")
+@query("WITH d AS (SELECT doc_id, n_chars // 512 w FROM documents) SELECT count(*) AS docs_iterated, count(*) FILTER (w = 0) AS short_docs, sum(w)::BIGINT AS windows FROM d")
 def st6_window_producer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The resume offset counts short documents too."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 500").select(F.floor(F.col("n_chars") / 512).alias("w"))
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("n_chars") / 512).alias("w"))
     return d.agg(F.count(F.lit(1)).alias("docs_iterated"), F.count_if(F.col("w") == 0).alias("short_docs"), F.sum("w").alias("windows"))
 
 
@@ -94,18 +94,19 @@ def st8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) k FROM events WHERE event_type = 'error')
 SELECT user_id, event_id, CASE WHEN k <= 3 THEN 'retry' ELSE 'give_up' END AS action FROM f WHERE k <= 4""")
 def st10_retry_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST9, ST10: failures are rows; three retries, then the key is given up."""
+    """Failures are rows; three retries, then the key is given up."""
     f = table(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", "event_id")
     top = select.first_n(f, ["user_id"], [F.col("event_id")], 4, "k")
     return top.select("user_id", "event_id", F.when(F.col("k") <= 3, "retry").otherwise("give_up").alias("action"))
 
 
 @query("""
-WITH s AS (SELECT user_id arm, max((event_type = 'view')::INT) bank, max((event_type = 'click')::INT) sft, max((event_type = 'purchase')::INT) rl FROM events WHERE event_id < 400 GROUP BY user_id)
+WITH s AS (SELECT user_id arm, max((event_type = 'view' AND value > 60)::INT) bank, max((event_type = 'click' AND value > 60)::INT) sft, max((event_type = 'purchase' AND value > 60)::INT) rl FROM events GROUP BY user_id)
 SELECT arm, CASE WHEN bank = 0 THEN 'bank' WHEN sft = 0 THEN 'sft' WHEN rl = 0 THEN 'rl' ELSE 'eval' END AS next_stage FROM s""")
 def st11_dependency_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    has = lambda t, n: F.max((F.col("event_type") == t).cast("int")).alias(n)
-    s = table(spark, sf_dir, "events").where("event_id < 400").groupBy(F.col("user_id").alias("arm")).agg(has("view", "bank"), has("click", "sft"), has("purchase", "rl"))
+    """A stage is done once it has a good enough event; the first that is not is next."""
+    has = lambda t, n: F.max(((F.col("event_type") == t) & (F.col("value") > 60)).cast("int")).alias(n)
+    s = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("arm")).agg(has("view", "bank"), has("click", "sft"), has("purchase", "rl"))
     stage = F.when(F.col("bank") == 0, "bank").when(F.col("sft") == 0, "sft").when(F.col("rl") == 0, "rl").otherwise("eval")
     return s.select("arm", stage.alias("next_stage"))
 

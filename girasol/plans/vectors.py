@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girasol.functions import vec
 from girasol.functions.keys import hkey
-from girasol.operators import leak, select
+from girasol.operators import leak, moments, select
 
 from .common import query, table
 
@@ -228,13 +232,14 @@ def a2_vector_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT embedding::DOUBLE[] e FROM embeddings), p AS (SELECT unnest(range(1, 9)) i), q AS (SELECT unnest(range(1, 9)) j)
+WITH t AS (SELECT embedding::DOUBLE[] e FROM embeddings), p AS (SELECT unnest(range(1, 65)) i), q AS (SELECT unnest(range(1, 65)) j)
 SELECT i, j, round(avg(e[i] * e[j]), 8) AS moment FROM t, p, q GROUP BY ALL""")
 def a3_second_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of products by pair of places; partial sums are 64 a task."""
-    e = table(spark, sf_dir, "embeddings").select(F.slice(_v().cast("array<double>"), 1, 8).alias("e"))
-    p = e.select(F.posexplode("e").alias("i", "x"), "e").select("i", "x", F.posexplode("e").alias("j", "y"))
-    return p.groupBy((F.col("i") + 1).cast("long").alias("i"), (F.col("j") + 1).cast("long").alias("j")).agg(F.round(F.avg(F.col("x") * F.col("y")), 8).alias("moment"))
+    """Sums of products by pair of places: a task sends one matrix."""
+    m = moments.vector_moments(table(spark, sf_dir, "embeddings").withColumn("one", F.lit(0)), "embedding", "one")
+    flat = m.select("n", F.size("s").alias("d"), F.posexplode("p").alias("at", "x"))
+    place = lambda c: c.cast("long") + 1
+    return flat.select(place(F.floor(F.col("at") / F.col("d"))).alias("i"), place(F.col("at") % F.col("d")).alias("j"), F.round(F.col("x") / F.col("n"), 8).alias("moment"))
 
 
 @query("""
@@ -249,14 +254,16 @@ def a4_column_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT label, embedding::DOUBLE[] e FROM embeddings), p AS (SELECT unnest(range(1, 9)) i), q AS (SELECT unnest(range(1, 9)) j),
+WITH t AS (SELECT label, embedding::DOUBLE[] e FROM embeddings), p AS (SELECT unnest(range(1, 65)) i), q AS (SELECT unnest(range(1, 65)) j),
 c AS (SELECT label, i, j, avg(e[i] * e[j]) - avg(e[i]) * avg(e[j]) c FROM t, p, q GROUP BY ALL)
 SELECT label, round(power(sum(c) FILTER (i = j), 2) / sum(c * c), 5) AS effective_rank FROM c GROUP BY label""")
 def a37_effective_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("label", F.slice(_v().cast("array<double>"), 1, 8).alias("e"))
-    p = e.select("label", F.posexplode("e").alias("i", "x"), "e").select("label", "i", "x", F.posexplode("e").alias("j", "y"))
-    c = p.groupBy("label", "i", "j").agg((F.avg(F.col("x") * F.col("y")) - F.avg("x") * F.avg("y")).alias("c"))
-    trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("c")))
+    m = moments.vector_moments(table(spark, sf_dir, "embeddings"), "embedding", "label")
+    flat = m.select("label", "n", "s", F.size("s").alias("d"), F.posexplode("p").alias("at", "x"))
+    mean = lambda i: F.get("s", i.cast("int")) / F.col("n")
+    i, j = F.floor(F.col("at") / F.col("d")), F.col("at") % F.col("d")
+    c = flat.select("label", (i == j).alias("same"), (F.col("x") / F.col("n") - mean(i) * mean(j)).alias("c"))
+    trace = F.sum(F.when(F.col("same"), F.col("c")))
     return c.groupBy("label").agg(F.round(trace * trace / F.sum(F.col("c") * F.col("c")), 5).alias("effective_rank"))
 
 
@@ -278,56 +285,68 @@ def a45_nearest_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p3_zca_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second moments from a distributed sum; their eigenvectors (64 x 64) on the driver."""
-    import numpy as np
-    import pandas as pd
-
-    e = table(spark, sf_dir, "embeddings").select("vec_id", _v().cast("array<double>").alias("e"))
-    mean = np.array(_mean(e, "e").first()["mean"])
-    pairs = e.select(F.posexplode("e").alias("i", "x"), "e").select("i", "x", F.posexplode("e").alias("j", "y"))
-    moments = pairs.groupBy("i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("m")).toPandas()
-    cov = np.zeros((len(mean), len(mean)))
-    cov[moments.i, moments.j] = moments.m
-    values, vectors = np.linalg.eigh(cov - np.outer(mean, mean))
+    """Second moments from a matrix a task; their eigenvectors (64 x 64) on the driver."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    m = moments.vector_moments(e.withColumn("one", F.lit(0)), "embedding", "one").first()
+    if m is None:
+        return e.select("vec_id", _v().cast("array<double>").alias("whitened"))
+    mean = np.array(m.s) / m.n
+    values, vectors = np.linalg.eigh(moments.covariance(m.n, np.array(m.s), np.array(m.p)))
     zca = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0) + 1e-5)) @ vectors.T
 
-    def run(batches):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = (np.stack(b.e.to_numpy()) - mean) @ zca if len(b) else np.zeros((0, len(mean)))
-            yield pd.DataFrame({"vec_id": b.vec_id, "whitened": list(w)})
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
+            w = (flat.reshape(-1, len(mean)) - mean) @ zca
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(w), pa.list_(pa.float64()))], names=["vec_id", "whitened"])
+
+    return e.where(_v().isNotNull()).mapInArrow(run, "vec_id long, whitened array<double>")
 
-    return e.mapInPandas(run, "vec_id long, whitened array<double>")
+
+def _axes(spark: SparkSession, sf_dir: str, count: int) -> DataFrame:
+    return moments.principal_axes(moments.vector_moments(table(spark, sf_dir, "embeddings"), "embedding", "label"), "label", count)
 
 
 @query()
 def p8_block_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top right singular vectors of each label's centred rows (a bounded, seeded
-    sample of 2000 a label), as (label, component, singular value)."""
-    import numpy as np
-    import pandas as pd
-
-    e = select.sample_by(table(spark, sf_dir, "embeddings"), "label", 5, "vec_id", 2000)
+    """The first four right singular vectors of each label's centred rows, all of them: (label,
+    component, singular, axis). A label's rows meet as one matrix of products."""
+    return _axes(spark, sf_dir, 4).select("label", "component", "singular", "axis")
 
-    def run(pdf):  # noqa: ANN001, ANN202
-        x = np.stack(pdf.embedding.to_numpy()).astype(float)
-        s = np.linalg.svd(x - x.mean(0), compute_uv=False)[:4]
-        return pd.DataFrame({"label": pdf.label.iloc[0], "component": range(len(s)), "singular": s})
 
-    return e.groupBy("label").applyInPandas(run, "label int, component int, singular double")
+@query()
+def p9_block_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's coordinates in its label's basis, and the unit direction that they stand for."""
+    axes = _axes(spark, sf_dir, 4).groupBy("label").agg(F.first("mean").alias("mean"), F.array_sort(F.collect_list(F.struct("component", "axis"))).alias("axes"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").join(axes, "label")
+    c = e.select("vec_id", "label", "axes", vec.centred(_v(), F.col("mean")).alias("x"))
+    c = c.withColumn("coords", F.transform("axes", lambda a: vec.dot(F.col("x"), a["axis"])))
+    back = F.transform(F.sequence(F.lit(0), F.size("x") - 1), lambda i: F.aggregate(F.zip_with("coords", "axes", lambda k, a: k * F.get(a["axis"], i)), F.lit(0.0), lambda s, v: s + v))
+    b = c.select("vec_id", "label", "coords", back.alias("back"))
+    return b.select("vec_id", "label", "coords", F.transform("back", lambda v: v / (vec.norm(F.col("back")) + 1e-8)).alias("direction"))
 
 
 @query()
 def a38_geometric_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weiszfeld steps: one aggregate of 64 weighted sums each, until the move is below 1e-5."""
-    e = table(spark, sf_dir, "embeddings").select(F.slice(_v().cast("array<double>"), 1, 8).alias("e")).repartition("e")
-    now = _mean(e, "e").first()["mean"]
-    for _ in range(50):
-        here = F.array(*[F.lit(float(x)) for x in now])
-        w = e.select("e", (1 / F.greatest(vec.norm(vec.centred(F.col("e"), here)), F.lit(1e-12))).alias("w"))
-        sums = w.agg(F.sum("w").alias("w"), *[F.sum(F.col("e")[i] * F.col("w")).alias(f"s{i}") for i in range(8)]).first()
-        new = [sums[f"s{i}"] / sums["w"] for i in range(8)]
-        moved = sum((a - b) ** 2 for a, b in zip(new, now)) ** 0.5
-        now = new
+    """Weiszfeld steps over whole vectors: a task sends one weighted sum a step, until the move is
+    below 1e-5. Rounds are bounded; a step's state is one vector."""
+    e = table(spark, sf_dir, "embeddings").select("embedding").where(_v().isNotNull())
+    first = _mean(e).first()["mean"]
+    now = np.array(first or [])
+    while len(now):
+        at = now
+
+        def run(batches: Iterator[pa.RecordBatch], at: np.ndarray = at) -> Iterator[pa.RecordBatch]:
+            weight, total = 0.0, np.zeros(len(at))
+            for b in batches:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(at))
+                w = 1 / np.maximum(np.linalg.norm(x - at, axis=1), 1e-12)
+                weight, total = weight + w.sum(), total + w @ x
+            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total.tolist()])], names=["w", "s"])
+
+        sums = e.mapInArrow(run, "w double, s array<double>").select("w", F.posexplode("s").alias("i", "x"))
+        new = sums.groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).orderBy("i").toPandas().x.to_numpy()
+        moved, now = np.linalg.norm(new - at), new
         if moved < 1e-5:
             break
     return spark.createDataFrame([(i, round(float(x), 4)) for i, x in enumerate(now)], "dim int, median double")

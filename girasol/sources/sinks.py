@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girasol.functions import vec
+from girasol.session import shared_folder
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that spark.checkpoint.dir names; our own only where it is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/girasol-checkpoints")
+    """Cut lineage in the folder that spark.checkpoint.dir names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -35,3 +39,60 @@ def pool_rows(df: DataFrame, vector: str, least: float = 1e-6) -> DataFrame:
 def sidecar(df: DataFrame, family: str) -> DataFrame:
     """Row counts by family, with the total."""
     return df.rollup(family).agg(F.count(F.lit(1)).alias("n"), F.grouping(family).cast("int").alias("is_total"))
+
+
+def encode_vectors(df: DataFrame, shard: str, row: str, vector: str, kind: str = "<f4") -> DataFrame:
+    """(shard, first_row, content): a shard's vectors in order of row as raw numbers, end to end;
+    the caller bounds a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [np.array([r["v"] for r in rows], kind).tobytes() for rows in batch.column(1).to_pylist()]
+            firsts = [rows[0]["r"] for rows in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(firsts, pa.int64()), pa.array(raw, pa.binary())], names=["shard", "first_row", "content"])
+
+    rows = df.groupBy(F.col(shard).cast("long").alias("shard")).agg(F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), F.col(vector).alias("v")))).alias("rows"))
+    return rows.mapInArrow(run, "shard long, first_row long, content binary")
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    kind = "shard long, kept long, check long"
+    try:
+        return spark.read.schema(kind).parquet(f"{path}/_manifest")
+    except AnalysisException:
+        return spark.createDataFrame([], kind)
+
+
+def commit_shards(df: DataFrame, shard: str, key: str, path: str) -> DataFrame:
+    """Write those shards that the manifest of ``path`` has not; returns the manifest.
+
+    A shard counts only once its manifest row is there, which is written from what was read back.
+    A run that breaks off before leaves files without one; the next run replaces them.
+    """
+    spark = df.sparkSession
+    done = _manifest(spark, path).select("shard").distinct()
+    todo = df.withColumn("shard", F.col(shard).cast("long")).join(F.broadcast(done), "shard", "left_anti")
+    data = f"{path}/data"
+    todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(data)
+    try:
+        back = spark.read.parquet(data).withColumn("shard", F.col("shard").cast("long")).join(F.broadcast(done), "shard", "left_anti")
+    except AnalysisException:
+        return _manifest(spark, path)
+    facts = back.groupBy("shard").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.xxhash64(key) % 1_000_003).alias("check"))
+    facts.coalesce(1).write.mode("append").parquet(f"{path}/_manifest")
+    return _manifest(spark, path)
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all shards that the manifest has."""
+    rows = spark.read.parquet(f"{path}/data").withColumn("shard", F.col("shard").cast("long"))
+    return rows.join(F.broadcast(_manifest(spark, path).select("shard").distinct()), "shard", "left_semi")
+
+
+def finalised(df: DataFrame, shard: str, key: str, vector: str, seed: int) -> DataFrame:
+    """One bank of all shards: vec_idx is dense in hashed order; fails where a vector is no unit."""
+    from girasol.operators import bank
+
+    n = vec.norm(F.col(vector))
+    good = F.assert_true(F.coalesce((n >= 0.98) & (n <= 1.02), F.lit(False)), F.lit("a vector is no unit"))
+    return bank.rekey(df.where(F.coalesce(good.cast("boolean"), F.lit(True))), seed, shard, key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from girasol.session import shared_folder
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir (ours only where it is unset)."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/girasol-checkpoints"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder of spark.checkpoint.dir."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -109,3 +111,63 @@ class ReplayPool:
         for s in chosen:
             s[1] += 1
         return [s[0] for s in chosen]
+
+
+def replayed(stream: DataFrame, pool: str, item: str, *, capacity: int, reuse: int, batch: int) -> DataFrame:
+    """ST5 as a stateful stream: (pool, draw, item). Items of a pool fill its slots, in order;
+    draws of ``batch`` items are made as long as items wait for a slot. State: the slots and what
+    waits, at most ``capacity`` and one micro-batch."""
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, uses, waiting, draws = state.get if state.exists else ([], [], [], 0)
+        slots = ReplayPool(lambda: None, capacity, reuse)
+        slots.slots = [list(s) for s in zip(held, uses)]
+        slots.waiting = list(waiting) + sorted(x for f in frames for x in f[item].tolist())
+        out = []
+        while slots.waiting and len(slots.waiting) + len(slots._drawable()) >= batch:
+            out += [(keys[0], draws, x) for x in slots.draw(batch, lambda x, n: (n, x))]
+            draws += 1
+            slots.ended = False
+        state.update(([s[0] for s in slots.slots], [s[1] for s in slots.slots], slots.waiting, draws))
+        yield pd.DataFrame(out, columns=[pool, "draw", item])
+
+    schema = f"{pool} {stream.schema[pool].dataType.simpleString()}, draw long, {item} long"
+    return stream.select(pool, F.col(item).cast("long").alias(item)).groupBy(pool).applyInPandasWithState(step, schema, "items array<long>, uses array<long>, waiting array<long>, draws long", "append", GroupStateTimeout.NoTimeout)
+
+
+def fan_out(calls: DataFrame, key: str, argument: str, call: Callable[[object], float], *, seconds: float, then: Callable[[float], float] | None = None, workers: int = 16) -> DataFrame:
+    """ST9: (key, stage, value, error). ``call`` runs for each row, many at a time in each task,
+    and ``then`` on its value; what is not there after ``seconds`` for a batch, or fails, is a row with
+    the error's name. ``then`` is not tried on a failure."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    kind = calls.schema[key].dataType.simpleString()
+
+    def one(x: object) -> list[tuple[str, float | None, str | None]]:
+        out: list[tuple[str, float | None, str | None]] = []
+        for stage, f in (("call", call), ("then", then)):
+            if f is None:
+                break
+            try:
+                x = float(f(x))
+                out.append((stage, x, None))
+            except Exception as e:  # noqa: BLE001  failures are data here
+                out.append((stage, None, type(e).__name__))
+                break
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            pool = ThreadPoolExecutor(workers)
+            began = time.monotonic()
+            jobs = [(k, pool.submit(one, x)) for k, x in zip(f[key].tolist(), f[argument].tolist())]
+            rows = []
+            for k, job in jobs:
+                try:
+                    rows += [(k, *r) for r in job.result(max(0.0, seconds - (time.monotonic() - began)))]
+                except TimeoutError:
+                    rows.append((k, "call", None, "TimeoutError"))
+            pool.shutdown(wait=False, cancel_futures=True)
+            yield pd.DataFrame(rows, columns=[key, "stage", "value", "error"]).astype({"value": float})
+
+    return calls.select(key, argument).mapInPandas(run, f"{key} {kind}, stage string, value double, error string")
