@@ -19,6 +19,9 @@ from .components import dropped, release, saved, written
 
 #: Cells of the word-frequency sketch; a fixed size, whatever the vocabulary.
 CELLS = 1 << 17
+#: Sets of more words have a bitmap of 128 bits instead of 64; where even that says little, the
+#: prefixes of a pair are compared before its lines are moved.
+LONG, VERY_LONG = 100, 200
 #: Sets that share a key of their prefix are a crowd if there are more than this.
 CROWD = 32
 #: Pairs within crowds, in multiples of the number of sets, from which crowds are first thinned out.
@@ -56,7 +59,8 @@ def rarity(docs: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, ranks: DataFrame, similarity: float) -> DataFrame:
     """One row for each set of words: its first place (d, l), size n, prefix and bitmap. A key is
-    the word's frequency and 56 bits of its hash, so that keys sort by rarity."""
+    the word's frequency and 56 bits of its hash, so that keys sort by rarity. A bit is the parity
+    of how many keys fall into its cell; a long set's second half of the cells is in high."""
     lines = docs.select("doc_id", F.posexplode(F.split("__girasol_text", "\n")).alias("_at", "_line")).where(F.trim("_line") != "")
     # The ranks are a scalar subquery (a literal of their size would fill plans and event logs),
     # named in a projection of its own, which the optimizer merges into the next.
@@ -68,15 +72,19 @@ def _classes(docs: DataFrame, ranks: DataFrame, similarity: float) -> DataFrame:
     def flipped(bits: Column, k: Column) -> Column:
         return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
 
+    def parity(keys: Column) -> Column:
+        return F.aggregate(keys, F.lit(0).cast("long"), flipped)
+
     keyed = named.select("doc_id", "_at", F.sort_array(F.transform(_hashes(F.col("_line")), key)).alias("_keys")).withColumn("n", F.size("_keys"))
     least = F.ceil(F.col("n") * F.lit(similarity) - 1e-9).cast("int")
     keyed = keyed.select(
         F.xxhash64("_keys", "n").alias("_set"), F.hash("_keys").alias("_set2"), F.struct("doc_id", "_at").alias("_place"), "n",
         F.transform(F.slice("_keys", F.lit(1), F.col("n") - least + 1), lambda k: F.hash(k)).alias("prefix"),
-        F.aggregate("_keys", F.lit(0).cast("long"), flipped).alias("bits"),
+        parity(F.col("_keys")).alias("bits"),
+        F.when(F.col("n") > LONG, parity(F.filter("_keys", lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long")).alias("high"),
     )
-    firsts = keyed.groupBy("_set", "_set2").agg(F.min("_place").alias("_place"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits")])
-    return firsts.select(F.col("_place.doc_id").alias("d"), F.col("_place._at").alias("l"), "n", "prefix", "bits")
+    firsts = keyed.groupBy("_set", "_set2").agg(F.min("_place").alias("_place"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "high")])
+    return firsts.select(F.col("_place.doc_id").alias("d"), F.col("_place._at").alias("l"), "n", "prefix", F.col("bits").bitwiseXOR(F.col("high")).alias("bits"), "high")
 
 
 def _sided(rows: DataFrame, side: str) -> DataFrame:
@@ -95,7 +103,10 @@ def _overlap(an: Column, bn: Column, similarity: float) -> Column:
 def _fits(an: Column, bn: Column, similarity: float) -> Column:
     """Whether sizes and bitmaps of sets a and b allow a match."""
     near = F.least(an, bn) >= F.greatest(an, bn) * F.lit(similarity) - 1e-9
-    return near & (F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= an + bn - 2 * _overlap(an, bn, similarity))
+    bits, high = (F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}")) for c in ("bits", "high"))
+    # A long set is compared with another one in all of its cells, with a short one in 64.
+    apart = F.when(F.least(an, bn) > LONG, F.bit_count(bits) + F.bit_count(high)).otherwise(F.bit_count(bits.bitwiseXOR(high)))
+    return near & (apart <= an + bn - 2 * _overlap(an, bn, similarity))
 
 
 def _keyed(classes: DataFrame, *columns: str) -> DataFrame:
@@ -113,20 +124,21 @@ def _is_dense(classes: DataFrame) -> bool:
 def _crowded(classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a before b) of a set and the earliest one that has the same least, or greatest, hash
     in its prefix, where many have it."""
-    keyed = _keyed(classes, "d", "l", "n", "bits")
-    least = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("d", "l", "n", "bits")).alias("a")).where(F.col("_many") > CROWD)
-    least = least.select("key", *[F.col(f"a.{c}").alias(f"a{c}") for c in ("d", "l", "n", "bits")])
+    about = ("d", "l", "n", "bits", "high")
+    keyed = _keyed(classes, *about)
+    least = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct(*about)).alias("a")).where(F.col("_many") > CROWD)
+    least = least.select("key", *[F.col(f"a.{c}").alias(f"a{c}") for c in about])
     later = _sided(keyed, "b").withColumnRenamed("bkey", "key")
-    return later.join(least, "key").where(_fits(F.col("an"), F.col("bn"), similarity) & _before("a", "b")).select("ad", "al", "bd", "bl").distinct()
+    return later.join(least, "key").where(_fits(F.col("an"), F.col("bn"), similarity) & _before("a", "b")).select("ad", "al", "bd", "bl", (F.greatest("an", "bn") > VERY_LONG).alias("long")).distinct()
 
 
 def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a before b) of places, b one of the open sets, that pass the prefix, length,
     positional and bitmap filters. In the join, a is the set of fewer words."""
     size = F.shiftleft(F.col("n").cast("long"), 32)
-    posted = classes.select("d", "l", size.bitwiseOR(F.col("open").cast("long")).alias("n"), "bits", F.posexplode("prefix").alias("p", "tok"))
+    posted = classes.select("d", "l", size.bitwiseOR(F.col("open").cast("long")).alias("n"), "bits", "high", F.posexplode("prefix").alias("p", "tok"))
     # n, p and open in one long: a posting is as short as it can be.
-    posted = posted.select("tok", "d", "l", "bits", F.col("n").bitwiseOR(F.shiftleft("p", 1).cast("long")).alias("npo"))
+    posted = posted.select("tok", "d", "l", "bits", "high", F.col("n").bitwiseOR(F.shiftleft("p", 1).cast("long")).alias("npo"))
     a, b = _sided(posted, "a"), _sided(posted, "b")
     an, bn = (F.shiftright(F.col(f"{s}npo"), 32).cast("int") for s in "ab")
     ap, bp = (F.shiftright(F.col(f"{s}npo").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int") for s in "ab")
@@ -139,21 +151,25 @@ def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
         & _fits(an, bn, similarity) & (F.least(an - ap, bn - bp) >= _overlap(an, bn, similarity)),
     )
     early, late = (F.when(x, F.struct(F.col("ad").alias("d"), F.col("al").alias("l"))).otherwise(F.struct(F.col("bd").alias("d"), F.col("bl").alias("l"))) for x in (first, ~first))
-    return pairs.select(early.alias("a"), late.alias("b")).select(F.col("a.d").alias("ad"), F.col("a.l").alias("al"), F.col("b.d").alias("bd"), F.col("b.l").alias("bl")).distinct()
+    pairs = pairs.select(early.alias("a"), late.alias("b"), (bn > VERY_LONG).alias("long"))
+    return pairs.select(F.col("a.d").alias("ad"), F.col("a.l").alias("al"), F.col("b.d").alias("bd"), F.col("b.l").alias("bl"), "long").distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose prefixes have enough words in common.
+    """Pairs, of very long sets only those whose prefixes have enough words in common.
 
     Words are in one order, so either all of a's prefix that b's has not is missing in b, or all of
     b's that a's has not is missing in a: the sets share no more than the larger rest and what
     the prefixes share. (Words of one hash in a prefix are allowed for.)
     """
-    a, b = (_sided(classes.select("d", "l", "n", "prefix"), s) for s in "ab")
-    both = pairs.join(a, ["ad", "al"]).join(b, ["bd", "bl"])
+    # The smaller set of such a pair may be shorter itself.
+    some = classes.where(F.col("n") >= F.floor(F.lit(VERY_LONG * similarity)))
+    a, b = (_sided(some.select("d", "l", "n", "prefix"), s) for s in "ab")
+    both = pairs.where("long").join(a, ["ad", "al"]).join(b, ["bd", "bl"])
     rest = F.greatest(F.col("an") - F.size("aprefix"), F.col("bn") - F.size("bprefix"))
     shared = F.size(F.array_intersect("aprefix", "bprefix")) + F.size("aprefix") - F.size(F.array_distinct("aprefix"))
-    return both.where(rest + shared >= _overlap(F.col("an"), F.col("bn"), similarity)).select("ad", "al", "bd", "bl")
+    alike = both.where(rest + shared >= _overlap(F.col("an"), F.col("bn"), similarity)).select("ad", "al", "bd", "bl")
+    return pairs.where("NOT long").select("ad", "al", "bd", "bl").union(alike)
 
 
 def _sent_out(rows: DataFrame, lines: int, limit: int) -> DataFrame:
@@ -199,7 +215,8 @@ def matched_later(docs: DataFrame, classes: DataFrame, *, similarity: float, lim
     """
     found, marked = None, classes.withColumn("open", F.lit(True))
     if _is_dense(classes):
-        found = _matched(docs, saved(_likely(_crowded(classes, similarity), classes, similarity)), similarity, limit)
+        crowded = saved(_crowded(classes, similarity))
+        found = _matched(docs, saved(_likely(crowded, classes, similarity)), similarity, limit)
         known = found.select("d", "l", F.lit(False).alias("open"))
         marked = saved(classes.join(known, ["d", "l"], "left").withColumn("open", F.coalesce("open", F.lit(True))))
     candidates = saved(_candidates(marked, similarity))
