@@ -39,24 +39,42 @@ def _against(rows: DataFrame, vector: str, key: str, ids: list, matrix: np.ndarr
 def max_cosine(rows: DataFrame, refs: DataFrame, vector: str, key: str, ref_key: str, *, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(key, ref_id, cos): the reference with the greatest dot product, the least id at ties.
 
-    Vectors are units of one width. References go out in blocks of at most ``limit`` bytes,
-    each against all rows; block results meet in an aggregate, so their number is not bounded.
+    Vectors are units of one width. References of at most ``limit`` bytes are broadcast. More of them
+    are dealt into blocks, and so are the rows: every two blocks meet in one task, nothing of them
+    in the driver, and the blocks' results in an aggregate.
     """
     count, width = refs.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
     if not count:
         return rows.select(key, F.lit(None).cast("long").alias("ref_id"), F.lit(None).cast("double").alias("cos"))
     blocks = -(-count * width * 8 // limit)
-    out = None
-    for i in range(blocks):
-        part = refs if blocks == 1 else refs.where(F.pmod(F.xxhash64(ref_key), F.lit(blocks)) == i)
-        got = part.select(ref_key, F.col(vector).cast("array<double>").alias("v")).orderBy(ref_key).toArrow()
-        if not got.num_rows:
-            continue
-        matrix = np.array(got.column("v").combine_chunks().flatten().to_numpy()).reshape(got.num_rows, -1)
-        one = _against(rows, vector, key, got.column(ref_key).to_pylist(), matrix)
-        out = one if out is None else out.unionByName(one)
     if blocks == 1:
-        return out
+        got = refs.select(ref_key, F.col(vector).cast("array<double>").alias("v")).orderBy(ref_key).toArrow()
+        matrix = np.array(got.column("v").combine_chunks().flatten().to_numpy()).reshape(got.num_rows, -1)
+        return _against(rows, vector, key, got.column(ref_key).to_pylist(), matrix)
+    parts = max(1, -(-rows.count() * width * 8 // limit))
+    deal = lambda df, of, n, name: df.withColumn(name, F.pmod(F.xxhash64(of), F.lit(n)).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = deal(rows.select(key, F.col(vector).cast("array<double>").alias("_v")), key, parts, "_a").withColumn("_b", every(blocks))
+    others = deal(refs.select(F.col(ref_key).alias("_ref"), F.col(vector).cast("array<double>").alias("_v")), "_ref", blocks, "_b").withColumn("_a", every(parts))
+    schema = rows.select(key).schema.add("ref_id", "long").add("cos", "double")
+    kind = pa.int64()
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({key: left.column(key).slice(0, 0), "ref_id": pa.array([], kind), "cos": pa.array([], pa.float64())})
+        right = right.sort_by("_ref")
+        x, y = (t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (left, right))
+        ids = right.column("_ref").to_numpy()
+        best, at = np.full(len(x), -np.inf), np.zeros(len(x), np.int64)
+        for i in range(0, len(y), 4096):
+            cos = x @ y[i : i + 4096].T
+            j = cos.argmax(1)
+            top = cos[np.arange(len(x)), j]
+            better = top > best
+            best[better], at[better] = top[better], i + j[better]
+        return pa.table({key: left.column(key), "ref_id": pa.array(ids[at].astype(np.int64)), "cos": pa.array(best)})
+
+    out = own.groupBy("_a", "_b").cogroup(others.groupBy("_a", "_b")).applyInArrow(meet, schema)
     return out.groupBy(key).agg(F.max(F.struct(F.col("cos"), (-F.col("ref_id")).alias("m"))).alias("b")).select(key, (-F.col("b.m")).alias("ref_id"), "b.cos")
 
 

@@ -31,10 +31,24 @@ def strided_shard(df: DataFrame, index: str, rank: int, world: int, skip: int =
     return df.where((F.col(index) >= skip) & (F.pmod(F.col(index) - skip, F.lit(world)) == rank))
 
 
+def numbered(df: DataFrame, bucket: Column, order: list[Column], name: str, within: list[str] | None = None, *, descending: bool = False) -> DataFrame:
+    """Adds name: 1, 2, ... in ``order`` (in each group of ``within``), where ``bucket`` does not
+    fall (with ``descending``: rise) along it. Rows are numbered within a bucket; only the buckets'
+    sizes meet in one place, so their number has to be bounded."""
+    keys = within or []
+    b = df.withColumn("_b", bucket)
+    sizes = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    along = Window.partitionBy(*keys, F.lit(0)).orderBy(F.desc("_b") if descending else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys, "_b", F.coalesce(F.sum("_c").over(along), F.lit(0)).alias("_o"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
+    return b.withColumn("_p", place).join(before, [*keys, "_b"]).withColumn(name, F.col("_o") + F.col("_p")).drop("_b", "_o", "_p")
+
+
 def split_groups(df: DataFrame, group: str, seed: int, held: float) -> DataFrame:
     """Adds held_out: whole groups, max(1, int(groups * held)) of them."""
     groups = df.select(group).distinct()
-    ranked = groups.withColumn("_n", F.row_number().over(Window.orderBy(hkey(seed, F.col(group)), group)))
+    key = hkey(seed, F.col(group))
+    ranked = numbered(groups, F.substring(key, 1, 3), [key, F.col(group)], "_n")
     count = groups.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * held)).alias("_held"))
     marked = ranked.crossJoin(F.broadcast(count)).select(group, (F.col("_n") <= F.col("_held")).alias("held_out"))
     return df.join(marked, group)
@@ -85,21 +99,24 @@ def level_capacity(df: DataFrame, block: str, rank: str, doc: str, seed: int, le
 def pack_next_fit(df: DataFrame, group: str, order: str, length: str, budget: int) -> DataFrame:
     """Adds bin: rows of a group in order, a new bin when the next does not fit; oversize rows go.
 
-    Sequential within a group, so a grouped pandas function; groups part the work.
+    Sequential within a group by its nature. Rows are sorted by Spark and streamed, so a task
+    holds one batch however large a group is.
     """
     schema = T.StructType(list(df.schema.fields)).add("bin", "integer")
 
-    def run(pdf):  # noqa: ANN001, ANN202
-        pdf = pdf[pdf[length] <= budget].sort_values(order)
-        bins, held, now = [], 0, -1
-        for n in pdf[length]:
-            if now < 0 or held + n > budget:
-                now, held = now + 1, 0
-            held += n
-            bins.append(now)
-        return pdf.assign(bin=bins).astype({"bin": "int32"})
+    def run(frames):  # noqa: ANN001, ANN202
+        last, held, now = None, 0, -1
+        for pdf in frames:
+            bins = []
+            for g, n in zip(pdf[group], pdf[length]):
+                if now < 0 or g != last or held + n > budget:
+                    now, held = (now + 1, 0) if g == last and now >= 0 else (0, 0)
+                last, held = g, held + n
+                bins.append(now)
+            yield pdf.assign(bin=bins).astype({"bin": "int32"})
 
-    return df.groupBy(group).applyInPandas(run, schema)
+    fits = df.where(F.col(length) <= budget)
+    return fits.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)
 
 
 def batch_by_budget(df: DataFrame, group: str, key: str, length: str, budget: int, most: int) -> DataFrame:
@@ -107,15 +124,18 @@ def batch_by_budget(df: DataFrame, group: str, key: str, length: str, budget: in
     ``most`` rows a batch."""
     schema = T.StructType(list(df.schema.fields)).add("batch", "integer")
 
-    def run(pdf):  # noqa: ANN001, ANN202
-        pdf = pdf.sort_values([length, key], ascending=[False, True])
-        out, now, rows, longest = [], 0, 0, 0
-        for n in pdf[length]:
-            if rows and ((rows + 1) * longest > budget or rows >= most):
-                now, rows, longest = now + 1, 0, 0
-            longest = max(longest, n)
-            rows += 1
-            out.append(now)
-        return pdf.assign(batch=out).astype({"batch": "int32"})
-
-    return df.groupBy(group).applyInPandas(run, schema)
+    def run(frames):  # noqa: ANN001, ANN202
+        last, now, rows, longest = None, 0, 0, 0
+        for pdf in frames:
+            out = []
+            for g, n in zip(pdf[group], pdf[length]):
+                if g != last:
+                    last, now, rows, longest = g, 0, 0, 0
+                if rows and ((rows + 1) * longest > budget or rows >= most):
+                    now, rows, longest = now + 1, 0, 0
+                longest = max(longest, n)
+                rows += 1
+                out.append(now)
+            yield pdf.assign(batch=out).astype({"batch": "int32"})
+
+    return df.repartition(group).sortWithinPartitions(group, F.desc(length), key).mapInPandas(run, schema)

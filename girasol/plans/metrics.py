@@ -72,7 +72,14 @@ _RANKS = "WITH b AS (SELECT user_id, event_type, max(value) v FROM events GROUP
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("v"))
-    return b.withColumn("r", F.rank().over(Window.partitionBy("event_type").orderBy(F.desc("v"))))
+    # Equal values have one rank: those before it. Values are counted, and numbered by whole parts.
+    values = b.groupBy("event_type", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("b", F.floor("v"))
+    sizes = values.groupBy("event_type", "b").agg(F.sum("c").alias("s"))
+    down = lambda by, *keys: Window.partitionBy(*keys).orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("event_type", "b", F.coalesce(F.sum("s").over(down("b", "event_type")), F.lit(0)).alias("o"))
+    own = F.coalesce(F.sum("c").over(down("v", "event_type", "b")), F.lit(0))
+    ranks = values.withColumn("p", own).join(before, ["event_type", "b"]).select("event_type", "v", (F.col("o") + F.col("p") + 1).alias("r"))
+    return b.join(ranks, ["event_type", "v"])
 
 
 @query(_RANKS + " SELECT user_id, event_type, r AS rank FROM r")

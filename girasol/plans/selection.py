@@ -352,7 +352,12 @@ def t23_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by length, cut into micro-batches: ranks come from counts by length, then the place in it."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"))
     sizes = d.groupBy("n_chars").agg(F.count(F.lit(1)).alias("c"))
-    before = sizes.select("n_chars", F.coalesce(F.sum("c").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # Lengths are summed up within 4096 of them, and those sums then.
+    sizes = sizes.withColumn("b", F.floor(F.col("n_chars") / 4096))
+    up = lambda by, *keys: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    whole = sizes.groupBy("b").agg(F.sum("c").alias("s")).select("b", F.coalesce(F.sum("s").over(up("b", F.lit(0))), F.lit(0)).alias("o"))
+    part = sizes.withColumn("p", F.coalesce(F.sum("c").over(up("n_chars", "b")), F.lit(0)))
+    before = part.join(whole, "b").select("n_chars", (F.col("o") + F.col("p")).alias("before"))
     r = d.join(before, "n_chars").withColumn("n", F.col("before") + F.row_number().over(Window.partitionBy("n_chars").orderBy("doc_id")) - 1)
     return r.groupBy(F.floor(F.col("n") / 32).alias("micro_batch")).agg(F.count(F.lit(1)).alias("rows"), (F.max("n_chars") - F.min("n_chars")).alias("spread"))
 

@@ -119,7 +119,8 @@ def st12_pending_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     c = e.select(F.col("user_id").alias("ckpt")).distinct()
     done = e.where("event_type = 'purchase' AND value > 70").select(F.col("user_id").alias("ckpt")).distinct()
-    return c.join(done, "ckpt", "left_anti").withColumn("turn", F.row_number().over(Window.orderBy(F.desc("ckpt"))))
+    left = c.join(done, "ckpt", "left_anti")
+    return select.numbered(left, F.floor(F.col("ckpt") / 1024), [F.desc("ckpt")], "turn", descending=True)
 
 
 @query("SELECT source, max(doc_id) AS last_doc, count(*) AS lines FROM documents WHERE doc_id % 9 < 7 GROUP BY source")
