@@ -4,8 +4,8 @@ Grams are hashed into m segments, m set by a band of set sizes. Two sets of the
 differ in at most H grams agree on one of H + 1 segments, or are one deletion apart on one
 of about H / 2. Small sets use one-deletion neighbourhoods, large ones segments as they are,
 whichever needs fewer signatures; each large set has some segments more than it needs and
-probes only with those that are cheapest, so that empty ones are skipped. Pairs that share
-a signature are verified on their whole texts.
+probes only with those that are fullest, so that empty ones are skipped, and has to share
+several of them with the other set. Such pairs are verified on their whole texts.
 """
 
 from __future__ import annotations
@@ -90,6 +90,25 @@ def difference(total: np.ndarray, percent: int) -> np.ndarray:
     return total * (100 - percent) // (100 + percent)
 
 
+def allotment(scheme: np.ndarray, low: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """For schemes by number (their lower band; -1: none): (segments, whether one-deletion
+    neighbourhoods are used, segments that probe, signatures that a linked pair shares at least).
+
+    A linked pair differs in at most h grams, so of h + k segments that probe at least k agree.
+    """
+    # A pair of the scheme is one of its lower band with one of either.
+    lower, top = (low[np.minimum(np.maximum(scheme, 0) + k, len(low) - 1)] - 1 for k in (1, 2))
+    h = difference(lower + top, percent)
+    # Cost: signatures of one-deletion neighbourhoods against those of whole segments, for the
+    # scheme's largest sets, so that both sets of a pair choose alike.
+    whole = h + 1 + h // 8
+    pieces = (h + 2) // 2
+    deletion = pieces + top <= 3 * whole
+    ok = (scheme >= 0) & (h > 0)
+    more = np.where(deletion, 0, h // 16)
+    return np.where(ok, np.where(deletion, pieces, whole), 0), deletion, h + 1 + more, 1 + more
+
+
 def signatures(grams: np.ndarray, at: np.ndarray, percent: int, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, number of the set, whether the set probes with it)."""
     sizes = np.diff(at)
@@ -98,18 +117,8 @@ def signatures(grams: np.ndarray, at: np.ndarray, percent: int, low: np.ndarray)
     parts = []
     for step in (0, 1):  # with sets of the same and the next band, then with the band before
         scheme = band - step
-        ok = (sizes > 0) & (scheme >= 0)
-        # A pair of the scheme is one of its lower band with one of either.
-        lower, top = (low[np.minimum(np.maximum(scheme, 0) + k, len(low) - 1)] - 1 for k in (1, 2))
-        h = difference(lower + top, percent)
-        ok &= h > 0
-        # Cost: signatures of one-deletion neighbourhoods against those of whole segments, for the
-        # scheme's largest sets, so that both sets of a pair choose alike.
-        whole = h + 1 + 1 + h // 32
-        pieces = (h + 2) // 2
-        deletion = pieces + top <= 3 * whole
-        m = np.where(deletion, pieces, whole)
-        m = np.where(ok, m, 0)
+        m, deletion, probes, _ = allotment(np.where(sizes > 0, scheme, -1), low, percent)
+        ok = m > 0
         base = np.cumsum(m) - m
         count = int(m.sum())
         if not count:
@@ -122,11 +131,11 @@ def signatures(grams: np.ndarray, at: np.ndarray, percent: int, low: np.ndarray)
         held = np.bincount(segment, minlength=count)
         of = np.repeat(np.arange(len(sizes)), m)
         salt = mix((np.arange(count) - base[of]).astype(_U) + (scheme[of].astype(_U) << _U(32)), 13)
-        # Whole segments: the fullest h + 1 of a set probe.
+        # Whole segments: the fullest of a set probe.
         order = np.lexsort((-held, of))
         rank = np.empty(count, np.int64)
         rank[order] = np.arange(count) - base[of[order]]
-        parts.append((mix(sums + salt, 14), of, deletion[of] | (rank < (h + 1)[of])))
+        parts.append((mix(sums + salt, 14), of, deletion[of] | (rank < probes[of])))
         small = deletion[own]
         segment, own, gone = segment[small], own[small], value[live][small]
         parts.append((mix(sums[segment] - gone + salt[segment], 14), own, np.ones(len(own), bool)))
@@ -139,16 +148,18 @@ def _bits(words: int) -> list[str]:
     return [f"b{i}" for i in range(words)]
 
 
-def _describe(docs: DataFrame, size: int, words: int, slice_bytes: int) -> DataFrame:
-    """doc_id, n, c1, c2 (a 128-bit signature of the set) and a parity bitmap of ``words`` longs."""
-    names = ["doc_id", "n", "c1", "c2", *_bits(words)]
+def _describe(docs: DataFrame, size: int, percent: int, words: int, slice_bytes: int) -> DataFrame:
+    """doc_id, n, need (signatures that it has to share with a larger set), c1, c2 (a 128-bit signature
+    of the set) and a parity bitmap of ``words`` longs."""
+    names, low = ["doc_id", "n", "need", "c1", "c2", *_bits(words)], bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, slice_bytes, "__girasol_text"):
             grams, at = gram_sets(texts, size)
             c1, c2 = signatures_of_sets(grams, at)
             bits = parities(grams, at, words)
-            columns = [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))]
+            need = allotment(np.searchsorted(low, np.diff(at), "right") - 1, low, percent)[3]
+            columns = [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(need.astype(np.int64)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(words)]], names=names)
 
     return docs.mapInArrow(run, ", ".join(f"{x} long" for x in names))
@@ -254,28 +265,35 @@ def _fits(percent: int, words: int) -> Column:
     return near & (apart <= F.floor((left + right) * (100 - percent) / (100 + percent))) & (F.col("x_rep") != F.col("y_rep"))
 
 
-def _as_ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+def _need() -> Column:
+    """Signatures that linked sets x and y share at least: those of the smaller one's scheme."""
+    return F.when(F.col("x_n") <= F.col("y_n"), F.col("x_need")).otherwise(F.col("y_need"))
 
 
 def _passing(pairs: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
-    """Pairs of sets (x, y) as pairs of first ids (a, b) whose sizes and bitmaps allow a link."""
-    about = ("rep", "n", *_bits(words))
+    """Pairs of sets (x, y) as pairs of first ids (a, b) whose sizes and bitmaps allow a link, and
+    that came by a good part of the signatures which they have to share."""
+    about = ("rep", "n", "need", *_bits(words))
     left, right = (classes.select(F.col("c1").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in about]) for s in "xy")
-    return _as_ids(pairs.distinct().join(left, "x").join(right, "y").where(_fits(percent, words)))
+    often = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_times"))
+    fit = often.join(left, "x").join(right, "y").where(_fits(percent, words) & (4 * F.col("_times") >= _need()))
+    return fit.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def _cross(members: DataFrame, classes: DataFrame, components: DataFrame, percent: int, words: int) -> DataFrame:
-    """Pairs (a, b) of first ids of sets that share a signature but no component yet, one of
-    them probing, whose sizes and bitmaps allow a link. The test is part of the join."""
+    """Pairs (a, b) of first ids of sets that share enough signatures, one of the two probing with
+    each, but no component yet, and whose sizes and bitmaps allow a link. The test is part of the join."""
     comps = classes.join(components, F.col("rep") == F.col("node"), "left").select(F.col("c1").alias("cid"), F.coalesce("component", "rep").alias("comp"))
     own = members.join(comps, "cid")
-    open_ = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    about = ("rep", "n", *_bits(words))
+    open_ = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("probe").alias("some")).where("lo != hi AND some").select("key")
+    about = ("rep", "n", "need", *_bits(words))
     left = own.join(open_, "key").join(classes.select(F.col("c1").alias("cid"), *about), "cid")
     x, y = (left.select(F.col("key").alias(f"{s}_key"), *[F.col(c).alias(f"{s}_{c}") for c in (*about, "cid", "comp", "probe")]) for s in "xy")
-    apart = (F.col("x_cid") < F.col("y_cid")) & (F.col("x_comp") != F.col("y_comp")) & (F.col("x_probe") | F.col("y_probe"))
-    return _as_ids(x.join(y, (F.col("x_key") == F.col("y_key")) & apart & _fits(percent, words)))
+    # x probes; where y does too, the pair is taken once.
+    once = (F.col("x_cid") != F.col("y_cid")) & (~F.col("y_probe") | (F.col("x_cid") < F.col("y_cid")))
+    pairs = x.where("x_probe").join(y, (F.col("x_key") == F.col("y_key")) & once & (F.col("x_comp") != F.col("y_comp")) & _fits(percent, words))
+    pairs = pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), _need().alias("need"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_times"), F.min("need").alias("need")).where("_times >= need").select("a", "b")
 
 
 def shared_grams(grams: np.ndarray, at: np.ndarray, width: int = 8192) -> np.ndarray:
@@ -348,7 +366,7 @@ def link_documents(docs: DataFrame, *, size: int = 3, percent: int = 90, passes:
     (copies are not links here). Without ``count_links`` there is no such column.
 
     First every set that shares a signature is tried with its neighbour and with the first
-    of the signature; then, among sets that share a signature but ended in different
+    of the signature; then, among sets that share enough signatures but ended in different
     components, all that sizes and bitmaps allow. ``staged`` verifies one pair of each set
     before the other pairs of the first step, which moves fewer texts and takes more rounds;
     components are the same. ``bitmap_words`` longs a set tell unlike sets apart before their
@@ -358,8 +376,8 @@ def link_documents(docs: DataFrame, *, size: int = 3, percent: int = 90, passes:
     without an id take part by their text.
     """
     source = docs.select("doc_id", F.col("text").cast("string").alias("__girasol_text"))
-    base = saved(_describe(source, size, bitmap_words, slice_bytes))
-    numbers = [F.min(c).alias(c) for c in ("n", *_bits(bitmap_words))]
+    base = saved(_describe(source, size, percent, bitmap_words, slice_bytes))
+    numbers = [F.min(c).alias(c) for c in ("n", "need", *_bits(bitmap_words))]
     classes = saved(base.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), *numbers))
     # Keys are taken part by part: each part's shuffle is gone before the next begins.
     shared = None

@@ -337,21 +337,26 @@ def test_ngram_join_edges(edge, spark):
     assert ngramjoin.link_documents(edge.where("false")).count() == 0
 
 
-def test_segments_find_all_links_of_random_sets():
+@pytest.mark.parametrize("percent", [90, 80])
+def test_linked_sets_share_as_many_signatures_as_they_need(percent):
     rng = np.random.default_rng(3)
-    low = ngramjoin.bands(90)
-    for _ in range(120):
-        n = int(rng.integers(10, 160))
+    low, tried = ngramjoin.bands(percent), 0
+    for _ in range(200):
+        n = int(rng.integers(10, 160)) if rng.random() < 0.7 else int(rng.integers(400, 3000))
         a = rng.integers(1, 2**63, n, dtype=np.uint64)
-        drop = int(rng.integers(0, n // 10 + 1))
-        add = int(rng.integers(0, n // 10 + 1))
+        drop, add = (int(rng.integers(0, n * (100 - percent) // 100 + 1)) for _ in range(2))
         b = np.concatenate([a[drop:], rng.integers(1, 2**63, add, dtype=np.uint64)])
-        if 100 * (n - drop) < 90 * (n + add):
+        if 100 * (n - drop) < percent * (n + add) or drop + add == 0:
             continue
+        tried += 1
         grams, at = np.concatenate([np.sort(a), np.sort(b)]), np.array([0, n, n + len(b)])
-        key, of, probe = ngramjoin.signatures(grams, at, 90, low)
-        left, right = set(key[of == 0].tolist()), set(key[(of == 1) & probe].tolist())
-        assert left & right or set(key[of == 1].tolist()) & set(key[(of == 0) & probe].tolist()) or drop + add == 0
+        key, of, probe = ngramjoin.signatures(grams, at, percent, low)
+        small = min(n, len(b))
+        need = ngramjoin.allotment(np.searchsorted(low, [small], "right") - 1, low, percent)[3][0]
+        keys = [set(key[of == i].tolist()) for i in (0, 1)]
+        probes = [set(key[(of == i) & probe].tolist()) for i in (0, 1)]
+        assert len((keys[0] & probes[1]) | (keys[1] & probes[0])) >= need
+    assert tried > 60
 
 
 def test_connected_components(spark):
