@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, imatch, langid, linededup, ngramjoin, quality, secrets, suffixdedup, toxicity
+from . import decontaminate, imatch, langid, linededup, ngramjoin, oracles, quality, secrets, suffixdedup, toxicity
 from .bpe import encode_documents
 from .common import is_held_out, table
 
@@ -66,4 +66,8 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_byte_conv_langid, op2_secret_battery, op3_spaced_seed_decontamination, op4_ngram_jaccard, op5_suffix_dedup, op6_imatch_fingerprints, op7_ordinal_toxicity, op8_byte_bpe, op9_line_dedup, op10_quality_qda,
 )}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_spaced_seed_decontamination": oracles.OP3_SPACED_SEED_DECONTAMINATION,
+    "op4_ngram_jaccard": oracles.OP4_NGRAM_JACCARD,
+    "op9_line_dedup": oracles.OP9_LINE_DEDUP,
+}

@@ -514,8 +514,8 @@ def brute_lines(rows, similarity=0.8):
 @pytest.mark.parametrize("limit,dense", [(4_000_000, False), (0, True)])
 def test_line_dedup_equals_brute_force(spark, docs, monkeypatch, limit, dense):
     if dense:
-        monkeypatch.setattr(linededup, "CROWD", 1)
-        monkeypatch.setattr(linededup, "DENSE", 0)
+        for name, value in (("CROWD", 1), ("DENSE", 0), ("SPARSE", 1)):
+            monkeypatch.setattr(linededup, name, value)
     rng = random.Random(3)
     words = [f"v{i}" for i in range(300)]
     base = [rng.choices(words, k=20) for _ in range(12)]
@@ -616,3 +616,18 @@ def test_every_operator_is_registered():
     assert "pipeline" in names
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.QUERIES) <= set(names)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_sql(spark, sf_dir, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    found = c.sql(queries.ORACLE_SQL[name])
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(df.columns) == sorted(found.columns)
+    ours = sorted(str([r[x] for x in sorted(df.columns)]) for r in df.collect())
+    at = [found.columns.index(x) for x in sorted(found.columns)]
+    assert ours == sorted(str([r[i] for i in at]) for r in found.fetchall())
