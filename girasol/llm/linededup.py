@@ -26,6 +26,8 @@ LONG, VERY_LONG = 100, 200
 CROWD = 256
 #: Pairs within crowds, in multiples of the number of sets, from which crowds are first thinned out.
 DENSE = 16
+#: Parts of all words, by hash.
+PARTS = 2
 #: One in so many sets is looked at to estimate those pairs.
 SPARSE = 8
 #: White space other than U+0020 and the newline that parts lines.
@@ -137,25 +139,35 @@ def _crowded(classes: DataFrame, similarity: float) -> DataFrame:
 
 def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a before b) of places, b one of the open sets, that pass the prefix, length,
-    positional and bitmap filters. In the join, a is the set of fewer words."""
+    positional and bitmap filters. In the join, a is the set of fewer words. Words are joined in
+    PARTS parts, so that the postings of one are gone before the next begins."""
     size = F.shiftleft(F.col("n").cast("long"), 32)
     posted = classes.select("d", "l", size.bitwiseOR(F.col("open").cast("long")).alias("n"), "bits", "high", F.posexplode("prefix").alias("p", "tok"))
     # n, p and open in one long: a posting is as short as it can be.
     posted = posted.select("tok", "d", "l", "bits", "high", F.col("n").bitwiseOR(F.shiftleft("p", 1).cast("long")).alias("npo"))
-    a, b = _sided(posted, "a"), _sided(posted, "b")
     an, bn = (F.shiftright(F.col(f"{s}npo"), 32).cast("int") for s in "ab")
     ap, bp = (F.shiftright(F.col(f"{s}npo").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int") for s in "ab")
     aopen, bopen = (F.col(f"{s}npo").bitwiseAND(F.lit(1)) == 1 for s in "ab")
-    a = a.where(ap <= an - F.ceil(an * F.lit(2 * similarity / (1 + similarity)) - 1e-9))
     first = _before("a", "b")
-    pairs = a.join(
-        b,
-        (F.col("atok") == F.col("btok")) & ((an < bn) | ((an == bn) & first)) & F.when(first, bopen).otherwise(aopen)
-        & _fits(an, bn, similarity) & (F.least(an - ap, bn - bp) >= _overlap(an, bn, similarity)),
-    )
     early, late = (F.when(x, F.struct(F.col("ad").alias("d"), F.col("al").alias("l"))).otherwise(F.struct(F.col("bd").alias("d"), F.col("bl").alias("l"))) for x in (first, ~first))
-    pairs = pairs.select(early.alias("a"), late.alias("b"), (bn > VERY_LONG).alias("long"))
-    return pairs.select(F.col("a.d").alias("ad"), F.col("a.l").alias("al"), F.col("b.d").alias("bd"), F.col("b.l").alias("bl"), "long").distinct()
+
+    def of_part(part: int) -> DataFrame:
+        some = posted.where(F.pmod("tok", F.lit(PARTS)) == part)
+        a, b = _sided(some, "a"), _sided(some, "b")
+        a = a.where(ap <= an - F.ceil(an * F.lit(2 * similarity / (1 + similarity)) - 1e-9))
+        pairs = a.join(
+            b,
+            (F.col("atok") == F.col("btok")) & ((an < bn) | ((an == bn) & first)) & F.when(first, bopen).otherwise(aopen)
+            & _fits(an, bn, similarity) & (F.least(an - ap, bn - bp) >= _overlap(an, bn, similarity)),
+        )
+        pairs = pairs.select(early.alias("a"), late.alias("b"), (bn > VERY_LONG).alias("long"))
+        return pairs.select(F.col("a.d").alias("ad"), F.col("a.l").alias("al"), F.col("b.d").alias("bd"), F.col("b.l").alias("bl"), "long").distinct()
+
+    out = None
+    for part in range(PARTS):
+        one = saved(of_part(part))
+        out = one if out is None else out.union(one)
+    return out.distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:

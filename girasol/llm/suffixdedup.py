@@ -201,7 +201,9 @@ def minimisers(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, hashes:
     grams = hashes.all(GRAM)
     if len(grams) < window:
         return np.zeros(0, np.int64)
-    packed = (grams >> _U(28) << _U(28)) | np.arange(len(grams), dtype=_U)
+    # A gram's place is in the low bits of its hash, as many as the places need.
+    bits = max(28, len(grams).bit_length())
+    packed = (grams >> _U(bits) << _U(bits)) | np.arange(len(grams), dtype=_U)
     rows = -(-len(packed) // window) + 1
     block = np.full(rows * window, ~_U(0))
     block[: len(packed)] = packed
@@ -215,7 +217,7 @@ def minimisers(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, hashes:
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, np.minimum(stops[long] - length + 1, n), -1)
     ok = np.cumsum(inside[:n]) > 0
-    return np.unique(least[ok] & _U((1 << 28) - 1)).astype(np.int64)
+    return np.unique(least[ok] & _U((1 << bits) - 1)).astype(np.int64)
 
 
 def _sides(length: int) -> tuple[int, int]:

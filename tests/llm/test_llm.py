@@ -236,6 +236,26 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.find_contamination(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_equals_brute_force_on_odd_rows(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate((1, 3, 7, 12, 20, 26, 60))] + [(90, None), (91, ""), (92, "w1 w2")]
+    rows = [(None, items[4][1]), (None, "w1"), (5, None), (6, ""), (7, items[5][1]), (7, items[5][1]), (8, " ".join(rng.choices(words, k=9000)) + " " + items[6][1])]
+    for d in range(20, 60):
+        base = items[rng.randrange(2, 7)][1].split()
+        changed = [w if rng.random() > 0.2 else "zz" for w in base]
+        rows.append((d, " ".join(rng.choices(words, k=5) + changed + rng.choices(words, k=5))))
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, item_id string, matched int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i) for d, t in rows for i, b in items if b and brute_shares(t, b)}
+    for limit in (2_000_000, 0):
+        got = decontaminate.find_contamination(docs, bench, broadcast_rows=limit).collect()
+        assert {(r.doc_id, r.item_id) for r in got if r.doc_id is not None} == {w for w in want if w[0] is not None}
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in want if d is not None}
+
+
 def test_masks_hit_wherever_words_are_replaced():
     for length in range(1, 21):
         masks = decontaminate.masks_for(length, 0.8)
@@ -563,6 +583,19 @@ def test_op9_equals_brute_force(spark, sf_dir, docs):
 # --- the pipeline and the registered queries
 
 
+def brute_shares(text: str, item: str, window: int = 20) -> bool:
+    """Whether so many neighbouring words of the item are in the text, four fifths of them in place."""
+    doc, own = ([w for w in re.split(r"[\W_]+", (t or "").lower()) if w] for t in (text, item))
+    size, at = min(len(own), window), {}
+    for q, w in enumerate(doc):
+        at.setdefault(w, []).append(q)
+    hits: dict = {}
+    for p, w in enumerate(own):
+        for q in at.get(w, ()):
+            hits.setdefault(q - p, set()).add(p)
+    return any(sum(p in ps for p in range(s, s + size)) * 5 >= 4 * size for ps in hits.values() if 5 * len(ps) >= 4 * size for s in range(len(own) - size + 1)) if size else False
+
+
 def test_pipeline_stages_in_plain_python(spark, sf_dir, docs, labels):
     import corpus_pipeline
 
@@ -573,10 +606,9 @@ def test_pipeline_stages_in_plain_python(spark, sf_dir, docs, labels):
     now = {d: t for d, t in now.items() if model.score(np.array([quality.statistics(t)]))[0] >= 0.3}
     now = brute_lines(list(now.items()))
     now = {d: t for d, t in now.items() if brute[d][1] == d} if (brute := brute_components(now, 5, 80)) else now
-    plain = lambda t: " " + " ".join(w for w in re.split(r"[^\w]+|_", t.lower()) if w) + " "
-    clean = {d for d, t in now.items() if not any(plain(b) in plain(t) for _, b in bench)}
+    clean = {d for d, t in now.items() if not any(brute_shares(t, b) for _, b in bench)}
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
-    assert set(out) <= clean and len(clean - set(out)) <= 2
+    assert set(out) == clean
     for d, r in out.items():
         assert r.decoded_sha256 == hashlib.sha256(now[d].encode()).hexdigest()
 
@@ -631,3 +663,36 @@ def test_matches_sql(spark, sf_dir, name):
     ours = sorted(str([r[x] for x in sorted(df.columns)]) for r in df.collect())
     at = [found.columns.index(x) for x in sorted(found.columns)]
     assert ours == sorted(str([r[i] for i in at]) for r in found.fetchall())
+
+
+def test_models_on_empty_tables_repeated_ids_and_ties(spark, docs, labels, edge):
+    """Repeated rows teach once, whatever their number; an empty table has no scores."""
+    twice, more = docs.union(docs).union(docs), labels.union(labels)
+    a, b = quality.train(docs, labels), quality.train(twice, more)
+    assert np.allclose(a.means, b.means) and np.allclose(a.factors, b.factors)
+    one, two = toxicity.train(docs, labels), toxicity.train(twice, more)
+    assert one.weights == two.weights and np.allclose(one.thresholds, two.thresholds)
+    named = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
+    nets = [langid.train(d, epochs=1) for d in (named, named.union(named))]
+    assert nets[0].languages == nets[1].languages and np.allclose(nets[0].out, nets[1].out)
+    none = edge.where("false")
+    assert quality.score_documents(none, a).count() == toxicity.score_documents(none, one).count() == langid.identify(none, nets[0]).count() == 0
+    out = toxicity.score_documents(edge.withColumn("grade", F.lit("own")), one)
+    assert [f.dataType.simpleString() for f in out.schema if f.name == "grade"] == ["int"] and out.count() == len(EDGE)
+    # The same text has the same scores wherever it is.
+    same = {(r.severity, r.grade) for r in out.where("doc_id = 1004").collect()}
+    assert len(same) == 1
+    assert toxicity.train(none.select("doc_id", "text"), labels.where("false")).weights == {}
+
+
+def test_grades_are_told_by_words():
+    words = toxicity.Vocabulary.of([("scoundrels", 0, 50), ("scou~", 0, 50), ("scoun~", 0, 50), ("vile", 0, 40), ("wretch", 0, 30), ("wret~", 0, 30), ("wretc~", 0, 30), ("plain", 90, 10)], 100, 100, size=50)
+    texts = ["plain", "scoundrels", "scoundrels vile", "vile wretch scoundrels wretched", "Scoundrels scoundrels"]
+    hits = np.array([words.encode(t)[1] for t in texts])
+    assert hits.tolist() == [0, 1, 2, 4, 1]
+    assert toxicity.grades(hits, np.array([0, 1, 1, 1, 1])).tolist() == [0, 1, 2, 3, 1]
+
+
+def test_imatch_of_an_empty_table(spark, docs):
+    none = docs.where("false")
+    assert imatch.fingerprint_documents(none, imatch.build_lexicon(none)).count() == 0
