@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from girasol.functions.keys import hkey
 from girasol.operators import select
-from girasol.sources import readers
+from girasol.sources import readers, sinks
 
 from .common import query, table
 
@@ -56,8 +56,11 @@ def s11_row_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, min(vec_id) AS lo, max(vec_id) AS hi FROM embeddings")
 def s8_aligned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records against the rows that the raw shards' bytes amount to."""
     e = table(spark, sf_dir, "embeddings")
-    ok = readers.aligned_records(e.select("vec_id"), "vec_id", e.count())
+    shards = sinks.encode_vectors(e.withColumn("shard", F.floor(F.col("vec_id") / 128)), "shard", "vec_id", "embedding")
+    rows = shards.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)) / (4 * 64)).first()[0]
+    ok = readers.aligned_records(e.select("vec_id"), "vec_id", int(rows))
     return ok.agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi"))
 
 
