@@ -39,3 +39,23 @@ m AS (SELECT DISTINCT b.id FROM y JOIN e a ON a.id = i JOIN e b ON b.id = j WHER
 k AS (SELECT w.doc_id, w.pos, w.line, len(w.s) > 0 AND (e.p <> struct_pack(d := w.doc_id, l := w.pos) OR m.id IS NOT NULL) gone FROM w LEFT JOIN e ON e.s = w.s LEFT JOIN m ON m.id = e.id),
 g AS (SELECT doc_id, count(*) n_lines, count(*) FILTER (gone) n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT coalesce(gone, false)), '')) kept FROM k GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept AS kept_sha256 FROM t LEFT JOIN g USING (doc_id)"""
+
+#: All pairs of an anchor and a row; each window by itself.
+OP11_HARD_NEGATIVES = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) x FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id a, b.vec_id b, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT s FROM e a, e b WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, s FROM s WHERE same AND a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.b, p.s, s.b nb, s.s ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) r FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT a AS anchor_id, b AS positive_id, r::INT AS rank, nb AS negative_id, s AS positive_score, ns AS negative_score FROM n WHERE r <= 3"""
+#: The level from the order of caps over weights; each source's running sum.
+OP13_SOURCE_MIX = """
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT size, ('0x' || md5(concat_ws(':', '13', doc_id::VARCHAR))[1:15])::BIGINT k FROM documents),
+w AS (SELECT source, sum(size)::DOUBLE total, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE w FROM d GROUP BY source),
+o AS (SELECT *, 1.5::DOUBLE * sum(total) OVER () - coalesce(2 * sum(total) OVER before, 0) rest, sum(w) OVER () - coalesce(sum(w) OVER before, 0) left_w, row_number() OVER (ORDER BY total / w, source NULLS LAST) i FROM w
+    WINDOW before AS (ORDER BY total / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT min(i) i, arg_min(rest, i) rest, arg_min(left_w, i) left_w FROM o WHERE 2 * total * left_w > w * rest),
+t AS (SELECT source, total::BIGINT total, CASE WHEN l.i IS NULL OR o.i < l.i THEN 2 * total ELSE least(2 * total, w * l.rest / l.left_w) END target FROM o, l),
+c AS (SELECT d.*, total, target, floor(target)::BIGINT b, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT p FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, CASE WHEN total = 0 THEN 0 ELSE b // total END e, CASE WHEN total = 0 THEN 0 ELSE b % total END r FROM c)
+SELECT doc_id, size, total AS source_size, target, (e * size + greatest(0, least(size, r - p)))::BIGINT AS taken, greatest(0, least(size, r - p)) NOT IN (0, size) AS is_cut FROM r"""
