@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from girasol.functions.keys import hkey
 
@@ -94,48 +93,3 @@ def level_capacity(df: DataFrame, block: str, rank: str, doc: str, seed: int, le
         pick = pick.withColumn("_in", F.row_number().over(order)).where(F.col("_in") <= room).select(*df.columns, F.lit(level).alias("level"))
         chosen = saved(pick if chosen is None else chosen.unionByName(pick))
     return chosen
-
-
-def pack_next_fit(df: DataFrame, group: str, order: str, length: str, budget: int) -> DataFrame:
-    """Adds bin: rows of a group in order, a new bin when the next does not fit; oversize rows go.
-
-    Sequential within a group by its nature. Rows are sorted by Spark and streamed, so a task
-    holds one batch however large a group is.
-    """
-    schema = T.StructType(list(df.schema.fields)).add("bin", "integer")
-
-    def run(frames):  # noqa: ANN001, ANN202
-        last, held, now = None, 0, -1
-        for pdf in frames:
-            bins = []
-            for g, n in zip(pdf[group], pdf[length]):
-                if now < 0 or g != last or held + n > budget:
-                    now, held = (now + 1, 0) if g == last and now >= 0 else (0, 0)
-                last, held = g, held + n
-                bins.append(now)
-            yield pdf.assign(bin=bins).astype({"bin": "int32"})
-
-    fits = df.where(F.col(length) <= budget)
-    return fits.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)
-
-
-def batch_by_budget(df: DataFrame, group: str, key: str, length: str, budget: int, most: int) -> DataFrame:
-    """Adds batch: rows of a group by falling length, (rows + 1) x longest <= budget and at most
-    ``most`` rows a batch."""
-    schema = T.StructType(list(df.schema.fields)).add("batch", "integer")
-
-    def run(frames):  # noqa: ANN001, ANN202
-        last, now, rows, longest = None, 0, 0, 0
-        for pdf in frames:
-            out = []
-            for g, n in zip(pdf[group], pdf[length]):
-                if g != last:
-                    last, now, rows, longest = g, 0, 0, 0
-                if rows and ((rows + 1) * longest > budget or rows >= most):
-                    now, rows, longest = now + 1, 0, 0
-                longest = max(longest, n)
-                rows += 1
-                out.append(now)
-            yield pdf.assign(batch=out).astype({"batch": "int32"})
-
-    return df.repartition(group).sortWithinPartitions(group, F.desc(length), key).mapInPandas(run, schema)

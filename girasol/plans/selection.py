@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from girasol.functions.keys import hkey
-from girasol.operators import select
+from girasol.operators import packing, select
 from girasol.sources import readers, sinks
 
 from .common import query, table
@@ -336,16 +336,26 @@ def t20_near_miss_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.first_n(e, ["user_id"], [F.desc("value"), F.col("event_id")], 3).select("user_id", "event_id", F.round("value", 4).alias("act"))
 
 
-@query()
+#: Every row's next start, and the walk over them; {0} has i, doc_id, n and nxt.
+_RUNS = """
+WITH RECURSIVE {0},
+s(i, run) AS (SELECT 0::BIGINT, 0::BIGINT UNION ALL SELECT t.nxt, s.run + 1 FROM s JOIN t ON t.i = s.i WHERE t.nxt IN (SELECT i FROM t))
+SELECT doc_id, n, (SELECT max(run) FROM s WHERE s.i <= t.i) AS {1} FROM t"""
+
+
+@query(_RUNS.format("t AS (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 i, doc_id, n_chars n, i + greatest(1, least(16, CASE WHEN n_chars > 0 THEN 20000 // n_chars ELSE 16 END)) nxt FROM documents)", "batch"))
 def t21_budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("n_chars").cast("long").alias("n"))
-    return select.batch_by_budget(docs, "source", "doc_id", "n", 20_000, 16)
+    """The whole table by falling length: rows times the longest within 20000, 16 rows at most."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n"))
+    return packing.batch(docs, [F.col("doc_id")], "n", 20_000, 16)
 
 
-@query()
+@query(_RUNS.format("""p AS (SELECT row_number() OVER o - 1 i, doc_id, n_chars n, sum(n_chars) OVER (o ROWS UNBOUNDED PRECEDING) c FROM documents WHERE n_chars <= 8000 WINDOW o AS (ORDER BY md5('3:' || doc_id), doc_id)),
+t AS (SELECT a.i, a.doc_id, a.n, b.i nxt FROM p a ASOF LEFT JOIN p b ON a.c - a.n + 8000 < b.c)""", "bin"))
 def t22_next_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", hkey(3, F.col("doc_id")).alias("k"), F.col("n_chars").cast("long").alias("n"))
-    return select.pack_next_fit(docs, "source", "k", "n", 8_000)
+    """The whole table in a seeded order, packed into bins of 8000; longer rows go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n"))
+    return packing.pack(docs, [hkey(3, F.col("doc_id")), F.col("doc_id")], "n", 8_000)
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like saved, but as Parquet, so that a later step reads the columns that it needs."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def publish(df: DataFrame, path: str, *, by: list[str] | None = None) -> None:
     """Written once: refuses to overwrite; the commit protocol leaves _SUCCESS last."""
     writer = df.write.mode("errorifexists")

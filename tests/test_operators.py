@@ -96,21 +96,6 @@ def test_level_capacity_against_a_loop(spark):
     assert sorted((r.block, r["rank"], r.doc) for r in got) == sorted(chosen)
 
 
-def test_packing_and_budgets(spark):
-    rng = random.Random(1)
-    rows = [("g", i, rng.randint(1, 12)) for i in range(60)]
-    df = spark.createDataFrame(rows, "g string, i long, n long")
-    bins = {}
-    for r in select.pack_next_fit(df, "g", "i", "n", 10).collect():
-        bins.setdefault(r.bin, []).append(r.n)
-    assert all(sum(b) <= 10 for b in bins.values()) and sum(map(len, bins.values())) == sum(n <= 10 for *_, n in rows)
-    batches = {}
-    for r in select.batch_by_budget(df, "g", "i", "n", 40, 8).collect():
-        batches.setdefault(r.batch, []).append(r.n)
-    assert sum(map(len, batches.values())) == 60
-    assert all(len(b) <= 8 and (len(b) == 1 or len(b) * max(b) <= 40) for b in batches.values())
-
-
 def test_max_cosine_in_blocks_equals_one_block(spark):
     rng = random.Random(2)
     unit = lambda: [x / math.sqrt(sum(y * y for y in v)) for v in [[rng.gauss(0, 1) for _ in range(6)]] for x in v]
