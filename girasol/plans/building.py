@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from girasol.functions import text as tx
 from girasol.functions import vec
 from girasol.operators import bank, moments, select
-from girasol.sources import readers, sinks
+from girasol.sources import raw, readers, sinks
 from girasol.streaming import state
 
 from .common import query, table
@@ -22,13 +22,34 @@ def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.token_ids(F.col("text")).alias("ids"))
 
 
-@query("SELECT vec_id, len(embedding) AS width, round(embedding[1]::DOUBLE, 6) AS head, round(embedding[64]::DOUBLE, 6) AS last FROM embeddings")
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, len(embedding) AS width, round(embedding[1]::DOUBLE, 6) AS head, round(embedding[64]::DOUBLE, 6) AS last FROM embeddings")
 def s7_binary_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows out of raw shards of 32-bit numbers; readers.binary_vectors takes the same from files."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 128).alias("shard"), "embedding")
-    back = readers.decode_vectors(sinks.encode_vectors(rows, "shard", "vec_id", "embedding"), 64)
+    """Vectors written as raw 32-bit shards and read again in byte ranges, in the order of the shards."""
+    path = state.scratch(spark, "vectors")
+    raw.write_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", path)
     at = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double"), 6)
-    return back.select(F.col("row").alias("vec_id"), F.size("embedding").cast("long").alias("width"), at(0).alias("head"), at(63).alias("last"))
+    return raw.vectors(spark, path, 64, split_bytes=1 << 16).select("row", F.size("embedding").cast("long").alias("width"), at(0).alias("head"), at(63).alias("last"))
+
+
+_ROWS_OF_FILES = "WITH r AS (SELECT row_number() OVER (ORDER BY source, doc_id) - 1 AS row, doc_id, length(text) AS chars FROM documents)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of JSON lines: files of each source, in the order of doc_id."""
+    path = state.scratch(spark, "lines")
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    docs.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
+    return path
+
+
+@query(_ROWS_OF_FILES + " SELECT row, doc_id, chars FROM r WHERE row IN (SELECT doc_id FROM labels)")
+def s10_rows_by_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows out of many files of JSON lines by number: an index of offsets, then byte ranges only."""
+    path = _lines(spark, sf_dir)
+    wanted = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row"))
+    found = raw.lines_at(raw.line_index(spark, path, split_bytes=1 << 18), wanted, path)
+    doc = F.from_json("line", "doc_id long, text string")
+    return found.select("row", doc.alias("d")).select("row", "d.doc_id", F.length("d.text").cast("long").alias("chars"))
 
 
 @query("""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from girasol.functions.keys import hkey
 from girasol.operators import packing, select
-from girasol.sources import readers, sinks
+from girasol.sources import raw, readers, sinks
+from girasol.streaming import state
 
 from .common import query, table
 
@@ -50,18 +51,20 @@ def s5_file_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id BETWEEN 100 AND 199")
 def s11_row_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A few rows and columns; both reach the scan."""
+    """A few rows and columns; both reach the scan."""
     return table(spark, sf_dir, "embeddings").where("vec_id BETWEEN 100 AND 199").select("vec_id", "label")
 
 
-@query("SELECT count(*) AS n, min(vec_id) AS lo, max(vec_id) AS hi FROM embeddings")
+@query("SELECT count(*) AS n, min(vec_id) AS lo, max(vec_id) AS hi, sum(label)::BIGINT AS labels FROM embeddings")
 def s8_aligned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records against the rows that the raw shards' bytes amount to."""
+    """JSON records against the rows that the raw shards beside them hold by their sizes."""
     e = table(spark, sf_dir, "embeddings")
-    shards = sinks.encode_vectors(e.withColumn("shard", F.floor(F.col("vec_id") / 128)), "shard", "vec_id", "embedding")
-    rows = shards.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)) / (4 * 64)).first()[0]
-    ok = readers.aligned_records(e.select("vec_id"), "vec_id", int(rows))
-    return ok.agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi"))
+    shards, lines = state.scratch(spark, "vectors"), state.scratch(spark, "records")
+    raw.write_vectors(e, "vec_id", "embedding", shards)
+    e.select("vec_id", "label").write.json(lines)
+    records = spark.read.schema("vec_id long, label int").json(lines)
+    ok = readers.aligned_records(records, "vec_id", raw.row_count(shards, 64))
+    return ok.agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi"), F.sum("label").alias("labels"))
 
 
 @query("""

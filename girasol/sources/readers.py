@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,41 +60,3 @@ def jsonl_documents(spark: SparkSession, path: str, schema: str, *, least_chars:
     rows = corpus(spark, path, "json", schema).withColumn("file", F.col("_metadata.file_name"))
     rows = rows.where(F.length("text") >= least_chars)
     return rows.where(F.size(F.split(F.trim("text"), r"\s+")) >= least_tokens) if least_tokens else rows
-
-
-#: Bytes of one raw shard, which a task holds whole.
-MOST_SHARD_BYTES = 1 << 29
-
-
-def decode_vectors(shards: DataFrame, width: int, kind: str = "<f4") -> DataFrame:
-    """(row, embedding) of raw shards (first_row, content): rows of ``width`` numbers, end to end."""
-    one = np.dtype(kind).itemsize * width
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = raw.as_buffer()
-                if data.size % one:
-                    raise ValueError(f"a shard of {data.size} bytes has no whole number of rows of {one}")
-                flat = np.frombuffer(data, kind).astype(np.float32)
-                for at in range(0, len(flat), 8192 * width):
-                    part = flat[at : at + 8192 * width]
-                    rows = np.arange(len(part) // width) + first + at // width
-                    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(part) + 1, width, dtype=np.int32)), pa.array(part))
-                    yield pa.RecordBatch.from_arrays([pa.array(rows), vectors], names=["row", "embedding"])
-
-    return shards.select("first_row", "content").mapInArrow(run, "row long, embedding array<float>")
-
-
-def binary_vectors(spark: SparkSession, path: str, width: int, kind: str = "<f4") -> DataFrame:
-    """(row, embedding) of a folder of raw shards, in the order of their names. Rows are counted
-    from the files' sizes. A shard beyond MOST_SHARD_BYTES is refused: a task reads it whole."""
-    files = spark.read.format("binaryFile").load(path)
-    one = np.dtype(kind).itemsize * width
-    sizes = files.select("path", "length")
-    large = sizes.where(F.col("length") > MOST_SHARD_BYTES).count()
-    if large:
-        raise ValueError(f"{large} shards have more than {MOST_SHARD_BYTES} bytes")
-    before = F.coalesce(F.sum("length").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("path", F.floor(before / one).alias("first_row"))
-    return decode_vectors(files.select("path", "content").join(F.broadcast(offsets), "path"), width, kind)

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,20 +46,6 @@ def sidecar(df: DataFrame, family: str) -> DataFrame:
     return df.rollup(family).agg(F.count(F.lit(1)).alias("n"), F.grouping(family).cast("int").alias("is_total"))
 
 
-def encode_vectors(df: DataFrame, shard: str, row: str, vector: str, kind: str = "<f4") -> DataFrame:
-    """(shard, first_row, content): a shard's vectors in order of row as raw numbers, end to end;
-    the caller bounds a shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [np.array([r["v"] for r in rows], kind).tobytes() for rows in batch.column(1).to_pylist()]
-            firsts = [rows[0]["r"] for rows in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(firsts, pa.int64()), pa.array(raw, pa.binary())], names=["shard", "first_row", "content"])
-
-    rows = df.groupBy(F.col(shard).cast("long").alias("shard")).agg(F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), F.col(vector).alias("v")))).alias("rows"))
-    return rows.mapInArrow(run, "shard long, first_row long, content binary")
-
-
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
     kind = "shard long, kept long, check long"
     try:

@@ -26,27 +26,6 @@ def by_id(df, key="vec_id"):
     return {r[key]: r for r in df.collect()}
 
 
-def test_binary_vectors_of_several_shards(spark, tmp_path):
-    x = np.arange(70, dtype="<f4").reshape(14, 5)
-    for i, (a, b) in enumerate(((0, 6), (6, 6), (6, 14))):
-        (tmp_path / f"part-{i}.f32").write_bytes(x[a:b].tobytes())
-    got = {r.row: r.embedding for r in readers.binary_vectors(spark, str(tmp_path), 5).collect()}
-    assert got == {i: x[i].tolist() for i in range(14)}
-    half = tmp_path / "half"
-    half.mkdir()
-    (half / "a.f16").write_bytes(x.astype("<f2").tobytes())
-    assert readers.binary_vectors(spark, str(half), 5, "<f2").count() == 14
-    with pytest.raises(Exception, match="no whole number of rows"):
-        readers.binary_vectors(spark, str(half), 3, "<f2").collect()
-
-
-def test_binary_vectors_refuse_a_shard_too_large(spark, tmp_path, monkeypatch):
-    (tmp_path / "a.f32").write_bytes(b"\0" * 400)
-    monkeypatch.setattr(readers, "MOST_SHARD_BYTES", 300)
-    with pytest.raises(ValueError, match="1 shards"):
-        readers.binary_vectors(spark, str(tmp_path), 5)
-
-
 def test_json_lines_skip_what_is_malformed(spark, tmp_path):
     good = [{"doc_id": i, "text": "w " * (i * 10), "content": "" if i % 2 else "c " * 30} for i in range(6)]
     (tmp_path / "a.json").write_text("\n".join(map(json.dumps, good[:3])) + "\n{broken\n")
