@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from girasol.functions import text as tx
-from girasol.operators import leak, select
+from girasol.operators import leak, postings, select
+from girasol.streaming.state import scratch
 
 from .common import query, table
 
@@ -175,13 +176,28 @@ def j6_failure_list_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(fails, "doc_id", "left_anti").select("doc_id")
 
 
-@query(f"""
-WITH t AS (SELECT doc_id, unnest({IDS}) tok FROM documents)
-SELECT tok, count(*) AS n, min(doc_id) AS first_doc FROM t WHERE tok IN (SELECT DISTINCT unnest({IDS}) FROM benchmark) GROUP BY tok""")
+_ASKED = f"(SELECT DISTINCT unnest({IDS}) FROM benchmark)"
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The index of all documents' tokens, and the benchmark's tokens."""
+    path = scratch(spark, "postings")
+    postings.write_index(_ids(spark, sf_dir), "doc_id", F.col("ids"), path, buckets=64)
+    return path, _ids(spark, sf_dir, "benchmark", "item_id").select(F.explode("ids").alias("tok"))
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({IDS}) tok FROM documents) SELECT tok, count(*) AS n, min(doc_id) AS first_doc FROM t WHERE tok IN {_ASKED} GROUP BY tok")
 def j13_occurrence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = _ids(spark, sf_dir).select("doc_id", F.explode("ids").alias("tok"))
-    asked = _ids(spark, sf_dir, "benchmark", "item_id").select(F.explode("ids").alias("tok")).distinct()
-    return post.join(asked, "tok", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    """How often the benchmark's tokens occur and where first, out of an index with places."""
+    path, asked = _index(spark, sf_dir)
+    return postings.counts(spark, path, asked)
+
+
+@query(f"WITH t AS (SELECT doc_id AS doc, unnest({IDS}) tok, unnest(range(len({IDS}))) AS place FROM documents) SELECT tok, doc, place FROM t WHERE tok IN {_ASKED}")
+def j13_occurrence_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of the benchmark's tokens, out of the same index."""
+    path, asked = _index(spark, sf_dir)
+    return postings.places(spark, path, asked)
 
 
 @query("""

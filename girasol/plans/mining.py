@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from girasol.operators import select
+from girasol.operators.topstore import TopStore
+from girasol.streaming.state import scratch
 
 from .common import query, table
 
@@ -43,12 +45,32 @@ def _log_factorial(n: Column) -> Column:
     return gamma - sum((F.log(n + F.lit(float(i))) for i in range(1, 9)), F.lit(0.0))
 
 
+def _top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_partkey").alias("feature"), F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"), F.col("l_extendedprice").cast("double").alias("act"), F.col("l_suppkey").alias("supp"))
+
+
 @query("""
 SELECT l_partkey AS feature, l_orderkey AS doc, l_linenumber AS pos, l_extendedprice::DOUBLE AS act, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank
 FROM lineitem QUALIFY rank <= 5""")
 def a9_top_n_per_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("feature"), F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"), F.col("l_extendedprice").cast("double").alias("act"))
-    return select.first_n(li, ["feature"], [F.desc("act"), F.col("doc"), F.col("pos")], 5, "rank")
+    return select.first_n(_top_rows(spark, sf_dir).drop("supp"), ["feature"], [F.desc("act"), F.col("doc"), F.col("pos")], 5, "rank")
+
+
+@query("""
+SELECT l_partkey AS feature, l_orderkey AS doc, l_linenumber AS pos, l_extendedprice::DOUBLE AS act, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank
+FROM lineitem WHERE l_linenumber % 3 < 2 QUALIFY rank <= 5""")
+def a9_growing_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four ranks send what they have at three steps, one of them misses the last; the store is what
+    all have, as one pass over it would give. A rank is a supplier's, a step a line's."""
+    rows = _top_rows(spark, sf_dir)
+    store = TopStore(spark, scratch(spark, "top"), "feature", [F.desc("act"), F.col("doc"), F.col("pos")], 5, 4)
+    for step in range(3):
+        for rank in range(4):
+            if (rank, step) != (2, 2):
+                part = rows.where((F.col("supp") % 4 == rank) & (F.col("pos") % 3 == step)).drop("supp")
+                store.arrive(part, rank, step, {"norm_factor": 1.0})
+    return store.merged().withColumnRenamed("rank_in_feature", "rank")
 
 
 @query("""

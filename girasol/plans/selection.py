@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from girasol.functions.keys import hkey
 from girasol.operators import packing, select
-from girasol.sources import raw, readers, sinks
+from girasol.sources import raw, readers
 from girasol.streaming import state
 
 from .common import query, table

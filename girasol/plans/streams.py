@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from girasol.functions.keys import hkey
 from girasol.operators import select
-from girasol.streaming import state
+from girasol.streaming import side, state, timed
 
 from .common import query, table
 
@@ -80,14 +80,18 @@ def st7_balanced_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT user_id req, event_type shard, min(ts) t0 FROM events GROUP BY ALL), g AS (SELECT req, count(*) shards, epoch_us(max(t0)) - epoch_us(min(t0)) us FROM s GROUP BY req)
-SELECT req, CASE WHEN shards < 5 THEN 'pending' WHEN us > 432000000000 THEN 'timeout' ELSE 'scored' END AS outcome FROM g""")
+WITH e AS (SELECT user_id * 100 + epoch_us(ts) // 1000 // 518400000 % 100 req, event_type shard, epoch_us(ts) // 1000 ms FROM events WHERE event_type <> 'error'),
+f AS (SELECT *, min(ms) OVER (PARTITION BY req) + 129600000 due FROM e), g AS (SELECT req, due, shard, min(ms) ms FROM f WHERE ms <= due GROUP BY ALL), r AS (SELECT req, due, count(*) shards, max(ms) last FROM g GROUP BY ALL),
+w AS (SELECT max(epoch_us(ts) // 1000) - 3600000 AS mark FROM events WHERE event_type <> 'error')
+SELECT req, 'scored' AS outcome, last AS at_ms, shards FROM r WHERE shards = 4 UNION ALL SELECT req, 'timeout', due, shards FROM r, w WHERE shards < 4 AND due <= mark
+UNION ALL SELECT f.req, 'late', f.ms, r.shards FROM f JOIN r USING (req) WHERE r.shards < 4 AND f.ms > f.due""")
 def st8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request is scored when all shards are there, unless they took more than five days."""
-    s = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("req"), F.col("event_type").alias("shard")).agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"))
-    g = s.groupBy("req").agg(F.count(F.lit(1)).alias("shards"), (F.max("at") - F.min("at")).alias("us"))
-    outcome = F.when(F.col("shards") < 5, "pending").when(F.col("us") > 432_000_000_000, "timeout").otherwise("scored")
-    return g.select("req", outcome.alias("outcome"))
+    """A stream of several files: a request, a user's six days, is scored when its four shards are there within
+    36 hours, and else times out in event time."""
+    s = state.events_stream(spark, sf_dir).where("event_type != 'error'")
+    s = s.withColumn("req", F.col("user_id") * 100 + F.expr("unix_millis(ts) div 518400000 % 100"))
+    met = timed.rendezvous(s, "req", "event_type", "ts", shards=4, limit_ms=129_600_000, keep_ms=518_400_000, delay="1 hour")
+    return state.run_to_end(met, "rendezvous", "append")
 
 
 @query("""
@@ -129,12 +133,27 @@ def st13_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source").agg(F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("lines"))
 
 
-@query("SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id < 300 AND value > 90) GROUP BY user_id")
+@query("""
+WITH m AS (SELECT min(event_id) lo, max(event_id) - min(event_id) + 1 n FROM events), e AS (SELECT event_id, user_id, value, (event_id - lo) * 3 // n part FROM events, m)
+SELECT CASE WHEN part = 0 THEN 1 ELSE 2 END AS side_version, user_id, count(*) AS n FROM e
+WHERE user_id NOT IN (SELECT user_id FROM e d WHERE d.part = 0 AND d.value > 97 OR e.part > 0 AND d.part = 1 AND d.value > 97) GROUP BY ALL""")
 def st14_drop_list_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest whole version of a drop list, as an anti-join."""
-    e = table(spark, sf_dir, "events")
-    drop = e.where("event_id < 300 AND value > 90").select("user_id").distinct()
-    return e.join(drop, "user_id", "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Three runs of one stream: the drop list grows after the first file, and what follows the second is
+    half written, so the last whole version stays."""
+    events, at = table(spark, sf_dir, "events"), None
+    path, lists = state.scratch(spark, "intake"), state.scratch(spark, "drop-lists")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    part = F.expr(f"(event_id - {low}) * 3 div {high - low + 1}")
+    parts = [events.where(part == i) for i in range(3)]
+    for i, rows in enumerate(parts):
+        if i < 2:
+            side.publish(events.where((part <= i) & (F.col("value") > 97)).select("user_id").distinct(), lists)
+        else:
+            events.select("user_id").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{lists}/version=3")
+        rows.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(events.schema).parquet(path).select("event_id", "user_id")
+        kept, at = side.drop_listed(stream, lists, "user_id", "dropped", at=at)
+    return kept.groupBy("side_version", "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(DISTINCT event_id) AS n FROM events")

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from girasol.session import shared_folder
@@ -19,26 +20,50 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of one file of a stream's intake.
+SLICE_ROWS = 1_000_000
+
+
+def sliced(df: DataFrame, column: str, path: str, slices: int = 3) -> None:
+    """Files one after another, each with an even range of the whole numbers ``column``: a source that reads a
+    file at a time sees them in that order."""
+    count, low, high = df.agg(F.count(F.lit(1)), F.min(column), F.max(column)).first()
+    n = max(slices, -(-count // SLICE_ROWS))
+    of = F.expr(f"(cast(`{column}` AS decimal(38,0)) - {low or 0}) * {n} div {(high or 0) - (low or 0) + 1}")
+    for i in range(n):
+        df.where(of == i).coalesce(1).write.mode("append").parquet(path)
+
+
 def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """ST1, ST13: a bounded intake; the offsets are the checkpoint's. Event time is a TIMESTAMP."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """ST1, ST13: a bounded intake of several files; the offsets are the checkpoint's. Event time is a TIMESTAMP."""
+    events, path = spark.read.parquet(f"{sf_dir}/events.parquet"), scratch(spark, "events")
+    sliced(events, "event_id", path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Process all that is available and return what the sink holds. Complete results replace
-    each other; others are appended."""
+def run_batches(stream: DataFrame, name: str, mode: str, change: Callable[[DataFrame], DataFrame], schema: T.StructType, *, at: str | None = None) -> tuple[DataFrame, str]:
+    """Process all that is available; what the sink holds by then, and the folder to go on with.
+
+    ``change`` is applied to each micro-batch, which is then written under its number: a batch that is tried
+    again replaces itself. Of complete results the last one counts."""
     spark = stream.sparkSession
-    out, at = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-state")
-    write = "overwrite" if mode == "complete" else "append"
+    at = at or scratch(spark, name)
 
-    def sink(batch: DataFrame, _: int) -> None:
-        batch.write.mode(write).parquet(out)
+    def sink(batch: DataFrame, number: int) -> None:
+        change(batch).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", at).foreachBatch(sink).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    held = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{at}/out")
+    if mode == "complete":
+        held = held.where(F.col("batch") == held.agg(F.max("batch")).first()[0])
+    return held.select(*[f"`{f.name}`" for f in schema.fields]), at
+
+
+def run_to_end(stream: DataFrame, name: str, mode: str, *, at: str | None = None) -> DataFrame:
+    """What the sink holds when all that is available is processed."""
+    return run_batches(stream, name, mode, lambda batch: batch, stream.schema, at=at)[0]
 
 
 def pick_blocks(blocks: DataFrame, queue: str, name: str, step: str, n: int, *, drop_stale: bool) -> DataFrame:
