@@ -11,6 +11,20 @@ def hkey(seed: int, *ids: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[i.cast("string") for i in ids]).cast("binary"))
 
 
+def normals(seed: int, n: Column, *ids: Column) -> Column:
+    """n values of a standard normal distribution: two of the key's 32-bit parts make two of them."""
+
+    def pair(k: Column) -> Column:
+        h = hkey(seed, *ids, k)
+        part = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("double")
+        radius = F.sqrt(-2 * F.log((part(1) + 1) / F.lit(4294967296.0)))
+        angle = 2 * F.pi() * (part(9) / F.lit(4294967296.0))
+        return F.array(radius * F.cos(angle), radius * F.sin(angle))
+
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 2).cast("int") - 1, F.lit(0))), pair)
+    return F.slice(F.flatten(pairs), F.lit(1), n)
+
+
 def fraction(seed: int, *ids: Column) -> Column:
     """The key's first 32 bits as a number in [0, 1)."""
     return F.conv(F.substring(hkey(seed, *ids), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from girasol.functions import vec
 
 #: Bytes of reference vectors that one broadcast may hold.
 BROADCAST_BYTES = 256 << 20
@@ -39,10 +42,18 @@ def _against(rows: DataFrame, vector: str, key: str, ids: list, matrix: np.ndarr
 def max_cosine(rows: DataFrame, refs: DataFrame, vector: str, key: str, ref_key: str, *, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(key, ref_id, cos): the reference with the greatest dot product, the least id at ties.
 
-    Vectors are units of one width. References of at most ``limit`` bytes are broadcast. More of them
+    Vectors are units of one width; rows whose vector is null or not finite get nulls, and such references
+    are left out. References of at most ``limit`` bytes are broadcast. More of them
     are dealt into blocks, and so are the rows: every two blocks meet in one task, nothing of them
     in the driver, and the blocks' results in an aggregate.
     """
+    whole, refs = rows, refs.where(vec.is_finite(F.col(vector)))
+    rows = whole.where(vec.is_finite(F.col(vector)))
+    none = whole.where(~vec.is_finite(F.col(vector))).select(key, F.lit(None).cast("long").alias("ref_id"), F.lit(None).cast("double").alias("cos"))
+    return _max_cosine(rows, refs, vector, key, ref_key, limit).unionByName(none)
+
+
+def _max_cosine(rows: DataFrame, refs: DataFrame, vector: str, key: str, ref_key: str, limit: int) -> DataFrame:
     count, width = refs.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
     if not count:
         return rows.select(key, F.lit(None).cast("long").alias("ref_id"), F.lit(None).cast("double").alias("cos"))
@@ -78,6 +89,51 @@ def max_cosine(rows: DataFrame, refs: DataFrame, vector: str, key: str, ref_key:
     return out.groupBy(key).agg(F.max(F.struct(F.col("cos"), (-F.col("ref_id")).alias("m"))).alias("b")).select(key, (-F.col("b.m")).alias("ref_id"), "b.cos")
 
 
+#: Rows and references of a block.
+BLOCK_ROWS, BLOCK_REFS = 32_768, 4_096
+
+
+def nearest_rows(rows: DataFrame, refs: DataFrame, vector: str, key: str, label: str, k: int) -> DataFrame:
+    """(label, key, cos, rank): for each reference, known by its label, the k rows of other labels with the
+    greatest dot product, the least key at ties.
+
+    Rows and references are dealt into blocks; every two meet in one task, which keeps k rows a
+    reference. Vectors and labels that are null, or vectors that are not finite, take no part."""
+    from girasol.operators import select
+
+    good = vec.is_finite(F.col(vector)) & F.col(label).isNotNull()
+    rows = rows.where(good).select(key, F.col(label).alias("_own"), vec.doubles(F.col(vector)).alias("_v"))
+    refs = refs.where(good).select(F.col(label).alias("_ref"), vec.doubles(F.col(vector)).alias("_r"))
+    parts, blocks = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-refs.count() // BLOCK_REFS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("_a", F.pmod(F.xxhash64("_v"), F.lit(parts))).withColumn("_b", every(blocks))
+    right = refs.withColumn("_y", F.pmod(F.xxhash64("_ref"), F.lit(blocks))).withColumn("_x", every(parts))
+    names = {"_ref": rows.schema["_own"].dataType, "_key": rows.schema[key].dataType}
+
+    def meet(own: pa.Table, asked: pa.Table) -> pa.Table:
+        if not own.num_rows or not asked.num_rows:
+            return pa.table({"_ref": asked.column("_ref").slice(0, 0), "_key": own.column(key).slice(0, 0), "cos": pa.array([], pa.float64())})
+        own = own.sort_by(key)
+        x, y = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t, c in ((own, "_v"), (asked, "_r")))
+        labels, mine = own.column("_own").to_numpy(), asked.column("_ref").to_numpy()
+        at, rows, values = [], [], []
+        for i in range(0, len(y), 64):
+            cos = np.where(mine[i : i + 64, None] != labels[None, :], y[i : i + 64] @ x.T, -np.inf)
+            for j, line in enumerate(cos):
+                # The k-th value and all that tie with it, so that a cut never depends on the block.
+                kth = np.partition(line, len(line) - k)[len(line) - k] if k < len(line) else -np.inf
+                near = np.flatnonzero((line >= kth) & (line > -np.inf))
+                near = near[np.argsort(-line[near], kind="stable")][:k]
+                at += [i + j] * len(near)
+                rows += near.tolist()
+                values += line[near].tolist()
+        return pa.table({"_ref": asked.column("_ref").take(at), "_key": own.column(key).take(rows), "cos": pa.array(values, pa.float64())})
+
+    found = left.groupBy("_a", "_b").cogroup(right.groupBy("_x", "_y")).applyInArrow(meet, T.StructType([*(T.StructField(n, t) for n, t in names.items()), T.StructField("cos", T.DoubleType())]))
+    best = select.first_n(found, ["_ref"], [F.desc("cos"), F.col("_key")], k, "rank")
+    return best.select(F.col("_ref").alias(label), F.col("_key").alias(key), "cos", "rank")
+
+
 def similarity_guard(rows: DataFrame, refs: DataFrame, vector: str, key: str, ref_key: str, threshold: float) -> DataFrame:
     """Rows whose greatest cosine is not above the threshold, with it."""
     near = max_cosine(rows, refs, vector, key, ref_key).where(F.coalesce("cos", F.lit(-1.0)) <= threshold)

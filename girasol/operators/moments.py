@@ -9,51 +9,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TYPES = "n long, s array<double>, p array<double>"
+_WIDE = pa.list_(pa.float64())
+#: Partial sums that are added in one step of the tree.
+FAN_IN = 64
 
 
-def _rows(key: pa.Array, n: list, s: list, p: list, name: str) -> pa.Table:
-    wide = pa.list_(pa.float64())
-    return pa.table({name: key, "n": pa.array(n, pa.int64()), "s": pa.array(s, wide), "p": pa.array(p, wide)})
+def _rows(keys: pa.Array, parts: list, n: list, sums: dict[str, list], name: str) -> pa.RecordBatch:
+    columns = {name: keys, "_part": pa.array(parts, pa.int32()), "n": pa.array(n, pa.int64()), **{c: pa.array(v, _WIDE) for c, v in sums.items()}}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def vector_moments(df: DataFrame, vector: str, key: str) -> DataFrame:
-    """(key, n, s, p): rows, their sum and the sum of their outer products, row by row.
+def _added(partial: DataFrame, key: str, names: list[str], tasks: int) -> DataFrame:
+    """Partial sums (key, _part, n, names) of ``tasks`` tasks, added in a tree. A step sorts what belongs
+    together and keeps a running sum, so a task holds two matrices beside its batch."""
 
-    Each task sends one row a key; those are added in groups of at most 1/64 of the tasks, then
-    in one: what a task holds is a few hundred matrices of width x width. Null vectors are left
-    out; vectors of a key are of one width.
-    """
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, sums, kind = None, 0, [], pa.null()
+        done = lambda: _rows(pa.array([at[0]], kind), [at[1]], [n], {c: [v.tolist()] for c, v in zip(names, sums)}, key)
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for i in range(batch.num_rows):
+                own = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                part = [batch.column(3 + j).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for j in range(len(names))]
+                if at == own:
+                    n, sums = n + batch.column(2)[i].as_py(), [x + y for x, y in zip(sums, part)]
+                    continue
+                if at is not None:
+                    yield done()
+                at, n, sums = own, batch.column(2)[i].as_py(), part
+        if at is not None:
+            yield done()
+
+    columns = [key, "_part", "n", *names]
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        near = partial.withColumn("_part", F.floor(F.col("_part") / FAN_IN).cast("int"))
+        partial = near.repartition(key, "_part").sortWithinPartitions(key, "_part").select(columns).mapInArrow(add, partial.select(columns).schema)
+    return partial.drop("_part")
+
+
+def _sums(df: DataFrame, vector: str, key: str, products: bool) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
+    names = ["s", "p"] if products else ["s"]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         sums: dict = {}
         arrow = pa.null()
         for batch in batches:
             arrow = batch.schema.field(0).type
             if not batch.num_rows:
                 continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            x = flat.reshape(batch.num_rows, -1).astype(np.float64)
-            names, of = np.unique(np.array(batch.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
-            firsts = {int(g): i for i, g in reversed(list(enumerate(of)))}
-            for g in range(len(names)):
-                part = x[of == g]
-                k = batch.column(0)[firsts[g]].as_py()
-                n, s, p = sums.get(k, (0, 0.0, 0.0))
-                sums[k] = (n + len(part), s + part.sum(0), p + part.T @ part)
-        if sums:
-            n, s, p = zip(*sums.values())
-            yield from _rows(pa.array(list(sums), arrow), list(n), [v.tolist() for v in s], [v.ravel().tolist() for v in p], key).to_batches()
-
-    def add(group: pa.Table) -> pa.Table:
-        columns = [np.sum([np.array(v) for v in group.column(c).to_pylist()], axis=0).tolist() for c in ("s", "p")]
-        return _rows(group.column(key).slice(0, 1).combine_chunks(), [sum(group.column("n").to_pylist())], [columns[0]], [columns[1]], key)
-
-    schema = f"`{key}` {kind}, {_TYPES}"
-    rows = df.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(partial, schema)
-    some = rows.withColumn("_part", F.spark_partition_id() % 64).groupBy(key, "_part").applyInArrow(add, schema)
-    return some.groupBy(key).applyInArrow(add, schema)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+            of = batch.column(0).dictionary_encode(null_encoding="encode")
+            places = of.indices.to_numpy(zero_copy_only=False)
+            for g, k in enumerate(of.dictionary.to_pylist()):
+                part = x[places == g]
+                n, *old = sums.get(k, (0, 0.0, 0.0))
+                sums[k] = (n + len(part), old[0] + part.sum(0), *([old[1] + part.T @ part] if products else []))
+        for k, (n, *own) in sums.items():
+            yield _rows(pa.array([k], arrow), [TaskContext.get().partitionId()], [n], {c: [v.ravel().tolist()] for c, v in zip(names, own)}, key)
+
+    rows = df.where(F.col(vector).isNotNull()).select(key, vector)
+    columns = ", ".join(f"{c} array<double>" for c in names)
+    return _added(rows.mapInArrow(partial, f"`{key}` {kind}, _part int, n long, {columns}"), key, names, rows.rdd.getNumPartitions())
+
+
+def vector_moments(df: DataFrame, vector: str, key: str) -> DataFrame:
+    """(key, n, s, p): rows, their sum and the sum of their outer products, row by row. A task sends one
+    row a key. Null vectors are left out; vectors of a key are of one width."""
+    return _sums(df, vector, key, True)
+
+
+def vector_means(df: DataFrame, vector: str, key: str) -> DataFrame:
+    """(key, n, mean) in the same way, without products."""
+    return _sums(df, vector, key, False).select(key, "n", F.transform("s", lambda x: x / F.col("n")).alias("mean"))
 
 
 def covariance(n: float, s: np.ndarray, p: np.ndarray) -> np.ndarray:

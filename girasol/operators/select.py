@@ -72,17 +72,20 @@ def breadth_first(df: DataFrame, feature: str, rank: str, seed: int, cap: int, p
     return deep.orderBy("depth", hkey(seed, F.col(feature), F.col(rank)), feature, rank).limit(cap) if cap else deep
 
 
-def level_capacity(df: DataFrame, block: str, rank: str, doc: str, seed: int, levels: int, doc_cap: int) -> DataFrame:
-    """Greedy selection: in each level every block takes its best unused row whose document has
-    room. A pass a level; the state between passes is a table, not the driver's memory."""
+def level_capacity(df: DataFrame, block: str, rank: str, doc: str, seed: int, levels: int, doc_cap: int, *, start: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Greedy selection: in each level every block that has no more rows than levels before takes its best
+    unused row whose document has room; ``most`` rows in all, of the last level a seeded part. ``start``
+    is an earlier selection to go on with; (block, rank) tells rows apart. A pass a level; the state
+    between passes is a table, not the driver's memory."""
     from girasol.sources.sinks import saved
 
-    chosen = None
+    chosen = start
     for level in range(levels):
         free = df
         if chosen is not None:
             full = chosen.groupBy(doc).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= doc_cap).select(doc)
-            free = df.join(chosen.select(block, rank), [block, rank], "left_anti").join(full, doc, "left_anti")
+            ahead = chosen.groupBy(block).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > level).select(block)
+            free = df.join(chosen.select(block, rank), [block, rank], "left_anti").join(full, doc, "left_anti").join(ahead, block, "left_anti")
         pick = first_n(free, [block], [F.col(rank), hkey(seed, F.col(doc)), F.col(doc)], 1)
         room = F.lit(doc_cap)
         if chosen is not None:
@@ -91,5 +94,38 @@ def level_capacity(df: DataFrame, block: str, rank: str, doc: str, seed: int, le
             room = F.lit(doc_cap) - F.coalesce("_used", F.lit(0))
         order = Window.partitionBy(doc).orderBy(hkey(seed, F.col(block)), block)
         pick = pick.withColumn("_in", F.row_number().over(order)).where(F.col("_in") <= room).select(*df.columns, F.lit(level).alias("level"))
+        if most is not None:
+            left = most - (0 if chosen is None else chosen.count())
+            pick = pick.orderBy(hkey(seed, F.col(block), F.col(rank)), block, rank).limit(max(0, left))
         chosen = saved(pick if chosen is None else chosen.unionByName(pick))
     return chosen
+
+
+def topped_up(df: DataFrame, block: str, rank: str, doc: str, wave: str, rule: Column, *, seed: int, levels: int, doc_cap: int, rows: int, tolerance: float = 0.0) -> tuple[DataFrame, int]:
+    """A selection of ``rows`` rows that all keep a rule, and how many are missing.
+
+    Selected first without the rule; rows that break it go, which frees their blocks' and documents' room,
+    and the rest is selected among those that keep it. While more than ``tolerance`` of the rows are missing,
+    the candidates of the next wave join and the selection is made anew; column topped_up tells the second
+    part. A rule that is null is broken."""
+    from girasol.sources.sinks import saved
+
+    good = F.coalesce(rule, F.lit(False))
+    waves = sorted(r[0] for r in df.select(wave).where(F.col(wave).isNotNull()).distinct().collect())
+    found, missing = df.where("false").withColumns({"level": F.lit(0), "topped_up": F.lit(False)}), rows
+    for last in waves:
+        pool = df.where(F.col(wave) <= last)
+        first = level_capacity(pool, block, rank, doc, seed, levels, doc_cap, most=rows)
+        kept = saved(first.where(good).withColumn("topped_up", F.lit(False)))
+        more = level_capacity(pool.where(good).withColumn("topped_up", F.lit(True)), block, rank, doc, seed, levels, doc_cap, start=kept, most=rows)
+        found, missing = more, rows - more.count()
+        if missing <= tolerance * rows:
+            break
+    return found, missing
+
+
+def verified(df: DataFrame, key: str, seed: int, order: str, n: int) -> DataFrame:
+    """n rows of each key by a seeded draw; a key that has fewer is an error, not a gap."""
+    checked = F.assert_true(F.col("_have") >= n, F.concat(F.lit(f"fewer than {n} rows for "), F.col(key).cast("string")))
+    enough = df.groupBy(key).agg(F.count(F.lit(1)).alias("_have")).where(F.coalesce(checked.cast("boolean"), F.lit(True))).select(key)
+    return sample_by(df, key, seed, order, n).join(enough, key, "left_semi")

@@ -93,11 +93,11 @@ WITH d AS (SELECT generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding
 SELECT dim, round(avg(x), 6) AS mean, count(*) AS n FROM d GROUP BY dim""")
 def k5_finalised_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of a store from its shards' sums; shards have to be of one width."""
-    m = moments.vector_moments(table(spark, sf_dir, "embeddings").withColumn("shard", F.col("vec_id") % 4), "embedding", "shard")
-    wide = m.agg(F.max(F.size("s")).alias("w"), F.min(F.size("s")).alias("l"))
+    m = moments.vector_means(table(spark, sf_dir, "embeddings").withColumn("shard", F.col("vec_id") % 4), "embedding", "shard")
+    wide = m.agg(F.max(F.size("mean")).alias("w"), F.min(F.size("mean")).alias("l"))
     checked = wide.select(F.assert_true(F.col("w") == F.col("l"), F.lit("shards differ in width")).alias("_ok"))
-    flat = m.crossJoin(F.broadcast(checked)).where(F.col("_ok").isNull()).select("n", F.posexplode("s").alias("dim", "x"))
-    return flat.groupBy(F.col("dim").cast("long").alias("dim")).agg(F.round(F.sum("x") / F.sum("n"), 6).alias("mean"), F.sum("n").alias("n"))
+    flat = m.crossJoin(F.broadcast(checked)).where(F.col("_ok").isNull()).select("n", F.posexplode("mean").alias("dim", "x"))
+    return flat.groupBy(F.col("dim").cast("long").alias("dim")).agg(F.round(F.sum(F.col("x") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.sum("n").alias("n"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, min(vec_id) AS lo, max(vec_id) AS hi, count(*) FILTER (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) BETWEEN 0.98 AND 1.02) AS units, 0 AS not_finite FROM embeddings")
@@ -115,8 +115,7 @@ c AS (SELECT vec_id, sqrt(sum((x - m) * (x - m))) n FROM d JOIN m USING (i) GROU
 
 def _centred_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    place = e.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
-    mean = place.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    mean = moments.vector_means(e.withColumn("one", F.lit(0)), "embedding", "one").select("mean")
     return e.crossJoin(F.broadcast(mean)).select("vec_id", vec.norm(vec.centred(F.col("embedding"), F.col("mean"))).alias("n"))
 
 

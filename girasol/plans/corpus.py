@@ -63,12 +63,13 @@ def c4_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT source, list(left(text, 20) ORDER BY doc_id)[1:3] v FROM documents GROUP BY source)
-SELECT source, list_aggregate(list_transform(v, lambda s, i: '[' || i || '] ' || s), 'string_agg', chr(10)) AS block FROM t""")
+WITH t AS (SELECT doc_id // 8 AS grp, list(text ORDER BY doc_id) FILTER (text IS NOT NULL) v FROM documents GROUP BY grp)
+SELECT grp, list_aggregate(list_transform(v, lambda s, i: '[' || i || '] ' || s), 'string_agg', chr(10)) AS block FROM t""")
 def c5_numbered_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    three = select.first_n(table(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 20).alias("s")), ["source"], [F.col("doc_id")], 3, "i")
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: F.concat(F.lit("["), x["i"], F.lit("] "), x["s"]))
-    return three.groupBy("source").agg(F.array_join(rows, "\n").alias("block"))
+    """Whole texts of eight documents each, numbered from 1."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").groupBy(F.floor(F.col("doc_id") / 8).alias("grp"))
+    texts = docs.agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("v"))
+    return texts.select("grp", F.array_join(F.transform("v", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["text"])), "\n").alias("block"))
 
 
 @query("""
@@ -129,9 +130,11 @@ def f3_full_window_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).where(F.size("ids") >= 128).select("doc_id", F.size("ids").cast("long").alias("n_tokens"))
 
 
-@query("SELECT doc_id FROM documents WHERE length(regexp_replace(left(text, 4), '^\\s+|\\s+$', '', 'g')) >= 3")
+@query("WITH t AS (SELECT doc_id, string_split(text, chr(10)) v FROM documents) SELECT doc_id, len(v) AS spans, len(list_filter(v, lambda s: length(regexp_replace(s, '^\\s+|\\s+$', '', 'g')) >= 3)) AS kept FROM t")
 def f4_blank_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.length(tx.strip(F.substring("text", 1, 4))) >= 3).select("doc_id")
+    """Lines of a text as spans; those with fewer than three characters between white space are blank."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("v"))
+    return t.select("doc_id", F.size("v").cast("long").alias("spans"), F.size(F.filter("v", lambda s: F.length(tx.strip(s)) >= 3)).cast("long").alias("kept"))
 
 
 @query(f"WITH t AS (SELECT doc_id, {IDS} v FROM documents) SELECT doc_id, len(list_intersect(v[greatest(len(v) - 31, 1):], [1, 2, 3, 500, 900, 4242, 50000])) > 0 AS bad FROM t WHERE len(v) > 0")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from girasol.operators import packing
+
 from .common import query, table
 
 LOG = "log AS (SELECT event_type run, user_id step, avg(value) y, count(*) n FROM events GROUP BY ALL)"
@@ -116,17 +118,16 @@ def w19_missing_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH d AS (SELECT event_id, user_id // 10 g, coalesce(user_id // 10 <> lag(user_id // 10) OVER (ORDER BY event_id), true)::INT new FROM events), r AS (SELECT *, sum(new) OVER (ORDER BY event_id) k FROM d) SELECT event_id, k AS direction FROM r WHERE k <= 50")
 def w20_front_reservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of identical neighbours count once. The head of the table that is ordered doubles
-    until it holds the runs asked for, or everything."""
-    runs, head, w = 50, 1024, Window.orderBy("event_id")
+    """The rows of the first 50 directions; runs of identical neighbours are one. The order is cut into parts;
+    a part needs the last row of the one before and how many runs began earlier."""
     e = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("user_id") / 10).alias("g"))
-    while True:
-        d = e.orderBy("event_id").limit(head)
-        d = d.withColumn("new", F.coalesce(F.col("g") != F.lag("g").over(w), F.lit(True)).cast("int")).withColumn("direction", F.sum("new").over(w))
-        rows, last = d.agg(F.count(F.lit(1)), F.max("direction")).first()
-        if rows < head or last > runs:
-            return d.where(F.col("direction") <= runs).select("event_id", "direction")
-        head *= 2
+    rows = packing.in_order(e, [F.col("event_id")])
+    own = Window.partitionBy("_part").orderBy("_in")
+    ends = rows.groupBy("_part").agg(F.max_by("g", "_in").alias("last")).withColumn("before", F.lag("last").over(Window.orderBy("_part"))).select("_part", "before")
+    marked = rows.join(ends, "_part").withColumn("new", F.coalesce(F.col("g") != F.coalesce(F.lag("g").over(own), F.col("before")), F.lit(True)).cast("int"))
+    earlier = marked.groupBy("_part").agg(F.sum("new").alias("n")).select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    numbered = marked.join(earlier.where("earlier <= 50"), "_part").withColumn("direction", F.col("earlier") + F.sum("new").over(own))
+    return numbered.where("direction <= 50").select("event_id", "direction")
 
 
 @query(f"""

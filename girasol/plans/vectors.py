@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girasol.functions import vec
+from girasol.functions import keys, vec
 from girasol.functions.keys import hkey
 from girasol.operators import leak, moments, select
 
@@ -20,9 +20,8 @@ def _v() -> Column:
 
 
 def _mean(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """One row: the element-wise mean, from partial sums by place."""
-    place = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
-    return place.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    """One row: the element-wise mean, from a partial sum a task."""
+    return moments.vector_means(df.withColumn("one", F.lit(0)), vector, "one").select("mean")
 
 
 @query("""
@@ -213,22 +212,19 @@ c AS (SELECT label AS centroid, list(m ORDER BY i) v FROM m GROUP BY label),
 r AS (SELECT centroid, vec_id, list_dot_product(e, v) / sqrt(list_dot_product(v, v)) cos FROM t, c WHERE t.label <> c.centroid)
 SELECT centroid, vec_id, rank, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY centroid ORDER BY cos DESC, vec_id) rank FROM r) WHERE rank <= 3""")
 def j14_centroid_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One centroid a label; their number is checked against the labels' before the broadcast."""
+    """One centroid a label, the nearest rows of others; blocks of both meet in tasks."""
     e = table(spark, sf_dir, "embeddings")
-    m = e.select("label", F.posexplode(_v().cast("array<double>")).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
-    c = m.groupBy(F.col("label").alias("centroid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
-    if c.count() <= 10_000:
-        c = F.broadcast(c)
-    r = e.join(c, F.col("label") != F.col("centroid")).select("centroid", "vec_id", (vec.dot(_v(), F.col("v")) / vec.norm(F.col("v"))).alias("cos"))
-    return select.first_n(r, ["centroid"], [F.desc("cos"), F.col("vec_id")], 3, "rank").withColumn("cos", F.round("cos", 6))
+    c = moments.vector_means(e, "embedding", "label").select("label", vec.unit(F.col("mean")).alias("embedding"))
+    near = leak.nearest_rows(e, c, "embedding", "vec_id", "label", 3)
+    return near.select(F.col("label").alias("centroid"), "vec_id", "rank", F.round("cos", 6).alias("cos"))
 
 
 @query("""
 WITH d AS (SELECT label, generate_subscripts(embedding, 1) i, unnest(embedding)::DOUBLE x FROM embeddings)
 SELECT label, i - 1 AS dim, round(avg(x), 6) AS mean FROM d GROUP BY ALL""")
 def a2_vector_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
-    return d.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    m = moments.vector_means(table(spark, sf_dir, "embeddings"), "embedding", "label").select("label", F.posexplode("mean").alias("dim", "x"))
+    return m.select("label", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("mean"))
 
 
 @query("""
@@ -329,11 +325,13 @@ def p9_block_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def a38_geometric_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weiszfeld steps over whole vectors: a task sends one weighted sum a step, until the move is
-    below 1e-5. Rounds are bounded; a step's state is one vector."""
-    e = table(spark, sf_dir, "embeddings").select("embedding").where(_v().isNotNull())
+    below 1e-5; not settled after 500 steps is an error. A step's state is one vector."""
+    e = table(spark, sf_dir, "embeddings").select("embedding").where(vec.is_finite(_v()))
     first = _mean(e).first()["mean"]
     now = np.array(first or [])
-    while len(now):
+    for step in range(501 if len(now) else 0):
+        if step == 500:
+            raise RuntimeError("the median is not settled after 500 steps")
         at = now
 
         def run(batches: Iterator[pa.RecordBatch], at: np.ndarray = at) -> Iterator[pa.RecordBatch]:
@@ -353,8 +351,11 @@ def a38_geometric_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT vec_id, label, embedding::DOUBLE[] e FROM embeddings), k AS (SELECT vec_id, label, md5('3:' || vec_id) h FROM t)
-SELECT vec_id, label, substring(h, 1, 8) AS key FROM k ORDER BY h, vec_id LIMIT 50""")
+WITH t AS (SELECT vec_id, embedding::DOUBLE[] e, len(embedding) d FROM embeddings), h AS (SELECT vec_id, e, d, list_transform(range((d + 1) // 2), lambda k: md5('3:' || vec_id || ':' || k)) h FROM t),
+u AS (SELECT vec_id, e, d, list_transform(h, lambda x: sqrt(-2 * ln((('0x' || x[1:8])::BIGINT + 1) / 4294967296.0))) r, list_transform(h, lambda x: 2 * pi() * (('0x' || x[9:16])::BIGINT / 4294967296.0)) a FROM h),
+z AS (SELECT vec_id, e, list_transform(range(d), lambda i: CASE WHEN i % 2 = 0 THEN r[i // 2 + 1] * cos(a[i // 2 + 1]) ELSE r[i // 2 + 1] * sin(a[i // 2 + 1]) END) z FROM u)
+SELECT vec_id, round(z[1] / sqrt(list_dot_product(z, z)), 6) AS head, round(list_dot_product(z, e) / sqrt(list_dot_product(z, z)) / sqrt(list_dot_product(e, e)), 6) AS cos FROM z""")
 def p14_random_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded control set, drawn by key from the fixed table."""
-    return select.sample(table(spark, sf_dir, "embeddings"), 3, "vec_id", 50).select("vec_id", "label", F.substring(hkey(3, F.col("vec_id")), 1, 8).alias("key"))
+    """An isotropic unit row beside each row of the table, and its cosine with it."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", vec.unit(keys.normals(3, F.size("embedding"), F.col("vec_id"))).alias("control"))
+    return e.select("vec_id", F.round(F.get("control", F.lit(0)), 6).alias("head"), F.round(vec.cosine(F.col("control"), F.col("embedding")), 6).alias("cos"))

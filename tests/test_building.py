@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from girasol.functions import text as tx
-from girasol.operators import moments
+from girasol.operators import leak, moments, select
 from girasol.plans import QUERIES
 from girasol.sources import readers, sinks
 from girasol.streaming import state
@@ -133,12 +133,15 @@ def test_replayed_items_are_drawn_as_often_as_they_may(spark, sf_dir):
     assert max(times.values()) <= 2
     # All but what the slots still hold has been drawn twice.
     assert sum(2 - n for n in times.values()) <= 2 * 64 + 16
-    # The same by a plain loop over the sorted items.
-    pool = state.ReplayPool(lambda: None, 64, 2)
-    pool.waiting = sorted(events)
-    for k in range(len(draws)):
-        assert sorted(pool.draw(16, lambda x, n: (n, x))) == sorted(draws[k])
-        pool.ended = False
+    # The same by a plain loop over the files' items.
+    whole = [r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect()]
+    pool, k = state.ReplayPool(lambda: None, 64, 2), 0
+    for part in range(3):
+        pool.waiting += sorted(e for e in events if (e - min(whole)) * 3 // (max(whole) - min(whole) + 1) == part)
+        while pool.waiting and len(pool.waiting) + len(pool._drawable()) >= 16:
+            assert sorted(pool.draw(16, lambda x, n: (n, x))) == sorted(draws[k])
+            pool.ended, k = False, k + 1
+    assert k == len(draws)
 
 
 def test_calls_that_fail_or_take_too_long_are_rows(spark):
@@ -165,3 +168,53 @@ def test_round_trip_reasons():
     trip = lambda t: tx.round_trip(tx.encode_points(t), tx.decode_points, tx.encode_points, special)
     assert [trip(t)[2] for t in ("plain", "a  b", "  ", "# a", "")] == ["ok", "roundtrip_fail", "blank", "special_id_in_window", "blank"]
     assert trip("a  b")[:2] == ("a b", False)
+
+
+def test_a_shard_that_this_run_has_not_written_is_not_committed(spark, tmp_path):
+    path = str(tmp_path / "store")
+    df = spark.range(100).select("id", (F.col("id") % 5).alias("part"))
+    df.where("part = 3").limit(4).withColumn("shard", F.col("part")).write.partitionBy("shard").parquet(f"{path}/data")
+    assert {r.shard for r in sinks.commit_shards(df.where("part < 3"), "part", "id", path).collect()} == {0, 1, 2}
+    assert sinks.committed(spark, path).count() == 60
+    assert {r.shard: r.kept for r in sinks.commit_shards(df, "part", "id", path).collect()} == {i: 20 for i in range(5)}
+
+
+def test_null_vectors_have_no_nearest_reference(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 1.0]), (3, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    refs = spark.createDataFrame([(7, [0.6, 0.8]), (8, None), (9, [1.0, 0.0])], "r long, v array<double>")
+    for limit in (leak.BROADCAST_BYTES, 16):
+        got = {r.k: (r.ref_id, r.cos) for r in leak.max_cosine(df, refs, "v", "k", "r", limit=limit).collect()}
+        assert got == {0: (9, 1.0), 1: (None, None), 2: (7, 0.8), 3: (None, None)}
+    assert {r.k for r in leak.similarity_guard(df, refs, "v", "k", "r", 0.9).collect()} == {1, 2, 3}
+
+
+def test_nearest_rows_of_other_labels(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, own = rng.integers(-2, 3, (200, 3)).astype(float), rng.integers(0, 6, 200)
+    df = spark.createDataFrame([(i, int(g), v.tolist()) for i, (g, v) in enumerate(zip(own, x))] + [(900, 1, None), (901, None, [1.0, 1.0, 1.0])], "k long, g int, v array<double>")
+    refs = spark.createDataFrame([(i, rng.normal(size=3).round(1).tolist()) for i in range(7)] + [(8, None)], "g int, v array<double>")
+    want = sorted((r.g, i, n) for r in refs.where("v IS NOT NULL").collect() for n, i in enumerate(sorted(np.flatnonzero(own != r.g).tolist(), key=lambda i: (-round(float(x[i] @ np.array(r.v)), 9), i))[:3], 1))
+    for rows, few in ((32_768, 4_096), (17, 2)):
+        monkeypatch.setattr(leak, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(leak, "BLOCK_REFS", few)
+        got = leak.nearest_rows(df, refs, "v", "k", "g", 3).collect()
+        assert sorted((r.g, r["rank"]) for r in got) == sorted((g, n) for g, _, n in want)
+        assert {(r.g, r["rank"]): round(r.cos, 6) for r in got} == {(g, n): round(float(x[i] @ np.array(refs.where(f"g = {g}").first().v)), 6) for g, i, n in want}
+
+
+def test_moments_meet_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(moments, "FAN_IN", 2)
+    x = np.arange(120, dtype=float).reshape(40, 3)
+    df = spark.createDataFrame([(i % 3 if i % 3 else None, v.tolist()) for i, v in enumerate(x)], "k int, v array<double>").repartition(9)
+    for r in moments.vector_moments(df, "v", "k").collect():
+        own = x[np.arange(40) % 3 == (r.k or 0)]
+        assert r.n == len(own) and np.allclose(r.s, own.sum(0)) and np.allclose(np.reshape(r.p, (3, 3)), own.T @ own)
+    assert {r.k: r.n for r in moments.vector_means(df, "v", "k").collect()} == {None: 14, 1: 13, 2: 13}
+
+
+def test_keys_with_too_few_negatives_fail(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(7)], "k long, i long")
+    assert select.verified(df, "k", 1, "i", 2).count() == 6
+    with pytest.raises(Exception, match="fewer than 3 rows for"):
+        select.verified(df, "k", 1, "i", 3).collect()

@@ -96,6 +96,43 @@ def test_level_capacity_against_a_loop(spark):
     assert sorted((r.block, r["rank"], r.doc) for r in got) == sorted(chosen)
 
 
+def test_rules_are_kept_by_drops_and_top_ups(spark):
+    rng = random.Random(11)
+    rows = [(b, r, rng.randrange(14), rng.randrange(3), rng.random() < 0.5) for b in range(20) for r in range(6)]
+    rows[3] = (*rows[3][:4], None)
+    df = spark.createDataFrame(rows, "block long, rank long, doc long, wave int, good boolean")
+    key = lambda *x: md5(":".join(map(str, (8, *x))).encode()).hexdigest()
+
+    def chosen_from(pool, start, most):
+        chosen = list(start)
+        for level in range(2):
+            count = lambda i, v: sum(c[i] == v for c in chosen)
+            best = {}
+            for row in pool:
+                if row not in chosen and count(2, row[2]) < 3 and count(0, row[0]) <= level:
+                    order = (row[1], key(row[2]), row[2])
+                    if row[0] not in best or order < best[row[0]][0]:
+                        best[row[0]] = (order, row)
+            now = []
+            for d in {r[2] for _, r in best.values()}:
+                now += sorted((r for _, r in best.values() if r[2] == d), key=lambda r: (key(r[0]), r[0]))[: 3 - count(2, d)]
+            chosen += sorted(now, key=lambda r: (key(r[0], r[1]), r[0], r[1]))[: most - len(chosen)]
+        return chosen
+
+    for want, tolerance in ((25, 0.0), (12, 0.3), (39, 0.0)):
+        for last in range(3):
+            pool = [r for r in rows if r[3] <= last]
+            kept = [r for r in chosen_from(pool, [], want) if r[4]]
+            plain = chosen_from([r for r in pool if r[4]], kept, want)
+            if want - len(plain) <= tolerance * want:
+                break
+        found, missing = select.topped_up(df, "block", "rank", "doc", "wave", F.col("good"), seed=8, levels=2, doc_cap=3, rows=want, tolerance=tolerance)
+        got = found.collect()
+        assert sorted((r.block, r["rank"], r.doc) for r in got) == sorted(r[:3] for r in plain) and missing == want - len(plain)
+        assert all(r.good for r in got) and {(r.block, r["rank"]) for r in got if not r.topped_up} == {r[:2] for r in kept}
+    assert select.topped_up(df.where("false"), "block", "rank", "doc", "wave", F.col("good"), seed=8, levels=2, doc_cap=3, rows=5)[1] == 5
+
+
 def test_max_cosine_in_blocks_equals_one_block(spark):
     rng = random.Random(2)
     unit = lambda: [x / math.sqrt(sum(y * y for y in v)) for v in [[rng.gauss(0, 1) for _ in range(6)]] for x in v]
