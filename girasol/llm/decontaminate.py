@@ -107,9 +107,12 @@ def find_contamination(
     if small:
         hits = own.join(F.broadcast(seeds), "_seed").join(F.broadcast(items), "item_id")
     else:
-        diagonals = own.select("doc_id", "_i", "_seed").join(seeds, "_seed")
-        diagonals = diagonals.select("doc_id", "item_id", (F.col("_i") - F.col("_j")).alias("_i"), F.lit(0).alias("_j")).distinct()
-        hits = diagonals.join(items, "item_id").join(words, "doc_id")
+        # Rows are told apart by their id, null or not, and a hash of their words.
+        row = F.struct("doc_id", F.xxhash64("_doc").alias("h"), F.size("_doc").alias("n")).alias("_row")
+        diagonals = own.select(row, "_i", "_seed").join(seeds, "_seed")
+        diagonals = diagonals.select("_row", "item_id", (F.col("_i") - F.col("_j")).alias("_i"), F.lit(0).alias("_j")).distinct()
+        texts = words.select(row, "_doc").dropDuplicates(["_row"])
+        hits = diagonals.join(items, "item_id").join(texts, "_row").withColumn("doc_id", F.col("_row.doc_id"))
     shift = F.col("_i") - F.col("_j")
     found = hits.select(
         "doc_id", "item_id", shift.alias("doc_word"), length.alias("compared"),
