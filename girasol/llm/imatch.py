@@ -8,12 +8,14 @@ that are not empty in both.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,26 +131,44 @@ def build_lexicon(docs: DataFrame, *, least: float = 0.001, most: float = 0.02,
     return Lexicon.of(words)
 
 
-def with_next(docs: DataFrame, *, rows_a_block: int = 2048, blocks: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, *, rows_a_block: int = 2048, blocks: int = 4096, sample: int = 65_536) -> DataFrame:
     """(doc_id, text) in blocks of descending ids: _block, _copy, doc_id, _text.
 
-    Each block ends with a copy of the row that comes next (after the lowest id: the
-    highest), so a block can be streamed row by row without the others. There are at most
-    ``blocks`` blocks, so that many ids reach the driver.
+    Rows follow each other by falling id, null last, then by a hash of the text. Each block ends with a copy
+    of the row that comes next (after the last: the first), so a block can be streamed row by row without
+    the others. Blocks are even in rows, whatever the ids: their edges are taken from about ``sample`` rows,
+    and rows of one id may be parted by their texts; only rows that repeat an id and its text stay together.
+    There are at most ``blocks`` blocks, so that many edges reach the driver.
     """
-    source = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__girasol_text"))
-    n, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("__girasol_text"), F.xxhash64(text).alias("_hash"))
+    n = docs.count()
     count = max(1, min(blocks, n // rows_a_block + 1))
-    width = 1 if low is None else (high - low) // count + 1
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("int")
-    blocked = source.withColumn("_block", block)
-    tops = sorted(tuple(r) for r in blocked.groupBy("_block").agg(F.max("doc_id")).collect())
-    to = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
-    spark = docs.sparkSession
-    heads = F.broadcast(spark.createDataFrame(to, "_top long, _to int"))
-    copies = blocked.join(heads, F.col("doc_id").eqNullSafe(F.col("_top"))).select("doc_id", "__girasol_text", F.col("_to").alias("_block"), F.lit(True).alias("_copy"))
-    both = blocked.select("doc_id", "__girasol_text", "_block", F.lit(False).alias("_copy")).unionByName(copies)
-    return both.repartition("_block").sortWithinPartitions("_block", "_copy", F.desc_nulls_last("doc_id"), "__girasol_text")
+    share = F.pmod(F.xxhash64("doc_id", "_hash", F.lit(7)), F.lit(1 << 30)).cast("double") * F.lit(float(n)) < F.lit(float(sample) * (1 << 30))
+    drawn = source.select("doc_id", "_hash").where(share).distinct().limit(4 * sample) if count > 1 else None
+    edges = _edges([tuple(r) for r in drawn.collect()], count) if drawn is not None else []
+
+    @F.pandas_udf("int")
+    def block(ids: pd.Series, hashes: pd.Series, missing: pd.Series) -> pd.Series:
+        places = zip(missing.tolist(), ids.tolist(), hashes.tolist())
+        return pd.Series([bisect.bisect_right(edges, (m, -i, h)) for m, i, h in places], dtype="int32")
+
+    own = block(F.coalesce("doc_id", F.lit(0).cast("long")), "_hash", F.col("doc_id").isNull()) if edges else F.lit(0)
+    blocked = source.withColumn("_block", own)
+    order = F.struct(F.col("doc_id").isNull().alias("m"), F.coalesce(-F.col("doc_id").cast("decimal(20,0)"), F.lit(0)).alias("i"), F.col("_hash").alias("h"))
+    heads = sorted((r["_block"], r.head) for r in blocked.groupBy("_block").agg(F.min(order).alias("head")).collect())
+    to = [(None if head.m else int(-head.i), head.h, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]
+    firsts = F.broadcast(docs.sparkSession.createDataFrame(to, "_id long, _print long, _to int"))
+    copies = source.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_print")))
+    copies = copies.select("doc_id", "__girasol_text", "_hash", F.col("_to").alias("_block"), F.lit(True).alias("_copy"))
+    both = blocked.select("doc_id", "__girasol_text", "_hash", "_block", F.lit(False).alias("_copy")).unionByName(copies)
+    return both.repartition("_block").sortWithinPartitions("_block", "_copy", F.desc_nulls_last("doc_id"), "_hash", "__girasol_text").drop("_hash")
+
+
+def _edges(drawn: list[tuple], count: int) -> list[tuple]:
+    """Places that part a sample of (id, hash) evenly into ``count``."""
+    places = sorted((i is None, 0 if i is None else -i, h) for i, h in drawn)
+    return sorted({places[k * len(places) // count] for k in range(1, count)}) if places else []
 
 
 def edited(text: str, after: str) -> str:
@@ -162,7 +182,7 @@ def fingerprint_documents(docs: DataFrame, lexicon: Lexicon, *, slice_bytes: int
     near_edited, near_next.
 
     The next document is the one with the next lower id (rows with equal ids follow each
-    other by text; null ids come last); after the last comes the first. Null texts are
+    other by a hash of the text; null ids come last); after the last comes the first. Null texts are
     empty. Equal texts have equal fingerprints.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
