@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from girasol.operators import packing
+
 from .common import text_slices
 from .components import connected_components, saved
 
@@ -416,7 +418,22 @@ def link_documents(docs: DataFrame, *, size: int = 3, percent: int = 90, passes:
 
 
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
-    """One row of each group of linked documents: that of the least id (rows that repeat an
-    id with the same text are one document). Rows without an id, or without words, stay."""
+    """One row of each group of linked documents: that of the least id. Rows that repeat an id with the
+    same text are one document and stay or go together; with other texts they are documents of their own, of
+    which the first by a hash of the text counts as the least. Rows without an id, or without words, stay."""
+    print_ = F.md5(F.col("text").cast("string").cast("binary"))
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    if known.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).where("x != y").isEmpty():
+        return _first_of_ids(docs, options)
+    # Numbers in the order of (id, hash) stand for the ids; parts of the order are not counted through.
+    own = known.select("doc_id", print_.alias("_print"), "text").dropDuplicates(["doc_id", "_print"])
+    table = packing.in_order(own, [F.col("doc_id"), F.col("_print")])
+    number = (F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_in")).alias("_number")
+    linked = link_documents(table.select(number.alias("doc_id"), "text"), count_links=False, **options).where("doc_id != component_id").select(F.col("doc_id").alias("_number"))
+    gone = table.select("doc_id", "_print", number).join(linked, "_number").select(F.col("doc_id").alias("_id"), "_print")
+    return docs.withColumn("_own", print_).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_print")), "left_anti").select(docs.columns)
+
+
+def _first_of_ids(docs: DataFrame, options: dict) -> DataFrame:
     linked = link_documents(docs, count_links=False, **options).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(linked, "doc_id", "left_anti").select(docs.columns)
