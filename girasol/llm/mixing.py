@@ -84,7 +84,7 @@ def words_before(units: DataFrame, rows_per_range: int) -> DataFrame:
 
 
 def mix_documents(
-    docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2, seed: int = 13, keep: list[str] | None = None, rows_per_range: int = 65_536
+    docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2, seed: int = 13, keep: list[str] | None = None, rows_per_range: int = 8_192
 ) -> DataFrame:
     """``keep`` (doc_id) and size, source_size, target, taken, is_cut for each row of ``docs`` (doc_id,
     source, text).
