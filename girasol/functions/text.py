@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,25 +64,3 @@ def first_integer(t: Column, low: int = 0, high: int = 100) -> Column:
     """The first integer of a reply, clamped; NULL without one."""
     found = F.try_to_number(F.nullif(F.regexp_extract(t, r"\d{1,9}", 0), F.lit("")), F.lit("999999999")).cast("int")
     return F.when(found.isNotNull(), F.greatest(F.least(found, F.lit(high)), F.lit(low)))
-
-
-def encode_points(text: str) -> list[int]:
-    return [ord(c) for c in text]
-
-
-def decode_points(ids: list[int]) -> str:
-    """Text of code points; runs of spaces become one."""
-    return re.sub(" +", " ", "".join(map(chr, ids)))
-
-
-def round_trip(ids: list[int], decode: Callable[[list[int]], str], encode: Callable[[str], list[int]], special: tuple[int, ...]) -> tuple[str, bool, str]:
-    """(text, ok, reason) of a window of ids: the first that holds of special_id_in_window, blank,
-    roundtrip_fail and ok."""
-    text = decode(ids)
-    if any(i in special for i in ids):
-        reason = "special_id_in_window"
-    elif not text.strip(" "):
-        reason = "blank"
-    else:
-        reason = "ok" if encode(text) == ids else "roundtrip_fail"
-    return text, reason == "ok", reason

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girasol.functions import text as tx
+from girasol.functions import tokens
 from girasol.functions import vec
 from girasol.operators import bank, moments, select
 from girasol.sources import raw, readers, sinks
@@ -144,18 +144,12 @@ def f1d_first_batch_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _below(n, n.orderBy("vec_id").limit(256), 1.3, F.lit(True))
 
 
-@query("""
-WITH t AS (SELECT doc_id, text s FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(s, '[#$%&*]') THEN 'special_id_in_window' WHEN trim(s) = '' THEN 'blank' WHEN contains(s, '  ') THEN 'roundtrip_fail' ELSE 'ok' END AS reason FROM t""")
+@query()
 def f8_ids_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids that are decoded and encoded again have to be the same; the codec here is of code points and
-    cannot hold two spaces in a row."""
-
-    @F.pandas_udf("text string, ok boolean, reason string")
-    def trip(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([tx.round_trip([ord(c) for c in t or ""], tx.decode_points, tx.encode_points, tuple(map(ord, "#$%&*"))) for t in texts], columns=["text", "ok", "reason"])
+    """Windows of 16 ids of whole texts, decoded and encoded again; tests hold the reasons against a loop."""
+    import public_tokenizers
 
-    return table(spark, sf_dir, "documents").select("doc_id", trip("text").alias("r")).select("doc_id", "r.reason")
+    return tokens.round_trips(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @query(f"""

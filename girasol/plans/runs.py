@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from girasol.functions import schedule
 from girasol.operators import packing
 
 from .common import query, table
@@ -186,13 +187,20 @@ def a57_budget_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("run", verdict.alias("verdict"))
 
 
-@query("WITH s AS (SELECT unnest(range(1, 201)) step), l AS (SELECT step, CASE WHEN step <= 20 THEN step / 20.0::DOUBLE ELSE 0.5 * (1 + cos(pi() * (step - 20) / 180.0)) END lr FROM s) SELECT step, round(lr, 6) AS lr, round(sum(lr) OVER (ORDER BY step), 5) AS cum_lr FROM l")
+@query("""
+WITH r AS (SELECT event_type run, max(user_id) + 1 total, (max(user_id) + 1) // 10 + 1 warm FROM events GROUP BY run), s AS (SELECT run, total, warm, unnest(range(1, total + 1)) step FROM r),
+l AS (SELECT *, CASE WHEN step <= warm THEN step / warm ELSE 0.5 * (1 + cos(pi() * (step - warm) / (total - warm))) END lr FROM s), c AS (SELECT *, sum(lr) OVER (PARTITION BY run ORDER BY step) cum, sum(lr) OVER (PARTITION BY run) whole FROM l),
+h AS (SELECT run, min(step) half FROM c WHERE cum >= 0.5 * whole + 1e-9 GROUP BY run), e AS (SELECT DISTINCT event_type run, user_id + 1 step FROM events)
+SELECT run, step, round(lr, 6) AS lr, round(cum, 5) AS cum_lr, half AS half_step FROM e JOIN c USING (run, step) JOIN h USING (run)""")
 def p17_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warm-up, then cosine; the closed form's running sum over a fixed number of steps."""
-    s = spark.range(1, 201).select(F.col("id").alias("step"))
-    lr = F.when(F.col("step") <= 20, F.col("step") / 20.0).otherwise(0.5 * (1 + F.cos(F.pi() * (F.col("step") - 20) / 180.0)))
-    l = s.select("step", lr.alias("lr"))
-    return l.select("step", F.round("lr", 6).alias("lr"), F.round(F.sum("lr").over(Window.orderBy("step")), 5).alias("cum_lr"))
+    """The rate and its closed-form sum at the steps that a run logs, and the step that has half of the whole sum."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), (F.col("user_id") + 1).alias("step")).distinct()
+    r = e.groupBy("run").agg(F.max("step").alias("total")).withColumn("warm", F.floor(F.col("total") / 10) + 1)
+    at = lambda f, s: f(s, F.col("warm"), F.col("total"))
+    half = 0.5 * at(schedule.cum_lr, F.col("total")) + 1e-9
+    steps = F.filter(F.sequence(F.lit(1).cast("long"), "total"), lambda s: at(schedule.cum_lr, s) >= half)
+    r = r.withColumn("half_step", F.get(steps, F.lit(0)))
+    return e.join(r, "run").select("run", "step", F.round(at(schedule.lr_at, F.col("step")), 6).alias("lr"), F.round(at(schedule.cum_lr, F.col("step")), 5).alias("cum_lr"), "half_step")
 
 
 @query("SELECT event_id, floor(epoch(ts))::BIGINT AS epoch_s, strftime(ts, '%Y-%m-%d') AS day FROM events")

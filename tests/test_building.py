@@ -6,10 +6,11 @@ import json
 import time
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from girasol.functions import text as tx
+from girasol.functions import tokens
 from girasol.operators import leak, moments, select
 from girasol.plans import QUERIES
 from girasol.sources import readers, sinks
@@ -163,11 +164,24 @@ def test_calls_that_fail_or_take_too_long_are_rows(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
-def test_round_trip_reasons():
-    special = (ord("#"),)
-    trip = lambda t: tx.round_trip(tx.encode_points(t), tx.decode_points, tx.encode_points, special)
-    assert [trip(t)[2] for t in ("plain", "a  b", "  ", "# a", "")] == ["ok", "roundtrip_fail", "blank", "special_id_in_window", "blank"]
-    assert trip("a  b")[:2] == ("a b", False)
+def test_round_trips_have_all_reasons(spark, sf_dir):
+    enc = tokens.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+    def reason(w):
+        back = enc.decode_bytes(w).decode("utf-8", "replace")
+        if enc.max_token_value in w:
+            return "special_id_in_window"
+        return "blank" if len(back.strip()) < 3 else "ok" if enc.encode_ordinary(back) == w else "roundtrip_fail"
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
+    rows += [(-1, None), (-2, ""), (-3, "\n \n" * 400), (-4, "\u4e16\u754c\U0001f600" * 60), (-5, "word " * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = tokens.round_trips(df, "doc_id", F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, chars=500).collect()
+    want = []
+    for d, t in rows:
+        ids = enc.encode_ordinary(t) + [enc.max_token_value] if t is not None else []
+        want += [(d, i // 16, len(ids[i : i + 16]), reason(ids[i : i + 16])) for i in range(0, len(ids), 16)]
+    assert sorted(map(tuple, got)) == sorted(want) and {w[3] for w in want} == set(tokens.REASONS)
 
 
 def test_a_shard_that_this_run_has_not_written_is_not_committed(spark, tmp_path):
