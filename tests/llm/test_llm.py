@@ -646,7 +646,7 @@ def test_every_operator_is_registered():
 
     names = entry.queries()
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) <= set(names)
 
 
@@ -655,7 +655,7 @@ def test_matches_sql(spark, sf_dir, name):
     import duckdb
 
     c = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     found = c.sql(queries.ORACLE_SQL[name])
     df = queries.QUERIES[name](spark, sf_dir)
