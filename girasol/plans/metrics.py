@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from girasol.operators.dip import dip_test
+
 from .common import query, table
 
 
@@ -383,23 +385,5 @@ def j23_delta_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a34_dip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest gap between the empirical distribution and its nearest unimodal one, to a grid:
-    a distance in the spirit of the dip, from 64 quantile cells a group, so bounded work."""
-    qs = ", ".join(f"{i / 64}D" for i in range(65))
-    g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.expr(f"percentile(value, array({qs}))").alias("q"))
-
-    def run(pdf):  # noqa: ANN001, ANN202
-        import numpy as np
-
-        def gap(q: np.ndarray) -> float:
-            u = np.linspace(0, 1, len(q))
-            best = 1.0
-            for m in range(1, len(q) - 1):
-                left = np.interp(q[: m + 1], [q[0], q[m]], [0, u[m]])
-                right = np.interp(q[m:], [q[m], q[-1]], [u[m], 1])
-                best = min(best, max(np.maximum(u[: m + 1] - left, 0).max(), np.maximum(right - u[m:], 0).max()))
-            return float(best / 2)
-
-        return pdf.assign(dip=[gap(np.asarray(q)) for q in pdf.q])[["event_type", "dip"]]
-
-    return g.groupBy("event_type").applyInPandas(run, "event_type string, dip double")
+    """The dip of each group's values, and its p under a seeded uniform null."""
+    return dip_test(table(spark, sf_dir, "events"), "event_type", "value")
