@@ -28,8 +28,6 @@ PER_RATE = 12
 SUBSETS = len(RATES) * PER_RATE
 #: Hexadecimal digits of one subset's hash; an empty subset has as many dashes.
 DIGITS = 4
-#: With fewer kept terms than this, a text is fingerprinted by all its terms.
-FEW = 4
 
 
 def terms(text: str) -> set[str]:
@@ -62,17 +60,10 @@ class Lexicon:
         )
 
     def fingerprint(self, text: str) -> str:
-        """Empty texts have an all-dash fingerprint."""
-        found = terms(text)
+        """A text without terms in the band, as an empty one, has an all-dash fingerprint."""
         get = self.ids.get
-        kept = [i for w in found if (i := get(w)) is not None]
-        if len(kept) >= FEW:
-            at = np.sort(np.array(kept))
-            digests, member = self.digests[at], self.member[at]
-        else:
-            drawn = [_draw(w) for w in sorted(found)]
-            digests = np.array([d for d, _ in drawn], np.uint64)
-            member = np.array([m for _, m in drawn], bool).reshape(-1, SUBSETS)
+        at = np.sort(np.array([i for w in terms(text) if (i := get(w)) is not None], np.int64))
+        digests, member = self.digests[at], self.member[at]
         parts = []
         for j, some in enumerate(member.any(0).tolist()):
             if some:
@@ -84,7 +75,7 @@ class Lexicon:
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1; equal fingerprints are wholly alike, those of two empty texts too."""
+    """0 to 1; equal fingerprints are wholly alike, those of two texts without terms in the band too."""
     if a == b:
         return 1.0
     pairs = [(a[i : i + DIGITS], b[i : i + DIGITS]) for i in range(0, len(a), DIGITS)]
