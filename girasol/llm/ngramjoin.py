@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from girasol.operators import packing
 
@@ -30,8 +31,8 @@ _LOWER[65:91] += 32
 _VALUES = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
-#: About how many sets and grams a block has when a component's links are counted.
-BLOCK_SETS, BLOCK_GRAMS = 256, 200_000
+#: About how many sets, and grams that part them from their centre, a block has when a component's links are counted.
+BLOCK_SETS, BLOCK_GRAMS = 1024, 400_000
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -298,62 +299,113 @@ def _cross(members: DataFrame, classes: DataFrame, components: DataFrame, percen
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_times"), F.min("need").alias("need")).where("_times >= need").select("a", "b")
 
 
-def shared_grams(grams: np.ndarray, at: np.ndarray, width: int = 8192) -> np.ndarray:
-    """[sets, sets]: how many grams two sets have in common."""
+def shared_grams(grams: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, *, rare: int = 32, width: int = 8192) -> np.ndarray:
+    """[sets of low, sets of high]: how many of their grams two sets have in common. A gram of up to ``rare``
+    sets is counted pair by pair, others as columns of a product."""
     n = len(at) - 1
-    values, column, times = np.unique(grams, return_inverse=True, return_counts=True)
-    item = np.repeat(np.arange(n), np.diff(at))
-    # A gram of one set alone only counts on the diagonal.
-    common = times > 1
-    live = common[column]
-    column, owner = (np.cumsum(common) - 1)[column[live]], item[live]
+    _, column, times = np.unique(grams, return_inverse=True, return_counts=True)
     order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    out = np.zeros((n, n))
-    for start in range(0, int(common.sum()), width):
+    column, owner = column[order], np.repeat(np.arange(n), np.diff(at))[order]
+    of_low, of_high = np.cumsum(low) - 1, np.cumsum(high) - 1
+    out = np.zeros((int(low.sum()), int(high.sum())), np.int64)
+    few = times[column] <= rare
+    seldom, holder = column[few], owner[few]
+    flat = []
+    for step in range(min(rare, len(seldom))):
+        same = seldom[step:] == seldom[: len(seldom) - step]
+        x, y = holder[: len(seldom) - step][same], holder[step:][same]
+        for a, b in ((x, y), (y, x)) if step else ((x, y),):
+            inside = low[a] & high[b]
+            flat.append(of_low[a[inside]] * out.shape[1] + of_high[b[inside]])
+    if flat:
+        out += np.bincount(np.concatenate(flat), minlength=out.size).reshape(out.shape)
+    often = np.cumsum(times > rare) - 1
+    column, owner = often[column[~few]], owner[~few]
+    for start in range(0, int((times > rare).sum()), width):
         a, b = np.searchsorted(column, [start, start + width])
         has = np.zeros((n, width), np.float32)
         has[owner[a:b], column[a:b] - start] = 1
-        out += has @ has.T
-    np.fill_diagonal(out, np.diff(at))
+        out += (has[low] @ has[high].T).astype(np.int64)
     return out
 
 
+def _deltas(many: DataFrame, source: DataFrame, size: int) -> DataFrame:
+    """(component, rep, c1, c2, n, common, delta): of each set its size, how many grams it shares with the text
+    of its component's least id, the centre, and the grams that one of the two has alone."""
+    texts = source.withColumnRenamed("doc_id", "rep").join(many.select("rep").distinct(), "rep").distinct()
+    # A centre is copied for each BLOCK_SETS of its sets, so that no task has all of a component.
+    spread = many.select("component", F.ceil(F.col("_sets") / BLOCK_SETS).alias("_copies")).distinct()
+    centres = source.join(spread, F.col("doc_id") == F.col("component")).groupBy("component", "_copies").agg(F.min("__girasol_text").alias("_centre"))
+    centres = centres.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))).drop("_copies")
+    own = many.withColumn("_copy", F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("_sets") / BLOCK_SETS)))
+    both = own.join(texts, "rep").join(centres, ["component", "_copy"]).select("component", "rep", "c1", "c2", "__girasol_text", "_centre")
+    schema = many.select("component", "rep", "c1", "c2").schema.add("n", "long").add("common", "long").add("delta", ArrayType(LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_text, centre = None, None
+        for part, texts in text_slices(batches, 1 << 20, "__girasol_text"):
+            c1, c2 = (part.column(c).to_numpy() for c in ("c1", "c2"))
+            grams, at = gram_sets(texts, size)
+            s1, s2 = signatures_of_sets(grams, at)
+            # A repeated id may bring texts of other sets.
+            keep = np.flatnonzero((s1.view(np.int64) == c1) & (s2.view(np.int64) == c2))
+            common, delta = [], []
+            for i in keep.tolist():
+                if (text := part.column("_centre")[i].as_py() or "") != at_text:
+                    at_text, centre = text, gram_sets([text], size)[0]
+                mine = grams[at[i] : at[i + 1]]
+                alone = np.setxor1d(mine, centre, assume_unique=True)
+                common.append((len(mine) + len(centre) - len(alone)) // 2)
+                delta.append(alone.view(np.int64))
+            rows = part.take(pa.array(keep)).select(["component", "rep", "c1", "c2"])
+            values = pa.array(np.concatenate(delta) if delta else np.zeros(0, np.int64))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in delta])]).astype(np.int32))
+            columns = [*rows.columns, pa.array(np.diff(at)[keep].astype(np.int64)), pa.array(common, pa.int64()), pa.ListArray.from_arrays(offsets, values)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return both.mapInArrow(run, schema)
+
+
 def _count_links(classes: DataFrame, reached: DataFrame, source: DataFrame, size: int, percent: int) -> DataFrame:
     """(c1, c2, n_links): with how many other sets each set of a component links.
 
-    All links are inside components, so a component's sets are dealt into blocks, and every two
-    blocks (and each by itself) are a group in which all sets are compared. Two sets alone are
-    linked as they are.
+    All links are inside components. A set is told by what parts it from its component's centre: sets x and y
+    have common(x) + common(y) - |centre| grams of the centre in common, and one more for each gram that both
+    lack or both have beyond it. What is left of alike sets is short. These rests are dealt into blocks, and every
+    two blocks (and each by itself) are a group in which all sets are compared. Two sets alone are linked.
     """
-    own = classes.select("c1", "c2", "rep", "n").join(reached.select(F.col("node").alias("rep"), "component"), "rep")
-    sums = own.groupBy("component").agg(F.count(F.lit(1)).alias("_sets"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_GRAMS)).alias("_blocks"))
-    own = saved(own.join(sums, "component"))
-    dealt = own.where("_sets > 2").withColumn("_block", F.pmod(F.xxhash64("rep"), F.col("_blocks")))
+    own = classes.select("c1", "c2", "rep").join(reached.select(F.col("node").alias("rep"), "component"), "rep")
+    own = saved(own.join(own.groupBy("component").agg(F.count(F.lit(1)).alias("_sets")), "component"))
+    deltas = saved(_deltas(own.where("_sets > 2"), source, size))
+    sums = deltas.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum(F.size("delta")) / BLOCK_GRAMS)).alias("_blocks"))
+    dealt = deltas.join(sums, "component").withColumn("_block", F.pmod(F.xxhash64("rep"), F.col("_blocks")))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    dealt = dealt.select("rep", "c1", "c2", "component", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), (F.col("_block") <= F.col("_other")).alias("_low"))
-    texts = source.withColumnRenamed("doc_id", "rep").join(own.where("_sets > 2").select("rep").distinct(), "rep").distinct()
+    dealt = dealt.select("component", "c1", "c2", "n", "common", "delta", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), (F.col("_block") <= F.col("_other")).alias("_low"))
 
     def count(group: pa.Table) -> pa.Table:
-        c1, c2, low = (group.column(c).to_numpy() for c in ("c1", "c2", "_low"))
+        c1, c2, n, common = (group.column(c).to_numpy() for c in ("c1", "c2", "n", "common"))
+        # A repeated id may bring a set more than once.
+        keep = np.sort(np.unique(np.stack([c1, c2]), axis=1, return_index=True)[1])
+        c1, c2, n, common = c1[keep], c2[keep], n[keep], common[keep]
+        delta = group.column("delta").combine_chunks().take(pa.array(keep))
+        at = np.concatenate([[0], np.cumsum(delta.value_lengths().to_numpy())]).astype(np.int64)
         alone = group.column("_lo")[0] == group.column("_hi")[0]
-        grams, at = gram_sets([x or "" for x in group.column("__girasol_text").to_pylist()], size)
-        s1, s2 = signatures_of_sets(grams, at)
-        # A repeated id may bring texts of other sets, and a set's text more than once.
-        right = np.flatnonzero((s1.view(np.int64) == c1) & (s2.view(np.int64) == c2))
-        keep = right[np.unique(np.stack([c1[right], c2[right]]), axis=1, return_index=True)[1]]
-        sizes = np.diff(at)
-        picked = np.isin(np.repeat(np.arange(len(sizes)), sizes), keep)
-        keep = np.sort(keep)
-        shared = shared_grams(grams[picked], np.concatenate([[0], np.cumsum(sizes[keep])]))
-        n, low = sizes[keep], low[keep].astype(bool)
-        linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
-        np.fill_diagonal(linked, False)
+        low = group.column("_low").to_numpy()[keep].astype(bool)
+        high = low if alone else ~low
+        both = shared_grams(delta.flatten().to_numpy().view(_U), at, low, high)
+        # |centre|, by any of the sets.
+        whole = int(at[1] - n[0] + 2 * common[0])
+        both += common[low][:, None] + common[high][None, :] - whole
+        linked = 100 * both >= percent * (n[low][:, None] + n[high][None, :] - both)
+        if alone:
+            np.fill_diagonal(linked, False)
+        out = np.zeros(len(keep), np.int64)
+        out[low] = linked.sum(1)
         if not alone:
-            linked &= low[:, None] != low[None, :]
-        return pa.table({"c1": c1[keep], "c2": c2[keep], "n_links": linked.sum(1).astype(np.int64)})
+            out[high] = linked.sum(0)
+        return pa.table({"c1": c1, "c2": c2, "n_links": out})
 
-    counted = dealt.join(texts, "rep").groupBy("component", "_lo", "_hi").applyInArrow(count, "c1 long, c2 long, n_links long")
+    counted = dealt.groupBy("component", "_lo", "_hi").applyInArrow(count, "c1 long, c2 long, n_links long")
     counted = counted.groupBy("c1", "c2").agg(F.sum("n_links").alias("n_links"))
     return saved(counted.union(own.where("_sets = 2").select("c1", "c2", F.lit(1).cast("long"))))
 

@@ -348,6 +348,39 @@ def test_ngram_join_counts_all_links(spark, monkeypatch, staged, block):
     assert sorted(got, key=str) == sorted(want, key=str) and max(n for _, n in want) > 20
 
 
+@pytest.mark.parametrize("rare", [0, 2, 32])
+def test_shared_grams_equal_intersections(rare):
+    rng = np.random.default_rng(rare)
+    sets = [set(rng.choice(60, rng.integers(0, 25), replace=False).tolist()) for _ in range(70)]
+    grams = np.array([g for s in sets for g in sorted(s)], np.uint64)
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    low = rng.random(70) < 0.4
+    for high in (~low, low):
+        want = [[len(x & y) for y, h in zip(sets, high) if h] for x, m in zip(sets, low) if m]
+        assert ngramjoin.shared_grams(grams, at, low, high, rare=rare, width=16).tolist() == want
+
+
+def test_links_within_a_large_component_move_only_what_differs(spark):
+    rng = random.Random(8)
+    base = [f"q{i}" for i in range(300)]
+    rows = []
+    for j in range(1200):
+        w = list(base)
+        for at in rng.sample(range(300), 2):
+            w[at] = f"z{j}"
+        rows.append((j, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    many = spark.createDataFrame([(j, *map(int, x), 0, 1200) for j, x in enumerate(zip(*(s.view(np.int64) for s in ngramjoin.signatures_of_sets(*ngramjoin.gram_sets([t for _, t in rows], 3)))))], "rep long, c1 long, c2 long, component long, _sets long")
+    deltas = ngramjoin._deltas(many, df.withColumnRenamed("text", "__girasol_text"), 3).collect()
+    # Two places of either text are six grams each on both sides.
+    assert len(deltas) == 1200 and max(len(r.delta) for r in deltas) <= 24
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(298)} for _, t in rows[:25]]
+    every = [{tuple(t.split()[i : i + 3]) for i in range(298)} for _, t in rows]
+    want = {j: sum(10 * len(x & y) >= 9 * len(x | y) for y in every) - 1 for j, x in enumerate(sets)}
+    got = {r.doc_id: r.n_links for r in ngramjoin.link_documents(df).where("doc_id < 25").collect()}
+    assert got == want
+
+
 def test_ngram_join_edges(edge, spark):
     out = ngramjoin.link_documents(edge).collect()
     assert len(out) == len(EDGE)
