@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from girasol.operators import select
+from girasol.operators import cofire, select
 from girasol.operators.topstore import TopStore
 from girasol.streaming.state import scratch
 
@@ -20,13 +20,6 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("tok"), F.col("l_suppkey").alias("unit")).distinct()
 
 
-def pairs(events: DataFrame) -> DataFrame:
-    """(i, j, C): tokens on which both units fire. A token's events are its basket, whose size the
-    caller bounds; counts combine before the shuffle."""
-    a, b = events.select("tok", F.col("unit").alias("i")), events.select("tok", F.col("unit").alias("j"))
-    return a.join(b, "tok").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("C"))
-
-
 def poisson_tail(count: Column, mean: Column, terms: int = 60) -> Column:
     """P(X >= count) of a Poisson variable, by a series from the term at ``count`` on."""
     log_first = count * F.log(mean) - mean - _log_factorial(count)
@@ -105,7 +98,7 @@ def a12_top_by_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EV} SELECT a.unit AS i, b.unit AS j, count(*) AS C FROM ev a JOIN ev b ON a.tok = b.tok AND a.unit < b.unit GROUP BY ALL HAVING C >= 3")
 def j11_cofire_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J11, A13."""
-    return pairs(_events(spark, sf_dir)).where("C >= 3")
+    return cofire.pair_counts(_events(spark, sf_dir)).where("C >= 3")
 
 
 @query("""
@@ -113,8 +106,7 @@ WITH e AS (SELECT l_orderkey tok, l_suppkey unit, sum(l_quantity)::DOUBLE a FROM
 SELECT x.unit AS i, y.unit AS j, count(*) AS C, round(sum(x.a), 2) AS S FROM e x JOIN e y ON x.tok = y.tok AND x.unit < y.unit GROUP BY ALL HAVING C >= 10""")
 def a13_cofire_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("tok"), F.col("l_suppkey").alias("unit")).agg(F.sum("l_quantity").cast("double").alias("a"))
-    x, y = e.select("tok", F.col("unit").alias("i"), "a"), e.select("tok", F.col("unit").alias("j"))
-    return x.join(y, "tok").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("C"), F.round(F.sum("a"), 2).alias("S")).where("C >= 10")
+    return cofire.pair_counts(e, value="a").where("C >= 10").select("i", "j", "C", F.round("S", 2).alias("S"))
 
 
 _LIFT = f"{EV}, n AS (SELECT unit, count(*) n FROM ev GROUP BY unit), t AS (SELECT count(DISTINCT tok) T FROM ev), p AS (SELECT a.unit i, b.unit j, count(*) C FROM ev a JOIN ev b ON a.tok = b.tok AND a.unit < b.unit GROUP BY ALL)"
@@ -124,7 +116,7 @@ def _lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _events(spark, sf_dir)
     n = ev.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     total = ev.select("tok").distinct().count()
-    p = pairs(ev).join(n.select(F.col("unit").alias("i"), F.col("n").alias("ni")), "i").join(n.select(F.col("unit").alias("j"), F.col("n").alias("nj")), "j")
+    p = cofire.pair_counts(ev).join(n.select(F.col("unit").alias("i"), F.col("n").alias("ni")), "i").join(n.select(F.col("unit").alias("j"), F.col("n").alias("nj")), "j")
     return p.withColumn("E", F.col("ni") * F.col("nj") / F.lit(float(total)))
 
 
@@ -152,11 +144,7 @@ f AS (SELECT x.i, x.j, y.j k FROM s x JOIN s y ON x.j = y.i JOIN s z ON z.i = x.
 SELECT i, j, k, count(*) AS n FROM f JOIN ev a ON a.unit = i JOIN ev b ON b.unit = j AND b.tok = a.tok JOIN ev c ON c.unit = k AND c.tok = a.tok GROUP BY ALL""")
 def j12_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strong edges first; then tokens on which all three fire."""
-    ev = _events(spark, sf_dir)
-    s = pairs(ev).where("C >= 2").select("i", "j")
-    f = s.join(s.select(F.col("i").alias("j"), F.col("j").alias("k")), "j").join(s.select("i", F.col("j").alias("k")), ["i", "k"])
-    one = lambda name: ev.select("tok", F.col("unit").alias(name))
-    return one("i").join(one("j"), "tok").where("i < j").join(one("k"), "tok").where("j < k").join(f, ["i", "j", "k"]).groupBy("i", "j", "k").agg(F.count(F.lit(1)).alias("n"))
+    return cofire.triangles(_events(spark, sf_dir), 2)
 
 
 @query("""
