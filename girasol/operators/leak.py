@@ -12,28 +12,55 @@ from pyspark.sql import types as T
 
 from girasol.functions import vec
 
-#: Bytes of reference vectors that one broadcast may hold.
-BROADCAST_BYTES = 256 << 20
-
-
-def _against(rows: DataFrame, vector: str, key: str, ids: list, matrix: np.ndarray) -> DataFrame:
+#: Bytes of reference vectors that one broadcast may hold, and of rows or references of a block.
+BROADCAST_BYTES = 32 << 20
+#: Rows and references of which a task holds all products at once.
+TILE_ROWS, TILE_REFS = 1024, 2048
+#: Products of a matrix product and of a plain sum differ by less than this share of the lengths.
+ROUNDING = 1e-12
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    flat = column.flatten() if isinstance(column, pa.Array) else column.combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def _plain(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products of paired rows, summed from the first place to the last as SQL does: equal vectors give
+    equal values wherever they stand, as a matrix product's do not."""
+    return np.cumsum(x * y, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+
+def _nearest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x the place of the row of y with the greatest plain dot product, the first at ties,
+    and that product. What comes near the greatest in a matrix product is summed again."""
+    best, at = np.full(len(x), -np.inf), np.zeros(len(x), np.int64)
+    for i in range(0, len(y), TILE_REFS):
+        own = y[i : i + TILE_REFS].astype(np.float64)
+        length = np.linalg.norm(own, axis=1).max()
+        for s in range(0, len(x), TILE_ROWS):
+            part = x[s : s + TILE_ROWS].astype(np.float64)
+            cos = part @ own.T
+            floor = np.maximum(cos.max(1), best[s : s + TILE_ROWS]) - ROUNDING * np.linalg.norm(part, axis=1) * length
+            r, c = np.nonzero(cos >= floor[:, None])
+            v = np.concatenate([_plain(part[r[k : k + 65_536]], own[c[k : k + 65_536]]) for k in range(0, len(r), 65_536)] or [np.zeros(0)])
+            order = np.lexsort((c, -v, r))
+            order = order[np.r_[True, np.diff(r[order]) > 0]] if len(order) else order
+            order = order[v[order] > best[s + r[order]]]
+            best[s + r[order]], at[s + r[order]] = v[order], i + c[order]
+    return best, at
+
+
+def _against(rows: DataFrame, vector: str, key: str, ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
     schema = rows.select(key).schema.add("ref_id", "long").add("cos", "double")
-    shared = rows.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), matrix))
+    shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            x = flat.reshape(batch.num_rows, -1).astype(np.float64)
-            best, at = np.full(len(x), -np.inf), np.zeros(len(x), np.int64)
-            for i in range(0, len(matrix), 4096):
-                cos = x @ matrix[i : i + 4096].T
-                j = cos.argmax(1)
-                top = cos[np.arange(len(x)), j]
-                better = top > best
-                best[better], at[better] = top[better], i + j[better]
+            best, at = _nearest(_matrix(batch.column(1), batch.num_rows), matrix)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[at]), pa.array(best)], names=[key, "ref_id", "cos"])
 
     return rows.select(key, vector).mapInArrow(run, schema)
@@ -43,9 +70,10 @@ def max_cosine(rows: DataFrame, refs: DataFrame, vector: str, key: str, ref_key:
     """(key, ref_id, cos): the reference with the greatest dot product, the least id at ties.
 
     Vectors are units of one width; rows whose vector is null or not finite get nulls, and such references
-    are left out. References of at most ``limit`` bytes are broadcast. More of them
-    are dealt into blocks, and so are the rows: every two blocks meet in one task, nothing of them
-    in the driver, and the blocks' results in an aggregate.
+    are left out. Equal references count once. References of at most ``limit`` bytes are broadcast. More of
+    them are dealt into blocks of that size, and so are the rows: every two blocks meet in one task, nothing
+    of them in the driver, and the blocks' results in an aggregate. Products are made in tiles, so a
+    task's memory is bounded by ``limit`` whatever the tables' sizes.
     """
     whole, refs = rows, refs.where(vec.is_finite(F.col(vector)))
     rows = whole.where(vec.is_finite(F.col(vector)))
@@ -54,36 +82,29 @@ def max_cosine(rows: DataFrame, refs: DataFrame, vector: str, key: str, ref_key:
 
 
 def _max_cosine(rows: DataFrame, refs: DataFrame, vector: str, key: str, ref_key: str, limit: int) -> DataFrame:
-    count, width = refs.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    kind = "array<float>" if rows.schema[vector].dataType == refs.schema[vector].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    size = 4 if kind == "array<float>" else 8
+    refs = refs.groupBy(F.col(vector).cast(kind).alias("_v")).agg(F.min(F.col(ref_key).cast("long")).alias("_ref"))
+    count, width = refs.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
     if not count:
         return rows.select(key, F.lit(None).cast("long").alias("ref_id"), F.lit(None).cast("double").alias("cos"))
-    blocks = -(-count * width * 8 // limit)
+    blocks = -(-count * width * size // limit)
     if blocks == 1:
-        got = refs.select(ref_key, F.col(vector).cast("array<double>").alias("v")).orderBy(ref_key).toArrow()
-        matrix = np.array(got.column("v").combine_chunks().flatten().to_numpy()).reshape(got.num_rows, -1)
-        return _against(rows, vector, key, got.column(ref_key).to_pylist(), matrix)
-    parts = max(1, -(-rows.count() * width * 8 // limit))
+        got = refs.orderBy("_ref").toArrow()
+        return _against(rows, vector, key, got.column("_ref").to_numpy(), _matrix(got.column("_v"), got.num_rows))
+    parts = max(1, -(-rows.count() * width * size // limit))
     deal = lambda df, of, n, name: df.withColumn(name, F.pmod(F.xxhash64(of), F.lit(n)).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = deal(rows.select(key, F.col(vector).cast("array<double>").alias("_v")), key, parts, "_a").withColumn("_b", every(blocks))
-    others = deal(refs.select(F.col(ref_key).alias("_ref"), F.col(vector).cast("array<double>").alias("_v")), "_ref", blocks, "_b").withColumn("_a", every(parts))
+    own = deal(rows.select(key, F.col(vector).cast(kind).alias("_v")), key, parts, "_a").withColumn("_b", every(blocks))
+    others = deal(refs, "_ref", blocks, "_b").withColumn("_a", every(parts))
     schema = rows.select(key).schema.add("ref_id", "long").add("cos", "double")
-    kind = pa.int64()
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({key: left.column(key).slice(0, 0), "ref_id": pa.array([], kind), "cos": pa.array([], pa.float64())})
+            return pa.table({key: left.column(key).slice(0, 0), "ref_id": pa.array([], pa.int64()), "cos": pa.array([], pa.float64())})
         right = right.sort_by("_ref")
-        x, y = (t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (left, right))
-        ids = right.column("_ref").to_numpy()
-        best, at = np.full(len(x), -np.inf), np.zeros(len(x), np.int64)
-        for i in range(0, len(y), 4096):
-            cos = x @ y[i : i + 4096].T
-            j = cos.argmax(1)
-            top = cos[np.arange(len(x)), j]
-            better = top > best
-            best[better], at[better] = top[better], i + j[better]
-        return pa.table({key: left.column(key), "ref_id": pa.array(ids[at].astype(np.int64)), "cos": pa.array(best)})
+        best, at = _nearest(_matrix(left.column("_v"), left.num_rows), _matrix(right.column("_v"), right.num_rows))
+        return pa.table({key: left.column(key), "ref_id": pa.array(right.column("_ref").to_numpy()[at]), "cos": pa.array(best)})
 
     out = own.groupBy("_a", "_b").cogroup(others.groupBy("_a", "_b")).applyInArrow(meet, schema)
     return out.groupBy(key).agg(F.max(F.struct(F.col("cos"), (-F.col("ref_id")).alias("m"))).alias("b")).select(key, (-F.col("b.m")).alias("ref_id"), "b.cos")
@@ -114,19 +135,24 @@ def nearest_rows(rows: DataFrame, refs: DataFrame, vector: str, key: str, label:
         if not own.num_rows or not asked.num_rows:
             return pa.table({"_ref": asked.column("_ref").slice(0, 0), "_key": own.column(key).slice(0, 0), "cos": pa.array([], pa.float64())})
         own = own.sort_by(key)
-        x, y = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t, c in ((own, "_v"), (asked, "_r")))
+        x, y = _matrix(own.column("_v"), own.num_rows), _matrix(asked.column("_r"), asked.num_rows)
+        error = ROUNDING * np.linalg.norm(x, axis=1)
         labels, mine = own.column("_own").to_numpy(), asked.column("_ref").to_numpy()
         at, rows, values = [], [], []
         for i in range(0, len(y), 64):
             cos = np.where(mine[i : i + 64, None] != labels[None, :], y[i : i + 64] @ x.T, -np.inf)
             for j, line in enumerate(cos):
-                # The k-th value and all that tie with it, so that a cut never depends on the block.
-                kth = np.partition(line, len(line) - k)[len(line) - k] if k < len(line) else -np.inf
-                near = np.flatnonzero((line >= kth) & (line > -np.inf))
-                near = near[np.argsort(-line[near], kind="stable")][:k]
+                # All that may be among the first k by a plain sum, in which equal rows tie wherever they stand.
+                slack = error * np.linalg.norm(y[i + j])
+                low = line - slack
+                kth = np.partition(low, len(line) - k)[len(line) - k] if k < len(line) else -np.inf
+                near = np.flatnonzero((line + slack >= kth) & (line > -np.inf))
+                exact = _plain(x[near], y[i + j])
+                first = np.argsort(-exact, kind="stable")[:k]
+                near, exact = near[first], exact[first]
                 at += [i + j] * len(near)
                 rows += near.tolist()
-                values += line[near].tolist()
+                values += exact.tolist()
         return pa.table({"_ref": asked.column("_ref").take(at), "_key": own.column(key).take(rows), "cos": pa.array(values, pa.float64())})
 
     found = left.groupBy("_a", "_b").cogroup(right.groupBy("_x", "_y")).applyInArrow(meet, T.StructType([*(T.StructField(n, t) for n, t in names.items()), T.StructField("cos", T.DoubleType())]))

@@ -8,6 +8,7 @@ import random
 import struct
 from hashlib import md5, sha1
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,38 @@ def test_max_cosine_in_blocks_equals_one_block(spark):
     assert len(none) == 40 and all(r.cos is None for r in none)
 
 
+def test_equal_rows_and_references_tie_exactly(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(60, 64)).astype(np.float32)
+    x = np.concatenate([base] * 40)
+    df = spark.createDataFrame([(i, i % 60 % 5, v.tolist()) for i, v in enumerate(x)], "k long, g int, v array<float>")
+    plain = lambda a, b: float(np.cumsum(a.astype(float) * b.astype(float))[-1])
+    centre = base[:5] + base[5:10]
+    refs = spark.createDataFrame([(g, v.tolist()) for g, v in enumerate(centre)], "g int, v array<float>")
+    got = sorted((r.g, r["rank"], r.k, r.cos) for r in leak.nearest_rows(df, refs, "v", "k", "g", 9).collect())
+    want = [(g, n, i, plain(x[i], centre[g])) for g in range(5) for n, i in enumerate(sorted((i for i in range(len(x)) if i % 60 % 5 != g), key=lambda i: (-plain(x[i], centre[g]), i))[:9], 1)]
+    assert got == want
+    asked = df.where("k % 7 = 0").select("k", "v")
+    held = df.where("k % 7 <> 0").select(F.col("k").alias("r"), "v")
+    least = {}
+    for i in sorted(i for i in range(len(x)) if i % 7):
+        least.setdefault(i % 60, i)
+    for limit in (leak.BROADCAST_BYTES, 64 * 4 * 16):
+        for r in leak.max_cosine(asked, held, "v", "k", "r", limit=limit).collect():
+            assert r.ref_id == max(least.values(), key=lambda i: (plain(x[r.k], x[i]), -i)) and r.cos == plain(x[r.k], x[r.ref_id])
+
+
+def test_products_of_many_rows_stay_small():
+    import tracemalloc
+
+    x, y = (np.random.default_rng(i).normal(size=(20_000, 8)).astype(np.float32) for i in range(2))
+    tracemalloc.start()
+    best, at = leak._nearest(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and np.allclose(best, (x.astype(float) * y[at].astype(float)).sum(1))
+
+
 def test_similarity_guard_drops_planted_copies(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "k long, v array<double>")
     refs = spark.createDataFrame([(7, [0.0, 1.0])], "k long, v array<double>")
