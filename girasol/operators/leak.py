@@ -127,8 +127,9 @@ def nearest_rows(rows: DataFrame, refs: DataFrame, vector: str, key: str, label:
     refs = refs.where(good).select(F.col(label).alias("_ref"), vec.doubles(F.col(vector)).alias("_r"))
     parts, blocks = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-refs.count() // BLOCK_REFS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("_a", F.pmod(F.xxhash64("_v"), F.lit(parts))).withColumn("_b", every(blocks))
-    right = refs.withColumn("_y", F.pmod(F.xxhash64("_ref"), F.lit(blocks))).withColumn("_x", every(parts))
+    # Of one type on both sides: a whole number's hash, by which groups meet, differs by its width.
+    left = rows.withColumn("_a", F.pmod(F.xxhash64("_v", key), F.lit(parts)).cast("int")).withColumn("_b", every(blocks))
+    right = refs.withColumn("_y", F.pmod(F.xxhash64("_ref"), F.lit(blocks)).cast("int")).withColumn("_x", every(parts))
     names = {"_ref": rows.schema["_own"].dataType, "_key": rows.schema[key].dataType}
 
     def meet(own: pa.Table, asked: pa.Table) -> pa.Table:

@@ -146,7 +146,7 @@ def test_max_cosine_in_blocks_equals_one_block(spark):
     assert len(none) == 40 and all(r.cos is None for r in none)
 
 
-def test_equal_rows_and_references_tie_exactly(spark):
+def test_equal_rows_and_references_tie_exactly(spark, monkeypatch):
     rng = np.random.default_rng(11)
     base = rng.normal(size=(60, 64)).astype(np.float32)
     x = np.concatenate([base] * 40)
@@ -158,6 +158,13 @@ def test_equal_rows_and_references_tie_exactly(spark):
     want = [(g, n, i, plain(x[i], centre[g])) for g in range(5) for n, i in enumerate(sorted((i for i in range(len(x)) if i % 60 % 5 != g), key=lambda i: (-plain(x[i], centre[g]), i))[:9], 1)]
     assert got == want
     asked = df.where("k % 7 = 0").select("k", "v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        monkeypatch.setattr(leak, "BLOCK_ROWS", 300)
+        monkeypatch.setattr(leak, "BLOCK_REFS", 2)
+        assert sorted((r.g, r["rank"], r.k, r.cos) for r in leak.nearest_rows(df, refs, "v", "k", "g", 9).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     held = df.where("k % 7 <> 0").select(F.col("k").alias("r"), "v")
     least = {}
     for i in sorted(i for i in range(len(x)) if i % 7):
