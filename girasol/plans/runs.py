@@ -136,12 +136,11 @@ WITH {LOG}, b AS (SELECT step x, y FROM log WHERE run = 'view' AND step % 3 = 0)
 j AS (SELECT a.x, (SELECT max(x) FROM b WHERE b.x <= a.x) lo, (SELECT min(x) FROM b WHERE b.x >= a.x) hi FROM a)
 SELECT j.x AS step, round(CASE WHEN lo IS NULL OR hi IS NULL THEN NULL WHEN lo = hi THEN l.y ELSE l.y + (h.y - l.y) * (j.x - lo) / (hi - lo) END, 6) AS y FROM j LEFT JOIN b l ON l.x = lo LEFT JOIN b h ON h.x = hi""")
 def j17_interpolated_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact where there is a value, else between its neighbours, else NULL: one sort of both sides."""
+    """Exact where there is a value, else between its neighbours, else NULL: one sort of both sides, cut into parts."""
     log = _log(spark, sf_dir)
-    b = log.where("run = 'view' AND step % 3 = 0").select(F.col("step").alias("x"), F.struct("step", "y").alias("p"), F.lit(False).alias("ask"))
-    a = log.where("run = 'click'").select(F.col("step").alias("x"), F.lit(None).cast("struct<step:bigint,y:double>").alias("p"), F.lit(True).alias("ask"))
-    w = Window.orderBy("x")
-    u = a.unionByName(b).withColumn("lo", F.last("p", True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first("p", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    known, ask = (F.col("run") == "view") & (F.col("step") % 3 == 0), F.col("run") == "click"
+    both = log.where(known | ask).groupBy(F.col("step").alias("x")).agg(F.max(F.when(known, F.struct("step", "y"))).alias("p"), F.max(ask).alias("ask"))
+    u = packing.neighbours(both, "x", "p")
     l, h = F.col("lo"), F.col("hi")
     y = F.when(l.isNotNull() & h.isNotNull(), F.when(l["step"] == h["step"], l["y"]).otherwise(l["y"] + (h["y"] - l["y"]) * (F.col("x") - l["step"]) / (h["step"] - l["step"])))
     return u.where("ask").select(F.col("x").alias("step"), F.round(y, 6).alias("y"))

@@ -76,3 +76,19 @@ def test_rows_carry_their_other_columns(spark):
     df = spark.createDataFrame([(i, f"text {i}", 30, [i]) for i in range(40)], "i long, text string, n int, c array<int>")
     got = packing.pack(df, [F.col("i")], "n", 100, rows=9).orderBy("i").collect()
     assert [(r.i, r.text, r.c, r.bin) for r in got] == [(i, f"text {i}", [i], i // 3) for i in range(40)]
+
+
+def test_neighbours_reach_over_parts(spark):
+    there = {i for i in range(5, 190) if i % 17 == 3 or 100 < i < 105}
+    df = spark.createDataFrame([(i, i if i in there else None) for i in range(200)], "x long, p long").repartition(7)
+    for rows in (8, 1000):
+        for r in packing.neighbours(df, "x", "p", rows).collect():
+            assert r.lo == max((i for i in there if i <= r.x), default=None) and r.hi == min((i for i in there if i >= r.x), default=None)
+
+
+def test_interpolation_has_no_window_over_all_rows(spark, sf_dir):
+    from girasol.plans import QUERIES
+
+    plan = QUERIES["j17_interpolated_as_of"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    frames = [line for line in plan.splitlines() if "Window [" in line and "_in#" in line]
+    assert frames and all("[_part#" in line for line in frames) and "unboundedfollowing" not in plan.lower()
