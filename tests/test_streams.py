@@ -81,3 +81,23 @@ def test_a_micro_batch_that_is_tried_again_replaces_itself(spark, tmp_path):
         assert "lost" in str(e)
     held, _ = state.run_batches(stream, "x", "append", once_more, stream.schema, at=at)
     assert sorted(r.id for r in held.collect()) == list(range(90)) and len(tries) == 4
+
+
+def test_slices_are_read_once_and_written_in_order(spark, tmp_path):
+    df = spark.range(3000).select(F.when(F.col("id") == 9, None).otherwise(F.col("id") * 7 % 3000).alias("k"), F.lit("x").alias("v"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    path = str(tmp_path / "in")
+    state.sliced(df.mapInArrow(seen, df.schema), "k", path, 10)
+    # Once for the range and once for the slices, however many these are.
+    assert calls.value <= 2 * 3000
+    files = sorted(((tmp_path / "in").glob("*.parquet")), key=lambda f: f.stat().st_mtime_ns)
+    ranges = [sorted(r.k for r in spark.read.parquet(str(f)).collect()) for f in files]
+    assert len(files) == 10 and sum(ranges, []) == [k for k in range(3000) if k != 63]
+    state.sliced(df.where("false"), "k", str(tmp_path / "none"))
+    assert spark.read.schema(df.schema).parquet(str(tmp_path / "none")).count() == 0
