@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,10 +24,14 @@ def scale(v: Column, by: Column) -> Column:
     return F.transform(doubles(v), lambda x: x * by)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where the value is made once however often f names it, in lambdas too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """NULL for a zero vector."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n))
+    return bound(doubles(v), lambda d: bound(norm(d), lambda n: F.when(n > 0, F.transform(d, lambda x: x / n))))
 
 
 def centred(v: Column, mean: Column) -> Column:

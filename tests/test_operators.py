@@ -266,3 +266,11 @@ def test_library_does_not_import_the_llm_subpackage():
 
     code = "import girasol.plans, sys; assert not any(m.startswith('girasol.llm') for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_a_random_direction_is_made_once_a_row(spark):
+    from girasol.functions import keys
+
+    df = spark.range(1).select(vec.unit(keys.normals(3, F.lit(64), F.col("id"))).alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert abs(sum(x * x for x in df.first().v) - 1) < 1e-9
