@@ -26,8 +26,13 @@ def words(t: Column) -> Column:
 
 
 def token_ids(t: Column, vocabulary: int = 65536) -> Column:
-    """A number for each token: the first 32 bits of its md5, modulo the vocabulary."""
-    return F.transform(tokens(t), lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % vocabulary).cast("int"))
+    """A number for each token of a text."""
+    return numbers(tokens(t), vocabulary)
+
+
+def numbers(words: Column, vocabulary: int = 65536) -> Column:
+    """The first 32 bits of a token's md5, modulo the vocabulary."""
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % vocabulary).cast("int"))
 
 
 def span_hash(ids: Column, digits: int = 16) -> Column:

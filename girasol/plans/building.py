@@ -160,14 +160,17 @@ def u15_prefix_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets from a document's start to one to four tokens past a place, windows that end at the place,
     and a second copy of probe rows."""
     p, more = (8 + F.col("doc_id") % 16).cast("int"), (1 + F.col("doc_id") % 4).cast("int")
-    long = _ids(spark, sf_dir).withColumn("p", p).withColumn("more", more).where(F.size("ids") >= F.col("p") + F.col("more") + 1)
     add = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x)
-    prefix = F.slice("ids", F.lit(1), F.col("p") + F.col("more"))
-    copies = F.explode(F.when(F.col("doc_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
-    a = long.select(F.lit("prefix").alias("part"), "doc_id", F.size(prefix).cast("long").alias("n"), add(prefix).alias("total"), copies)
-    window = tx.span(F.col("ids"), F.col("p"), 8)
-    w = long.select(F.lit("window").alias("part"), "doc_id", F.size(window).cast("long").alias("n"), add(window).alias("total"), F.lit(0).alias("copy"))
-    return a.unionByName(w)
+    row = lambda part, v, copy: F.struct(F.lit(part).alias("part"), F.size(v).cast("long").alias("n"), add(v).alias("total"), F.lit(copy).alias("copy"))
+
+    def harvest(prefix: Column) -> Column:
+        window = tx.span(prefix, p, 8)
+        both = F.array(row("prefix", prefix, 0), row("window", window, 0))
+        return F.when(F.col("doc_id") % 10 == 0, F.concat(both, F.array(row("prefix", prefix, 1)))).otherwise(both)
+
+    # A text is cut into tokens once; only those of the target, which holds the window, are hashed.
+    rows = vec.bound(tx.tokens(F.col("text")), lambda t: F.when(F.size(t) >= p + more + 1, vec.bound(tx.numbers(F.slice(t, F.lit(1), p + more)), harvest)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(rows).alias("r")).select("r.part", "doc_id", "r.n", "r.total", "r.copy")
 
 
 @query("""

@@ -232,3 +232,10 @@ def test_keys_with_too_few_negatives_fail(spark):
     assert select.verified(df, "k", 1, "i", 2).count() == 6
     with pytest.raises(Exception, match="fewer than 3 rows for"):
         select.verified(df, "k", 1, "i", 3).collect()
+
+
+def test_a_harvest_cuts_each_text_once(spark, sf_dir):
+    from girasol.plans import QUERIES
+
+    plan = QUERIES["u15_prefix_harvest"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("Relation [") == 1
