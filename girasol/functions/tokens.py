@@ -25,10 +25,15 @@ def encoding(path: str, pattern: str):  # noqa: ANN201
 def reasons(enc, windows: list[list[int]]) -> list[str]:  # noqa: ANN001
     """The first that holds for each window: a special id in it, fewer than three characters, other ids
     when encoded again (as where it cuts a character or a merge), or none of these."""
-    texts = [enc.decode_bytes(w).decode("utf-8", "replace") for w in windows]
-    again = enc.encode_ordinary_batch(texts, num_threads=1)
     end = enc.max_token_value
-    return [REASONS[0] if end in w else REASONS[1] if len(t.strip()) < 3 else REASONS[2] if a != w else REASONS[3] for w, t, a in zip(windows, texts, again)]
+    return [_reason(enc, w, end) for w in windows]
+
+
+def _reason(enc, w: list[int], end: int) -> str:  # noqa: ANN001
+    if end in w:
+        return REASONS[0]
+    text = enc.decode_bytes(w).decode("utf-8", "replace")
+    return REASONS[1] if len(text.strip()) < 3 else REASONS[2] if enc.encode_ordinary(text) != w else REASONS[3]
 
 
 def round_trips(docs: DataFrame, key: str, text: Column, path: str, pattern: str, *, size: int = 16, chars: int = 1 << 20) -> DataFrame:

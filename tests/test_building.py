@@ -239,3 +239,9 @@ def test_a_harvest_cuts_each_text_once(spark, sf_dir):
 
     plan = QUERIES["u15_prefix_harvest"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1 and plan.count("Relation [") == 1
+
+
+def test_windows_are_tried_without_a_pool_of_threads(monkeypatch):
+    enc = tokens.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    monkeypatch.setattr(type(enc), "encode_ordinary_batch", lambda *a, **k: pytest.fail("a batch call for short windows"))
+    assert tokens.reasons(enc, [enc.encode_ordinary("word " * 9), [enc.max_token_value], enc.encode_ordinary(" ")]) == ["ok", "special_id_in_window", "blank"]
