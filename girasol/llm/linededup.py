@@ -23,9 +23,12 @@ CELLS = 1 << 17
 #: prefixes of a pair are compared before its lines are moved.
 LONG, VERY_LONG = 100, 200
 #: Sets that share a key of their prefix are a crowd if there are more than this.
-CROWD = 256
-#: Pairs within crowds, in multiples of the number of sets, from which crowds are first thinned out.
-DENSE = 16
+CROWD = 16
+#: Crowds are first thinned out where their pairs outnumber this many times the sets.
+DENSE = 0.125
+#: Crowds are thinned out again, by other keys, while a round closes at least this share of their
+#: open sets; and so often at most.
+GAIN, ROUNDS = 0.2, 4
 #: Parts of all words, by hash.
 PARTS = 2
 #: One in so many sets is looked at to estimate those pairs.
@@ -52,8 +55,7 @@ def rarity(docs: DataFrame) -> DataFrame:
     """One row with an array: for each cell of the sketch, four times the binary logarithm of how
     many words of the whole corpus fall into it, in the place that it has in a key. CELLS small
     numbers reach the driver."""
-    line = docs.select(F.explode(F.split("__girasol_text", "\n")).alias("_line"))
-    word = line.select(F.explode(F.split("_line", " ")).alias("_word"))
+    word = docs.select(F.explode(F.split(F.replace("__girasol_text", F.lit("\n"), F.lit(" ")), " ")).alias("_word"))
     cell = F.xxhash64("_word").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell")
     counts = word.select(cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toArrow()
     out = np.zeros(CELLS, np.int64)
@@ -62,8 +64,8 @@ def rarity(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, ranks: DataFrame, similarity: float) -> DataFrame:
-    """One row for each set of words: its first place (d, l), size n, prefix and bitmap. A key is
-    the word's frequency and 56 bits of its hash, so that keys sort by rarity. A bit is the parity
+    """One row for each set of words: its first place (d, l), size n, prefix, bitmap and two
+    keys of the prefix. A word's key is its frequency and 56 bits of its hash, so that keys sort by rarity. A bit is the parity
     of how many keys fall into its cell; a long set's second half of the cells is in high."""
     lines = docs.select("doc_id", F.posexplode(F.split("__girasol_text", "\n")).alias("_at", "_line")).where(F.trim("_line") != "")
     # The ranks are a scalar subquery (a literal of their size would fill plans and event logs),
@@ -71,7 +73,9 @@ def _classes(docs: DataFrame, ranks: DataFrame, similarity: float) -> DataFrame:
     named = lines.select("doc_id", "_at", "_line", ranks.scalar().alias("_ranks"))
 
     def key(h: Column) -> Column:
-        return F.get(F.col("_ranks"), h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
+        # Never null; that the plan knows it lets the keys be sorted as plain numbers.
+        rank = F.coalesce(F.get(F.col("_ranks"), h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0).cast("long"))
+        return rank.bitwiseOR(F.shiftrightunsigned(h, 8))
 
     def flipped(bits: Column, k: Column) -> Column:
         return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
@@ -88,7 +92,11 @@ def _classes(docs: DataFrame, ranks: DataFrame, similarity: float) -> DataFrame:
         F.when(F.col("n") > LONG, parity(F.filter("_keys", lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long")).alias("high"),
     )
     firsts = keyed.groupBy("_set", "_set2").agg(F.min("_place").alias("_place"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "high")])
-    return firsts.select(F.col("_place.doc_id").alias("d"), F.col("_place._at").alias("l"), "n", "prefix", F.col("bits").bitwiseXOR(F.col("high")).alias("bits"), "high")
+    least, greatest = _ends(F.col("prefix"))
+    return firsts.select(
+        F.col("_place.doc_id").alias("d"), F.col("_place._at").alias("l"), "n", "prefix", F.col("bits").bitwiseXOR(F.col("high")).alias("bits"), "high",
+        least.alias("least"), greatest.alias("greatest"),
+    )
 
 
 def _sided(rows: DataFrame, side: str) -> DataFrame:
@@ -113,30 +121,66 @@ def _fits(an: Column, bn: Column, similarity: float) -> Column:
     return near & (apart <= an + bn - 2 * _overlap(an, bn, similarity))
 
 
-def _keyed(classes: DataFrame, *columns: str) -> DataFrame:
-    return classes.select(*columns, F.explode(F.array_distinct(F.array(F.array_min("prefix"), F.array_max("prefix")))).alias("key"))
+def _ends(prefix: Column) -> tuple[Column, Column]:
+    """Keys of a prefix: its two least and its two greatest hashes. One hash alone is shared by
+    many sets that have nothing else in common."""
+    least, greatest = F.array_min(prefix), F.array_max(prefix)
+    return F.hash(least, F.array_min(F.array_remove(prefix, least))), F.hash(greatest, F.array_max(F.array_remove(prefix, greatest)))
 
 
-def _is_dense(classes: DataFrame) -> bool:
-    """Whether crowds are so large that the join of their sets outweighs the rest: their pairs,
-    estimated on some of the sets, against the number of sets. Either way gives the same result."""
-    some = classes.where(F.pmod(F.xxhash64("d", "l"), F.lit(SPARSE)) == 0)
-    crowds = _keyed(some).groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("m")).where(F.col("m") * SPARSE > CROWD)
-    pairs = crowds.agg(F.sum(F.col("m") * F.col("m") * (SPARSE * SPARSE / 2))).first()[0]
-    return (pairs or 0) > DENSE * classes.count()
+def _keyed(sets: DataFrame, salt: int, *columns: str) -> DataFrame:
+    """Sets by their two keys; by keys of other hashes for each salt but 0."""
+    if salt:
+        ends = _ends(F.transform("prefix", lambda t: F.hash(t, F.lit(salt))))
+        sets = sets.select(*columns, *[e.alias(k) for e, k in zip(ends, ("least", "greatest"))])
+    return sets.select(*columns, F.explode(F.array_distinct(F.array("least", "greatest"))).alias("key"))
 
 
-def _crowded(classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a before b) of a set and the earliest one that has the same least, or greatest, hash
-    in its prefix, where many have it."""
+def _crowds(classes: DataFrame, limit: int) -> DataFrame | None:
+    """The saved sets in crowds, or None where crowds are so small that the join of their sets is
+    no more than the rest. Which keys have crowds, and how many pairs those have, is estimated on
+    some of the sets; whatever is found, the result is the same."""
+    some = classes.where(F.pmod(F.xxhash64("d", "l"), F.lit(SPARSE)) == 0)
+    keys = saved(_keyed(some, 0).groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("m")).where(F.col("m") * SPARSE > CROWD))
+    many, pairs = keys.agg(F.count(F.lit(1)), F.sum(F.col("m") * F.col("m") * (SPARSE * SPARSE / 2))).first()
+    if (pairs or 0) <= DENSE * classes.count():
+        return None
+    inside = classes
+    for end in ("least", "greatest"):
+        known = _sent_out(keys.select(F.col("key").alias(end), F.lit(True).alias(f"_in_{end}")), many, limit)
+        inside = inside.join(known, end, "left")
+    return saved(inside.where("_in_least OR _in_greatest").select("d", "l", "n", "prefix", "bits", "high", "least", "greatest"))
+
+
+def _crowded(members: DataFrame, similarity: float, salt: int) -> DataFrame:
+    """Pairs (a before b) of an open set and the earliest one that has the same least, or greatest,
+    hashes in its prefix: two at most for each set, however large the crowd."""
     about = ("d", "l", "n", "bits", "high")
-    keyed = _keyed(classes, *about)
-    least = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct(*about)).alias("a")).where(F.col("_many") > CROWD)
+    least = _keyed(members, salt, *about).groupBy("key").agg(F.min(F.struct(*about)).alias("a"))
     least = least.select("key", *[F.col(f"a.{c}").alias(f"a{c}") for c in about])
-    later = _sided(keyed, "b").withColumnRenamed("bkey", "key")
+    later = _sided(_keyed(members.where("open"), salt, *about), "b").withColumnRenamed("bkey", "key")
     return later.join(least, "key").where(_fits(F.col("an"), F.col("bn"), similarity) & _before("a", "b")).select("ad", "al", "bd", "bl", (F.greatest("an", "bn") > VERY_LONG).alias("long")).distinct()
 
 
+def _thinned(docs: DataFrame, members: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """(d, l): sets of crowds that match an earlier one, by the earliest sets of their keys."""
+    lines, path = written(_lines(docs, members.select("d", "l"), limit))
+    found, left = None, members.count()
+    for salt in range(ROUNDS):
+        now = members.withColumn("open", F.lit(True))
+        if found is not None:
+            known = found.select("d", "l", F.lit(False).alias("open"))
+            now = members.join(known, ["d", "l"], "left").withColumn("open", F.coalesce("open", F.lit(True)))
+        more = _verified(_likely(_crowded(now, similarity, salt), members, similarity), lines, similarity)
+        closed = more.count()
+        found = more if found is None else found.union(more)
+        if closed < GAIN * left:
+            break
+        left -= closed
+    dropped(docs.sparkSession, path)
+    return found
+
+
 def _candidates(classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a before b) of places, b one of the open sets, that pass the prefix, length,
     positional and bitmap filters. In the join, a is the set of fewer words. Words are joined in
@@ -192,12 +236,12 @@ def _sent_out(rows: DataFrame, lines: int, limit: int) -> DataFrame:
     return F.broadcast(rows) if lines <= limit else rows
 
 
-def _lines(docs: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
-    """(d, l, line): the lines of all pairs."""
-    wanted = saved(pairs.select(F.col("ad").alias("doc_id"), F.col("al").alias("_at")).union(pairs.select("bd", "bl")).distinct().groupBy("doc_id").agg(F.collect_list("_at").alias("_asked")))
+def _lines(docs: DataFrame, places: DataFrame, limit: int) -> DataFrame:
+    """(d, l, line): the lines at distinct places (d, l). Only these are put in lower case and parted."""
+    wanted = saved(places.select(F.col("d").alias("doc_id"), F.col("l").alias("_at")).groupBy("doc_id").agg(F.collect_list("_at").alias("_asked")))
     lines = wanted.agg(F.sum(F.size("_asked"))).first()[0] or 0
-    found = docs.join(_sent_out(wanted, lines, limit), "doc_id").select("doc_id", F.split("__girasol_text", "\n").alias("__girasol_lines"), F.explode("_asked").alias("_at"))
-    return found.select(F.col("doc_id").alias("d"), F.col("_at").alias("l"), F.get("__girasol_lines", F.col("_at")).alias("line"))
+    found = docs.join(_sent_out(wanted, lines, limit), "doc_id").select("doc_id", F.split("text", "\n").alias("__girasol_lines"), F.explode("_asked").alias("_at"))
+    return found.select(F.col("doc_id").alias("d"), F.col("_at").alias("l"), F.lower(_spaced(F.get("__girasol_lines", F.col("_at")))).alias("line"))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
@@ -212,7 +256,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
 def _matched(docs: DataFrame, pairs: DataFrame, similarity: float, limit: int) -> DataFrame:
     """(d, l): later lines of saved pairs that match. Each is tried with its earliest partner, and
     only what that leaves open with the others."""
-    lines, path = written(_lines(docs, pairs, limit))
+    places = pairs.select(F.col("ad").alias("d"), F.col("al").alias("l")).union(pairs.select("bd", "bl")).distinct()
+    lines, path = written(_lines(docs, places, limit))
     earliest = pairs.groupBy("bd", "bl").agg(F.min(F.struct("ad", "al")).alias("a")).select(F.col("a.ad").alias("ad"), F.col("a.al").alias("al"), "bd", "bl")
     found = _verified(earliest, lines, similarity)
     rest = pairs.join(found.select(F.col("d").alias("bd"), F.col("l").alias("bl")), ["bd", "bl"], "left_anti").join(earliest, ["ad", "al", "bd", "bl"], "left_anti")
@@ -224,16 +269,20 @@ def _matched(docs: DataFrame, pairs: DataFrame, similarity: float, limit: int) -
 def matched_later(docs: DataFrame, classes: DataFrame, *, similarity: float, limit: int) -> DataFrame:
     """(d, l): first places of saved sets that match a set with an earlier first place.
 
-    One match is enough. In crowds of alike sets nearly all match the earliest, which takes as
-    many comparisons as there are sets; where crowds are dense, that comes first, and what it
+    One match is enough. In crowds of alike sets nearly all match one of the earliest, which takes
+    as many comparisons as there are sets; where crowds are dense, that comes first, and what it
     leaves open is joined with all sets.
     """
     found, marked = None, classes.withColumn("open", F.lit(True))
-    if _is_dense(classes):
-        crowded = saved(_crowded(classes, similarity))
-        found = _matched(docs, saved(_likely(crowded, classes, similarity)), similarity, limit)
-        known = found.select("d", "l", F.lit(False).alias("open"))
-        marked = saved(classes.join(known, ["d", "l"], "left").withColumn("open", F.coalesce("open", F.lit(True))))
+    members = _crowds(classes, limit)
+    if members is not None:
+        found = _thinned(docs, members, similarity, limit)
+        many = found.count()
+        known = _sent_out(found.select("d", "l", F.lit(False).alias("open")), many, limit)
+        marked = classes.join(known, ["d", "l"], "left").withColumn("open", F.coalesce("open", F.lit(True)))
+        # Without a broadcast the classes would be shuffled for each part and side of the join.
+        marked = marked if many <= limit else saved(marked)
+        del members, known
     candidates = saved(_candidates(marked, similarity))
     more = _matched(docs, saved(_likely(candidates, classes, similarity)), similarity, limit)
     return more if found is None else found.union(more)
@@ -253,9 +302,10 @@ def dedup_lines(docs: DataFrame, *, similarity: float = 0.8, broadcast_lines: in
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     whole = docs.select(*[F.col(f"`{c}`") for c in kept_columns])
     named = whole.where(F.col("doc_id").isNotNull())
-    source = named.where(F.col("text").isNotNull()).select("doc_id", F.lower(_spaced(F.col("text").cast("string"))).alias("__girasol_text"))
+    texts = named.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
+    source = texts.select("doc_id", F.lower(_spaced(F.col("text"))).alias("__girasol_text"))
     classes, path = written(_classes(source, rarity(source), similarity))
-    later = matched_later(source, classes, similarity=similarity, limit=broadcast_lines)
+    later = matched_later(texts, classes, similarity=similarity, limit=broadcast_lines)
     kept = classes.select("d", "l").join(later, ["d", "l"], "left_anti")
     kept = saved(kept.groupBy(F.col("d").alias("doc_id")).agg(F.collect_set("l").alias("__girasol_kept")))
     del classes, later

@@ -588,6 +588,21 @@ def test_line_dedup_equals_brute_force(spark, docs, monkeypatch, limit, dense):
     assert all(r.n_lines - r.n_removed == len(r.text.split("\n")) or not r.text for r in got)
 
 
+def test_line_dedup_pairs_grow_with_a_crowd_not_its_square(spark, monkeypatch):
+    seen, real = [], linededup._candidates
+    monkeypatch.setattr(linededup, "_candidates", lambda *a: seen.append(real(*a)) or seen[-1])
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(40)]
+    texts = []
+    for d in range(400):
+        w = list(base)
+        w[rng.randrange(40)] = f"x{d}"
+        texts.append((d, " ".join(w)))
+    got = texts_of(linededup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert got == {d: t if d == 0 else "" for d, t in texts}
+    assert sum(x.count() for x in seen) < 8 * len(texts)
+
+
 def test_line_dedup_edges(edge):
     out = linededup.dedup_lines(edge)
     rows = out.collect()
