@@ -1,16 +1,17 @@
 """An inverted index with places: for a token, where it occurs in which document.
 
-A token's occurrences are blocks of neighbouring documents, each a list of differences, so a token of
+A token's occurrences are lists of differences, each within a block of neighbouring documents, so a token of
 all documents is many rows of bounded size. Rows are parted by a hash of the token: a lookup reads the parts
 of what it wants and no others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,18 +20,58 @@ def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+#: Places that one step of a task packs at most, beyond its last document.
+STEP = 1 << 20
+
+
+def _packed(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (doc, tokens) to rows of the index: what a step's documents have of a token in one block."""
+
+    def rows(docs: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
+        sizes = np.diff(lists.offsets.to_numpy())
+        words = lists.flatten()
+        doc, place = np.repeat(docs, sizes), np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
+        coded = words.take(pa.array(kept)).dictionary_encode()
+        code, doc, place = coded.indices.to_numpy(), doc[kept], place[kept]
+        order = np.lexsort((place, doc, code))
+        code, doc, place = code[order], doc[order], place[order]
+        block = doc // span
+        new = np.r_[True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])] if len(code) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        back = np.r_[0, doc[:-1]][: len(doc)]
+        docs_by = np.where(new, 0, doc - back)
+        places_by = np.where(new | (docs_by != 0), place, place - np.r_[0, place[:-1]][: len(place)])
+        offsets = pa.array(np.r_[starts, len(code)].astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [coded.dictionary.take(pa.array(code[starts])), pa.array(block[starts]), pa.array(np.diff(np.r_[starts, len(code)]).astype(np.int32)), pa.array(doc[starts]),
+             pa.ListArray.from_arrays(offsets, pa.array(docs_by)), pa.ListArray.from_arrays(offsets, pa.array(places_by.astype(np.int32)))],
+            names=["tok", "block", "n", "first", "docs", "places"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, lists = batch.column(0).to_numpy(), batch.column(1)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(docs):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
+                yield rows(docs[at:to], pa.concat_arrays([lists.slice(at, to - at)]))
+                at = to
+
+    return run
+
+
 def write_index(docs: DataFrame, key: str, tokens: Column, path: str, *, buckets: int = 256, span: int = 4096, spread: int = 4) -> None:
     """Index the array ``tokens`` of documents by the whole number ``key``.
 
-    A block has the documents of ``span`` neighbouring keys; a part is written by ``spread`` tasks. Documents
-    without a key, and null tokens, have no places. A key that is there twice has the places of both."""
-    found = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.posexplode(tokens).alias("place", "tok")).where("tok IS NOT NULL")
-    at = F.sort_array(F.collect_list(F.struct("doc", "place"))).alias("at")
-    blocks = found.groupBy("tok", F.floor(F.col("doc") / span).alias("block")).agg(at)
-    before = lambda i: F.get(F.col("at"), i - 1)
-    docs_by = F.transform("at", lambda x, i: F.coalesce(x["doc"] - before(i)["doc"], F.lit(0)))
-    places_by = F.transform("at", lambda x, i: F.when(x["doc"] == before(i)["doc"], x["place"] - before(i)["place"]).otherwise(x["place"]))
-    rows = blocks.select("tok", "block", F.size("at").alias("n"), F.get("at", F.lit(0))["doc"].alias("first"), docs_by.alias("docs"), places_by.alias("places"), _bucket(F.col("tok"), buckets).alias("bucket"))
+    A row has places in documents of one block of ``span`` neighbouring keys, as many as a task met in one step; a
+    block may be several rows. They are made where documents are read, so only packed lists are shuffled. A part
+    is written by ``spread`` tasks. Documents without a key, and null tokens, have no places. A key that is
+    there twice has the places of both."""
+    found = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), tokens.alias("toks"))
+    kind = found.schema["toks"].dataType.elementType.simpleString()
+    rows = found.mapInArrow(_packed(span), f"tok {kind}, block long, n int, first long, docs array<long>, places array<int>").withColumn("bucket", _bucket(F.col("tok"), buckets))
     dealt = rows.repartition(F.col("bucket"), F.pmod(F.col("block"), F.lit(spread))).sortWithinPartitions("bucket", "tok", "block")
     dealt.write.partitionBy("bucket").parquet(f"{path}/data")
     docs.sparkSession.createDataFrame([(buckets, span)], "buckets int, span int").write.parquet(f"{path}/meta")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,25 @@ def test_postings_hold_every_place(spark, tmp_path):
     assert postings.places(spark, path, wanted.where("false")).count() == 0
 
 
+def test_postings_are_packed_before_they_are_shuffled(monkeypatch):
+    docs = pa.array(range(-5, 95), pa.int64())
+    tokens = pa.array([[i % 3, None, 7, 7] if i % 10 else None for i in range(100)], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([docs, tokens], names=["doc", "toks"])
+    want = sorted((t, d, p) for d, ts in zip(docs.to_pylist(), tokens.to_pylist()) for p, t in enumerate(ts or []) if t is not None)
+    for step, most in ((1 << 20, 4 * 8), (50, 4 * 8 * 8)):
+        monkeypatch.setattr(postings, "STEP", step)
+        rows = [r for b in postings._packed(16)(iter([batch])) for r in b.to_pylist()]
+        assert len(rows) <= most and sum(r["n"] for r in rows) == len(want)
+        got = []
+        for r in rows:
+            doc, place = r["first"], 0
+            for i, (by, p) in enumerate(zip(r["docs"], r["places"])):
+                doc, place = doc + by, p if by or not i else place + p
+                got.append((r["tok"], doc, place))
+            assert {x[1] // 16 for x in got[-r["n"]:]} == {r["block"]}
+        assert sorted(got) == want
+
+
 def batches(spark, rows, path, order, scalars=lambda rank, step: {"norm": 1.5}, ranks=3, steps=3, skip=()):
     store = TopStore(spark, path, "f", [F.desc("act"), F.col("id")], 4, ranks)
     df = spark.createDataFrame(rows, "f long, id long, act double, note string")
