@@ -185,9 +185,9 @@ class Codec:
         self.token_len = np.array([len(x) for x in parts], np.int64)
         self.token_at = np.concatenate([[0], np.cumsum(self.token_len)])
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.cache: dict[str, int] = {}
         self.flat, self.ends = Grown(np.uint32), Grown(np.int64)
         self.ends.add([0])
@@ -253,7 +253,7 @@ class Codec:
         ends = np.cumsum(sizes + 1) - 1
         starts = boundaries(joined, ends[:-1])
         if len(self.cache) > self.cache_limit:
-            self._clear()
+            self.clear()
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         owner = np.searchsorted(ends, starts, "right")
@@ -295,20 +295,21 @@ def parse_ranks(lines: bytes) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def load_codec(path: str) -> Codec:
+def load_codec(path: str, cache_limit: int = 400_000) -> Codec:
     """One codec a worker process. The file is part of an installed package, so that
     each executor has it at the same place."""
     with open(path, "rb") as f:
-        return Codec(parse_ranks(f.read()))
+        return Codec(parse_ranks(f.read()), cache_limit)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, *, text: str = "text", keep: list[str] | None = None,
-                     with_ids: bool = False, slice_bytes: int = 1 << 20) -> DataFrame:
+                     with_ids: bool = False, slice_bytes: int = 1 << 20, cache_limit: int | None = None) -> DataFrame:
     """Encode each whole text and decode its ids again.
 
     Adds n_tokens, ids_sha256 and decoded_sha256; with ``with_ids`` also token_ids and
     token_ends (byte offset of each token's end). A null or empty text has no tokens.
-    Other columns in ``keep`` (all by default, except those that clash) pass through.
+    Other columns in ``keep`` (all by default, except those that clash) pass through. With a
+    ``cache_limit`` a worker holds about so many merged pieces at most, and none after a task.
     """
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids", "token_ends"] * with_ids
     keep = [c for c in docs.columns if c not in added] if keep is None else keep
@@ -318,7 +319,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, *, text: str = "text", ke
         out_schema = out_schema.add("token_ids", T.ArrayType(T.IntegerType())).add("token_ends", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load_codec(ranks_path)
+        codec = load_codec(ranks_path, cache_limit) if cache_limit else load_codec(ranks_path)
         for part, texts in text_slices(batches, slice_bytes, "__girasol_text"):
             ids, at = codec.encode(texts)
             shas, decoded, token_ids, token_ends = [], [], [], []
@@ -335,6 +336,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, *, text: str = "text", ke
             if with_ids:
                 columns += [pa.array(token_ids, pa.list_(pa.int32())), pa.array(token_ends, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *added])
+        if cache_limit:
+            # The worker process stays for tasks of other stages, the pieces need not.
+            codec.clear()
 
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__girasol_text"))
     return source.mapInArrow(run, out_schema)

@@ -126,12 +126,14 @@ def _calibrate(margin: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[floa
 
 
 def _with_statistics(docs: DataFrame, keep: list[str], model: Model | None, slice_bytes: int) -> DataFrame:
-    """Score (or, without a model, the statistics) of each row's _text, beside its columns in keep."""
+    """Score (or, without a model, the statistics) of each row's text, which is __girasol_text or,
+    where there is no such column, text, beside its columns in keep."""
+    at = "__girasol_text" if "__girasol_text" in docs.columns else "text"
     name, kind = ("__girasol_score", T.DoubleType()) if model else ("__girasol_statistics", T.ArrayType(T.DoubleType()))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, slice_bytes, "__girasol_text"):
+        for part, texts in text_slices(batches, slice_bytes, at):
             x = np.array([statistics(t) for t in texts], np.float64)
             out = pa.array(model.score(x)) if model else pa.array(list(x), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), out], names=[*keep, name])
@@ -168,6 +170,8 @@ def score_documents(docs: DataFrame, model: Model, *, keep: list[str] | None = N
     score or predicted are replaced; other columns pass through.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")] if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__girasol_text"))
+    # A text that passes through is sent to the worker once.
+    own = [] if "text" in keep and docs.schema["text"].dataType == T.StringType() else [F.col("text").cast("string").alias("__girasol_text")]
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], *own)
     out = _with_statistics(source, keep, model, slice_bytes)
     return out.withColumnRenamed("__girasol_score", "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

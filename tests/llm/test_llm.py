@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,14 @@ def test_bpe_cache_may_be_cleared_at_any_time():
         assert small.encode([t])[0].tolist() == large.encode([t])[0].tolist()
 
 
+def test_bpe_workers_keep_no_pieces(edge, monkeypatch):
+    monkeypatch.setattr(type(edge), "mapInArrow", lambda self, run, schema: run)
+    run, codec = bpe.encode_documents(edge, RANKS, keep=["doc_id"], cache_limit=100), bpe.load_codec(RANKS, 100)
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "__girasol_text": ["the cat sat", "on 1234567 mats"]})
+    assert [(out.num_rows, len(codec.cache) > 0) for out in run(iter([rows]))] == [(2, True)]
+    assert not codec.cache and codec.flat.size == 0
+
+
 def test_bpe_on_edge_rows(edge):
     out = bpe.encode_documents(edge, RANKS, with_ids=True)
     assert set(out.columns) == {"doc_id", "text", "score", "n_removed", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids", "token_ends"}
@@ -101,6 +110,17 @@ def test_quality_held_out_and_edges(docs, labels, edge, spark):
     assert quality.train(docs.where("false"), labels.where("false")).score(np.zeros((1, len(quality.STATISTICS))))[0] > 0.3
 
 
+def test_quality_sends_a_text_once(docs, edge, monkeypatch):
+    sent, real = [], type(edge).mapInArrow
+    monkeypatch.setattr(type(edge), "mapInArrow", lambda self, *a: sent.append(self.columns) or real(self, *a))
+    model = quality.fit(np.zeros((0, len(quality.STATISTICS))), np.zeros(0))
+    one = quality.score_documents(edge, model).collect()
+    assert sent.pop() == ["doc_id", "text", "n_tokens", "n_removed"]
+    two = quality.score_documents(edge, model, keep=["doc_id"]).collect()
+    assert sent.pop() == ["doc_id", "__girasol_text"]
+    assert [r.score for r in one] == [r.score for r in two]
+
+
 def test_quality_is_a_quadratic_discriminant():
     rng = np.random.default_rng(0)
     a, b = rng.normal(0, 1, (400, 3)), rng.normal(0, 4, (400, 3))
