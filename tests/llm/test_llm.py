@@ -681,6 +681,20 @@ def test_pipeline_stages_in_plain_python(spark, sf_dir, docs, labels):
         assert r.decoded_sha256 == hashlib.sha256(now[d].encode()).hexdigest()
 
 
+def test_pipeline_near_duplicates_take_short_slices(spark, monkeypatch):
+    """A worker's arrays grow with its slice; groups do not depend on it."""
+    import corpus_pipeline
+
+    asked = {}
+    monkeypatch.setattr(ngramjoin, "first_of_groups", lambda docs, **options: asked.update(options) or docs)
+    corpus_pipeline.ngram_jaccard(spark, spark.range(1), "")
+    assert asked["slice_bytes"] <= 1 << 18
+    words = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, words), (2, words + " more"), (3, "another text of some words"), (4, words), (5, None)], "doc_id long, text string")
+    found = [sorted(map(tuple, ngramjoin.link_documents(df, size=5, percent=80, slice_bytes=n).collect())) for n in (1, 1 << 20)]
+    assert found[0] == found[1] and [r[2] for r in found[0]] == [1, 1, 3, 1, 5]
+
+
 def test_pipeline_writes_each_stage_and_reads_it_again(spark, sf_dir, monkeypatch):
     import corpus_pipeline
 
