@@ -33,22 +33,22 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(words: str, at: str, masks: dict[str, list[int]], length: Column | None) -> Column:
+def _seeds(words: str, at: Column, masks: dict[str, list[int]], length: Column | None = None) -> Column:
     """One hash for each mask of the words from ``at`` on; null where they end before it, and
     with ``length`` for masks that passages of that length do without."""
     out = []
     for mask, lengths in masks.items():
-        picked = [F.get(F.col(words), F.col(at) + F.lit(k)) for k, x in enumerate(mask) if x == "1"]
-        fits = F.col(at) + F.lit(len(mask)) <= F.size(words)
+        picked = [F.get(F.col(words), at + F.lit(k)) for k, x in enumerate(mask) if x == "1"]
+        fits = at + F.lit(len(mask)) <= F.size(words)
         out.append(F.when(fits if length is None else fits & length.isin(lengths), F.xxhash64(F.lit(mask), *picked)))
     return F.array(*out)
 
 
 def _windows(rows: DataFrame, words: str, at: str, masks: dict[str, list[int]], length: Column | None = None) -> DataFrame:
-    """A row for each place of a mask in the words: _seed."""
+    """A row for each place of a mask in the words: _mask (its number) and _seed."""
     least = min(map(len, masks))
     started = rows.where(F.size(words) >= least).withColumn(at, F.explode(F.sequence(F.lit(0), F.size(words) - least)))
-    return started.withColumn("_seed", F.explode(_seeds(words, at, masks, length))).where("_seed IS NOT NULL")
+    return started.select("*", F.posexplode(_seeds(words, F.col(at), masks, length)).alias("_mask", "_seed")).where("_seed IS NOT NULL")
 
 
 def _best_window(doc: Column, item: Column, shift: Column, length: Column) -> Column:
@@ -86,39 +86,53 @@ def find_contamination(
     in the document of the item's first word, and may be negative if the item's start is
     missing. No such passage is missed (see ``masks_for``), so an item of one word is in each
     text that has it; null and empty texts have no words. Rows with equal ids count as one document.
+    Items of equal words are looked for once.
 
     The benchmark's seeds are broadcast while they number at most ``broadcast_rows`` and no
     item is longer than ``max_item_words``; beyond that, seeds are shuffled and the words
     are joined back to the distinct diagonals.
     """
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("_item"))
+    listed = benchmark.where("item_id IS NOT NULL").select("item_id", word_hashes(F.col("text")).alias("_item"))
+    listed = listed.withColumn("_class", F.xxhash64("_item"))
+    items = listed.groupBy("_class", "_item").agg(F.count(F.lit(1)).alias("_n"))
     words = docs.select("doc_id", word_hashes(F.col("text")).alias("_doc"))
     length = F.least(F.size("_item"), F.lit(window))
-    total, longest, lengths = items.agg(
-        F.coalesce(F.sum(F.size("_item")), F.lit(0)), F.coalesce(F.max(F.size("_item")), F.lit(0)), F.collect_set(length)
+    total, longest, lengths, ids = items.agg(
+        F.coalesce(F.sum(F.size("_item")), F.lit(0)), F.coalesce(F.max(F.size("_item")), F.lit(0)), F.collect_set(length), F.coalesce(F.sum("_n"), F.lit(0))
     ).first()
+    items = items.drop("_n")
     masks: dict[str, list[int]] = {}
     for n in sorted(lengths) if longest else [window]:
         for mask in masks_for(n, similarity) if n else ():
             masks.setdefault(mask, []).append(n)
-    seeds = _windows(items, "_item", "_j", masks, length).select("_seed", "item_id", "_j").distinct()
+    seeds = _windows(items, "_item", "_j", masks, length)
     small = total * len(masks) <= broadcast_rows and longest <= max_item_words
     own = _windows(words, "_doc", "_i", masks)
     if small:
-        hits = own.join(F.broadcast(seeds), "_seed").join(F.broadcast(items), "item_id")
+        # Of hits that follow one another along a diagonal the first will do.
+        before = F.when(F.col("_j") > 0, F.get(_seeds("_item", F.col("_j") - 1, masks), F.col("_mask"))).alias("_before")
+        seeds = seeds.select("_seed", "_class", "_j", "_mask", before).distinct()
+        follows = F.when(F.col("_i") > 0, F.get(_seeds("_doc", F.col("_i") - 1, masks), F.col("_mask")) == F.col("_before"))
+        hits = own.drop("_mask").join(F.broadcast(seeds), "_seed").where(~F.coalesce(follows, F.lit(False))).join(F.broadcast(items), "_class")
     else:
         # Rows are told apart by their id, null or not, and a hash of their words.
         row = F.struct("doc_id", F.xxhash64("_doc").alias("h"), F.size("_doc").alias("n")).alias("_row")
-        diagonals = own.select(row, "_i", "_seed").join(seeds, "_seed")
-        diagonals = diagonals.select("_row", "item_id", (F.col("_i") - F.col("_j")).alias("_i"), F.lit(0).alias("_j")).distinct()
+        diagonals = own.select(row, "_i", "_seed").join(seeds.select("_seed", "_class", "_j").distinct(), "_seed")
+        diagonals = diagonals.select("_row", "_class", (F.col("_i") - F.col("_j")).alias("_i"), F.lit(0).alias("_j")).distinct()
         texts = words.select(row, "_doc").dropDuplicates(["_row"])
-        hits = diagonals.join(items, "item_id").join(texts, "_row").withColumn("doc_id", F.col("_row.doc_id"))
+        hits = diagonals.join(items, "_class").join(texts, "_row").withColumn("doc_id", F.col("_row.doc_id"))
+    # A text's hits are held together, so that each has the words beside the item's and not the whole text.
     shift = F.col("_i") - F.col("_j")
-    found = hits.select(
-        "doc_id", "item_id", shift.alias("doc_word"), length.alias("compared"),
-        _best_window(F.col("_doc"), F.col("_item"), shift, length).alias("matched"),
+    start = F.greatest(shift, F.lit(0))
+    beside = F.slice("_doc", start + 1, F.greatest(F.least(F.size("_doc"), shift + F.size("_item")) - start, F.lit(0)))
+    found = hits.select("doc_id", "_class", "_item", shift.alias("doc_word"), beside.alias("_beside")).select(
+        "doc_id", "_class", "doc_word", length.alias("compared"),
+        _best_window(F.col("_beside"), F.col("_item"), F.least(F.col("doc_word"), F.lit(0)), length).alias("matched"),
     ).where(F.col("matched") >= F.ceil(F.col("compared") * F.lit(similarity) - 1e-9))
     best = F.max(F.struct(F.col("matched"), (-F.col("doc_word")).alias("_at"), F.col("compared"))).alias("_best")
+    found = found.groupBy("doc_id", "_class").agg(best).select("doc_id", "_class", "_best.matched", (-F.col("_best._at")).alias("doc_word"), "_best.compared")
+    members = listed.select("_class", "item_id").distinct()
+    found = found.join(F.broadcast(members) if ids <= broadcast_rows else members, "_class")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("_best._at")).alias("doc_word"), F.col("_best.matched").alias("matched"),
         F.col("_best.compared").alias("compared"), (F.col("_best.matched") / F.col("_best.compared")).alias("overlap"),

@@ -301,6 +301,16 @@ def test_decontamination_finds_short_items_and_every_fifth_word_replaced(spark):
         assert {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_hits_of_a_long_text_do_not_hold_it_once_each(spark):
+    # 320,000 hits for each item; with the text in each they would be 7 GB an item.
+    rows = [(0, "a " * 3000), (1, "b " * 30 + "a " * 17), (2, "a " * 3 + "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, "A, " * 40) for i in range(3)] + [(9, "b a"), (None, "b")], "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.find_contamination(docs, bench).collect()))
+    assert got == [(0, i, -20, 20, 20, 1.0) for i in range(3)] + [(1, i, 7, 17, 20, 0.85) for i in range(3)] + [(1, 9, 29, 2, 2, 1.0)]
+    assert sorted(map(tuple, decontaminate.find_contamination(docs, bench, broadcast_rows=0).collect())) == got
+
+
 # --- 4: n-gram Jaccard join
 
 
