@@ -86,12 +86,13 @@ w AS (SELECT max(epoch_us(ts) // 1000) - 3600000 AS mark FROM events WHERE event
 SELECT req, 'scored' AS outcome, last AS at_ms, shards FROM r WHERE shards = 4 UNION ALL SELECT req, 'timeout', due, shards FROM r, w WHERE shards < 4 AND due <= mark
 UNION ALL SELECT f.req, 'late', f.ms, r.shards FROM f JOIN r USING (req) WHERE r.shards < 4 AND f.ms > f.due""")
 def st8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of several files: a request, a user's six days, is scored when its four shards are there within
-    36 hours, and else times out in event time."""
-    s = state.events_stream(spark, sf_dir).where("event_type != 'error'")
+    """A stream of several files in the order of time: a request, a user's six days, is scored when its four shards
+    are there within 36 hours, and else times out in event time."""
+    time = F.unix_micros(F.col("ts").cast("timestamp"))
+    s = state.events_stream(spark, sf_dir, columns="ts user_id event_type", by=time).where("event_type != 'error'")
     s = s.withColumn("req", F.col("user_id") * 100 + F.expr("unix_millis(ts) div 518400000 % 100"))
     met = timed.rendezvous(s, "req", "event_type", "ts", shards=4, limit_ms=129_600_000, keep_ms=518_400_000, delay="1 hour")
-    return state.run_to_end(met, "rendezvous", "append")
+    return state.run_to_end(met, "rendezvous", "append", partitions=state.PARTITIONS)
 
 
 @query("""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,47 +21,66 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows of one file of a stream's intake.
-SLICE_ROWS = 1_000_000
+#: Rows of one slice of a stream's intake, while that makes no more than MOST_SLICES, and of one of its files.
+SLICE_ROWS, MOST_SLICES, FILE_ROWS = 1_000_000, 16, 250_000
+#: Keys of a stateful operator are dealt into so many buckets; a bucket's state is one value, and more partitions
+#: than these would cost a micro-batch more than its rows.
+BUCKETS, PARTITIONS = 512, 64
 
 
-def sliced(df: DataFrame, column: str, path: str, slices: int = 3) -> None:
-    """Files one after another, each with an even range of the whole numbers ``column``: a source that reads a
-    file at a time sees them in that order."""
-    count, low, high = df.agg(F.count(F.lit(1)), F.min(column), F.max(column)).first()
-    n = max(slices, -(-count // SLICE_ROWS))
-    of = F.expr(f"(cast(`{column}` AS decimal(38,0)) - {low or 0}) * {n} div {(high or 0) - (low or 0) + 1}").cast("int")
-    # Parted in one pass, so that a slice's file reads its own rows only.
+def sliced(df: DataFrame, by: str | Column, path: str, slices: int = 3) -> int:
+    """Files one slice after another, each slice with an even range of the whole numbers ``by``: a source that reads
+    as many files at a time as a slice has, which is what this returns, sees them in that order."""
+    by = F.col(f"`{by}`") if isinstance(by, str) else by
+    count, low, high = df.agg(F.count(F.lit(1)), F.min(by), F.max(by)).first()
+    n = max(slices, min(-(-count // SLICE_ROWS), MOST_SLICES))
+    files = max(1, -(-count // (n * FILE_ROWS)))
+    of = F.expr(f"(cast(_slice AS decimal(38,0)) - {low or 0}) * {n} div {(high or 0) - (low or 0) + 1}").cast("int")
+    # Parted in one pass, so that a slice's files read its own rows only.
     parted = f"{path}-parted"
-    df.withColumn("_slice", of).where("_slice IS NOT NULL").write.partitionBy("_slice").parquet(parted)
+    df.withColumn("_slice", by).withColumn("_slice", of).where("_slice IS NOT NULL").write.partitionBy("_slice").parquet(parted)
     # The writer makes no folder for a slice without rows.
     filled = {r[0] for r in df.sparkSession.read.parquet(parted).select("_slice").distinct().collect()} if count else set()
     for i in sorted(filled):
-        df.sparkSession.read.schema(df.schema).parquet(f"{parted}/_slice={i}").coalesce(1).write.mode("append").parquet(path)
+        rows = df.sparkSession.read.schema(df.schema).parquet(f"{parted}/_slice={i}")
+        (rows.repartition(files, by) if files > 1 else rows.coalesce(1)).write.mode("append").parquet(path)
     if not filled:
         df.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return files
 
 
-def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """ST1, ST13: a bounded intake of several files; the offsets are the checkpoint's. Event time is a TIMESTAMP."""
-    events, path = spark.read.parquet(f"{sf_dir}/events.parquet"), scratch(spark, "events")
-    sliced(events, "event_id", path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+def events_stream(spark: SparkSession, sf_dir: str, slices_per_trigger: int = 1, *, columns: str = "*", by: str | Column = "event_id") -> DataFrame:
+    """ST1, ST13: a bounded intake of several files in the order of ``by``; the offsets are the checkpoint's. Event
+    time is a TIMESTAMP."""
+    events, path = spark.read.parquet(f"{sf_dir}/events.parquet").select(*columns.split()), scratch(spark, "events")
+    files = sliced(events, by, path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", slices_per_trigger * files).parquet(path)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 
 
-def run_batches(stream: DataFrame, name: str, mode: str, change: Callable[[DataFrame], DataFrame], schema: T.StructType, *, at: str | None = None) -> tuple[DataFrame, str]:
+def run_batches(
+    stream: DataFrame, name: str, mode: str, change: Callable[[DataFrame], DataFrame], schema: T.StructType, *, at: str | None = None, partitions: int | None = None
+) -> tuple[DataFrame, str]:
     """Process all that is available; what the sink holds by then, and the folder to go on with.
 
     ``change`` is applied to each micro-batch, which is then written under its number: a batch that is tried
-    again replaces itself. Of complete results the last one counts."""
+    again replaces itself. Of complete results the last one counts. The stream's state is in ``partitions`` at
+    most."""
     spark = stream.sparkSession
     at = at or scratch(spark, name)
 
     def sink(batch: DataFrame, number: int) -> None:
         change(batch).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(sink).trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(sink).trigger(availableNow=True)
+    setting = "spark.sql.shuffle.partitions"
+    own = spark.conf.get(setting)
+    try:
+        # A stream keeps the settings it begins with.
+        spark.conf.set(setting, str(min(int(own), partitions or int(own))))
+        q = writer.start()
+    finally:
+        spark.conf.set(setting, own)
     q.awaitTermination()
     held = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{at}/out")
     if mode == "complete":
@@ -68,9 +88,9 @@ def run_batches(stream: DataFrame, name: str, mode: str, change: Callable[[DataF
     return held.select(*[f"`{f.name}`" for f in schema.fields]), at
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str, *, at: str | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, name: str, mode: str, *, at: str | None = None, partitions: int | None = None) -> DataFrame:
     """What the sink holds when all that is available is processed."""
-    return run_batches(stream, name, mode, lambda batch: batch, stream.schema, at=at)[0]
+    return run_batches(stream, name, mode, lambda batch: batch, stream.schema, at=at, partitions=partitions)[0]
 
 
 def pick_blocks(blocks: DataFrame, queue: str, name: str, step: str, n: int, *, drop_stale: bool) -> DataFrame:

@@ -2,75 +2,71 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "req {0}, outcome string, at_ms long, shards long"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from girasol.streaming.state import BUCKETS
 
+OUT = "req string, outcome string, at_ms long, shards long"
 
-class Rendezvous(StatefulProcessor):
-    """A request is scored by the row that brings its last shard, if that is within ``limit_ms`` of its first
-    row; else it times out when the watermark passes that. Rows after the deadline are late. State: the
-    shards seen, and a mark of the outcome that is forgotten ``keep_ms`` after the deadline."""
 
-    def __init__(self, shards: int, limit_ms: int, keep_ms: int) -> None:
-        self.shards, self.limit_ms, self.keep_ms = shards, limit_ms, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.request = handle.getValueState("request", "first long, seen array<string>, outcome string")
+def rendezvous(stream: DataFrame, req: str, shard: str, ts: str, *, shards: int, limit_ms: int, keep_ms: int, delay: str) -> DataFrame:
+    """(req, outcome, at_ms, shards) of a stream: scored, timeout, and a row for each late arrival.
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first, seen, outcome = self.request.get() if self.request.exists() else (None, [], None)
-        seen, out, due = set(seen or ()), [], first
-        arrived = pd.concat(list(rows)).sort_values(["ms", "shard"])
-        for ms, shard in zip(arrived["ms"].tolist(), arrived["shard"].tolist()):
-            if outcome == "scored":
-                continue
-            if outcome is None:
-                first = ms if first is None else min(first, ms)
-            if outcome == "timeout" or ms > first + self.limit_ms:
-                out.append((key[0], "late", ms, len(seen)))
-                continue
-            seen.add(shard)
-            if len(seen) == self.shards:
-                outcome = "scored"
-                out.append((key[0], outcome, ms, len(seen)))
-        if first != due:
-            if due is not None:
-                self.handle.deleteTimer(due + self.limit_ms)
-            self.handle.registerTimer(first + self.limit_ms)
-        self.request.update((first, sorted(seen), outcome))
-        yield pd.DataFrame(out, columns=["req", "outcome", "at_ms", "shards"])
+    A request is scored by the row that brings its last shard, if that is within ``limit_ms`` of its first
+    row; else it times out when the watermark passes that. Rows after the deadline are late. State, by bucket
+    of requests: a request's first row, the shards seen, and a mark of the outcome that is forgotten
+    ``keep_ms`` after the deadline. A bucket has one timer, for what is due next of its requests."""
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        bits, held = pickle.loads(state.get[0]) if state.exists else ({}, {})
         out = []
-        if self.request.exists():
-            first, seen, outcome = self.request.get()
-            at = expiredTimerInfo.getExpiryTimeInMs()
-            if at >= first + self.limit_ms + self.keep_ms:
-                self.request.clear()
-            else:
+        arrived = [] if state.hasTimedOut else list(frames)
+        if arrived:
+            rows = pd.concat(arrived).sort_values(["ms", "shard"])
+            for key, ms, name in zip(rows["req"].tolist(), rows["ms"].tolist(), rows["shard"].tolist()):
+                first, seen, outcome = held.get(key, (ms, 0, None))
+                if outcome == "scored":
+                    continue
                 if outcome is None:
-                    outcome = "timeout"
-                    out.append((key[0], outcome, first + self.limit_ms, len(seen)))
-                    self.request.update((first, seen, outcome))
-                self.handle.registerTimer(first + self.limit_ms + self.keep_ms)
+                    first = min(first, ms)
+                if outcome == "timeout" or ms > first + limit_ms:
+                    out.append((key, "late", ms, seen.bit_count()))
+                else:
+                    seen |= bits.setdefault(name, 1 << len(bits))
+                    if seen.bit_count() == shards:
+                        outcome = "scored"
+                        out.append((key, outcome, ms, shards))
+                held[key] = first, seen, outcome
+        mark, after = state.getCurrentWatermarkMs(), []
+        for key, (first, seen, outcome) in list(held.items()):
+            due = first + limit_ms
+            if outcome is None and due <= mark:
+                outcome = "timeout"
+                out.append((key, outcome, due, seen.bit_count()))
+                held[key] = first, seen, outcome
+            if outcome is not None:
+                due += keep_ms
+            if due <= mark:
+                del held[key]
+            else:
+                after.append(due)
+        if held:
+            state.update((pickle.dumps((bits, held)),))
+            state.setTimeoutTimestamp(min(after))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["req", "outcome", "at_ms", "shards"])
 
-    def close(self) -> None:
-        pass
-
-
-def rendezvous(stream: DataFrame, req: str, shard: str, ts: str, *, shards: int, limit_ms: int, keep_ms: int, delay: str) -> DataFrame:
-    """(req, outcome, at_ms, shards) of a stream: scored, timeout, and a row for each late arrival."""
-    spark: SparkSession = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    rows = stream.withWatermark(ts, delay).select(ts, F.col(req).alias("req"), F.col(shard).cast("string").alias("shard"), F.unix_millis(ts).alias("ms"))
-    kind = stream.schema[req].dataType.simpleString()
-    return rows.groupBy("req").transformWithStateInPandas(Rendezvous(shards, limit_ms, keep_ms), OUT.format(kind), "append", "EventTime")
+    # As text a request is exact in pandas, null or not.
+    rows = stream.withWatermark(ts, delay).select(
+        ts, F.col(req).cast("string").alias("req"), F.col(shard).cast("string").alias("shard"), F.unix_millis(ts).alias("ms"),
+        F.pmod(F.xxhash64(req), F.lit(BUCKETS)).alias("_bucket"),
+    )
+    met = rows.groupBy("_bucket").applyInPandasWithState(step, OUT, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return met.withColumn("req", F.col("req").cast(stream.schema[req].dataType))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
+from girasol.plans import ORACLE_SQL, QUERIES
 from girasol.streaming import side, state, timed
 
 BASE = dt.datetime(2024, 1, 1)
@@ -101,3 +103,37 @@ def test_slices_are_read_once_and_written_in_order(spark, tmp_path):
     assert len(files) == 10 and sum(ranges, []) == [k for k in range(3000) if k != 63]
     state.sliced(df.where("false"), "k", str(tmp_path / "none"))
     assert spark.read.schema(df.schema).parquet(str(tmp_path / "none")).count() == 0
+
+
+def test_large_slices_have_several_files_and_stay_in_order(spark, tmp_path, monkeypatch):
+    for name, n in (("SLICE_ROWS", 100), ("MOST_SLICES", 4), ("FILE_ROWS", 50)):
+        monkeypatch.setattr(state, name, n)
+    df = spark.range(1000).withColumn("ts", F.timestamp_seconds(1_000_000 - F.col("id")))
+    assert state.sliced(df, F.unix_micros("ts"), str(tmp_path / "in")) == 5
+    files = sorted(((tmp_path / "in").glob("*.parquet")), key=lambda f: f.stat().st_mtime_ns)
+    slices = [sorted(r.id for f in files[i : i + 5] for r in spark.read.parquet(str(f)).collect()) for i in range(0, 20, 5)]
+    assert len(files) == 20 and slices == [list(range(i, i + 250)) for i in (750, 500, 250, 0)]
+
+
+def test_requests_do_not_depend_on_the_order_of_ids(spark, sf_dir, tmp_path):
+    # Copies with shifted ids: the time begins anew in each of them.
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    copies = [e.withColumns({"event_id": F.col("event_id") + i * 1_000_000, "user_id": F.col("user_id") + i * 10_000}) for i in range(3)]
+    copies[0].union(copies[1]).union(copies[2]).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["st8_rendezvous"](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = c.execute(f"SELECT req, outcome, at_ms, shards FROM ({ORACLE_SQL['st8_rendezvous']})").fetchall()
+    assert sorted(map(tuple, got.select("req", "outcome", "at_ms", "shards").collect())) == sorted(want)
+
+
+def test_requests_are_held_by_bucket(spark, tmp_path):
+    path = str(tmp_path / "in")
+    at = lambda m: BASE + dt.timedelta(minutes=m)
+    for shard in "ab":
+        rows = [(k if k else None, shard, at(k % 5 + (shard == "b") * k % 7)) for k in range(1500)]
+        spark.createDataFrame(rows, "req long, shard string, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    met = timed.rendezvous(stream_of(spark, path), "req", "shard", "ts", shards=2, limit_ms=30 * 60_000, keep_ms=600 * 60_000, delay="10 minutes")
+    held, folder = state.run_batches(met, "met", "append", lambda b: b, met.schema)
+    assert {(r.req, r.outcome, r.shards) for r in held.collect()} == {(k if k else None, "scored", 2) for k in range(1500)}
+    assert spark.read.format("statestore").load(f"{folder}/state").count() <= state.BUCKETS
