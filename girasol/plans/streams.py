@@ -49,8 +49,8 @@ WITH r AS (SELECT user_id, event_id, sum((value > 50)::INT) OVER w passes, count
 SELECT user_id, event_id, passes::BIGINT AS passes, visits FROM r WHERE visits >= 8 AND passes / visits >= 0.6 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1""")
 def st4_pass_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tracker as a stateful stream; the SQL is its batch form."""
-    s = state.events_stream(spark, sf_dir).withColumn("passed", F.col("value") > 50)
-    return state.run_to_end(state.drop_solved(s, "user_id", "event_id", "passed", 0.6, 8), "solved", "append")
+    s = state.events_stream(spark, sf_dir, columns="event_id user_id value").withColumn("passed", F.col("value") > 50)
+    return state.run_to_end(state.drop_solved(s, "user_id", "event_id", "passed", 0.6, 8), "solved", "append", partitions=state.PARTITIONS)
 
 
 @query("""

@@ -105,25 +105,30 @@ def pick_blocks(blocks: DataFrame, queue: str, name: str, step: str, n: int, *,
 
 def drop_solved(stream: DataFrame, key: str, order: str, passed: str, threshold: float, least: int) -> DataFrame:
     """ST4: (key, order, passes, visits) once a key's pass rate reaches the threshold after at
-    least ``least`` visits; from then on the key is dropped for good. State: two counts and a flag."""
+    least ``least`` visits; from then on the key is dropped for good. State: two counts a key, or
+    none for one that is gone, by bucket of keys."""
 
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        good, seen, gone = state.get if state.exists else (0, 0, False)
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else {}
         rows = pd.concat(list(frames)).sort_values(order)
         found = []
-        for at, ok in zip(rows[order].tolist(), rows[passed].tolist()):
-            if gone:
-                break
-            good, seen = good + bool(ok), seen + 1
+        for k, at, ok in zip(rows[key].tolist(), rows[order].tolist(), rows[passed].tolist()):
+            counts = held.get(k, (0, 0))
+            if counts is None:
+                continue
+            good, seen = counts[0] + bool(ok), counts[1] + 1
+            held[k] = good, seen
             if seen >= least and good / seen >= threshold:
-                gone = True
-                found.append((keys[0], at, good, seen))
-        state.update((good, seen, gone))
+                held[k] = None
+                found.append((k, at, good, seen))
+        state.update((pickle.dumps(held),))
         yield pd.DataFrame(found, columns=[key, order, "passes", "visits"])
 
-    out = f"{key} {stream.schema[key].dataType.simpleString()}, {order} {stream.schema[order].dataType.simpleString()}, passes long, visits long"
-    grouped = stream.select(key, order, passed).groupBy(key)
-    return grouped.applyInPandasWithState(step, out, "good long, seen long, gone boolean", "append", GroupStateTimeout.NoTimeout)
+    kind, out = stream.schema[key].dataType, f"{key} string, {order} {stream.schema[order].dataType.simpleString()}, passes long, visits long"
+    # As text a key is exact in pandas, null or not.
+    rows = stream.select(F.col(key).cast("string").alias(key), order, passed, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_bucket"))
+    met = rows.groupBy("_bucket").applyInPandasWithState(step, out, "held binary", "append", GroupStateTimeout.NoTimeout)
+    return met.withColumn(key, F.col(key).cast(kind))
 
 
 class ReplayPool:

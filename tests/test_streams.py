@@ -137,3 +137,23 @@ def test_requests_are_held_by_bucket(spark, tmp_path):
     held, folder = state.run_batches(met, "met", "append", lambda b: b, met.schema)
     assert {(r.req, r.outcome, r.shards) for r in held.collect()} == {(k if k else None, "scored", 2) for k in range(1500)}
     assert spark.read.format("statestore").load(f"{folder}/state").count() <= state.BUCKETS
+
+
+def test_solved_keys_are_held_by_bucket(spark, tmp_path):
+    path = str(tmp_path / "in")
+    rows = [(k if k else None, i * 2000 + k, (k + i) % 3 > 0) for i in range(6) for k in range(1500)]
+    state.sliced(spark.createDataFrame(rows, "k long, at long, ok boolean"), "at", path)
+    want, seen = [], {}
+    for k, at, ok in rows:
+        good, n, gone = seen.get(k, (0, 0, False))
+        good, n = good + ok, n + 1
+        if not gone and n >= 3 and good / n >= 0.6:
+            gone = True
+            want.append((k or -1, at, good, n))
+        seen[k] = good, n, gone
+    stream = spark.readStream.schema("k long, at long, ok boolean").option("maxFilesPerTrigger", 1).parquet(path)
+    solved = state.drop_solved(stream, "k", "at", "ok", 0.6, 3)
+    held, folder = state.run_batches(solved, "solved", "append", lambda b: b, solved.schema, partitions=2)
+    assert sorted((r.k or -1, r.at, r.passes, r.visits) for r in held.collect()) == sorted(want)
+    assert held.schema["k"].dataType == stream.schema["k"].dataType and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert spark.read.format("statestore").load(f"{folder}/state").count() <= state.BUCKETS
